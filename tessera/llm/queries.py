@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, simhash
 from .common import table
 
 
@@ -13,5 +13,10 @@ def op10_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op10_decontaminate,)}
+def op3_simhash(spark, sf_dir):
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), size=3, bits=3)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
