@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, simhash
+from . import bpe, decontam, simhash
 from .common import table
 
 
@@ -13,10 +13,22 @@ def op10_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = "file://" + public_tokenizers.path(RANKS)
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_simhash(spark, sf_dir):
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), size=3, bits=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
