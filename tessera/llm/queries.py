@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash
-from .common import table
+from . import bpe, decontam, simhash, warc
+from .common import fresh_path, table
+
+
+def op9_warc(spark, sf_dir):
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archives(spark, path, with_data=False).where("last")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_decontaminate(spark, sf_dir):
@@ -30,5 +37,5 @@ def op3_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op9_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
