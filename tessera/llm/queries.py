@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash, warc
+from . import bpe, decontam, fm_index, run_index, simhash, warc
 from .common import fresh_path, table
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    left = run_index.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark, sf_dir):
     path = fresh_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -20,6 +25,11 @@ def op10_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    left = fm_index.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -37,5 +47,5 @@ def op3_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op9_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op9_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
