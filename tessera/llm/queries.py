@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm_index, run_index, simhash, warc
+from . import bpe, decontam, fm_index, run_index, simhash, topk, url_templates, warc
 from .common import fresh_path, table
 
 
@@ -13,6 +13,15 @@ def op4_suffix_dedup(spark, sf_dir):
     return left.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_topk(spark, sf_dir):
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_url_templates(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_warc(spark, sf_dir):
     path = fresh_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -47,5 +56,17 @@ def op3_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op9_warc, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op9_warc, op10_decontaminate)}
+ORACLES: dict[str, str] = {
+    "op5_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+""",
+    "op6_url_templates": url_templates.ORACLE,
+}
