@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm_index, run_index, simhash, topk, toxicity, url_templates, warc
+from . import bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, url_templates, warc
 from .common import fresh_path, table
 
 
@@ -22,6 +22,10 @@ def op6_url_templates(spark, sf_dir):
     return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_main_text(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -62,7 +66,7 @@ def op3_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op8_toxicity, op9_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op7_main_text, op8_toxicity, op9_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
 WITH v AS (
