@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token is a doubly linked list of parts. Every adjacent pair that some token spells waits in the
+Fixed ranks below 2^20 are supported. A pre-token is a doubly linked list of parts. Every adjacent pair that some token spells waits in the
 bucket of that token's rank; a bitmap of three levels marks the buckets that hold something, so the
 least rank is found by three find-first-set steps whatever the length of the pre-token. Entries are
 never removed when a merge makes them invalid: they are stale and skipped when their bucket is read.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RANK_FILE_BYTES = 64 << 20
-KEPT = 200_000
+KEPT = 400_000
 KEPT_LENGTH = 48
 #: The characters of the Unicode property White_Space.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -44,52 +44,32 @@ def load_ranks(spark, path: str) -> list[bytes]:
     return out
 
 
-def splitter(pattern: str):
-    """The pattern with \\s and \\S meaning the Unicode property White_Space, as the rank files' library has it."""
-    return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
+#: Fixed value: the pattern whose pieces ``CONTRACTIONS`` stand first in.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
-class RankQueue:
-    """Buckets of positions per rank under a three-level bitmap of 64-way words."""
+def splitter(pattern: str):
+    """The pattern with \\s and \\S meaning the Unicode property White_Space, as the rank files' library has it.
+
+    Runs of letters and of numbers are tried before contractions: they begin with other characters, so
+    the pieces are the same.
+    """
+    runs = r" ?\p{L}+| ?\p{N}+"
+    pattern = pattern.replace(f"{CONTRACTIONS}|{runs}", f"{runs}|{CONTRACTIONS}").replace(r"\p{L}+|", r"\p{L}++|").replace(r"\p{N}+|", r"\p{N}++|")
+    return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
 
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, list[int]]:
-        """Empty the bucket of the least rank: the rank and its positions from left to right; rank -1 if none."""
-        if not self.top:
-            return -1, []
-        i = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[i]
-        j = i << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[j]
-        rank = j << 6 | (low & -low).bit_length() - 1
-        self.low[j] = low = low & (low - 1)
-        if not low:
-            self.mid[i] = mid = mid & (mid - 1)
-            if not mid:
-                self.top &= self.top - 1
-        positions = self.buckets.pop(rank)
-        if len(positions) > 1:
-            positions.sort()
-        return rank, positions
+_BIT = [1 << k for k in range(64)]
 
 
 class Encoder(dict):
-    """Pre-token -> tuple of ids; short ones are kept."""
+    """Pre-token -> tuple of ids; short ones are kept.
+
+    The queue: ``buckets`` holds positions per rank, ``low`` has a bit per rank, ``mid`` a bit per word
+    of ``low``, and one number (``top``, within a merge) a bit per word of ``mid``. The queue is empty
+    between merges, so one serves all. Its few operations are written out where they are used: calls
+    would cost more than they do.
+    """
 
     def __init__(self, tokens: list[bytes]):
         super().__init__()
@@ -97,13 +77,16 @@ class Encoder(dict):
         self.rank = {t: r for r, t in enumerate(tokens) if t is not None}
         self.single = [self.rank.get(bytes([b]), -1) for b in range(256)]
         self.older: dict[str, tuple[int, ...]] = {}
-        self.queue = RankQueue(len(tokens))
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * ((len(tokens) >> 6) + 1)
+        self.mid = [0] * ((len(tokens) >> 12) + 1)
+        self.pairs: dict[int, int] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.pop(piece, None) or self.merge(piece.encode("utf-8", "replace"))
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT:
+                self.older = {}
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -111,50 +94,89 @@ class Encoder(dict):
 
     def pair(self, left: int, right: int) -> int:
         """Rank of the token that two tokens spell, or -1."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            found = self.rank.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) >= 4 * KEPT:
-                self.pairs.clear()
-            self.pairs[left, right] = found
+        found = self.rank.get(self.tokens[left] + self.tokens[right], -1)
+        if len(self.pairs) >= 2 * KEPT:
+            self.pairs.clear()
+        self.pairs[left << 20 | right] = found
         return found
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         whole = self.rank.get(piece)
         if whole is not None:
             return (whole,)
-        n, queue, pair = len(piece), self.queue, self.pair
-        push = queue.push
-        part = [self.single[b] for b in piece]
+        known, pair, buckets, low, mid, bit, top = self.pairs.get, self.pair, self.buckets, self.low, self.mid, _BIT, 0
+        part, n = [self.single[b] for b in piece], len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = [-1] * n  # the rank at which the pair that starts here waits
+        pushes = []
         for i in range(n - 1):
-            r = waiting[i] = pair(part[i], part[i + 1])
+            r = known(part[i] << 20 | part[i + 1])
+            if r is None:
+                r = pair(part[i], part[i + 1])
             if r >= 0:
-                push(r, i)
-        while queue.top:
-            rank, positions = queue.pop()
+                waiting[i] = r
+                pushes.append((r, i))
+        while True:
+            lower = False
+            for r, i in pushes:
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    j = r >> 6
+                    word = low[j]
+                    low[j] = word | bit[r & 63]
+                    if not word:
+                        k = r >> 12
+                        word = mid[k]
+                        mid[k] = word | bit[j & 63]
+                        if not word:
+                            top |= bit[k] if k < 64 else 1 << k
+                else:
+                    bucket.append(i)
+            if not top:
+                break
+            # Find first set, level by level; take that bucket.
+            k = (top & -top).bit_length() - 1
+            word = mid[k]
+            j = k << 6 | (word & -word).bit_length() - 1
+            word = low[j]
+            rank = j << 6 | (word & -word).bit_length() - 1
+            low[j] = word = word & (word - 1)
+            if not word:
+                mid[k] = word = mid[k] & (mid[k] - 1)
+                if not word:
+                    top &= top - 1
+            positions = buckets.pop(rank)
+            if len(positions) > 1:
+                positions.sort()
+            pushes = []
             for k, i in enumerate(positions):
                 if waiting[i] != rank:
                     continue  # stale
                 j = after[i]
                 after[i] = end = after[j]
-                part[i], waiting[j], waiting[i], lower = rank, -1, -1, False
+                part[i] = rank
+                waiting[j] = waiting[i] = -1
                 if end < n:
                     before[end] = i
-                    r = waiting[i] = pair(rank, part[end])
+                    r = known(rank << 20 | part[end])
+                    if r is None:
+                        r = pair(rank, part[end])
                     if r >= 0:
-                        push(r, i)
+                        waiting[i] = r
+                        pushes.append((r, i))
                         lower = r < rank
                 h = before[i]
                 if h >= 0:
-                    r = waiting[h] = pair(part[h], rank)
+                    r = known(part[h] << 20 | rank)
+                    if r is None:
+                        r = pair(part[h], rank)
+                    waiting[h] = r
                     if r >= 0:
-                        push(r, h)
+                        pushes.append((r, h))
                         lower = lower or r < rank
                 if lower:  # a lower rank goes first; the rest of this bucket waits
-                    for p in positions[k + 1:]:
-                        push(rank, p)
+                    pushes += [(rank, p) for p in positions[k + 1:] if waiting[p] == rank]
                     break
         out, i = [], 0
         while i < n:
@@ -202,7 +224,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
     def run(batches):
         tokens = held.value
         for batch in batches:
-            values = pa.array([None if x is None else b"".join([tokens[i] for i in x]) for x in _lists(batch.column(ids))], pa.binary())
+            values = pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in _lists(batch.column(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
 
     kept = encoded.drop(out)
