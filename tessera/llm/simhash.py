@@ -32,6 +32,8 @@ from .graph import components, local_roots
 SEED = 42
 #: Classes that one bucket compares pair by pair; larger ones are dealt anew.
 BUCKET = 4096
+#: What a row that probes costs, in comparisons.
+ROW_COST = 200.0
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -133,15 +135,16 @@ def allocate(costs: list[list[float]], budget: int) -> list[int]:
 
 
 def plan(classes: DataFrame, bits: int) -> list[tuple[int, int, list[int]]]:
-    """(partition mask, threshold, bits) of the partitions in use, by the least estimated candidate count."""
+    """(partition mask, threshold, bits) of the partitions in use, by the least estimated cost.
+
+    A partition costs the pairs that its threshold lets through and the rows that probe it.
+    """
     n = classes.count()
     moments = bit_moments(classes)
-    options = []
-    for parts in range(max(2, (bits + 1) // 2), bits + 2):
-        groups = group_bits(moments, n, parts)
-        options.append(groups)
-    masks = {signed(mask_of(g)) for groups in options for g in groups}
-    counts = classes.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for m in sorted(masks)])).alias("x")) \
+    least = max(2, (bits + 1) // 2)
+    options = [group_bits(moments, n, parts) for parts in sorted({least, (least + bits + 1) // 2, bits + 1})]
+    masks = sorted({signed(mask_of(g)) for groups in options for g in groups})
+    counts = classes.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for m in masks])).alias("x")) \
         .groupBy("x.m", "x.v").count().groupBy("m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
     pairs = {r.m: r.pairs for r in counts.collect()}
     chosen = None
@@ -149,8 +152,7 @@ def plan(classes: DataFrame, bits: int) -> list[tuple[int, int, list[int]]]:
         costs = []
         for g in groups:
             near = [sum(comb(len(g), r) for r in range(t + 1)) for t in range(bits + 1)]
-            same = pairs.get(signed(mask_of(g)), 0.0)
-            costs.append([same * k + 4.0 * n * k for k in near])
+            costs.append([pairs.get(signed(mask_of(g)), 0.0) * k + ROW_COST * n * k for k in near])
         thresholds = allocate(costs, bits + 1)
         total = sum(c[t] for c, t in zip(costs, thresholds, strict=True) if t >= 0)
         if chosen is None or total < chosen[0]:
@@ -161,50 +163,61 @@ def plan(classes: DataFrame, bits: int) -> list[tuple[int, int, list[int]]]:
 # ---------------------------------------------------------------- probe and verify
 
 def _compare(batch: pa.Table, bits: int) -> pa.Table:
-    """Spanning stars of the links within each bucket of one shard. home: the row stands for its own key."""
-    key, fp, home = (batch.column(c).to_numpy() for c in ("bucket", "fp", "home"))
-    order = np.lexsort((fp, key))
-    key, fp, home = key[order], fp[order].view(np.uint64), home[order].astype(bool)
-    nodes, node = np.unique(fp, return_inverse=True)
-    roots, n = np.arange(len(nodes)), len(fp)
+    """Spanning stars of the links within the buckets of one shard.
+
+    Rows at home stand for their own value, others probe a neighbouring one; all are compared with
+    those at home, one after the other, all buckets in step.
+    """
+    key, fp, home, node = (batch.column(c).to_numpy() for c in ("bucket", "fp", "home", "node"))
+    order = np.lexsort((fp, ~home.astype(bool), key))
+    key, fp, home, node = key[order], fp[order].view(np.uint64), home[order].astype(bool), node[order]
+    names, node = np.unique(node, return_inverse=True)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(first, len(key)))
+    homes = np.add.reduceat(home, first, dtype=np.int64) if len(first) else first
+    begin, many = np.repeat(first, sizes), np.repeat(homes, sizes)
+    roots = np.arange(len(names))
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, live, d = 0, np.arange(n), 1
-    while True:
-        live = live[live + d < n]
-        live = live[key[live] == key[live + d]]
-        if not len(live):
-            break
-        a, b = live, live + d
-        far = np.bitwise_count(fp[a] ^ fp[b])
-        linked = (far <= bits) & (far > 0) & (home[a] | home[b])
-        held.append((node[a[linked]], node[b[linked]]))
-        size += len(held[-1][0])
-        if size > 2_000_000:
-            roots, held, size = local_roots(len(nodes), *map(np.concatenate, zip(*held, strict=True)), roots), [], 0
+    size, live, d = 0, np.flatnonzero(many > 0), 0
+    while len(live):
+        other = begin[live] + d
+        near = (np.bitwise_count(fp[live] ^ fp[other]) <= bits) & (node[live] != node[other])
+        if near.any():
+            held.append((node[live[near]], node[other[near]]))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                roots, held, size = local_roots(len(names), *map(np.concatenate, zip(*held, strict=True)), roots), [], 0
         d += 1
+        live = live[many[live] > d]
     if held:
-        roots = local_roots(len(nodes), *map(np.concatenate, zip(*held, strict=True)), roots)
-    own = np.flatnonzero(roots != np.arange(len(nodes)))
-    return pa.table({"u": nodes[own].view(np.int64), "v": nodes[roots[own]].view(np.int64)})
+        roots = local_roots(len(names), *map(np.concatenate, zip(*held, strict=True)), roots)
+    own = np.flatnonzero(roots != np.arange(len(names)))
+    return pa.table({"u": names[own], "v": names[roots[own]]})
+
 
+def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool = False) -> DataFrame:
+    """(u, v): links between nodes that join the same nodes as all pairs within ``bits`` bits do.
 
-def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): links that join the same fingerprints as all pairs within ``bits`` bits do."""
+    ``classes``: fp and node, no fingerprint twice. If banded, only pairs whose ``band`` differs by at
+    most one are looked for (a column that bounds the similarity from above, such as a size class).
+    """
     spark, rows = classes.sparkSession, []
+    band = F.col("band") if banded else F.lit(0)
     for k, (mask, t, group) in enumerate(plan(classes, bits)):
         value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         flips = F.array(*[F.lit(signed(m)) for m in ball(group, t)])
-        probe = classes.select("fp", F.explode(flips).alias("flip"), value.alias("value"))
-        rows.append(probe.select(F.xxhash64(F.lit(k), F.col("value").bitwiseXOR(F.col("flip"))).alias("bucket"), "fp", (F.col("flip") == 0).alias("home"), F.lit(signed(((1 << 64) - 1) ^ mask)).alias("rest")))
+        bands = F.array(*[band + i for i in ((0, 1) if banded else (0,))])
+        probe = classes.select("fp", "node", value.alias("value"), band.alias("own"), F.explode(flips).alias("flip"), bands.alias("bands")).select("*", F.explode("bands").alias("at"))
+        rows.append(probe.select(
+            F.xxhash64(F.lit(k), F.col("value").bitwiseXOR(F.col("flip")), "at").alias("bucket"), "fp", "node", ((F.col("flip") == 0) & (F.col("at") == F.col("own"))).alias("home"), F.lit(signed(((1 << 64) - 1) ^ mask)).alias("rest")))
     whole = rows[0]
     for r in rows[1:]:
         whole = whole.unionByName(r)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = None
     while True:
-        whole = C.written(whole, "buckets")
-        hot = whole.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket")
-        hot = C.written(hot, "hot")
+        # A bucket with no more free bits than ``bits`` holds few classes and stays.
+        hot = C.written(whole.groupBy("bucket").agg(F.count_if("home").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
         any_hot = bool(hot.take(1))
         cold = whole.join(hot, "bucket", "left_anti") if any_hot else whole
         stars = cold.withColumn("shard", F.pmod("bucket", F.lit(4 * parts))).groupBy("shard").applyInArrow(lambda t: _compare(t, bits), "u long, v long")
@@ -212,14 +225,13 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
         if not any_hot:
             return found
         # Within a hot bucket, the other bits of a linked pair differ in at most ``bits`` places: split them again.
-        # A bucket with no more free bits than ``bits`` holds few classes and stays.
         again = whole.join(hot, "bucket", "left_semi").mapInArrow(lambda batches: _dealt_anew(batches, bits), whole.schema)
-        whole = again.distinct()
+        whole = C.written(again.distinct(), "buckets")
 
 
 def _dealt_anew(batches, bits: int):
     for batch in batches:
-        bucket, fp, home, rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "home", "rest"))
+        bucket, fp, node, home, rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp", "node", "home", "rest"))
         for mask in np.unique(rest).tolist():
             own = np.flatnonzero(rest == mask)
             free = [b for b in range(64) if mask >> b & 1]
@@ -228,15 +240,73 @@ def _dealt_anew(batches, bits: int):
                 m = np.int64(signed(mask_of(piece)))
                 mixed = C.mix(C.mix(bucket[own].view(np.uint64) + np.uint64(k + 1)) ^ C.mix((fp[own] & m).view(np.uint64) + np.uint64(77)))
                 left = np.full(len(own), signed((mask & ((1 << 64) - 1)) & ~mask_of(piece)), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(fp[own]), pa.array(home[own]), pa.array(left)], schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(fp[own]), pa.array(node[own]), pa.array(home[own]), pa.array(left)], schema=batch.schema)
 
 
 def near_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach) for every document."""
     prints = C.written(fingerprints(docs, size), "fingerprints")
     classes = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = components(links(classes.select("fp"), bits))
+    joined = components(links(classes.select("fp", F.col("fp").alias("node")), bits))
     rooted = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = C.written(rooted.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- keep one of each group
+
+def _sizes_and_prints(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        for part in C.slices(batches, "text"):
+            texts = C.raw_texts(part.column("text"))
+            fps = np.array([fingerprint(t, size) for t in texts], np.uint64)
+            many = np.array([max(len(t.split()) - size + 1, 1) for t in texts])
+            band = np.floor(np.log(many) / np.log(1.25)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fps.view(np.int64)), pa.array(band)], ["doc_id", "node", "fp", "band"])
+
+    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, fp long, band long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1) if len(a) or len(b) else 1.0
+
+
+def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The documents of which no near copy has a smaller id, with all their columns.
+
+    Texts within ``bits`` bits are candidates; a spanning star of them is verified by the Jaccard
+    similarity of their shingle sets, and groups are the components of the links that hold. Rows with
+    the same id and text are one document; a null id is larger than any other.
+    """
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", C.row_key())
+    prints = C.written(_sizes_and_prints(read, size), "prints")
+    # Equal texts are one node; nodes with equal fingerprints are linked to the least of them.
+    nodes = C.written(prints.groupBy("node", "fp", "band").agg(F.min("doc_id").alias("first_id")), "nodes")
+    heads = C.written(nodes.groupBy("fp").agg(F.min(F.struct("node", "band")).alias("head"), F.count("*").alias("n")).select("fp", "head.node", "head.band", "n"), "heads")
+    alike = nodes.join(heads.where("n > 1").select("fp", F.col("node").alias("v")), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    stars = C.written(alike.unionByName(links(heads.select("fp", "node", "band"), bits, banded=True)).distinct(), "candidates")
+    ends = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
+    texts = C.written(read.join(ends, "node").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
+    pairs = stars.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def verify(batches):
+        last, known = None, None
+        for batch in batches:
+            for part in C.slices([batch], "a"):
+                keep = []
+                for v, a, b in zip(part.column("v").to_pylist(), C.raw_texts(part.column("a")), C.raw_texts(part.column("b")), strict=True):
+                    if v != last:
+                        last, known = v, np.unique(shingle_hashes(b, size))
+                    keep.append(jaccard(np.unique(shingle_hashes(a, size)), known) >= similarity)
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    held = components(pairs.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    rooted = nodes.join(held, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
+    of_node = rooted.join(least, "root").select("node", "least_id")
+    later = prints.join(of_node, "node").where((F.col("doc_id") > F.col("least_id")) | (F.col("doc_id").isNull() & F.col("least_id").isNotNull()))
+    gone = C.written(later.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "near-copies")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_node")), "left_anti")
