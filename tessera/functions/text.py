@@ -39,14 +39,13 @@ def normalize_search(s: Column) -> Column:
     return F.lower(F.translate(bare, ALEFS_B + MAKSURA + MARBUTA, ALEF * len(ALEFS_B) + YA + HA))
 
 
-@F.pandas_udf("string")
 def _to_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(s: Column) -> Column:
     """Unicode NFC. Text of Basic Latin and precomposed letters only skips the Python step."""
-    return F.when(s.rlike("^[\\u0000-\\u02FF]*$"), s).otherwise(_to_nfc(s))
+    return F.when(s.rlike("^[\\u0000-\\u02FF]*$"), s).otherwise(F.pandas_udf(_to_nfc, "string")(s))
 
 
 def first_word(s: Column) -> Column:

@@ -16,8 +16,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def channel(spark: SparkSession, path: str, schema, depth: int = 100, kind: str = "parquet") -> DataFrame:
-    """Rows of the files in a folder, at most ``depth`` files a batch."""
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", depth).load(path)
+    """Rows of the files in a folder (or of one file), at most ``depth`` files a batch."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        reader, path = reader.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return reader.format(kind).schema(schema).option("maxFilesPerTrigger", depth).load(path)
 
 
 def seeded(spark: SparkSession, path: str, schema, streamed: bool, kind: str = "parquet", depth: int = 100) -> DataFrame:
