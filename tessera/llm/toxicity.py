@@ -1,8 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Documents have labels, words do not; words are labelled from them: in a toxic document, a word is
-toxic if one of its features (the word, its beginnings, its end) is far more frequent among toxic
-documents than among others. A two-state chain is fitted to these words by maximum likelihood
+toxic if one of its features (the word, its beginnings, its end) is far more frequent in toxic
+documents than in others. Uses with the same neighbouring words count once, so that the words of
+copies and of repeated passages do not pass for toxic. A two-state chain is fitted to these words by maximum likelihood
 (forward-backward gives the gradient), and a document's word marginals are summed up (expected number
 of toxic words, largest marginal, share) in a logistic score. Words that are likelier toxic than not
 are reported with their byte offsets in the lower-cased text.
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOXIC_ROWS, CLEAN_ROWS, FIT_CHARS = 1500, 2500, 16_384
+TOXIC_ROWS, CLEAN_ROWS, FIT_CHARS = 800, 1400, 8192
 CHAIN = 64
 #: Bytes of a word's beginnings that are features, besides the word and its last four bytes.
 HEADS = (4, 5, 6, 7, 8)
-#: A feature marks words as toxic if toxic documents have it this many times as often as others.
+#: A feature marks words as toxic if toxic documents use it this many times as often as others.
 ODDS = 20.0
 ROUNDS = 40
 
@@ -65,9 +66,9 @@ class Chain:
     def columns(self, hashes: np.ndarray) -> np.ndarray:
         """Places of features in ``known``; the last place stands for unknown ones."""
         if not len(self.known):
-            return np.zeros(hashes.shape, np.int64)
+            return np.zeros(hashes.shape, np.int32)
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, at, len(self.known))
+        return np.where(self.known[at] == hashes, at, len(self.known)).astype(np.int32)
 
     def leads(self, columns: np.ndarray) -> np.ndarray:
         return self.weights[columns].sum(axis=0) + self.bias
@@ -135,40 +136,66 @@ def summaries(toxic: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(counts)), np.log1p(expected), largest, np.sqrt(expected / np.maximum(counts, 1))], axis=1)
 
 
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+    return a[new], b[new]
+
+
 class Model:
     """A chain and the logistic weights of document summaries."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
-        self.chain, self.logistic, self.share = Chain(np.empty(0, np.uint64)), None, float(toxic.mean()) if len(toxic) else 0.0
+    def __init__(self, texts: list[str], toxic: np.ndarray, share: float):
+        """``share``: of toxic ones among all labelled documents, of which these are more even a sample."""
+        self.chain, self.logistic, self.share = Chain(np.empty(0, np.uint64)), None, share
         if 0 < toxic.sum() < len(toxic):
             self._fit(texts, toxic)
 
     def _fit(self, texts: list[str], toxic: np.ndarray) -> None:
-        words = C.Words(lowered(texts), C.PLAIN)
-        hashes, first = features(words), words.first
-        doc = np.repeat(np.arange(len(texts)), words.counts())
-        # Documents that have each feature, by kind of document.
-        flat, owner = hashes.ravel(), np.tile(doc, len(hashes))
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        new = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))
-        known, at = np.unique(flat[new], return_inverse=True)
-        bad = np.bincount(at, weights=toxic[owner[new]], minlength=len(known))
+        # Hashes of all words, and of each feature how many documents of either kind have it; in slices.
+        coded = lowered(texts)
+        ends = np.cumsum([len(t) for t in coded])
+        hashes, counts, uses = [], [], []
+        start = 0
+        while start < len(coded):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20), "right")))
+            words = C.Words(coded[start:stop], C.PLAIN)
+            found = features(words)
+            # A use of a feature: with its neighbouring words. Repeated passages have no more uses than one.
+            near = np.concatenate((found[0][-1:], found[0], found[0][:1])) if len(words.starts) else np.empty(2, np.uint64)
+            place = C.mix(near[:-2] + C.mix(near[1:-1] + C.mix(near[2:])))
+            flat, owner = found.ravel(), np.tile(np.repeat(np.arange(start, stop), words.counts()), len(found))
+            use = np.tile(place, len(found)) >> np.uint64(1) | (toxic[owner] > 0).astype(np.uint64) << np.uint64(63)
+            uses.append(unique_pairs(flat, use))
+            hashes.append(found)
+            counts.append(words.counts())
+            start = stop
+        hashes, counts = np.concatenate(hashes, axis=1), np.concatenate(counts)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        doc = np.repeat(np.arange(len(texts)), counts)
+        flat, use = unique_pairs(*(np.concatenate(x) for x in zip(*uses, strict=True)))
+        known, at = np.unique(flat, return_inverse=True)
+        bad = np.bincount(at, weights=use >> np.uint64(63), minlength=len(known))
         good = np.bincount(at, minlength=len(known)) - bad
-        n_bad, n_good = toxic.sum(), len(toxic) - toxic.sum()
+        n_bad, n_good = bad.sum(), good.sum()
         odds = ((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n_good + 1))
-        marks = known[(odds >= ODDS) & (bad >= max(4, 0.01 * n_bad)) & (known != 0)]
+        marks = known[(odds >= ODDS) & (bad >= max(5, 0.01 * toxic.sum())) & (known != 0)]
         kept = known[(bad + good >= 4) & ((odds >= 2) | (odds <= 0.5)) & (known != 0)]
         self.chain = chain = Chain(kept)
         label = np.isin(hashes, marks).any(axis=0) & (toxic[doc] > 0)
         columns = chain.columns(hashes)
+        del hashes
         starts, sizes = chains(first)
         place, inside = starts[:, None] + np.arange(CHAIN), np.arange(CHAIN) < sizes[:, None]
         place = np.minimum(place, max(len(doc) - 1, 0))
         truth = np.where(inside, label[place], False)
         self._maximise(chain, columns, place, inside, sizes, truth)
         marginal = chain.words(columns, first)
-        self.logistic = logistic(summaries(marginal, first), toxic)
+        sampled = toxic.mean()
+        weight = np.where(toxic > 0, self.share / sampled, (1 - self.share) / (1 - sampled))
+        self.logistic = logistic(summaries(marginal, first), toxic, weight)
 
     @staticmethod
     def _maximise(chain: Chain, columns, place, inside, sizes, truth) -> None:
@@ -204,12 +231,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(summary @ self.logistic, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights by Newton's method; rows count by their weight."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -219,6 +246,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents outside the held-out fold, within the bounds above."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic")).where(folded(F.col("id")) != 0)
+    share = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0] or 0.0
     order = (F.xxhash64("id"), "id")
     chosen = None
     for value, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
@@ -227,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
     rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic").dropDuplicates(["text"]).collect()
     rows.sort(key=lambda r: r.id)
-    return Model([r.text for r in rows], np.array([float(r.toxic > 0) for r in rows]))
+    return Model([r.text for r in rows], np.array([float(r.toxic > 0) for r in rows]), float(share))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
