@@ -279,7 +279,8 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
 
     Texts within ``bits`` bits are candidates; a spanning star of them is verified by the Jaccard
     similarity of their shingle sets, and groups are the components of the links that hold. Rows with
-    the same id and text are one document; a null id is larger than any other.
+    the same id and text are one document; a null id is larger than any other. No column of ``docs``
+    may be named ``_near_id`` or ``_near_node``.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", C.row_key())
     prints = C.written(_sizes_and_prints(read, size), "prints")
@@ -308,5 +309,5 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     of_node = rooted.join(least, "root").select("node", "least_id")
     later = prints.join(of_node, "node").where((F.col("doc_id") > F.col("least_id")) | (F.col("doc_id").isNull() & F.col("least_id").isNotNull()))
-    gone = C.written(later.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_node")), "left_anti")
+    gone = C.written(later.select(F.col("doc_id").alias("_near_id"), F.col("node").alias("_near_node")).distinct(), "near-copies")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_near_node")), "left_anti")

@@ -92,14 +92,14 @@ def verdicts(templates: DataFrame, reject: float = REJECT, least: int = LEAST) -
 def judge(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
     """All columns of ``pages`` with host, path, template, rule and verdict."""
     own = [c for c in pages.columns if c not in ("host", "path", "template", "rule", "verdict")]
-    read = pages.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    read = pages.select(F.struct(*own).alias("_page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     read = read.withColumn("found", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("segments", segments(F.col("path")))
     marked = with_template(read, branches(read.select("host", "segments")))
     counts = marked.groupBy("host", "template", "merged").agg(
         F.count("*").alias("n"), F.count("found").alias("labelled"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
     judged = marked.join(verdicts(counts, reject), ["host", "template"], "left")
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
-    return judged.select(*own, "host", "path", "template", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
+    return judged.select("_page.*", "host", "path", "template", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
 
 ORACLE = """
