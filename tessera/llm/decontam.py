@@ -27,6 +27,8 @@ WINDOW = 13
 BLOCK_BYTES = 32 << 20
 #: Words by which a suffix is chosen for the sparse array.
 LEAD = 3
+#: Words from which a match that is no whole window is reported as a longest match.
+REPORTED = 8
 
 MATCHES = "doc_id long, text_key long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, longest int"
 
@@ -82,18 +84,20 @@ class SuffixArray:
         self.places, self.columns = self.places[order], np.ascontiguousarray(columns[order].T)
 
     def search(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each test window the interval of suffixes that begin with all of it, and its longest match."""
+        """For each test window its longest match, and the interval of suffixes that begin with that."""
         k = len(tests.sizes)
         lo, hi, longest = np.zeros(k, np.int64), np.full(k, len(self.places)), np.zeros(k, np.int64)
+        live = np.arange(k)
         for t in range(len(self.columns)):
-            live = np.flatnonzero((tests.sizes > t) & (lo < hi))
+            live = live[tests.sizes[live] > t]
             if not len(live):
                 break
             column, wanted, a, b = self.columns[t], tests.words[live, t], lo[live], hi[live]
             new_lo = bisect(column, wanted, a, b, right=False)
             new_hi = bisect(column, wanted, new_lo, b, right=True)
-            lo[live], hi[live] = new_lo, new_hi
-            longest[live[new_lo < new_hi]] = t + 1
+            there = new_lo < new_hi
+            live = live[there]
+            lo[live], hi[live], longest[live] = new_lo[there], new_hi[there], t + 1
         return lo, hi, longest
 
 
@@ -117,7 +121,7 @@ def scan(texts: list[bytes], tests: Tests) -> Iterator[tuple[int, list[tuple[int
     if n and len(tests.sizes):
         array = SuffixArray(words.hashes(), np.repeat(words.first[1:], counts), tests)
         lo, hi, longest = array.search(tests)
-        part = np.flatnonzero((hi > lo) & (longest > 0))
+        part = np.flatnonzero((longest > 0) & ((longest == tests.sizes) | (longest >= REPORTED)))
         owner = np.repeat(part, hi[part] - lo[part])
         places = array.places[C.ranges(lo[part], hi[part] - lo[part])]
         doc = np.searchsorted(words.first, places, "right") - 1
@@ -215,8 +219,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     """The documents that are not contaminated, with all their columns."""
     tests = blocks(items, window)
     if len(tests) > 1:
-        bad = with_verdict(find(docs, items, window), share).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (C.row_key() == F.col("_key")), "left_anti")
+        bad = with_verdict(find(docs, items, window), share).where("contaminated").select(F.col("doc_id").alias("_taint_id"), F.col("text_key").alias("_taint_key")).distinct()
+        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_taint_id")) & (C.row_key() == F.col("_taint_key")), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(tests[0])
 
     def run(batches):
