@@ -34,6 +34,8 @@ HEADS = (4, 5, 6, 7, 8)
 #: A feature marks words as toxic if toxic documents use it this many times as often as others.
 ODDS = 20.0
 ROUNDS = 40
+#: Marginals that count towards the expected number of toxic words.
+LEAST = 0.1
 
 SCORES = "doc_id long, n_words long, n_toxic long, expected double, score double, spans array<struct<start:int,stop:int>>"
 
@@ -126,7 +128,8 @@ def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def summaries(toxic: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text: a constant, log of the expected number of toxic words, largest marginal, root of their share."""
-    total = np.concatenate(([0.0], np.cumsum(toxic)))
+    # Marginals below LEAST are the background of a long text, not words that may be toxic.
+    total = np.concatenate(([0.0], np.cumsum(np.where(toxic >= LEAST, toxic, 0.0))))
     expected = np.maximum(total[first[1:]] - total[first[:-1]], 0)
     counts = np.diff(first)
     largest = np.zeros(len(counts))
