@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, url_templates, warc
+from . import bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, twins, url_templates, warc
 from .common import fresh_path, table
 
 
@@ -78,5 +78,8 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """,
+    "op1_substring_dedup": twins.OP1,
     "op6_url_templates": url_templates.ORACLE,
+    "op9_warc": twins.OP9,
+    "op10_decontaminate": twins.OP10,
 }
