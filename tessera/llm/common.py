@@ -6,7 +6,9 @@ single text if that one is longer); nothing gathers the corpus.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the two polynomial hashes, and their inverses modulo 2^64.
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -41,10 +43,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Shuffle files of plans that are no longer referred to go first (``free_shuffles``).
+    """
     path = fresh_path(df.sparkSession, name)
+    free_shuffles(df.sparkSession)
+    spark = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark's cleaner removes shuffle files that nothing refers to.
+
+    Else they stay until the driver happens to do so. The first collection lets go of plans, the second
+    of the shuffles that they held.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop_written(spark: SparkSession) -> None:
@@ -82,6 +101,27 @@ def raw_texts(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def shrunk(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The text packed (Zstandard) for a shuffle; ``grown`` unpacks it. Null stays null."""
+    others = [c for c in docs.columns if c != text]
+    kinds = dict(docs.dtypes)
+
+    def run(batches):
+        for part in slices(batches, text):
+            packed = [None if t is None else len(t).to_bytes(8, "little") + (pa.compress(t, "zstd", asbytes=True) if t else b"") for t in part.column(text).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(packed, pa.binary())], names=[*others, text])
+
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in others)
+    return docs.select(*others, text).mapInArrow(run, f"{fields}, `{text}` binary")
+
+
+def grown(packed: bytes | None) -> bytes:
+    if packed is None:
+        return b""
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated aranges: starts[i], starts[i]+1, ... of the given lengths."""
     total = int(lengths.sum())

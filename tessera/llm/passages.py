@@ -14,7 +14,8 @@ an anchor hash. Consecutive windows with one anchor make a passage. The steps:
 
 Skew: an anchor with more than ``ANCHOR_BYTES`` of different passages is cut into single windows, which
 are dealt by their own hash; equal windows are one row again. Nothing is capped or dropped. Memory: a
-slice of text, or the index of one shard (about ``SHARD_BYTES`` and at most ``ANCHOR_BYTES`` more).
+slice of text, or one shard's passages (about ``SHARD_BYTES``) with one index (about ``INDEX_BYTES``, and
+at most ``ANCHOR_BYTES`` more).
 
 Rows whose doc_id is null have no place in the order: they lose nothing and remove nothing.
 """
@@ -24,15 +25,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 4 << 20
+#: Passages that one index holds, in bytes; whole anchors go on until it is reached.
+INDEX_BYTES = 3 << 19
 ANCHOR_BYTES = 2 << 20
 _PLACE = np.uint64((1 << 27) - 1)
 
@@ -68,8 +73,17 @@ class Units:
         return b" ".join(units) if self.words else bytes(units)
 
 
-def anchors(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor hash, first window, number of windows) of every passage."""
+def packed(start, offset, count):
+    """First window, place of the anchor within it, number of windows, in one number."""
+    return (start * 128 + offset) * 128 + count
+
+
+def unpacked(place: int) -> tuple[int, int, int]:
+    return place >> 14, place >> 7 & 127, place & 127
+
+
+def anchors(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, packed place) of every passage; see ``packed``."""
     hashes, first = units.hashes(texts)
     width = units.size - units.gram + 1
     if len(first) and first[-1] > int(_PLACE):
@@ -77,7 +91,7 @@ def anchors(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, n
     counts = np.maximum(np.diff(first) - units.size + 1, 0)
     starts = C.ranges(first[:-1], counts)
     if not len(starts):
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 3
     least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
@@ -88,34 +102,35 @@ def anchors(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, n
     place = (least[starts] & _PLACE).astype(np.int64)
     run = np.flatnonzero(np.diff(place, prepend=-1))
     text = np.repeat(np.arange(len(texts)), counts)[run]
-    return text, hashes[place[run]].view(np.int64), starts[run] - first[text], np.diff(np.append(run, len(place)))
+    start = starts[run]
+    return text, hashes[place[run]].view(np.int64), packed(start - first[text], place[run] - start, np.diff(np.append(run, len(place))))
 
 
 def _anchor_rows(docs: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         for part in C.slices(batches, "text"):
-            text, h, a, n = anchors(C.raw_texts(part.column("text")), units)
+            text, h, place = anchors(C.raw_texts(part.column("text")), units)
             ids = part.column("doc_id").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(a * 128 + n)], ["h", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(place)], ["h", "doc_id", "place"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, place long")
 
 
 def _passage_rows(texts: DataFrame, units: Units) -> DataFrame:
-    """h, sid, s, doc_id, text_key, pos, n for each hit place of each text."""
+    """h, sid, s, doc_id, text_key, pos, at (of the anchor), n for each hit place of each text."""
     size = units.size
 
     def run(batches):
         for part in C.slices(batches, "text"):
             out = []
             for doc, key, text, hits in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "hits")), strict=True):
-                own = units.split((text or "").encode())
+                own = units.split(C.grown(text))
                 for hit in hits:
-                    pos, n = divmod(hit["place"], 128)
+                    pos, at, n = unpacked(hit["place"])
                     if pos + n - 1 + size > len(own):
                         continue  # a place in another text with this id
                     s = units.join(own[pos:pos + n - 1 + size])
-                    out.append((hit["h"], hashlib.blake2b(s, digest_size=16).digest(), s, doc, key, pos, n))
+                    out.append((hit["h"], hashlib.blake2b(s, digest_size=16).digest(), s, doc, key, pos, at, n))
                     if len(out) >= 8192:
                         yield _passage_batch(out)
                         out = []
@@ -124,12 +139,12 @@ def _passage_rows(texts: DataFrame, units: Units) -> DataFrame:
     return texts.mapInArrow(run, PASSAGES)
 
 
-PASSAGES = "h long, sid binary, s binary, doc_id long, text_key long, pos long, n long"
-_PASSAGE_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+PASSAGES = "h long, sid binary, s binary, doc_id long, text_key long, pos long, at long, n long"
+_PASSAGE_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
 def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PASSAGE_TYPES)], ["h", "sid", "s", "doc_id", "text_key", "pos", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PASSAGE_TYPES)], ["h", "sid", "s", "doc_id", "text_key", "pos", "at", "n"])
 
 
 def _single_windows(passages: DataFrame, units: Units) -> DataFrame:
@@ -142,14 +157,18 @@ def _single_windows(passages: DataFrame, units: Units) -> DataFrame:
                     for i in range(row["n"]):
                         s = units.join(own[i:i + units.size])
                         sid = hashlib.blake2b(s, digest_size=16).digest()
-                        out.append((int.from_bytes(sid[:8], "little", signed=True), sid, s, row["doc_id"], row["text_key"], row["pos"] + i, 1))
+                        out.append((int.from_bytes(sid[:8], "little", signed=True), sid, s, row["doc_id"], row["text_key"], row["pos"] + i, row["at"] - i, 1))
                 yield _passage_batch(out)
 
     return passages.mapInArrow(run, PASSAGES)
 
 
 def _distinct(passages: DataFrame) -> DataFrame:
-    return passages.groupBy("h", "sid", "s").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("n").alias("n"), F.count("*").alias("places"))
+    """Equal passages as one row with their first place; sums of fixed width, so that Spark hashes and need not sort."""
+    unit = F.lit(Decimal(1 << 40))
+    order = F.col("doc_id").cast("decimal(20,0)") * unit + F.col("pos")
+    found = passages.groupBy("h", "sid", "s").agg(F.min("doc_id").alias("doc_id"), F.min(order).alias("order"), F.max("n").alias("n"), F.max("at").alias("at"), F.count("*").alias("places"))
+    return found.withColumn("pos", (F.col("order") - F.col("doc_id").cast("decimal(20,0)") * unit).cast("long")).drop("order")
 
 
 def spans(docs: DataFrame, units: Units, index: Callable, anchor_bytes: int | None = None) -> DataFrame:
@@ -161,9 +180,10 @@ def spans(docs: DataFrame, units: Units, index: Callable, anchor_bytes: int | No
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = _anchor_rows(docs, units)
     twice = F.count("*") > 1 if units.within else F.min("doc_id") < F.max("doc_id")
-    again = rows.groupBy("h").agg(twice.alias("again")).where("again").select("h")
-    hits = rows.join(again, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("hits"))
-    texts = docs.withColumn("text_key", C.row_key()).join(hits, "doc_id")
+    # Written, so that both sides of the join are plain shuffles and Spark can split a hot anchor's side.
+    again = C.written(rows.groupBy("h").agg(twice.alias("again")).where("again").select("h"), "repeated-anchors")
+    hits = rows.join(again.hint("shuffle_hash"), "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("hits"))
+    texts = C.shrunk(docs.withColumn("text_key", C.row_key())).join(hits, "doc_id")
     passages = C.written(_passage_rows(texts.select("doc_id", "text_key", "text", "hits"), units), "passages")
     found = C.written(_distinct(passages), "distinct-passages")
     hot = C.written(found.groupBy("h").agg(F.sum(F.octet_length("s")).alias("bytes"), F.count("*").alias("k")).where((F.col("bytes") > anchor_bytes) & (F.col("k") > 1)).select("h"), "hot-anchors")
@@ -180,13 +200,13 @@ def spans(docs: DataFrame, units: Units, index: Callable, anchor_bytes: int | No
     def search(batch: pa.Table) -> pa.Table:
         return earlier_windows(batch, units, index)
 
-    marks = found.select("h", "sid", "s", "n", "places", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")) \
+    marks = found.select("h", "sid", "s", "n", "at", "places", "doc_id", "pos", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")) \
         .groupBy("shard").applyInArrow(search, "h long, sid binary, first_id long, first_pos long, runs array<struct<start:long,stop:long>>")
     same = F.col("doc_id") == F.col("first_id")
     if units.within:
         same = same & (F.col("pos") == F.col("first_pos"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
-    joined = passages.join(marks, ["h", "sid"]).withColumn("run", F.explode(F.when(same, F.col("runs")).otherwise(whole)))
+    joined = passages.join(marks.hint("shuffle_hash"), ["h", "sid"]).withColumn("run", F.explode(F.when(same, F.col("runs")).otherwise(whole)))
     cut = joined.select("doc_id", "text_key", F.struct((F.col("pos") + F.col("run.start")).alias("start"), (F.col("pos") + F.col("run.stop") - 1 + units.size).alias("stop")).alias("span"))
     return cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
@@ -199,13 +219,67 @@ def earlier_windows(batch: pa.Table, units: Units, index: Callable) -> pa.Table:
     no longer stretch occurs earlier; a search of the leftmost window then skips all windows that hold
     what stopped it. All passages are searched in step.
     """
-    texts = [units.split(s) for s in batch.column("s").to_pylist()]
-    first_id, first_pos = (batch.column(c).to_numpy() for c in ("doc_id", "pos"))
-    count, places = batch.column("n").to_numpy(), batch.column("places").to_numpy()
-    built = index(texts)
+    found: dict[tuple, list[dict]] = {}
+    for part in _indexes(batch, _candidates(batch, units)):
+        texts = [units.split(s) for s in part.column("s").to_pylist()]
+        first_id, first_pos, h = (part.column(c).to_numpy() for c in ("doc_id", "pos", "h"))
+        # The first passage of an anchor has no earlier one: only the others are searched.
+        order = np.lexsort((first_pos, first_id, h))
+        live = np.sort(order[np.append(False, h[order][1:] == h[order][:-1])])
+        sids = part.column("sid").to_pylist()
+        for i, s, e in _search(index(texts), first_id, first_pos, part.column("n").to_numpy(), live, units):
+            found.setdefault((int(h[i]), sids[i]), []).append({"start": s, "stop": e})
+    own = [found.get(k) for k in zip(batch.column("h").to_pylist(), batch.column("sid").to_pylist(), strict=True)]
+    keep = np.flatnonzero((batch.column("places").to_numpy() > 1) | np.array([r is not None for r in own], bool))
+    kept = batch.take(pa.array(keep))
+    return pa.table({"h": kept.column("h"), "sid": kept.column("sid"), "first_id": kept.column("doc_id"), "first_pos": kept.column("pos"), "runs": pa.array(
+        [own[i] or [] for i in keep.tolist()], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))})
+
+
+def _indexes(batch: pa.Table, rows: np.ndarray):
+    """Those rows in parts of about ``INDEX_BYTES``; an anchor's passages stay together."""
+    if not len(rows):
+        return
+    rows = rows[np.argsort(batch.column("h").to_numpy()[rows], kind="stable")]
+    h = batch.column("h").to_numpy()[rows]
+    ends = np.cumsum(pc.binary_length(batch.column("s")).to_numpy()[rows])
+    start = 0
+    while start < len(rows):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + INDEX_BYTES, "right"))
+        stop = max(stop, start + 1)
+        stop = int(np.searchsorted(h, h[stop - 1], "right"))
+        yield batch.take(pa.array(rows[start:stop]))
+        start = stop
+
+
+def _candidates(batch: pa.Table, units: Units) -> np.ndarray:
+    """Rows that can share a window with another passage of their anchor.
+
+    A shared window holds the anchor and, on one side of it, at least half of its other units; a passage
+    of which no other passage has the same half on either side cannot share any.
+    """
+    half = (units.size - units.gram + 1) // 2
+    seen: dict[tuple, int] = {}
+    sides = []
+    for h, s, at in zip(batch.column("h").to_pylist(), batch.column("s").to_pylist(), batch.column("at").to_pylist(), strict=True):
+        own = units.split(s)
+        keys = []
+        if at >= half:
+            keys.append((h, 0, units.join(own[at - half:at + units.gram])))
+        if at + units.gram + half <= len(own):
+            keys.append((h, 1, units.join(own[at:at + units.gram + half])))
+        for k in keys:
+            seen[k] = seen.get(k, 0) + 1
+        sides.append(keys)
+    return np.array([i for i, keys in enumerate(sides) if any(seen[k] > 1 for k in keys)], np.int64)
+
+
+def _search(built, first_id: np.ndarray, first_pos: np.ndarray, count: np.ndarray, live: np.ndarray, units: Units):
+    """(passage, first window, window after the last) of windows of the ``live`` passages that occur earlier."""
     begin = built.begin
     # The order of all places of the shard's text as one rank.
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(begin, built.n)))
+    n = len(count)
+    owner = np.repeat(np.arange(n), np.diff(np.append(begin, built.n)))
     offset = np.arange(built.n) - begin[owner]
     if units.within:
         order = np.lexsort((first_pos[owner] + offset, first_id[owner]))
@@ -215,11 +289,9 @@ def earlier_windows(batch: pa.Table, units: Units, index: Callable) -> pa.Table:
     else:
         rank = np.unique(first_id, return_inverse=True)[1].astype(np.int32)[owner]
     earliest = RangeMinimum(rank[built.suffixes])
-    low, high = np.zeros(len(texts), np.int64), count - 1  # open windows
-    whole = np.ones(len(texts), bool)
-    cur, lo, hi = high + units.size, np.zeros(len(texts), np.int64), np.full(len(texts), built.n)
-    marked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live = np.arange(len(texts))
+    low, high = np.zeros(n, np.int64), count - 1  # open windows
+    whole = np.ones(n, bool)
+    cur, lo, hi = high + units.size, np.zeros(n, np.int64), np.full(n, built.n)
     while len(live):
         cur[live] -= 1
         at = begin[live] + cur[live]
@@ -237,22 +309,13 @@ def earlier_windows(batch: pa.Table, units: Units, index: Callable) -> pa.Table:
         start = np.where(full, np.where(ok, a, j + 1), a)
         stop = np.where(full, b + 1, np.where(ok, a + 1, a))
         keep = stop > start
-        marked.append((q[keep], start[keep], stop[keep]))
+        yield from zip(q[keep].tolist(), start[keep].tolist(), stop[keep].tolist(), strict=True)
         high[q] = np.where(full, np.where(ok, a - 1, np.where(j < b, j, b - 1)), b)
         low[q] = np.where(full, a, np.where(ok, a + 1, j + 1))
         whole[q] = ~full
         cur[q] = np.where(whole[q], high[q], low[q]) + units.size
         lo[q], hi[q] = 0, built.n
         live = np.concatenate((live[~over], q[low[q] <= high[q]]))
-    runs: list[list[dict]] = [[] for _ in texts]
-    if marked:
-        q, start, stop = (np.concatenate(x) for x in zip(*marked, strict=True))
-        for i, s, e in zip(q.tolist(), start.tolist(), stop.tolist(), strict=True):
-            runs[i].append({"start": s, "stop": e})
-    keep = np.flatnonzero((places > 1) | np.fromiter((bool(r) for r in runs), bool, len(runs)))
-    kept = batch.take(pa.array(keep))
-    return pa.table({"h": kept.column("h"), "sid": kept.column("sid"), "first_id": kept.column("doc_id"), "first_pos": kept.column("pos"), "runs": pa.array(
-        [runs[i] for i in keep.tolist()], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))})
 
 
 class RangeMinimum:
@@ -295,16 +358,18 @@ def remove(docs: DataFrame, found: DataFrame, units: Units, kept: str = "kept")
     """All columns of ``docs`` with the text that is left (``kept``), n_units, n_removed, n_spans.
 
     Words that are left are joined by one space; bytes that are left are joined as they are (binary).
+    Columns of ``docs`` with those names, or that begin with ``_repeat_``, are not kept.
     """
-    clash = {"_id", "_key", "_spans"}
-    spread = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+    clash = {"_repeat_id", "_repeat_key", "_repeat_spans", "_repeat_own"}
+    spread = found.select(F.col("doc_id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"), F.col("spans").alias("_repeat_spans"))
     names = [c for c in docs.columns if c not in clash | {kept, "n_units", "n_removed", "n_spans"}]
-    rows = docs.select(*names).join(spread, (F.col("doc_id").cast("long") == F.col("_id")) & (C.row_key() == F.col("_key")), "left").drop("_id", "_key")
+    rows = C.shrunk(docs.select(*names).withColumn("_repeat_own", C.row_key())).join(spread, (F.col("doc_id").cast("long") == F.col("_repeat_id")) & (F.col("_repeat_own") == F.col("_repeat_key")), "left").drop("_repeat_id", "_repeat_key", "_repeat_own")
 
     def run(batches):
         for part in C.slices(batches, "text"):
             out = []
-            for text, cuts in zip(C.raw_texts(part.column("text")), part.column("_spans").to_pylist(), strict=True):
+            texts = [C.grown(t) for t in part.column("text").to_pylist()]
+            for text, cuts in zip(texts, part.column("_repeat_spans").to_pylist(), strict=True):
                 own = units.split(text)
                 if not cuts:
                     out.append((units.join(own), len(own), 0, 0))
@@ -321,8 +386,10 @@ def remove(docs: DataFrame, found: DataFrame, units: Units, kept: str = "kept")
             values = pa.array([o[0] for o in out], pa.binary())
             if units.words:
                 values = values.cast(pa.string())
-            others = [part.column(c) for c in names]
+            whole = pa.array([None if z is None else t for z, t in zip(part.column("text").to_pylist(), texts, strict=True)], pa.binary()).cast(pa.string())
+            others = [whole if c == "text" else part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*others, values, *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2, 3))], names=[*names, kept, "n_units", "n_removed", "n_spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_spans")
+    kinds = dict(docs.dtypes)
+    fields = ", ".join(f"`{c}` {'string' if c == 'text' else kinds[c]}" for c in names)
     return rows.mapInArrow(run, f"{fields}, `{kept}` {'string' if units.words else 'binary'}, n_units long, n_removed long, n_spans long")
