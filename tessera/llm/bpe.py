@@ -185,7 +185,7 @@ class Encoder(dict):
         return tuple(out)
 
 
-_encoders: dict[tuple, tuple] = {}
+_encoders: dict[tuple, tuple] = C.worker_tables.setdefault("bpe", {})
 
 
 def _encoder(key: tuple, tokens: list[bytes], pattern: str):
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 
     def run(batches):
         encoder, split = _encoder((ranks_path, pattern), held.value, pattern)
-        for part in C.slices(batches, text):
+        for part in C.slices(batches, text, keep="bpe"):
             sizes, flat = [0], []
             for t in part.column(text).to_pylist():
                 flat.extend(chain.from_iterable(map(encoder.__getitem__, split.findall(t or ""))))

@@ -51,7 +51,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     free_shuffles(df.sparkSession)
     spark = df.sparkSession
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later result reads."""
+    for table_ in tables:
+        path = table_.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.written_to)
+        path.getFileSystem(table_.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -83,8 +92,18 @@ def row_key(text: str = "text") -> F.Column:
 
 # ---------------------------------------------------------------- Arrow
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows in runs of at most ``limit`` bytes of ``text`` (a longer text comes alone)."""
+#: What operators keep in a Python worker from task to task, by operator.
+worker_tables: dict[str, dict] = {}
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Rows in runs of at most ``limit`` bytes of ``text`` (a longer text comes alone).
+
+    A worker that goes on to another operator lets go of what operators other than ``keep`` have kept.
+    """
+    for owner, kept in worker_tables.items():
+        if owner != keep:
+            kept.clear()
     for batch in batches:
         col = batch.column(text)
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)

@@ -185,13 +185,18 @@ def spans(docs: DataFrame, units: Units, index: Callable, anchor_bytes: int | No
     hits = rows.join(again.hint("shuffle_hash"), "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("hits"))
     texts = C.shrunk(docs.withColumn("text_key", C.row_key())).join(hits, "doc_id")
     passages = C.written(_passage_rows(texts.select("doc_id", "text_key", "text", "hits"), units), "passages")
+    C.forget(again)
+    del rows, hits, texts
+    used = [passages]
     found = C.written(_distinct(passages), "distinct-passages")
+    used.append(found)
     hot = C.written(found.groupBy("h").agg(F.sum(F.octet_length("s")).alias("bytes"), F.count("*").alias("k")).where((F.col("bytes") > anchor_bytes) & (F.col("k") > 1)).select("h"), "hot-anchors")
     if hot.take(1):
         single = _single_windows(passages.join(hot, "h", "left_semi"), units)
         cold = passages.join(hot, "h", "left_anti")
         passages = cold.select("h", "sid", "doc_id", "text_key", "pos", "n").unionByName(single.select("h", "sid", "doc_id", "text_key", "pos", "n"))
         found = C.written(found.join(hot, "h", "left_anti").unionByName(_distinct(single)), "distinct-passages")
+        used.append(found)
     else:
         passages = passages.select("h", "sid", "doc_id", "text_key", "pos", "n")
     total = found.agg(F.sum(F.octet_length("s"))).first()[0] or 0
@@ -208,7 +213,9 @@ def spans(docs: DataFrame, units: Units, index: Callable, anchor_bytes: int | No
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
     joined = passages.join(marks.hint("shuffle_hash"), ["h", "sid"]).withColumn("run", F.explode(F.when(same, F.col("runs")).otherwise(whole)))
     cut = joined.select("doc_id", "text_key", F.struct((F.col("pos") + F.col("run.start")).alias("start"), (F.col("pos") + F.col("run.stop") - 1 + units.size).alias("stop")).alias("span"))
-    return cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    out = C.written(cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
+    C.forget(hot, *used)
+    return out
 
 
 def earlier_windows(batch: pa.Table, units: Units, index: Callable) -> pa.Table:

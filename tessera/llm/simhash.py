@@ -134,18 +134,19 @@ def allocate(costs: list[list[float]], budget: int) -> list[int]:
     return best[budget][1]
 
 
-def plan(classes: DataFrame, bits: int) -> list[tuple[int, int, list[int]]]:
+def plan(classes: DataFrame, bits: int, band=None) -> list[tuple[int, int, list[int]]]:
     """(partition mask, threshold, bits) of the partitions in use, by the least estimated cost.
 
-    A partition costs the pairs that its threshold lets through and the rows that probe it.
+    A partition costs the pairs (within a band) that its threshold lets through and the rows that probe it.
     """
     n = classes.count()
     moments = bit_moments(classes)
     least = max(2, (bits + 1) // 2)
     options = [group_bits(moments, n, parts) for parts in sorted({least, (least + bits + 1) // 2, bits + 1})]
     masks = sorted({signed(mask_of(g)) for groups in options for g in groups})
-    counts = classes.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for m in masks])).alias("x")) \
-        .groupBy("x.m", "x.v").count().groupBy("m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
+    band = F.lit(0) if band is None else band
+    counts = classes.select(band.alias("band"), F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for m in masks])).alias("x")) \
+        .groupBy("x.m", "x.v", "band").count().groupBy("m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
     pairs = {r.m: r.pairs for r in counts.collect()}
     chosen = None
     for groups in options:
@@ -203,7 +204,7 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     """
     spark, rows = classes.sparkSession, []
     band = F.col("band") if banded else F.lit(0)
-    for k, (mask, t, group) in enumerate(plan(classes, bits)):
+    for k, (mask, t, group) in enumerate(plan(classes, bits, band)):
         value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         flips = F.array(*[F.lit(signed(m)) for m in ball(group, t)])
         bands = F.array(*[band + i for i in ((0, 1) if banded else (0,))])
