@@ -9,7 +9,7 @@ fingerprints. Equal fingerprints are one class from the start, so that groups of
 
 Skew: a bucket with more than ``BUCKET`` classes is dealt anew by its other bits (pigeonhole again, as
 deep as needed), so no bucket is unbounded and none is capped. Buckets yield a spanning star of their
-links, not all pairs.
+links, not all pairs; where links are verified (``keep_one``), all pairs that are not yet in one group.
 
 Defined results: null or empty texts have no words and fingerprint zero, linked like any other; null
 ids take part, and a component of null ids only has a null id; repeated rows share a class.
@@ -163,54 +163,110 @@ def plan(classes: DataFrame, bits: int, band=None) -> list[tuple[int, int, list[
 
 # ---------------------------------------------------------------- probe and verify
 
-def _compare(batch: pa.Table, bits: int) -> pa.Table:
-    """Spanning stars of the links within the buckets of one shard.
+def _in_step(batch: pa.Table, bits: int):
+    """The sorted node names of one shard, the name and label of each row, and an iterator over the links within its buckets.
 
     Rows at home stand for their own value, others probe a neighbouring one; all are compared with
-    those at home, one after the other, all buckets in step.
+    those at home, one after the other, all buckets in step: (rows, their partners, differing bits).
     """
     key, fp, home, node = (batch.column(c).to_numpy() for c in ("bucket", "fp", "home", "node"))
     order = np.lexsort((fp, ~home.astype(bool), key))
     key, fp, home, node = key[order], fp[order].view(np.uint64), home[order].astype(bool), node[order]
+    label = batch.column("label").to_numpy()[order] if "label" in batch.column_names else node
     names, node = np.unique(node, return_inverse=True)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     sizes = np.diff(np.append(first, len(key)))
     homes = np.add.reduceat(home, first, dtype=np.int64) if len(first) else first
     begin, many = np.repeat(first, sizes), np.repeat(homes, sizes)
+
+    def steps():
+        live, d = np.flatnonzero(many > 0), 0
+        while len(live):
+            other = begin[live] + d
+            apart = np.bitwise_count(fp[live] ^ fp[other])
+            near = (apart <= bits) & (node[live] != node[other])
+            if near.any():
+                yield live[near], other[near], apart[near]
+            d += 1
+            live = live[many[live] > d]
+
+    return names, node, label, steps()
+
+
+def _compare(batch: pa.Table, bits: int) -> pa.Table:
+    """Spanning stars of the links within the buckets of one shard (not all of them links themselves)."""
+    names, node, _, steps = _in_step(batch, bits)
     roots = np.arange(len(names))
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, live, d = 0, np.flatnonzero(many > 0), 0
-    while len(live):
-        other = begin[live] + d
-        near = (np.bitwise_count(fp[live] ^ fp[other]) <= bits) & (node[live] != node[other])
-        if near.any():
-            held.append((node[live[near]], node[other[near]]))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                roots, held, size = local_roots(len(names), *map(np.concatenate, zip(*held, strict=True)), roots), [], 0
-        d += 1
-        live = live[many[live] > d]
+    size = 0
+    for row, other, _ in steps:
+        held.append((node[row], node[other]))
+        size += len(row)
+        if size > 2_000_000:
+            roots, held, size = local_roots(len(names), *map(np.concatenate, zip(*held, strict=True)), roots), [], 0
     if held:
         roots = local_roots(len(names), *map(np.concatenate, zip(*held, strict=True)), roots)
     own = np.flatnonzero(roots != np.arange(len(names)))
     return pa.table({"u": names[own], "v": names[roots[own]]})
 
 
-def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool = False) -> DataFrame:
+def _nearest(batch: pa.Table, bits: int) -> pa.Table:
+    """Of the links within the buckets of one shard, those of each row with its first and its nearest partner.
+
+    Every node that has links is an end of one of these.
+    """
+    names, node, _, steps = _in_step(batch, bits)
+    first, best, least = np.full(len(node), -1), np.full(len(node), -1), np.full(len(node), 65)
+    for row, other, apart in steps:
+        fresh, closer = first[row] < 0, apart < least[row]
+        first[row[fresh]] = other[fresh]
+        best[row[closer]], least[row[closer]] = other[closer], apart[closer]
+    own = np.flatnonzero(first >= 0)
+    return _distinct_pairs(names, [_pair_keys(node[own], node[to[own]], len(names)) for to in (first, best)])
+
+
+def _crossing(batch: pa.Table, bits: int) -> pa.Table:
+    """All links within the buckets of one shard between nodes whose labels differ."""
+    names, node, label, steps = _in_step(batch, bits)
+    held: list[np.ndarray] = []
+    size = 0
+    for row, other, _ in steps:
+        apart = label[row] != label[other]
+        held.append(_pair_keys(node[row[apart]], node[other[apart]], len(names)))
+        size += len(held[-1])
+        if size > 2_000_000:
+            held, size = [np.unique(np.concatenate(held))], 0
+    return _distinct_pairs(names, held)
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return np.minimum(a, b) * n + np.maximum(a, b)
+
+
+def _distinct_pairs(names: np.ndarray, keys: list[np.ndarray]) -> pa.Table:
+    found = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    n = max(len(names), 1)
+    return pa.table({"u": names[found // n], "v": names[found % n]})
+
+
+def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool = False, compare=_compare) -> DataFrame:
     """(u, v): links between nodes that join the same nodes as all pairs within ``bits`` bits do.
 
-    ``classes``: fp and node, no fingerprint twice. If banded, only pairs whose ``band`` differs by at
-    most one are looked for (a column that bounds the similarity from above, such as a size class).
+    ``classes``: fp and node, no fingerprint twice (in a band). If banded, only pairs whose ``band``
+    differs by at most one are looked for (a column that bounds the similarity from above, such as a
+    size class). ``compare`` may instead give ``_nearest`` links or, of nodes with a ``label``, all
+    ``_crossing`` ones; these can occur more than once.
     """
     spark, rows = classes.sparkSession, []
+    extra = [c for c in classes.columns if c == "label"]
     band = F.col("band") if banded else F.lit(0)
     for k, (mask, t, group) in enumerate(plan(classes, bits, band)):
         value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         flips = F.array(*[F.lit(signed(m)) for m in ball(group, t)])
         bands = F.array(*[band + i for i in ((0, 1) if banded else (0,))])
-        probe = classes.select("fp", "node", value.alias("value"), band.alias("own"), F.explode(flips).alias("flip"), bands.alias("bands")).select("*", F.explode("bands").alias("at"))
+        probe = classes.select("fp", "node", *extra, value.alias("value"), band.alias("own"), F.explode(flips).alias("flip"), bands.alias("bands")).select("*", F.explode("bands").alias("at"))
         rows.append(probe.select(
-            F.xxhash64(F.lit(k), F.col("value").bitwiseXOR(F.col("flip")), "at").alias("bucket"), "fp", "node", ((F.col("flip") == 0) & (F.col("at") == F.col("own"))).alias("home"), F.lit(signed(((1 << 64) - 1) ^ mask)).alias("rest")))
+            F.xxhash64(F.lit(k), F.col("value").bitwiseXOR(F.col("flip")), "at").alias("bucket"), "fp", "node", ((F.col("flip") == 0) & (F.col("at") == F.col("own"))).alias("home"), F.lit(signed(((1 << 64) - 1) ^ mask)).alias("rest"), *extra))
     whole = rows[0]
     for r in rows[1:]:
         whole = whole.unionByName(r)
@@ -221,7 +277,7 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
         hot = C.written(whole.groupBy("bucket").agg(F.count_if("home").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
         any_hot = bool(hot.take(1))
         cold = whole.join(hot, "bucket", "left_anti") if any_hot else whole
-        stars = cold.withColumn("shard", F.pmod("bucket", F.lit(4 * parts))).groupBy("shard").applyInArrow(lambda t: _compare(t, bits), "u long, v long")
+        stars = cold.withColumn("shard", F.pmod("bucket", F.lit(4 * parts))).groupBy("shard").applyInArrow(lambda t: compare(t, bits), "u long, v long")
         found = stars if found is None else found.unionByName(stars)
         if not any_hot:
             return found
@@ -241,7 +297,8 @@ def _dealt_anew(batches, bits: int):
                 m = np.int64(signed(mask_of(piece)))
                 mixed = C.mix(C.mix(bucket[own].view(np.uint64) + np.uint64(k + 1)) ^ C.mix((fp[own] & m).view(np.uint64) + np.uint64(77)))
                 left = np.full(len(own), signed((mask & ((1 << 64) - 1)) & ~mask_of(piece)), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(fp[own]), pa.array(node[own]), pa.array(home[own]), pa.array(left)], schema=batch.schema)
+                extra = [batch.column(c).take(pa.array(own)) for c in batch.schema.names[5:]]
+                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(fp[own]), pa.array(node[own]), pa.array(home[own]), pa.array(left), *extra], schema=batch.schema)
 
 
 def near_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
@@ -278,21 +335,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
     """The documents of which no near copy has a smaller id, with all their columns.
 
-    Texts within ``bits`` bits are candidates; a spanning star of them is verified by the Jaccard
-    similarity of their shingle sets, and groups are the components of the links that hold. Rows with
-    the same id and text are one document; a null id is larger than any other. No column of ``docs``
-    may be named ``_near_id`` or ``_near_node``.
+    Texts within ``bits`` bits are candidates, if their size classes differ by at most one; groups are
+    the components of the candidate pairs whose shingle sets have the Jaccard ``similarity``. Each text
+    is first verified with its first and nearest candidates; then all candidate pairs that this has not
+    brought into one group are. Rows with the same id and text are one document; a null id is larger
+    than any other. No column of ``docs`` may be named ``_near_id`` or ``_near_node``.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", C.row_key())
     prints = C.written(_sizes_and_prints(read, size), "prints")
-    # Equal texts are one node; nodes with equal fingerprints are linked to the least of them.
+    # Equal texts are one node; nodes with equal fingerprints in a band are one class, named by the least of them.
     nodes = C.written(prints.groupBy("node", "fp", "band").agg(F.min("doc_id").alias("first_id")), "nodes")
-    heads = C.written(nodes.groupBy("fp").agg(F.min(F.struct("node", "band")).alias("head"), F.count("*").alias("n")).select("fp", "head.node", "head.band", "n"), "heads")
-    alike = nodes.join(heads.where("n > 1").select("fp", F.col("node").alias("v")), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
-    stars = C.written(alike.unionByName(links(heads.select("fp", "node", "band"), bits, banded=True)).distinct(), "candidates")
-    ends = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
-    texts = C.written(read.join(ends, "node").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
-    pairs = stars.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    classes = C.written(nodes.groupBy("fp", "band").agg(F.min("node").alias("head")), "heads")
+    members = nodes.join(classes, ["fp", "band"]).select("node", "head")
+    near = C.written(links(classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest).distinct(), "near")
+    stars = near.unionByName(members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
 
     def verify(batches):
         last, known = None, None
@@ -305,7 +361,25 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
                     keep.append(jaccard(np.unique(shingle_hashes(a, size)), known) >= similarity)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    held = components(pairs.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    def verified(stars):
+        stars = C.written(stars, "candidates")
+        ends = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
+        texts = C.written(read.join(ends, "node").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
+        pairs = stars.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return C.written(pairs.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
+
+    first = verified(stars)
+    rooted = C.written(members.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    # A class whose members have several roots is apart from every other, and its members from each other.
+    roots = rooted.groupBy("head").agg(F.min("root").alias("root"), F.max("root").alias("last"))
+    label = F.when(F.col("root") == F.col("last"), F.col("root")).otherwise(F.xxhash64(F.lit("several"), "head"))
+    linked = near.select(F.col("u").alias("head")).union(near.select(F.col("v").alias("head"))).distinct()
+    labelled = C.written(classes.join(linked, "head").join(roots, "head").select("fp", F.col("head").alias("node"), "band", label.alias("label")), "labelled")
+    a, b = (rooted.select(F.col("node").alias(n), F.col("head").alias(f"{n}_head"), F.col("root").alias(f"{n}_root")) for n in "uv")
+    several = roots.where("root <> last").select(F.col("head").alias("u_head"), F.col("head").alias("v_head"))
+    crossing = links(labelled, bits, banded=True, compare=_crossing).distinct().select(F.col("u").alias("u_head"), F.col("v").alias("v_head"))
+    left = crossing.unionByName(several).join(a, "u_head").join(b, "v_head").where("u_root <> v_root AND (u_head <> v_head OR u < v)").select("u", "v")
+    held = components(first.unionByName(verified(left)))
     rooted = nodes.join(held, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     of_node = rooted.join(least, "root").select("node", "least_id")

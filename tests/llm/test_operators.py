@@ -194,6 +194,55 @@ def test_keep_one(spark):
     assert kept.columns == documents(spark, []).columns and simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def kept_by_brute_force(texts, size=5, bits=12, similarity=0.8):
+    prints = [simhash.fingerprint(t.encode(), size) for _, t in texts]
+    sets = [set(simhash.shingle_hashes(t.encode(), size).tolist()) for _, t in texts]
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= bits and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            group = [group[a] if g == group[b] else g for g in group]
+    least = {}
+    for (i, _), g in zip(texts, group, strict=True):
+        least[g] = min(i, least.get(g, i))
+    return sorted(least.values())
+
+
+def edited(words, pick, n):
+    out = [*words]
+    for k in pick.sample(range(len(words)), n):
+        out[k] = f"e{pick.getrandbits(40)}"
+    return out
+
+
+@pytest.mark.parametrize("bucket", [4096, 6])
+def test_all_links_between_labels(spark, bucket):
+    pick = random.Random(2)
+    base = [pick.getrandbits(64) for _ in range(3)]
+    fps = sorted({b ^ sum(1 << k for k in pick.sample(range(64), pick.randint(0, 3))) for b in base for _ in range(20)})
+    rows = [(simhash.signed(f), simhash.signed(f), k % 3) for k, f in enumerate(fps)]
+    found = simhash.links(spark.createDataFrame(rows, "fp long, node long, label long"), 3, bucket, compare=simhash._crossing).distinct().collect()
+    want = {(min(a, b), max(a, b)) for (a, _, x), (b, _, y) in itertools.combinations(rows, 2) if x != y and ((a ^ b) & (2 ** 64 - 1)).bit_count() <= 3}
+    assert {(r.u, r.v) for r in found} == want and len(found) == len(want)
+
+
+def test_keep_one_tests_all_candidate_pairs(spark):
+    pick = random.Random(5)
+    base = [f"w{pick.getrandbits(40)}" for _ in range(300)]
+    star = [base, *(edited(base, pick, 5) for _ in range(60))]
+    chain = [[f"c{pick.getrandbits(40)}" for _ in range(200)]]
+    for _ in range(20):
+        chain.append(edited(chain[-1], pick, 4))
+    # Equal fingerprints: the passage of one word decides all bits.
+    tail = ["same"] * 200 + [f"t{k}" for k in range(30)]
+    alike = [tail, *([*tail, *(f"a{pick.getrandbits(40)}" for _ in range(5))] for _ in range(10))]
+    assert len({simhash.fingerprint(" ".join(t).encode(), 5) for t in alike}) == 1
+    texts = [" ".join(t) for t in star + chain + alike]
+    pick.shuffle(texts)
+    texts = [*enumerate(texts)]
+    kept = [r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()]
+    assert sorted(kept) == kept_by_brute_force(texts)
+
+
 def test_allocation_of_thresholds():
     costs = [[1, 5, 50, 500], [10, 11, 12, 13], [100, 400, 900, 1600]]
     best = min((sum(c[t] for c, t in zip(costs, ts, strict=True) if t >= 0), ts) for ts in itertools.product(range(-1, 4), repeat=3) if sum(t + 1 for t in ts) == 4)
