@@ -47,7 +47,10 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, size: int) -> int:
-    hashes = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -314,13 +317,18 @@ def near_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- keep one of each group
 
-def _sizes_and_prints(docs: DataFrame, size: int) -> DataFrame:
+def _sizes_and_prints(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Fingerprints, and bands of the number of different shingles: sets in bands further apart than one are less similar."""
+    step = np.log(max(1.25, 1 / similarity))
+
     def run(batches):
         for part in C.slices(batches, "text"):
-            texts = C.raw_texts(part.column("text"))
-            fps = np.array([fingerprint(t, size) for t in texts], np.uint64)
-            many = np.array([max(len(t.split()) - size + 1, 1) for t in texts])
-            band = np.floor(np.log(many) / np.log(1.25)).astype(np.int64)
+            found = []
+            for text in C.raw_texts(part.column("text")):
+                hashes = shingle_hashes(text, size)
+                found.append((majority(hashes), max(len(np.unique(hashes)), 1)))
+            fps = np.array([f for f, _ in found], np.uint64)
+            band = np.floor(np.log([n for _, n in found]) / step).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fps.view(np.int64)), pa.array(band)], ["doc_id", "node", "fp", "band"])
 
     return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, fp long, band long")
@@ -342,7 +350,7 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
     than any other. No column of ``docs`` may be named ``_near_id`` or ``_near_node``.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", C.row_key())
-    prints = C.written(_sizes_and_prints(read, size), "prints")
+    prints = C.written(_sizes_and_prints(read, size, similarity), "prints")
     # Equal texts are one node; nodes with equal fingerprints in a band are one class, named by the least of them.
     nodes = C.written(prints.groupBy("node", "fp", "band").agg(F.min("doc_id").alias("first_id")), "nodes")
     classes = C.written(nodes.groupBy("fp", "band").agg(F.min("node").alias("head")), "heads")

@@ -243,6 +243,15 @@ def test_keep_one_tests_all_candidate_pairs(spark):
     assert sorted(kept) == kept_by_brute_force(texts)
 
 
+def test_keep_one_of_texts_that_repeat(spark):
+    pick = random.Random(7)
+    base = [f"w{pick.getrandbits(40)}" for _ in range(300)]
+    texts = [*enumerate(" ".join(t) for t in (base, base * 2, edited(base, pick, 60)))]
+    assert len({simhash.fingerprint(t.encode(), 5) for _, t in texts}) == 3  # equal ones are verified in any band
+    assert kept_by_brute_force(texts) == [0, 2]
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()) == [0, 2]
+
+
 def test_allocation_of_thresholds():
     costs = [[1, 5, 50, 500], [10, 11, 12, 13], [100, 400, 900, 1600]]
     best = min((sum(c[t] for c, t in zip(costs, ts, strict=True) if t >= 0), ts) for ts in itertools.product(range(-1, 4), repeat=3) if sum(t + 1 for t in ts) == 4)
