@@ -372,6 +372,12 @@ def failed_urls(spark, sf_dir):
     return metrics.failed_urls(_t(spark, sf_dir, "pages").where("page_id % 3 = 0"), "url")
 
 
+@query("SELECT url, (SELECT greatest(count(*) - 20, 0) FROM pages WHERE html IS NULL OR NOT contains(lower(html), '</html>')) AS more FROM pages WHERE html IS NULL OR NOT contains(lower(html), '</html>') ORDER BY url LIMIT 20")
+def failed_urls_cut_off(spark, sf_dir):
+    """Of all pages, those that are missing or end before their end tag."""
+    return metrics.failed_urls(_t(spark, sf_dir, "pages").where("html IS NULL OR NOT contains(lower(html), '</html>')"), "url")
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2")
 def recent_n(spark, sf_dir):
     return records.recent(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 2, "turn", "conv_id")
@@ -386,6 +392,13 @@ def priority_union(spark, sf_dir):
     return records.by_priority([first, second, third], "path")
 
 
+@query("""WITH u AS (SELECT c_nationkey AS path, 0 AS priority FROM customer UNION ALL SELECT s_nationkey, 1 FROM supplier UNION ALL SELECT n_nationkey, 2 FROM nation)
+SELECT path, min(priority) AS priority FROM u GROUP BY path""")
+def priority_union_whole(spark, sf_dir):
+    columns = (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))
+    return records.by_priority([_t(spark, sf_dir, name).select(F.col(key).alias("path")) for name, key in columns], "path")
+
+
 # ---------------------------------------------------------------- functions on given texts
 
 def _given(spark, rows, kind="string") -> DataFrame:
@@ -582,6 +595,14 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, rows.schema)
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_whole(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents")
+    path = _folder(spark)
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def jsonl_roundtrip(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -591,6 +612,14 @@ def jsonl_roundtrip(spark, sf_dir):
     return files.read_jsonl(spark, path, rows.schema)
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_roundtrip_whole(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents")
+    path = _folder(spark)
+    files.write_jsonl(rows, path)
+    return files.read_jsonl(spark, path, rows.schema)
+
+
 @query("SELECT conv_id, '[' || string_agg('\"' || role || '\"', ',' ORDER BY turn) || ']' AS roles FROM conversations GROUP BY conv_id")
 def nested_json(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x.role).alias("roles"))

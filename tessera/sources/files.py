@@ -75,7 +75,7 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> bool:
     """CSV with nested values as JSON text; writes nothing for no rows. Returns whether it wrote."""
     if rows.isEmpty():
         return False
-    nested_as_json(rows).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    nested_as_json(rows).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return True
 
 
