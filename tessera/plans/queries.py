@@ -453,7 +453,12 @@ def combo_url(spark, sf_dir):
 @query("SELECT dim, n FROM (VALUES ('base', 1::BIGINT), ('rating', 5), ('titles', 20), ('country', 25)) t(dim, n)")
 def combos_all(spark, sf_dir):
     countries = [r.n_name for r in _t(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").limit(300).collect()]
-    return combos.combinations(spark, {"country": countries}).groupBy("dim").agg(F.count("*").alias("n"))
+    return combos.combinations(spark, {"country": countries, "skills": ()}).groupBy("dim").agg(F.count("*").alias("n"))
+
+
+@query("SELECT dim, n FROM (VALUES ('base', 1::BIGINT), ('rating', 5), ('titles', 20), ('skills', 56), ('country', 254)) t(dim, n)")
+def combos_whole(spark, sf_dir):
+    return combos.combinations(spark).groupBy("dim").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- search

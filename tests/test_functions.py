@@ -86,3 +86,10 @@ def test_combinations(spark):
     rows = combos.combinations(spark, {"skills": ["sql"], "country": ["jo", "sa"]})
     assert rows.count() == 1 + 5 + 20 + 1 + 2
     assert [r.dim for r in rows.orderBy("seq").limit(2).collect()] == ["base", "rating"]
+
+
+def test_default_combinations(spark):
+    rows = combos.combinations(spark).orderBy("seq").collect()
+    assert len(rows) == 336 and len({(r.dim, r.value) for r in rows}) == 336
+    assert list(dict.fromkeys(r.dim for r in rows)) == ["base", "rating", "titles", "skills", "country"]
+    assert [rows[26].value, rows[81].value, rows[82].value, rows[-1].value] == ["IOS", "تعديل-الصوت", "jo", "hk"]
