@@ -2,8 +2,9 @@
 
 Every Arrow slice of documents is a shard with its own (sparse) suffix array: the suffixes that begin
 with a few words that also begin some test suffix, sorted by their words to the depth of a window.
-Each test suffix is then searched by binary search, one word of depth at a time and all suffixes at
-once, which gives its longest match and, at window depth, all its places in the shard. The text never
+Each test window is then searched by binary search, one word of depth at a time and all windows at
+once, which gives its longest match (no longer than the window, and reported from ``REPORTED`` words
+on) and, at window depth, all its places in the shard. The text never
 moves; only the test side is broadcast, in blocks of ``BLOCK_BYTES`` whose size is checked first.
 
 Defined results: null or empty texts have no words and are clean; items that are null, empty or have
