@@ -6,9 +6,7 @@ single text if that one is longer); nothing gathers the corpus.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 SLICE_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
@@ -30,9 +29,11 @@ _powers: dict[int, np.ndarray] = {}
 # ---------------------------------------------------------------- tables
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where unset and in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,15 +43,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    Shuffle files of plans that are no longer referred to go first (``free_shuffles``).
+    The shuffle files of the write go when it has ended.
     """
-    path = fresh_path(df.sparkSession, name)
-    free_shuffles(df.sparkSession)
-    spark = df.sparkSession
-    df.write.parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -63,22 +71,10 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table_.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, so that Spark's cleaner removes shuffle files that nothing refers to.
-
-    Else they stay until the driver happens to do so. The first collection lets go of plans, the second
-    of the shuffles that they held.
-    """
-    gc.collect()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call it once no result that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def others(columns: Iterable[str], *taken: str) -> list[str]:
+    """The columns whose names do not clash with ``taken``; names are compared as Spark does, without case."""
+    names = {t.lower() for t in taken}
+    return [c for c in columns if c.lower() not in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,16 +118,15 @@ def raw_texts(col: pa.Array) -> list[bytes]:
 
 def shrunk(docs: DataFrame, text: str = "text") -> DataFrame:
     """The text packed (Zstandard) for a shuffle; ``grown`` unpacks it. Null stays null."""
-    others = [c for c in docs.columns if c != text]
-    kinds = dict(docs.dtypes)
+    rest = [c for c in docs.columns if c != text]
 
     def run(batches):
         for part in slices(batches, text):
             packed = [None if t is None else len(t).to_bytes(8, "little") + (pa.compress(t, "zstd", asbytes=True) if t else b"") for t in part.column(text).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(packed, pa.binary())], names=[*others, text])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(packed, pa.binary())], names=[*rest, text])
 
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in others)
-    return docs.select(*others, text).mapInArrow(run, f"{fields}, `{text}` binary")
+    fields = [docs.schema[c] for c in rest]
+    return docs.select(*rest, text).mapInArrow(run, StructType([*fields, StructField(text, BinaryType())]))
 
 
 def grown(packed: bytes | None) -> bytes:
@@ -141,6 +136,21 @@ def grown(packed: bytes | None) -> bytes:
     return pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
 
 
+def packed_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows in runs of at most ``limit`` bytes of unpacked text, with those texts."""
+    for batch in slices(batches, text, 1 << 62):
+        start, size, held = 0, 0, []
+        for row, packed in enumerate(batch.column(text)):
+            raw = grown(packed.as_py())
+            if held and size + len(raw) > limit:
+                yield batch.slice(start, len(held)), held
+                start, size, held = row, 0, []
+            held.append(raw)
+            size += len(raw)
+        if held:
+            yield batch.slice(start, len(held)), held
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated aranges: starts[i], starts[i]+1, ... of the given lengths."""
     total = int(lengths.sum())
@@ -150,6 +160,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Arrow binaries of the given sizes from their bytes one after the other."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    if ends[-1] >> 31:
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 # ---------------------------------------------------------------- hashes
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -173,12 +191,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each span; equal spans hash alike wherever they stand."""
+def running(values: np.ndarray, base: int) -> np.ndarray:
+    """Running sums from which ``span_of`` takes the hash of any span."""
     total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
     np.cumsum(values * powers(base, len(values)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE[base], len(values) + 1)[starts])
+    return total
+
+
+def span_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * powers(_INVERSE[base], len(total))[starts])
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Hash of values[start:end] for each span; equal spans hash alike wherever they stand."""
+    return span_of(running(values, base), starts, ends, base)
 
 
 def word_table(stops: Iterable[int]) -> np.ndarray:

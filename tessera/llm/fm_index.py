@@ -1,14 +1,16 @@
-"""Substring dedup: a compressed FM-index per shard, its transform held in a wavelet tree.
+"""Substring dedup: a compressed FM-index per shard, its transform held in wavelet trees.
 
 Documents lose every word that lies in a run of ``SIZE`` words which an earlier document also has. The
 frame in ``passages`` brings together what can match; each shard builds the FM-index of its passages
-(words as symbols) and streams them against it. Backward search narrows an interval of suffixes word
-by word; the stretch whose interval still holds an earlier document is its matching statistic, and
-windows within stretches of at least ``SIZE`` words are reported.
+(``aligned``: a transform column is a wavelet tree over its words, and each stretch of equal windows keeps
+the first of its documents) and streams every passage against it. Backward search narrows an interval of
+suffixes word by word; matches of ``SIZE`` words are reported with the first document that holds them, and
+windows that an earlier document holds are removed, in whichever document the passage occurs. No suffix
+array is kept.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows
 with equal ids never remove each other's words; rows with a null id lose and remove nothing; other
-columns pass through.
+columns pass through (but for those named as the results, in any case); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,34 +53,20 @@ class WaveletTree:
         return i
 
 
-class FMIndex:
-    """Passages as one text of words with separators; ``extend`` is a step of backward search."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        ids: dict[bytes, int] = {}
-        flat, begin = [], []
-        for words in texts:
-            begin.append(len(flat))
-            flat.extend([ids.setdefault(w, len(ids) + 1) for w in words])
-            flat.append(0)
-        self.text = np.array(flat, np.int64)
-        self.begin, self.n = np.array(begin, np.int64), len(flat)
-        apart = self.text + len(texts)
-        ends = np.flatnonzero(self.text == 0)
-        apart[ends] = np.arange(len(ends))
-        self.suffixes = passages.suffix_order(apart)
-        before = self.text[self.suffixes - 1]
-        self.tree = WaveletTree(before, len(ids))
-        symbols = np.arange(len(ids) + 1)
-        smaller = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=len(ids) + 1))[:-1]))
-        self.shift = smaller - self.tree.place(symbols, np.zeros(len(symbols), np.int64))
-
-    def extend(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals after the word at text position ``at`` is put before the stretches found so far."""
-        symbols = self.text[at]
-        both = self.tree.place(np.concatenate((symbols, symbols)), np.concatenate((lo, hi)))
-        shift = self.shift[symbols]
-        return both[:len(lo)] + shift, both[len(lo):] + shift
+class FMColumn:
+    """A column of the transform: a wavelet tree, and the first document of every stretch of equal windows."""
+
+    def __init__(self, ids: np.ndarray, kinds: int, bounds: np.ndarray, ranks: np.ndarray):
+        self.tree = WaveletTree(ids, kinds - 1)
+        self.begin = self.tree.place(np.arange(kinds), np.zeros(kinds, np.int64))
+        self.documents = np.minimum.reduceat(ranks, bounds)
+
+    def count(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol before position ``ends``."""
+        return self.tree.place(ids, ends) - self.begin[ids]
+
+    def least(self) -> np.ndarray:
+        return self.documents
 
 
 def units(size: int = SIZE, gram: int = GRAM) -> Units:
@@ -87,7 +75,7 @@ def units(size: int = SIZE, gram: int = GRAM) -> Units:
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, spans (word ranges) that an earlier document also has."""
-    return passages.spans(docs, units(size, gram), FMIndex)
+    return passages.spans(docs, units(size, gram), FMColumn)
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:

@@ -4,26 +4,28 @@ A window is ``size`` units (words or bytes). Every window is anchored at the lea
 ``gram`` units within it, which depends on its content only, so equal windows of any documents share
 an anchor hash. Consecutive windows with one anchor make a passage. The steps:
 
-1. (map) anchors of all documents; only (hash, doc_id, place) rows are shuffled, once;
+1. (map) anchors of all documents: rows (anchor hash, passage hash, id, place), no text;
 2. anchors that occur once are dropped: their windows cannot repeat;
-3. the passages of the others are cut from their texts, and equal ones become one row with their first
-   place (a partial aggregate, so a passage in a third of all documents is one row per task);
-4. passages go to shards by anchor hash; each shard builds its index and finds, by backward search,
-   which windows of a passage occur earlier in another passage;
-5. later places of a passage repeat as a whole; the spans of each document are gathered.
-
-Skew: an anchor with more than ``ANCHOR_BYTES`` of different passages is cut into single windows, which
-are dealt by their own hash; equal windows are one row again. Nothing is capped or dropped. Memory: a
-slice of text, or one shard's passages (about ``SHARD_BYTES``) with one index (about ``INDEX_BYTES``, and
-at most ``ANCHOR_BYTES`` more).
-
-Rows whose doc_id is null have no place in the order: they lose nothing and remove nothing.
+3. equal passages become one row with their first place (a partial aggregate, so a passage in a third of
+   all documents is one row per task), and only that place is cut from its text;
+4. passages go to shards by anchor hash; each shard builds its index (``aligned``), streams every passage
+   against it and gets, for each of its windows, the earliest place that holds it;
+5. the answers go back to all places of the passages: a window of any place is repeated if the earliest
+   place that the index gave for it comes before. What no index has answered is not removed.
+
+Skew: an anchor whose different passages have more than ``ANCHOR_UNITS`` units is anchored anew: their
+windows are dealt by a longer run within them, at last by the whole window. Nothing is capped or
+dropped. Memory: a slice of text (or one text if longer), or one index of about ``INDEX_BYTES`` of
+passages and at most one anchor more.
+
+Rows whose doc_id is null have no place in the order: they lose nothing and remove nothing. Passages are
+told apart by 128 bits of hashes, units of different passages are compared in the index.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
+import dataclasses
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -32,14 +34,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import common as C
+from .aligned import Passages, earliest
 
-SHARD_BYTES = 4 << 20
+#: Passages of one task of the search, in units.
+SHARD_UNITS = 8 << 20
 #: Passages that one index holds, in bytes; whole anchors go on until it is reached.
-INDEX_BYTES = 3 << 19
-ANCHOR_BYTES = 2 << 20
-_PLACE = np.uint64((1 << 27) - 1)
+INDEX_BYTES = 2 << 20
+ANCHOR_UNITS = 1 << 20
+#: Units whose windows are anchored at once.
+CHUNK = 1 << 21
+_PLACE = np.uint64((1 << 24) - 1)
+#: A unit's place, and a row's key among rows of one id, in the order of places.
+_PLACE_BITS, _KEY_BITS = 31, 32
 
 
 @dataclass(frozen=True)
@@ -52,351 +61,376 @@ class Units:
     #: Whether an earlier place in the same document counts.
     within: bool
 
-    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the gram at every unit of all texts, and the units where each text begins (and the last ends)."""
-        if self.words:
-            found = C.Words(texts, C.SPACES)
-            values, first = found.hashes(), found.first
-            base = C.WORD_BASE
-        else:
-            joined = np.frombuffer(b"".join(texts), np.uint8)
-            values, base = joined.astype(np.uint64) + np.uint64(1), C.BYTE_BASE
-            first = np.concatenate(([0], np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))))
-        n = len(values)
-        starts = np.arange(max(0, n - self.gram + 1))
-        return C.span_hashes(values, starts, starts + self.gram, base), first
+    def __post_init__(self):
+        if not 0 < self.gram <= self.size < 1 << 20:
+            raise ValueError("a window has 1 to 2^20 units, and its anchor at most as many")
+
+    @property
+    def base(self) -> int:
+        return C.WORD_BASE if self.words else C.BYTE_BASE
 
-    def split(self, text: bytes):
-        return text.split() if self.words else text
+    def finer(self) -> Units:
+        """Anchors of more units, half way to whole windows."""
+        more = (self.gram + self.size + 1) // 2
+        return dataclasses.replace(self, gram=self.size if self.size - more < 8 else more)
+
+    def values(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A number for every unit of all texts, and the units where each text begins (and the last ends)."""
+        if not self.words:
+            joined = np.frombuffer(b"".join(texts), np.uint8)
+            return joined.astype(np.uint64) + np.uint64(1), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        if len(texts) > 1 or (texts and len(texts[0]) <= 2 * CHUNK):
+            found = C.Words(texts, C.SPACES)
+            return found.hashes(), found.first
+        parts = [C.Words([p], C.SPACES).hashes() for t in texts for p in _pieces(t)]
+        return (np.concatenate(parts), np.array([0, sum(map(len, parts))])) if parts else (np.empty(0, np.uint64), np.zeros(1, np.int64))
 
-    def join(self, units) -> bytes:
-        return b" ".join(units) if self.words else bytes(units)
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end at white space."""
+    start = 0
+    while start < len(text):
+        stop = start + CHUNK
+        while stop < len(text) and C.SPACES[text[stop]]:
+            stop += 1
+        yield text[start:stop]
+        start = stop
 
-def packed(start, offset, count):
-    """First window, place of the anchor within it, number of windows, in one number."""
-    return (start * 128 + offset) * 128 + count
 
+@dataclass
+class Found:
+    """Passages of a slice: text (its number), h (anchor), sid (content), start, at (of the anchor), n (windows)."""
 
-def unpacked(place: int) -> tuple[int, int, int]:
-    return place >> 14, place >> 7 & 127, place & 127
+    text: np.ndarray
+    h: np.ndarray
+    sid: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
 
 
-def anchors(texts: list[bytes], units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor hash, packed place) of every passage; see ``packed``."""
-    hashes, first = units.hashes(texts)
-    width = units.size - units.gram + 1
-    if len(first) and first[-1] > int(_PLACE):
-        raise ValueError("a text has more than 2^27 units")
+def anchors(texts: list[bytes], units: Units) -> Found:
+    """The passages of all windows."""
+    values, first = units.values(texts)
     counts = np.maximum(np.diff(first) - units.size + 1, 0)
-    starts = C.ranges(first[:-1], counts)
+    out = [_anchored(values, first, counts, a, min(a + CHUNK, len(values)), units) for a in range(0, max(len(values), 1), CHUNK)]
+    return out[0] if len(out) == 1 else Found(*(np.concatenate([getattr(o, f.name) for o in out]) for f in dataclasses.fields(Found)))
+
+
+def _anchored(values: np.ndarray, first: np.ndarray, counts: np.ndarray, begin: int, end: int, units: Units) -> Found:
+    """Passages of the windows that start at units ``begin`` to ``end``."""
+    texts = np.arange(len(counts))
+    low = np.clip(begin, first[:-1], first[:-1] + counts)
+    many = np.clip(end, first[:-1], first[:-1] + counts) - low
+    starts = C.ranges(low, many)
     if not len(starts):
-        return (np.empty(0, np.int64),) * 3
-    least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        return Found(*(np.empty(0, np.int64),) * 6)
+    values = values[begin:end + units.size - 1]
+    total = C.running(values, units.base)
+    width = units.size - units.gram + 1
+    at = np.arange(len(values) - units.gram + 1)
+    hashes = C.span_of(total, at, at + units.gram, units.base)
+    least = (hashes & ~_PLACE) | at.astype(np.uint64)
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if width > span:
         least = np.minimum(least[:span - width], least[width - span:])
-    place = (least[starts] & _PLACE).astype(np.int64)
-    run = np.flatnonzero(np.diff(place, prepend=-1))
-    text = np.repeat(np.arange(len(texts)), counts)[run]
-    start = starts[run]
-    return text, hashes[place[run]].view(np.int64), packed(start - first[text], place[run] - start, np.diff(np.append(run, len(place))))
+    place = (least[starts - begin] & _PLACE).astype(np.int64)
+    owner = np.repeat(texts, many)
+    run = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    n = np.diff(np.append(run, len(place)))
+    start = starts[run] - begin
+    sid = C.span_of(total, start, start + n - 1 + units.size, units.base)
+    text = owner[run]
+    return Found(text, hashes[place[run]].view(np.int64), sid.view(np.int64), start + begin - first[text], place[run] - start, n)
 
 
-def _anchor_rows(docs: DataFrame, units: Units) -> DataFrame:
-    def run(batches):
-        for part in C.slices(batches, "text"):
-            text, h, place = anchors(C.raw_texts(part.column("text")), units)
-            ids = part.column("doc_id").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(place)], ["h", "doc_id", "place"])
+def _shape(at, n):
+    return at << 32 | n
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, place long")
+# ---------------------------------------------------------------- places and passages
 
+PLACES = "h long, sid long, doc_id long, text_key int, start int, shape long"
 
-def _passage_rows(texts: DataFrame, units: Units) -> DataFrame:
-    """h, sid, s, doc_id, text_key, pos, at (of the anchor), n for each hit place of each text."""
-    size = units.size
 
+def _places(docs: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         for part in C.slices(batches, "text"):
-            out = []
-            for doc, key, text, hits in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "hits")), strict=True):
-                own = units.split(C.grown(text))
-                for hit in hits:
-                    pos, at, n = unpacked(hit["place"])
-                    if pos + n - 1 + size > len(own):
-                        continue  # a place in another text with this id
-                    s = units.join(own[pos:pos + n - 1 + size])
-                    out.append((hit["h"], hashlib.blake2b(s, digest_size=16).digest(), s, doc, key, pos, at, n))
-                    if len(out) >= 8192:
-                        yield _passage_batch(out)
-                        out = []
-            yield _passage_batch(out)
+            f = anchors(C.raw_texts(part.column("text")), units)
+            own = pa.array(f.text)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(f.h), pa.array(f.sid), part.column("doc_id").take(own), part.column("text_key").take(own), pa.array(f.start.astype(np.int32)), pa.array(_shape(f.at, f.n))], [
+                "h", "sid", "doc_id", "text_key", "start", "shape"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, PLACES)
+
+
+def _distinct(places: DataFrame, units: Units) -> DataFrame:
+    """Passages with their first place; aggregates of fixed width, so that Spark hashes and need not sort."""
+    unit = F.lit(Decimal(1 << _PLACE_BITS + _KEY_BITS))
+    rest = F.shiftleft(F.col("start").cast("long"), _KEY_BITS) + (F.col("text_key").cast("long") + (1 << _KEY_BITS - 1))
+    order = F.col("doc_id").cast("decimal(19,0)") * unit + rest
+    many = F.count("*") > 1 if units.within else F.min("doc_id") < F.max("doc_id")
+    if "many" in places.columns:
+        many = many | F.max("many")
+    found = places.groupBy("h", "sid").agg(F.min("doc_id").alias("doc_id"), F.min(order).alias("order"), F.max("shape").alias("shape"), many.alias("many"))
+    rest = (F.col("order") - F.col("doc_id").cast("decimal(19,0)") * unit).cast("long")
+    key = (rest.bitwiseAND((1 << _KEY_BITS) - 1) - (1 << _KEY_BITS - 1)).cast("int")
+    return found.select("h", "sid", "doc_id", key.alias("text_key"), F.shiftright(rest, _KEY_BITS).cast("int").alias("start"), "shape", "many")
+
+
+def _units_of(units: Units):
+    return F.col("shape").bitwiseAND(0xFFFFFFFF) + (units.size - 1)
 
-    return texts.mapInArrow(run, PASSAGES)
 
+def _hot(found: DataFrame, units: Units, limit: int) -> DataFrame:
+    """Anchors whose different passages are too many for one index."""
+    sums = found.groupBy("h").agg(F.sum(_units_of(units)).alias("units"), F.count("*").alias("k"))
+    return C.written(sums.where((F.col("units") > limit) & (F.col("k") > 1)).select("h"), "hot-anchors")
 
-PASSAGES = "h long, sid binary, s binary, doc_id long, text_key long, pos long, at long, n long"
-_PASSAGE_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
+PASSAGES = "h long, sid long, doc_id long, start int, shape long, many boolean, s binary"
+_PASSAGE_NAMES = ["h", "sid", "doc_id", "start", "shape", "many", "s"]
 
-def _passage_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_PASSAGE_TYPES)], ["h", "sid", "s", "doc_id", "text_key", "pos", "at", "n"])
 
+def _cut(found: DataFrame, texts: DataFrame, units: Units) -> DataFrame:
+    """The passages with their strings (of words: with the white space between them)."""
+    hits = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "sid", "start", "shape", "many")).alias("hits"))
 
-def _single_windows(passages: DataFrame, units: Units) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in C.slices([batch], "s", 1 << 18):
-                out = []
-                for row in part.to_pylist():
-                    own = units.split(row["s"])
-                    for i in range(row["n"]):
-                        s = units.join(own[i:i + units.size])
-                        sid = hashlib.blake2b(s, digest_size=16).digest()
-                        out.append((int.from_bytes(sid[:8], "little", signed=True), sid, s, row["doc_id"], row["text_key"], row["pos"] + i, row["at"] - i, 1))
-                yield _passage_batch(out)
+            for part, raw in C.packed_slices([batch]):
+                own, sizes = part.column("hits"), pc.list_value_length(part.column("hits")).to_numpy()
+                hits = own.flatten()
+                text = np.repeat(np.arange(len(raw)), sizes)
+                start = hits.field("start").to_numpy().astype(np.int64)
+                length = (hits.field("shape").to_numpy() & 0xFFFFFFFF) + units.size - 1
+                s = _strings(raw, units, text, start, length)
+                rest = [hits.field(c) for c in ("h", "sid")], [hits.field(c) for c in ("start", "shape", "many")]
+                yield pa.RecordBatch.from_arrays([*rest[0], part.column("doc_id").take(pa.array(text)), *rest[1], s], _PASSAGE_NAMES)
+
+    return texts.join(hits, ["doc_id", "text_key"]).mapInArrow(run, PASSAGES)
+
+
+def _strings(raw: list[bytes], units: Units, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The stretches of the given units as bytes."""
+    if units.words:
+        words = C.Words(raw, C.SPACES)
+        data, first = words.bytes, words.first[text] + start
+        begin, end = words.starts[first], words.ends[first + length - 1]
+    else:
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        begin = np.concatenate(([0], np.cumsum([len(t) for t in raw])))[text] + start
+        end = begin + length
+    return C.binaries(data[C.ranges(begin, end - begin)], end - begin)
 
-    return passages.mapInArrow(run, PASSAGES)
 
+CHILDREN = "parent long, parent_sid long, ahead int, h long, sid long, doc_id long, text_key int, start int, shape long, many boolean, s binary"
 
-def _distinct(passages: DataFrame) -> DataFrame:
-    """Equal passages as one row with their first place; sums of fixed width, so that Spark hashes and need not sort."""
-    unit = F.lit(Decimal(1 << 40))
-    order = F.col("doc_id").cast("decimal(20,0)") * unit + F.col("pos")
-    found = passages.groupBy("h", "sid", "s").agg(F.min("doc_id").alias("doc_id"), F.min(order).alias("order"), F.max("n").alias("n"), F.max("at").alias("at"), F.count("*").alias("places"))
-    return found.withColumn("pos", (F.col("order") - F.col("doc_id").cast("decimal(20,0)") * unit).cast("long")).drop("order")
 
+def _anew(passages: DataFrame, units: Units) -> DataFrame:
+    """The passages of hot anchors, anchored anew: each with the parts (``ahead`` units on) that it falls into."""
+    def run(batches):
+        for part in C.slices(batches, "s"):
+            raw = C.raw_texts(part.column("s"))
+            f = anchors(raw, units)
+            own = pa.array(f.text)
+            # Within an anchor only: windows that match share both.
+            h = C.mix(f.h.view(np.uint64) + C.mix(part.column("h").to_numpy().view(np.uint64))[f.text]).view(np.int64)
+            place = part.column("start").to_numpy()[f.text] + f.start
+            s = _strings(raw, units, f.text, f.start, f.n + units.size - 1)
+            yield pa.RecordBatch.from_arrays([
+                part.column("h").take(own), part.column("sid").take(own), pa.array(f.start.astype(np.int32)), pa.array(h), pa.array(f.sid), part.column("doc_id").take(own),
+                pa.array(np.zeros(len(h), np.int32)), pa.array(place.astype(np.int32)), pa.array(_shape(f.at, f.n)), part.column("many").take(own), s], [x.split()[0] for x in CHILDREN.split(", ")])
 
-def spans(docs: DataFrame, units: Units, index: Callable, anchor_bytes: int | None = None) -> DataFrame:
-    """doc_id, text_key, spans: the unit ranges (merged, ascending) that repeat an earlier place.
+    return passages.mapInArrow(run, CHILDREN)
 
-    ``index(texts)`` builds the index of a shard from its passages; see ``earlier_windows``.
-    """
-    anchor_bytes = ANCHOR_BYTES if anchor_bytes is None else anchor_bytes
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = _anchor_rows(docs, units)
-    twice = F.count("*") > 1 if units.within else F.min("doc_id") < F.max("doc_id")
-    # Written, so that both sides of the join are plain shuffles and Spark can split a hot anchor's side.
-    again = C.written(rows.groupBy("h").agg(twice.alias("again")).where("again").select("h"), "repeated-anchors")
-    hits = rows.join(again.hint("shuffle_hash"), "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("hits"))
-    texts = C.shrunk(docs.withColumn("text_key", C.row_key())).join(hits, "doc_id")
-    passages = C.written(_passage_rows(texts.select("doc_id", "text_key", "text", "hits"), units), "passages")
-    C.forget(again)
-    del rows, hits, texts
-    used = [passages]
-    found = C.written(_distinct(passages), "distinct-passages")
-    used.append(found)
-    hot = C.written(found.groupBy("h").agg(F.sum(F.octet_length("s")).alias("bytes"), F.count("*").alias("k")).where((F.col("bytes") > anchor_bytes) & (F.col("k") > 1)).select("h"), "hot-anchors")
-    if hot.take(1):
-        single = _single_windows(passages.join(hot, "h", "left_semi"), units)
-        cold = passages.join(hot, "h", "left_anti")
-        passages = cold.select("h", "sid", "doc_id", "text_key", "pos", "n").unionByName(single.select("h", "sid", "doc_id", "text_key", "pos", "n"))
-        found = C.written(found.join(hot, "h", "left_anti").unionByName(_distinct(single)), "distinct-passages")
-        used.append(found)
-    else:
-        passages = passages.select("h", "sid", "doc_id", "text_key", "pos", "n")
-    total = found.agg(F.sum(F.octet_length("s"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-
-    def search(batch: pa.Table) -> pa.Table:
-        return earlier_windows(batch, units, index)
-
-    marks = found.select("h", "sid", "s", "n", "at", "places", "doc_id", "pos", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")) \
-        .groupBy("shard").applyInArrow(search, "h long, sid binary, first_id long, first_pos long, runs array<struct<start:long,stop:long>>")
-    same = F.col("doc_id") == F.col("first_id")
-    if units.within:
-        same = same & (F.col("pos") == F.col("first_pos"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
-    joined = passages.join(marks.hint("shuffle_hash"), ["h", "sid"]).withColumn("run", F.explode(F.when(same, F.col("runs")).otherwise(whole)))
-    cut = joined.select("doc_id", "text_key", F.struct((F.col("pos") + F.col("run.start")).alias("start"), (F.col("pos") + F.col("run.stop") - 1 + units.size).alias("stop")).alias("span"))
-    out = C.written(cut.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
-    C.forget(hot, *used)
-    return out
 
+# ---------------------------------------------------------------- search
 
-def earlier_windows(batch: pa.Table, units: Units, index: Callable) -> pa.Table:
-    """For one shard: the windows of each passage (at its first place) that occur earlier in the shard.
+ANSWERS = "h long, sid long, last_id long, last_start long, runs array<struct<start:int,stop:int>>"
 
-    The order of places is (doc_id, place), or doc_id alone. For each passage the windows still open
-    are a range. A backward search from its end proves a stretch whole or stops at the place from which
-    no longer stretch occurs earlier; a search of the leftmost window then skips all windows that hold
-    what stopped it. All passages are searched in step.
-    """
-    found: dict[tuple, list[dict]] = {}
-    for part in _indexes(batch, _candidates(batch, units)):
-        texts = [units.split(s) for s in part.column("s").to_pylist()]
-        first_id, first_pos, h = (part.column(c).to_numpy() for c in ("doc_id", "pos", "h"))
-        # The first passage of an anchor has no earlier one: only the others are searched.
-        order = np.lexsort((first_pos, first_id, h))
-        live = np.sort(order[np.append(False, h[order][1:] == h[order][:-1])])
-        sids = part.column("sid").to_pylist()
-        for i, s, e in _search(index(texts), first_id, first_pos, part.column("n").to_numpy(), live, units):
-            found.setdefault((int(h[i]), sids[i]), []).append({"start": s, "stop": e})
-    own = [found.get(k) for k in zip(batch.column("h").to_pylist(), batch.column("sid").to_pylist(), strict=True)]
-    keep = np.flatnonzero((batch.column("places").to_numpy() > 1) | np.array([r is not None for r in own], bool))
-    kept = batch.take(pa.array(keep))
-    return pa.table({"h": kept.column("h"), "sid": kept.column("sid"), "first_id": kept.column("doc_id"), "first_pos": kept.column("pos"), "runs": pa.array(
-        [own[i] or [] for i in keep.tolist()], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))})
-
-
-def _indexes(batch: pa.Table, rows: np.ndarray):
-    """Those rows in parts of about ``INDEX_BYTES``; an anchor's passages stay together."""
-    if not len(rows):
+
+def _answers(passages: DataFrame, units: Units, transform: Callable, total: int) -> DataFrame:
+    """What the index of each shard says of its passages: see ``answer``."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column("s").nbytes
+            if size < INDEX_BYTES:
+                continue
+            # The last anchor may go on in the next batch.
+            whole = pa.Table.from_batches(held).combine_chunks()
+            h = whole.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            for done in _indexes(whole.slice(0, cut)):
+                yield answer(done, units, transform)
+            held = whole.slice(cut).to_batches()
+            size = sum(b.column("s").nbytes for b in held) if cut else size
+        if held:
+            for done in _indexes(pa.Table.from_batches(held).combine_chunks()):
+                yield answer(done, units, transform)
+
+    shards = max(1, -(-total // SHARD_UNITS))
+    return passages.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(run, ANSWERS)
+
+
+def _indexes(whole: pa.Table) -> Iterator[pa.Table]:
+    """Rows in parts of about ``INDEX_BYTES``; an anchor's passages stay together."""
+    if not whole.num_rows:
         return
-    rows = rows[np.argsort(batch.column("h").to_numpy()[rows], kind="stable")]
-    h = batch.column("h").to_numpy()[rows]
-    ends = np.cumsum(pc.binary_length(batch.column("s")).to_numpy()[rows])
+    h = whole.column("h").to_numpy()
+    ends = np.cumsum(pc.binary_length(whole.column("s")).to_numpy())
     start = 0
-    while start < len(rows):
+    while start < len(h):
         stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + INDEX_BYTES, "right"))
         stop = max(stop, start + 1)
         stop = int(np.searchsorted(h, h[stop - 1], "right"))
-        yield batch.take(pa.array(rows[start:stop]))
+        yield whole.slice(start, stop - start)
         start = stop
 
 
-def _candidates(batch: pa.Table, units: Units) -> np.ndarray:
-    """Rows that can share a window with another passage of their anchor.
-
-    A shared window holds the anchor and, on one side of it, at least half of its other units; a passage
-    of which no other passage has the same half on either side cannot share any.
+def answer(part: pa.Table, units: Units, transform: Callable) -> pa.RecordBatch:
+    """Of each passage that has repeated windows: the last of the earliest places of its windows, as a place of
+    the passage (places after it lose all windows), and the windows that come before its own first place."""
+    h, doc, start, shape = (part.column(c).to_numpy() for c in ("h", "doc_id", "start", "shape"))
+    at, n = shape >> 32, shape & 0xFFFFFFFF
+    strings = part.column("s").combine_chunks()
+    strings = strings.chunk(0) if isinstance(strings, pa.ChunkedArray) else strings
+    group = np.cumsum(np.diff(h, prepend=h[0]) != 0)
+    anchor = start + at
+    # The order of places as ranks; places that are not told apart share one.
+    keys = (anchor, doc) if units.within else (doc,)
+    order = np.lexsort(keys)
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.cumsum(np.any([np.diff(k[order], prepend=k[order[0]]) != 0 for k in keys], axis=0))
+    holder = np.empty(rank.max() + 1, np.int64)
+    holder[rank] = np.arange(len(h))
+    first = earliest(Passages(strings, units.words, group, at, n), rank, units.size, transform)
+    there = np.arange(first.shape[0])[:, None] < n[None, :]
+    known = there & (first >= 0)
+    last = np.where(known, first, -1).max(axis=0)
+    whole = (last >= 0) & (known == there).all(axis=0)
+    before = known & (first < rank[None, :])
+    keep = np.flatnonzero(whole & (part.column("many").to_numpy(zero_copy_only=False) | before.any(axis=0)))
+    edges = np.diff(before[:, keep].view(np.int8), axis=0, prepend=np.int8(0), append=np.int8(0)).T
+    owner, opens = np.nonzero(edges > 0)
+    _, closes = np.nonzero(edges < 0)
+    sizes = np.bincount(owner, minlength=len(keep))
+    runs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(opens.astype(np.int32)), pa.array(closes.astype(np.int32))], ["start", "stop"]))
+    held = holder[last[keep]]
+    return pa.RecordBatch.from_arrays([
+        pa.array(h[keep]), part.column("sid").take(pa.array(keep)).combine_chunks(), pa.array(doc[held]), pa.array(anchor[held] - at[keep]), runs], ["h", "sid", "last_id", "last_start", "runs"])
+
+
+def spans(docs: DataFrame, units: Units, transform: Callable, anchor_units: int | None = None) -> DataFrame:
+    """doc_id, text_key, spans: the unit ranges that repeat an earlier place (they may overlap).
+
+    ``transform`` is the index of one column of a shard; see ``aligned``.
     """
-    half = (units.size - units.gram + 1) // 2
-    seen: dict[tuple, int] = {}
-    sides = []
-    for h, s, at in zip(batch.column("h").to_pylist(), batch.column("s").to_pylist(), batch.column("at").to_pylist(), strict=True):
-        own = units.split(s)
-        keys = []
-        if at >= half:
-            keys.append((h, 0, units.join(own[at - half:at + units.gram])))
-        if at + units.gram + half <= len(own):
-            keys.append((h, 1, units.join(own[at:at + units.gram + half])))
-        for k in keys:
-            seen[k] = seen.get(k, 0) + 1
-        sides.append(keys)
-    return np.array([i for i, keys in enumerate(sides) if any(seen[k] > 1 for k in keys)], np.int64)
-
-
-def _search(built, first_id: np.ndarray, first_pos: np.ndarray, count: np.ndarray, live: np.ndarray, units: Units):
-    """(passage, first window, window after the last) of windows of the ``live`` passages that occur earlier."""
-    begin = built.begin
-    # The order of all places of the shard's text as one rank.
-    n = len(count)
-    owner = np.repeat(np.arange(n), np.diff(np.append(begin, built.n)))
-    offset = np.arange(built.n) - begin[owner]
-    if units.within:
-        order = np.lexsort((first_pos[owner] + offset, first_id[owner]))
-        step = (np.diff(first_id[owner][order], prepend=-1) != 0) | (np.diff((first_pos[owner] + offset)[order], prepend=-1) != 0)
-        rank = np.empty(built.n, np.int32)
-        rank[order] = np.cumsum(step)
+    limit = ANCHOR_UNITS if anchor_units is None else anchor_units
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    places = C.written(_places(docs, units), "anchors")
+    twice = F.count("*") > 1 if units.within else F.min("doc_id") < F.max("doc_id")
+    # Written, so that both sides of the join are plain shuffles and Spark can split a hot anchor's side.
+    again = C.written(places.groupBy("h").agg(twice.alias("again")).where("again").select("h"), "repeated-anchors")
+    own = C.written(places.join(again.hint("shuffle_hash"), "h", "left_semi"), "repeated-places")
+    C.forget(again, places)
+    found = C.written(_distinct(own, units), "distinct-passages")
+    used, passages, level = [own, found], None, units
+    total = found.agg(F.sum(_units_of(units))).first()[0] or 0
+    hot = _hot(found, units, limit)
+    used.append(hot)
+    if not hot.take(1):
+        passages = _cut(found, C.shrunk(docs), units)
     else:
-        rank = np.unique(first_id, return_inverse=True)[1].astype(np.int32)[owner]
-    earliest = RangeMinimum(rank[built.suffixes])
-    low, high = np.zeros(n, np.int64), count - 1  # open windows
-    whole = np.ones(n, bool)
-    cur, lo, hi = high + units.size, np.zeros(n, np.int64), np.full(n, built.n)
-    while len(live):
-        cur[live] -= 1
-        at = begin[live] + cur[live]
-        lo[live], hi[live] = new_lo, new_hi = built.extend(lo[live], hi[live], at)
-        fine = new_hi - new_lo > 1
-        some = np.flatnonzero(fine)
-        fine[some] = earliest(new_lo[some], new_hi[some]) < rank[at[some]]
-        over = (~fine) | (cur[live] == low[live])
-        if not over.any():
-            continue
-        q, ok, j = live[over], fine[over], cur[live[over]]
-        full = whole[q]
-        a, b = low[q], high[q]
-        # Proven: all open windows, or those right of the stop; or the leftmost window.
-        start = np.where(full, np.where(ok, a, j + 1), a)
-        stop = np.where(full, b + 1, np.where(ok, a + 1, a))
-        keep = stop > start
-        yield from zip(q[keep].tolist(), start[keep].tolist(), stop[keep].tolist(), strict=True)
-        high[q] = np.where(full, np.where(ok, a - 1, np.where(j < b, j, b - 1)), b)
-        low[q] = np.where(full, a, np.where(ok, a + 1, j + 1))
-        whole[q] = ~full
-        cur[q] = np.where(whole[q], high[q], low[q]) + units.size
-        lo[q], hi[q] = 0, built.n
-        live = np.concatenate((live[~over], q[low[q] <= high[q]]))
-
-
-class RangeMinimum:
-    """Sparse table of minima."""
-
-    def __init__(self, values: np.ndarray):
-        self.levels, span = [values], 1
-        while span * 2 <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-span], last[span:]))
-            span *= 2
-        self.starts = np.cumsum([0, *(len(x) for x in self.levels)])
-        self.flat = np.concatenate(self.levels)
-        self.levels = None
-
-    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        base = self.starts[level]
-        return np.minimum(self.flat[base + lo], self.flat[base + hi - (1 << level)])
-
-
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; symbols of separators are unique, so it ends at the longest text."""
-    n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    span = 1
-    while True:
-        key = rank * (n + 1)
-        key[:n - span] += rank[span:] + 1
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(ordered, prepend=ordered[0]) != 0)
-        if rank[order[-1]] == n - 1:
-            return order
-        span *= 2
+        strings = C.written(_cut(found, C.shrunk(docs), units), "passages")
+        used.append(strings)
+        while level.gram < level.size and hot.take(1):
+            level = level.finer()
+            parts = C.written(_anew(strings.join(hot, "h", "left_semi"), level), "anchored-anew")
+            cold = strings.join(hot, "h", "left_anti")
+            passages = cold if passages is None else passages.unionByName(cold)
+            moved = own.join(hot, "h", "left_semi").withColumnRenamed("h", "parent").withColumnRenamed("sid", "parent_sid").withColumnRenamed("start", "from").drop("shape") \
+                .join(parts.select("parent", "parent_sid", "ahead", "h", "sid", "shape").distinct(), ["parent", "parent_sid"]).select("h", "sid", "doc_id", "text_key", (F.col("from") + F.col("ahead")).cast("int").alias("start"), "shape")
+            own = C.written(own.join(hot, "h", "left_anti").unionByName(moved), "repeated-places")
+            found = _distinct(parts.select("h", "sid", "doc_id", "text_key", "start", "shape", "many"), level).drop("text_key")
+            texts = parts.groupBy("h", "sid").agg(F.first("s").alias("s"))
+            strings = C.written(found.join(texts, ["h", "sid"]).select(*_PASSAGE_NAMES), "passages")
+            hot = _hot(strings, units, limit)
+            used += [parts, own, strings, hot]
+            total += strings.agg(F.sum(_units_of(units))).first()[0] or 0
+        passages = passages.unionByName(strings)
+    answers = C.written(_answers(passages, units, transform, total), "answers")
+    later = (F.col("doc_id") > F.col("last_id")) | ((F.col("doc_id") == F.col("last_id")) & (F.col("start") > F.col("last_start"))) if units.within else F.col("doc_id") > F.col("last_id")
+    n = F.col("shape").bitwiseAND(0xFFFFFFFF).cast("int")
+    runs = F.when(later, F.array(F.struct(F.lit(0).alias("start"), n.alias("stop")))).otherwise(F.col("runs"))
+    moved = F.transform(runs, lambda r: F.struct((r.start + F.col("start")).alias("start"), (r.stop + F.col("start") + (units.size - 1)).alias("stop")))
+    cut = own.join(answers.hint("shuffle_hash"), ["h", "sid"]).select("doc_id", "text_key", F.explode(moved).alias("span"))
+    out = C.written(cut.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans")), "spans")
+    C.forget(answers, *used)
+    return out
+
 
+# ---------------------------------------------------------------- removal
 
 def remove(docs: DataFrame, found: DataFrame, units: Units, kept: str = "kept") -> DataFrame:
     """All columns of ``docs`` with the text that is left (``kept``), n_units, n_removed, n_spans.
 
     Words that are left are joined by one space; bytes that are left are joined as they are (binary).
-    Columns of ``docs`` with those names, or that begin with ``_repeat_``, are not kept.
+    Columns of ``docs`` with those names (in any case) are not kept.
     """
-    clash = {"_repeat_id", "_repeat_key", "_repeat_spans", "_repeat_own"}
-    spread = found.select(F.col("doc_id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"), F.col("spans").alias("_repeat_spans"))
-    names = [c for c in docs.columns if c not in clash | {kept, "n_units", "n_removed", "n_spans"}]
-    rows = C.shrunk(docs.select(*names).withColumn("_repeat_own", C.row_key())).join(spread, (F.col("doc_id").cast("long") == F.col("_repeat_id")) & (F.col("_repeat_own") == F.col("_repeat_key")), "left").drop("_repeat_id", "_repeat_key", "_repeat_own")
+    names = C.others(docs.columns, kept, "n_units", "n_removed", "n_spans")
+    rest = C.others(names, "text")
+    text = F.col("text").cast("string")
+    rows = C.shrunk(docs.select(F.struct(*rest).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text")))
+    rows = rows.join(found, ["doc_id", "text_key"], "left").select("own", "text", "spans")
 
     def run(batches):
-        for part in C.slices(batches, "text"):
-            out = []
-            texts = [C.grown(t) for t in part.column("text").to_pylist()]
-            for text, cuts in zip(texts, part.column("_repeat_spans").to_pylist(), strict=True):
-                own = units.split(text)
-                if not cuts:
-                    out.append((units.join(own), len(own), 0, 0))
-                    continue
-                gone = C.marked(np.array([c["start"] for c in cuts]), np.array([c["stop"] for c in cuts]), len(own))
-                edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
-                left, at = [], 0
-                for s, e in zip(edges[0::2], edges[1::2], strict=True):
-                    left.append(own[at:s])
-                    at = e
-                left.append(own[at:])
-                text = b" ".join([w for x in left for w in x]) if units.words else b"".join(left)
-                out.append((text, len(own), int(gone.sum()), len(edges) // 2))
-            values = pa.array([o[0] for o in out], pa.binary())
-            if units.words:
-                values = values.cast(pa.string())
-            whole = pa.array([None if z is None else t for z, t in zip(part.column("text").to_pylist(), texts, strict=True)], pa.binary()).cast(pa.string())
-            others = [whole if c == "text" else part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*others, values, *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2, 3))], names=[*names, kept, "n_units", "n_removed", "n_spans"])
-
-    kinds = dict(docs.dtypes)
-    fields = ", ".join(f"`{c}` {'string' if c == 'text' else kinds[c]}" for c in names)
-    return rows.mapInArrow(run, f"{fields}, `{kept}` {'string' if units.words else 'binary'}, n_units long, n_removed long, n_spans long")
+        for part, raw in C.packed_slices(batches):
+            left, many, gone, runs = removed(raw, part.column("spans"), units)
+            whole = pa.array([t if there else None for there, t in zip(part.column("text").is_valid().to_pylist(), raw, strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("own"), whole, left.cast(pa.string()) if units.words else left, pa.array(many), pa.array(gone), pa.array(runs)], ["own", "text", "left", "many", "gone", "runs"])
+
+    kinds = (("text", StringType()), ("left", StringType() if units.words else BinaryType()), ("many", LongType()), ("gone", LongType()), ("runs", LongType()))
+    out = rows.mapInArrow(run, StructType([rows.schema["own"], *(StructField(*k) for k in kinds)]))
+    columns = [F.col("text").alias(c) if c.lower() == "text" else F.col("own").getField(c).alias(c) for c in names]
+    return out.select(*columns, F.col("left").alias(kept), F.col("many").alias("n_units"), F.col("gone").alias("n_removed"), F.col("runs").alias("n_spans"))
+
+
+def removed(raw: list[bytes], found: pa.ListArray, units: Units) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: what is left, its units, how many are removed, and in how many runs."""
+    if units.words:
+        words = C.Words(raw, C.SPACES)
+        first = words.first
+    else:
+        first = np.concatenate(([0], np.cumsum([len(t) for t in raw], dtype=np.int64)))
+    n = int(first[-1])
+    owner = np.repeat(first[:-1], pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    cuts = found.flatten()
+    gone = C.marked(cuts.field("start").to_numpy() + owner, cuts.field("stop").to_numpy() + owner, n)
+    opens = gone & ~np.concatenate(([False], gone[:-1])) if n else gone
+    inner = first[:-1][first[:-1] < n]
+    opens[inner] = gone[inner]  # a run does not go on into the next text
+    total, runs = (np.concatenate(([0], np.cumsum(x))) for x in (gone, opens))
+    counts = np.diff(first)
+    lost, many = total[first[1:]] - total[first[:-1]], runs[first[1:]] - runs[first[:-1]]
+    if not units.words:
+        return C.binaries(np.frombuffer(b"".join(raw), np.uint8)[~gone], counts - lost), counts, lost, many
+    keep = np.flatnonzero(~gone)
+    size = words.ends[keep] - words.starts[keep] + 1
+    data = words.bytes[C.ranges(words.starts[keep], size)]
+    ends = np.cumsum(size)
+    data[ends - 1] = 0x20  # what follows a word is white space
+    text = np.searchsorted(first, keep, "right") - 1
+    last = np.flatnonzero(np.diff(text, append=-1)) if len(keep) else np.empty(0, np.int64)
+    sizes = np.bincount(text, weights=size, minlength=len(raw)).astype(np.int64)
+    sizes[text[last]] -= 1
+    solid = np.ones(len(data), bool)
+    solid[ends[last] - 1] = False  # no space after the last word
+    return C.binaries(data[solid], sizes), counts, lost, many

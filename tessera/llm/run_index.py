@@ -2,13 +2,18 @@
 
 Texts lose every byte that lies in a string of ``SIZE`` bytes which also starts earlier (in a document
 with a smaller id, or earlier in the same one). The frame in ``passages`` brings together what can
-match; each shard builds the Burrows-Wheeler transform of its passages and keeps its runs only: their
-starts, symbols and counts per symbol give rank, and suffix positions sampled at run ends give, for
-every interval, the place of its last suffix. Matching statistics are streamed by backward search.
+match; each shard builds the Burrows-Wheeler transform of its passages (``aligned``) and keeps the runs of
+its columns only: their starts, symbols and counts per symbol give rank, and a suffix sampled at each run
+gives its places. Matching statistics are streamed by backward search: every passage is read against the
+index, and each window of it gets the earliest place that holds it.
+
+A run's sample is the earliest of its suffixes, and a run ends where the next window differs, as places
+are asked for in order, not just any.
 
 Defined results: null is empty; texts shorter than ``SIZE`` bytes lose nothing; of rows with equal ids
 and equal texts each loses what repeats within it, and what starts in smaller ids; rows with a null id
-lose and remove nothing; other columns pass through.
+lose and remove nothing; other columns pass through (but for those named as the results, in any case);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,84 +28,33 @@ SIZE = 100
 GRAM = 32
 
 
-class RunIndex:
-    """Run-length Burrows-Wheeler transform of passages with separators; symbols are bytes + 1, 0 separates."""
-
-    def __init__(self, texts: list[bytes]):
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.n = int(sizes.sum())
-        self.text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-        ends = self.begin + sizes - 1
-        self.text[ends] = 0
-        self.suffixes = self._order(ends)
-        before = self.text[self.suffixes - 1]
-        starts = np.flatnonzero(np.diff(before, prepend=-1))
-        lengths = np.diff(np.append(starts, self.n))
-        symbols = before[starts]
-        by_symbol = np.lexsort((starts, symbols))
-        self.starts, self.lengths, self.symbols = starts[by_symbol], lengths[by_symbol], symbols[by_symbol]
-        #: Suffix positions at the ends of runs.
-        self.samples = self.suffixes[starts + lengths - 1][by_symbol]
-        self.keys = self.symbols * (self.n + 1) + self.starts
-        first = np.searchsorted(self.symbols, np.arange(258))
-        total = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.counts = total[:-1] - total[first[self.symbols]]
-        self.smaller = total[first]
-
-    def _order(self, ends: np.ndarray) -> np.ndarray:
-        """Suffix array; the first rank packs seven symbols."""
-        n, wide = self.n, 7
-        apart = np.zeros(n, np.int64)
-        padded = np.append(self.text, np.zeros(wide, np.int64))
-        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the separator
-        for k in range(wide):
-            apart = apart * 257 + np.where(k < left, padded[k:n + k], 0)
-        # A suffix that meets its separator within the packed symbols is told apart by the order of separators.
-        rank = np.unique(apart, return_inverse=True)[1].astype(np.int64)
-        short = left < wide
-        owner = np.searchsorted(ends, np.arange(n))
-        key = rank * (len(ends) + 1) + np.where(short, owner, len(ends))
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        span = wide
-        while True:
-            order = None
-            key = rank * (n + 1)
-            key[:n - span] += rank[span:] + 1
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.diff(ordered, prepend=ordered[0]) != 0)
-            if rank[order[-1]] == n - 1:
-                return order
-            span *= 2
-
-    def rank(self, symbols: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Occurrences of each symbol before position i of the transform, from its runs."""
-        run = np.searchsorted(self.keys, symbols * (self.n + 1) + i) - 1
-        inside = np.minimum(i - self.starts[run], self.lengths[run])
-        return np.where((run >= 0) & (self.symbols[run] == symbols), self.counts[run] + inside, 0)
-
-    def extend(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        symbols = self.text[at]
-        both = self.rank(np.concatenate((symbols, symbols)), np.concatenate((lo, hi)))
-        base = self.smaller[symbols]
-        return both[:len(lo)] + base, both[len(lo):] + base
-
-    def last_place(self, stretch: bytes) -> tuple[int, int, int]:
-        """Interval of a stretch and the place of its last suffix, from the samples alone."""
-        lo, hi, place = 0, self.n, int(self.suffixes[-1])
-        for byte in reversed(stretch):
-            c = np.array([byte + 1])
-            run = int(np.searchsorted(self.keys, c[0] * (self.n + 1) + hi) - 1)
-            if run < 0 or self.symbols[run] != c[0]:
-                return 0, 0, -1
-            inside = hi <= self.starts[run] + self.lengths[run]
-            place = (place if inside else int(self.samples[run])) - 1
-            lo, hi = (int(self.rank(c, np.array([x]))[0] + self.smaller[c[0]]) for x in (lo, hi))
-            if lo >= hi:
-                return 0, 0, -1
-        return lo, hi, place
+class RunColumn:
+    """A column of the transform by its runs, each with the earliest place among its suffixes."""
+
+    def __init__(self, ids: np.ndarray, kinds: int, bounds: np.ndarray, ranks: np.ndarray):
+        self.n = len(ids)
+        new = np.concatenate(([True], ids[1:] != ids[:-1]))
+        new[bounds] = True
+        starts = np.flatnonzero(new)
+        self.samples = np.minimum.reduceat(ranks, starts)
+        self.stretches = np.searchsorted(starts, bounds)
+        keys = ids[starts] * (self.n + 1) + starts
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.starts, self.symbols = starts[order], ids[starts][order]
+        self.lengths = np.diff(np.append(starts, self.n))[order]
+        total = np.cumsum(self.lengths) - self.lengths
+        self.counts = total - total[np.searchsorted(self.symbols, self.symbols)]
+
+    def count(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol before position ``ends``, from the runs."""
+        run = np.searchsorted(self.keys, ids * (self.n + 1) + ends) - 1
+        inside = np.minimum(ends - self.starts[run], self.lengths[run])
+        return np.where((run >= 0) & (self.symbols[run] == ids), self.counts[run] + inside, 0)
+
+    def least(self) -> np.ndarray:
+        """The earliest place of each stretch of equal windows, from the samples of its runs."""
+        return np.minimum.reduceat(self.samples, self.stretches)
 
 
 def units(size: int = SIZE, gram: int = GRAM) -> Units:
@@ -109,7 +63,7 @@ def units(size: int = SIZE, gram: int = GRAM) -> Units:
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, spans (byte ranges) that also start earlier."""
-    return passages.spans(docs, units(size, gram), RunIndex)
+    return passages.spans(docs, units(size, gram), RunColumn)
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:

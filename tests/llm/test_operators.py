@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, fm_index, graph, main_text, passages, run_index, simhash, topk, toxicity, url_templates, warc
+from tessera.llm import aligned, bpe, decontam, fm_index, graph, main_text, passages, run_index, simhash, topk, toxicity, url_templates, warc
 from tessera.llm import common as C
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,7 +58,7 @@ def repeated(docs, words, size):
 def test_repeats(spark, monkeypatch, words, tight):
     """tight: many shards and indexes, and anchors with more passages than one may hold."""
     if tight:
-        for name, value in (("SHARD_BYTES", 3000), ("INDEX_BYTES", 500), ("ANCHOR_BYTES", 40)):
+        for name, value in (("SHARD_UNITS", 3000), ("INDEX_BYTES", 500), ("ANCHOR_UNITS", 40), ("CHUNK", 64)):
             monkeypatch.setattr(passages, name, value)
     docs = sentences(1 + words)
     module, size, gram = (fm_index, 6, 3) if words else (run_index, 12, 5)
@@ -77,24 +78,71 @@ def test_rows_with_one_id_and_other_texts(spark):
     assert got == [(1, 7, 0), (2, 7, 7), (2, 8, 5)]
 
 
-def test_indexes_agree_with_counting():
-    pick = random.Random(5)
-    texts = [bytes(pick.choice(b"ab") for _ in range(pick.randint(1, 40))) for _ in range(20)]
-    index = run_index.RunIndex(texts)
-    assert len(index.starts) <= index.n
-    whole = b"\0".join(texts) + b"\0"
-    for stretch in {t[a:a + 4] for t in texts for a in range(len(t) - 3)}:
-        lo, hi, place = index.last_place(stretch)
-        assert hi - lo == sum(t[a:a + 4] == stretch for t in texts for a in range(len(t))) and whole[place:place + 4] == stretch
-    assert index.last_place(b"zz") == (0, 0, -1)
-    words = [[bytes([c]) for c in t] for t in texts]
-    tree = fm_index.FMIndex(words)
-    for t, begin in zip(texts, tree.begin, strict=True):
-        lo, hi = np.array([0]), np.array([tree.n])
-        for k in range(len(t) - 1, max(len(t) - 4, -1), -1):
-            lo, hi = tree.extend(lo, hi, np.array([begin + k]))
-        tail = t[-3:]
-        assert int(hi[0] - lo[0]) == sum(x[a:a + len(tail)] == tail for x in texts for a in range(len(x)))
+@pytest.mark.parametrize(("words", "size", "gram"), [(True, 200, 16), (False, 300, 32), (False, 5, 5)])
+def test_repeats_of_other_sizes(spark, words, size, gram):
+    pick = random.Random(size)
+    letters = [f"w{k}" if words else chr(97 + k % 26) for k in range(40)]
+    joint = " " if words else ""
+    base = [pick.choice(letters) for _ in range(900)]
+    texts = [joint.join(base), joint.join(base[150:650]), joint.join(base[:430] + ["zz"] + base[430:]), joint.join(base[300:] + base[:300]), joint.join(base * 2)]
+    module = fm_index if words else run_index
+    got = {r.doc_id: (r.n_units, r.n_removed, r.n_spans) for r in module.dedup(documents(spark, [*enumerate(texts)]), size, gram).collect()}
+    assert got == {i: v[:3] for i, v in repeated([*enumerate(texts)], words, size).items()}
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_nothing_is_removed_without_the_index(spark, words):
+    """Equal passages and copies are decided by what the index answers, too."""
+    class Silent(fm_index.FMColumn if words else run_index.RunColumn):
+        def least(self):
+            return super().least() * 0 - 1
+
+    of = fm_index.units(6, 3) if words else run_index.units(12, 5)
+    docs = documents(spark, sentences(1))
+    assert passages.spans(docs, of, Silent).count() == 0 < passages.spans(docs, of, Silent.__base__).count()
+
+
+def test_columns_that_clash_in_case(spark):
+    rows = spark.createDataFrame([(1, "a b c d e", "x", 5, "y")], "doc_id long, text string, KEPT string, N_Removed int, `odd, name` string")
+    assert fm_index.dedup(rows, 3, 2).columns == ["doc_id", "text", "odd, name", "kept", "n_units", "n_removed", "n_spans"]
+    assert [tuple(r) for r in run_index.dedup(rows, 3, 2).collect()] == [(1, "a b c d e", "y", bytearray(b"a b c d e"), 9, 0, 0)]
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_earliest_places(words):
+    """Windows of aligned passages against direct comparison; ranks with ties."""
+    pick = random.Random(3)
+    for _ in range(60):
+        size, gram = pick.choice([(6, 3), (5, 5), (8, 2)])
+        rows = []
+        for g in range(pick.randint(1, 4)):
+            anchor = [pick.choice("ab") for _ in range(gram)]
+            for _ in range(pick.randint(1, 6)):
+                n = pick.randint(1, size - gram + 1)
+                at = pick.randint(n - 1, size - gram)
+                s = [pick.choice("ab") for _ in range(n - 1 + size)]
+                s[at:at + gram] = anchor
+                rows.append((g, "".join(s), at, n, pick.randint(0, 9)))
+        group, texts, at, n, rank = zip(*rows, strict=True)
+        strings = pa.array([(" ".join(t) if words else t).encode() for t in texts], pa.binary())
+        found = aligned.earliest(aligned.Passages(strings, words, *map(np.array, (group, at, n))), np.array(rank), size, fm_index.FMColumn if words else run_index.RunColumn)
+        for p, (g, t, a, k, _) in enumerate(rows):
+            for x in range(k):
+                holders = [r for g2, t2, a2, k2, r in rows if g2 == g and 0 <= x + a2 - a < k2 and t2[x + a2 - a:x + a2 - a + size] == t[x:x + size]]
+                assert found[x, p] == min(holders)
+            assert (found[k:, p] == -1).all()
+
+
+def test_columns_count_symbols():
+    pick = np.random.default_rng(5)
+    ids = np.concatenate([np.arange(7), np.repeat(pick.integers(0, 7, 40), pick.integers(1, 9, 40))])
+    bounds, ranks = np.array([0, 5, 60]), pick.integers(0, 99, len(ids))
+    runs, tree = run_index.RunColumn(ids, 7, bounds, ranks), fm_index.FMColumn(ids, 7, bounds, ranks)
+    asked, ends = pick.integers(0, 7, 300), pick.integers(0, len(ids) + 1, 300)
+    want = [int((ids[:e] == a).sum()) for a, e in zip(asked, ends, strict=True)]
+    assert runs.count(asked, ends).tolist() == want == tree.count(asked, ends).tolist()
+    assert runs.least().tolist() == tree.least().tolist() == [ranks[:5].min(), ranks[5:60].min(), ranks[60:].min()]
+    assert len(runs.keys) < len(ids)
 
 
 # ---------------------------------------------------------------- tokens
@@ -116,7 +164,7 @@ def test_tokens_round_trip(spark, ranks):
     texts += ["".join(pick.choice(pick.choice(["ab", "the in er on", "ñö'sre\n\t ", "\x1c　 a1٣ "])) for _ in range(pick.randint(0, 200))) for _ in range(300)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     rows = bpe.decode(bpe.encode(docs, path, pattern), path).collect()
-    assert len(rows) == len(texts)
+    assert len(rows) == len(texts) and rows == bpe.encode(docs, path, pattern, decoded="decoded").collect()
     for r in rows:
         assert list(r.ids) == own.encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded) == (texts[r.doc_id] or "").encode()
     assert bpe.encode(docs.where("false"), path, pattern).count() == 0
@@ -125,14 +173,40 @@ def test_tokens_round_trip(spark, ranks):
 def test_merge_order_may_go_down():
     """A merge can make a pair of a lower rank than its own."""
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"ab", b"abcab"]
-    got = bpe.Encoder(tokens).merge(b"abcabcab")
+    whole, got = bpe.Encoder(bpe.Vocabulary(tokens), ".+").merged([b"abc", b"abcabcab"])
+    assert np.frombuffer(whole, np.int32).tolist() == [256]
     parts, table = [b"%c" % c for c in b"abcabcab"], {t: r for r, t in enumerate(tokens)}
     while True:
         best = min(((table[x + y], i) for i, (x, y) in enumerate(itertools.pairwise(parts)) if x + y in table), default=None)
         if best is None:
             break
         parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-    assert list(got) == [table[p] for p in parts]
+    assert np.frombuffer(got, np.int32).tolist() == [table[p] for p in parts]
+
+
+def test_long_pre_tokens_and_unknown_ids(ranks, monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, table, pattern = ranks
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    tokens = [None] * (max(table.values()) + 1)
+    for t, r in table.items():
+        tokens[r] = t
+    vocabulary = bpe.Vocabulary(tokens)
+    monkeypatch.setattr(bpe, "LONG", 1000)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 500)
+    pick = random.Random(4)
+    texts = ["".join(pick.choice("aethin") for _ in range(pick.choice([3, 9, 4000]))) for _ in range(60)] * 2
+    encoder = bpe.Encoder(vocabulary, pattern)
+    for a in range(0, len(texts), 20):
+        ids, counts = encoder.encode(texts[a:a + 20])
+        assert np.split(ids, np.cumsum(counts)[:-1])[3].tolist() == own.encode_ordinary(texts[a + 3])
+        assert ids.tolist() == [i for t in texts[a:a + 20] for i in own.encode_ordinary(t)]
+        assert [x.decode() for x in vocabulary.decode(ids, counts).to_pylist()] == texts[a:a + 20]
+    for wrong in (-1, len(tokens)):
+        with pytest.raises(ValueError, match="no token has the id"):
+            vocabulary.decode(np.array([5, wrong]), np.array([2]))
+    with pytest.raises(ValueError, match="no token spells"):
+        bpe.Vocabulary([b"a"])
 
 
 # ---------------------------------------------------------------- near duplicates
