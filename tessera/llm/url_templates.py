@@ -1,31 +1,39 @@
 """URL filters by a path-template tree, in DataFrame functions only.
 
-Rules: the longest rule that fits a url decides. Other urls are judged by their template: per host,
-path segments are branches of a tree; a segment stays a branch if it holds no digit and at least one in
-``SHARE`` of the host's urls has it at that depth, else it becomes the wildcard ``*``. Branches that
-differ only in their first kept segment are merged where their share of blocked labels is statistically
-alike (or too few are labelled to tell). A template is rejected if its smoothed purity, the share of
-blocked among its urls that a rule decides, drawn towards its host's, exceeds ``REJECT``.
-
-Only counts per (host, depth, segment) and per template are grouped, each with partial sums, so a host
-with a third of all urls costs one row per task and segment. Per host at most ``SHARE`` segments per
-depth are kept. A shuffle join brings templates back to urls; Spark splits its skewed side.
+Rules: the longest rule that fits a url decides. Other urls are judged by their template. Per host, a tree
+is grown from the root, level by level. A url goes down by its path segments; at each node (host and the
+branches so far) a segment gets a branch of its own if it holds no digit and at least one in ``SHARE`` of
+the node's urls has it, all others are generalised into the wildcard ``?``. Branches of one node whose
+share of blocked labels is statistically alike (or which have too few labels to tell) are merged into one
+branch ``#``, and so are the trees below them. (Neither sign can be part of a path.) A template is a path
+from the root; it is rejected if its smoothed purity, the share of blocked among its urls that a rule
+decides, drawn towards its host's, exceeds ``REJECT``.
+
+Urls are first counted by host and path. Counts and sums are partial aggregates, and of a node's segments
+at most ``SHARE`` leave a task, so a host with a third of all urls costs a few rows per task. The table of
+templates goes back to the urls by host and path. The tree is ``DEPTH`` levels deep; urls that go deeper
+share the node there, and have a template of their own (``/**``).
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and is judged by the
-template of those; repeated rows are each judged; extra columns pass through.
+template of those; repeated rows are each judged; extra columns pass through (but for those named as the
+results, in any case); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A segment is a branch if one in SHARE urls has it.
 SHARE = 20
 #: Labels that a branch needs before it can differ from its siblings.
 LEAST = 5
 REJECT = 0.75
+#: Levels of the tree.
+DEPTH = 8
 
 #: (verdict, host, path): the rule fits the host and its subdomains, and paths that start with the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -51,63 +59,72 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda s: s != "")
-
-
-def branches(urls: DataFrame, share: int = SHARE) -> DataFrame:
-    """host, kept: the segments that stay branches, as "depth:segment" (at most ``share`` per depth)."""
-    parts = urls.select("host", F.posexplode("segments").alias("depth", "segment"))
-    counts = parts.groupBy("host", "depth", "segment").agg(F.count("*").alias("n"))
-    total = counts.groupBy("host", "depth").agg(F.sum("n").alias("total"))
-    kept = counts.where(~F.col("segment").rlike("[0-9]")).join(total, ["host", "depth"]).where(F.col("n") * share >= F.col("total"))
-    return kept.groupBy("host").agg(F.sort_array(F.collect_set(F.concat_ws(":", F.col("depth").cast("string"), "segment"))).alias("kept"))
-
-
-def with_template(urls: DataFrame, kept: DataFrame) -> DataFrame:
-    """Adds template, and merged: the template with its first kept segment made a wildcard."""
-    both = urls.join(kept, "host", "left")
-    known = F.transform("segments", lambda s, i: F.when(F.array_contains("kept", F.concat_ws(":", i.cast("string"), s)), s).otherwise("*"))
-    both = both.withColumn("known", F.when(F.col("kept").isNull(), F.transform("segments", lambda s: F.lit("*"))).otherwise(known)).drop("kept")
-    first = F.array_position(F.transform("known", lambda s: s != "*"), True)
-    wide = F.transform("known", lambda s, i: F.when(i == first - 1, "*").otherwise(s))
-    return both.withColumn("template", F.concat(F.lit("/"), F.array_join("known", "/"))).withColumn("merged", F.concat(F.lit("/"), F.array_join(wide, "/"))).drop("known", "segments")
-
-
-def verdicts(templates: DataFrame, reject: float = REJECT, least: int = LEAST) -> DataFrame:
-    """host, template, purity, rejected from the counts (n, labelled, blocked) of templates."""
-    pool = templates.groupBy("host", "merged").agg(F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked"))
-    hosts = templates.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
-    joined = templates.join(pool, ["host", "merged"]).join(hosts, "host")
-    # Alike: the branch's blocked count is within two standard errors of what its pool would give (all in whole numbers).
-    gap = F.col("blocked") * F.col("pool_labelled") - F.col("pool_blocked") * F.col("labelled")
-    spread = 4 * F.col("labelled") * F.col("pool_blocked") * (F.col("pool_labelled") - F.col("pool_blocked"))
-    alike = (F.col("labelled") < least) | (gap * gap <= spread)
-    use = joined.withColumn("a", F.when(alike, F.col("pool_labelled")).otherwise(F.col("labelled"))).withColumn("b", F.when(alike, F.col("pool_blocked")).otherwise(F.col("blocked")))
+def key_of(path: Column) -> Column:
+    """The first ``DEPTH`` segments that are not empty, joined by /; a deeper path ends with //."""
+    found = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.concat(F.array_join(F.slice(found, 1, DEPTH), "/"), F.when(F.size(found) > DEPTH, "//").otherwise(""))
+
+
+def alike(a: str, b: str, pool_a: str, pool_b: str, least: int) -> Column:
+    """Whether b blocked of a labelled lie within two standard errors of what the pool would give, or are too few."""
+    a, b, pa, pb = (F.col(x).cast("double") for x in (a, b, pool_a, pool_b))
+    gap = b * pa - pb * a
+    return (a < least) | (gap * gap <= 4 * a * pb * (pa - pb))
+
+
+def level(paths: DataFrame, depth: int, share: int = SHARE, least: int = LEAST) -> DataFrame:
+    """Paths with their template grown by one level."""
+    node = ["host", "template"]
+    paths = paths.withColumn("segment", F.try_element_at(F.split("key", "/"), F.lit(depth + 1))).withColumn("segment", F.when(F.col("segment") != "", F.col("segment")))
+    counts = paths.where("segment IS NOT NULL").groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    total = counts.groupBy(*node).agg(F.sum("n").alias("total"))
+    # At most ``share`` segments can have their share; a task sends no more per node.
+    most = counts.where(~F.col("segment").rlike("[0-9]")).withColumn("place", F.row_number().over(Window.partitionBy(*node).orderBy(F.desc("n"), "segment"))).where(F.col("place") <= share).drop("place")
+    kept = most.join(total, node).where(F.col("n") * share >= F.col("total"))
+    pool = kept.groupBy(*node).agg(F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked"), F.count("*").alias("branches"))
+    named = kept.join(pool, node).withColumn("branch", F.when((F.col("branches") > 1) & alike("labelled", "blocked", "pool_labelled", "pool_blocked", least), "#").otherwise(F.col("segment")))
+    branches = named.groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("segment", "branch"))).alias("branches"))
+    down = F.coalesce(F.try_element_at("branches", "segment"), F.lit("?"))
+    grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), down))
+    return paths.join(branches, node, "left").withColumn("template", grown).drop("branches", "segment")
+
+
+def verdicts(paths: DataFrame, reject: float = REJECT) -> DataFrame:
+    """host, key, template, rejected of the paths, by the purity of their templates."""
+    whole = F.when(F.col("key").endswith("//"), F.concat("template", F.lit("/**"))).when(F.col("template") == "", "/").otherwise(F.col("template"))
+    paths = paths.withColumn("template", whole)
+    hosts = paths.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
+    templates = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     prior = (F.col("host_blocked") + 1).cast("double") / (F.col("host_labelled") + 2)
-    purity = (F.col("b") + 2 * prior) / (F.col("a") + 2)
-    return use.select("host", "template", purity.alias("purity"), (purity > reject).alias("rejected"))
+    purity = (F.col("blocked") + 2 * prior) / (F.col("labelled") + 2)
+    judged = templates.join(hosts, "host").select("host", "template", (purity > reject).alias("rejected"))
+    return paths.select("host", "key", "template").join(judged, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
     """All columns of ``pages`` with host, path, template, rule and verdict."""
-    own = [c for c in pages.columns if c not in ("host", "path", "template", "rule", "verdict")]
-    read = pages.select(F.struct(*own).alias("_page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    read = read.withColumn("found", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("segments", segments(F.col("path")))
-    marked = with_template(read, branches(read.select("host", "segments")))
-    counts = marked.groupBy("host", "template", "merged").agg(
-        F.count("*").alias("n"), F.count("found").alias("labelled"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
-    judged = marked.join(verdicts(counts, reject), ["host", "template"], "left")
+    own = C.others(pages.columns, "host", "path", "template", "rule", "verdict")
+    read = pages.select(F.struct(*own).alias("page"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
+    read = read.withColumn("found", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("key", key_of(F.col("path")))
+    paths = read.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("found").alias("labelled"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
+    paths = C.written(paths.withColumn("template", F.lit("")), "url-paths")
+    deepest = paths.agg(F.max(F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", "/"))))).first()[0] or 0
+    for depth in range(min(deepest, DEPTH)):
+        before, paths = paths, C.written(level(paths, depth), "url-paths")
+        C.forget(before)
+    judged = read.join(verdicts(paths, reject), ["host", "key"])
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
-    return judged.select("_page.*", "host", "path", "template", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
+    return judged.select("page.*", "host", "path", "template", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
 
-ORACLE = """
+def oracle() -> str:
+    """The query in SQL, with the rules above."""
+    parts = ["""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
-), ruled AS (
+), ruled AS MATERIALIZED (
   SELECT *, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -115,32 +132,35 @@ WITH cut AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
     list_filter(string_split(path, '/'), lambda s: s <> '') AS segments
   FROM parts
-), labelled AS (
-  SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruling FROM ruled
-), pieces AS (
-  SELECT host, unnest(segments) AS segment, generate_subscripts(segments, 1) - 1 AS depth FROM labelled
-), counts AS (
-  SELECT host, depth, segment, count(*) AS n FROM pieces GROUP BY ALL
-), kept AS (
-  SELECT host, list(depth || ':' || segment) AS kept FROM (
-    SELECT *, sum(n) OVER (PARTITION BY host, depth) AS total FROM counts) WHERE NOT regexp_matches(segment, '[0-9]') AND n * 20 >= total GROUP BY host
-), known AS (
-  SELECT l.*, list_transform(segments, lambda s, i: CASE WHEN list_contains(coalesce(kept, []), (i - 1) || ':' || s) THEN s ELSE '*' END) AS known
-  FROM labelled l LEFT JOIN kept USING (host)
-), templated AS (
-  SELECT *, '/' || array_to_string(known, '/') AS template,
-    '/' || array_to_string(list_transform(known, lambda s, i: CASE WHEN i = list_position(list_transform(known, lambda x: x <> '*'), true) THEN '*' ELSE s END), '/') AS merged
-  FROM known
-), stats AS (
-  SELECT host, template, merged, count(ruling)::BIGINT AS a, count_if(ruling = 'block')::BIGINT AS b FROM templated GROUP BY ALL
-), pooled AS (
-  SELECT *, sum(a) OVER (PARTITION BY host, merged) AS pa, sum(b) OVER (PARTITION BY host, merged) AS pb,
-    sum(a) OVER (PARTITION BY host) AS ha, sum(b) OVER (PARTITION BY host) AS hb FROM stats
-), chosen AS (
-  SELECT *, (a < 5 OR (b * pa - pb * a) * (b * pa - pb * a) <= 4 * a * pb * (pa - pb)) AS alike FROM pooled
+), tree0 AS MATERIALIZED (
+  SELECT host, segments, count(*) AS n, count(rule)::BIGINT AS a, count_if(coalesce(rule, '') IN ('net/', 'example.com/de/'))::BIGINT AS b, '' AS template FROM ruled GROUP BY ALL
+)"""]
+    for d in range(1, DEPTH + 1):
+        parts.append(f"""counts{d} AS MATERIALIZED (
+  SELECT host, template, segments[{d}] AS segment, sum(n) AS n, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM tree{d - 1} WHERE len(segments) >= {d} GROUP BY ALL
+), kept{d} AS (
+  SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS total FROM counts{d}) WHERE NOT regexp_matches(segment, '[0-9]') AND n * {SHARE} >= total
+), pooled{d} AS (
+  SELECT *, count(*) OVER (PARTITION BY host, template) AS k, a::DOUBLE AS x, b::DOUBLE AS y,
+    (sum(a) OVER (PARTITION BY host, template))::DOUBLE AS px, (sum(b) OVER (PARTITION BY host, template))::DOUBLE AS py FROM kept{d}
+), named{d} AS MATERIALIZED (
+  SELECT host, template, segment, CASE WHEN k > 1 AND (x < {LEAST} OR (y * px - py * x) * (y * px - py * x) <= 4 * x * py * (px - py)) THEN '#' ELSE segment END AS branch FROM pooled{d}
+), tree{d} AS MATERIALIZED (
+  SELECT t.host, t.segments, t.n, t.a, t.b, CASE WHEN len(t.segments) >= {d} THEN t.template || '/' || coalesce(b.branch, '?') ELSE t.template END AS template
+  FROM tree{d - 1} t LEFT JOIN named{d} b ON t.host = b.host AND t.template = b.template AND t.segments[{d}] = b.segment
+)""")
+    parts.append(f"""leaves AS MATERIALIZED (
+  SELECT host, segments, a, b, CASE WHEN len(segments) > {DEPTH} THEN template || '/**' WHEN template = '' THEN '/' ELSE template END AS template FROM tree{DEPTH}
+), purity AS (
+  SELECT host, template, (sum(b) + 2 * ((h + 1)::DOUBLE / (g + 2))) / (sum(a) + 2) > {REJECT} AS rejected
+  FROM (SELECT *, sum(a) OVER (PARTITION BY host) AS g, sum(b) OVER (PARTITION BY host) AS h FROM leaves) GROUP BY host, template, g, h
 ), judged AS (
-  SELECT host, template, ((CASE WHEN alike THEN pb ELSE b END) + 2 * ((hb + 1)::DOUBLE / (ha + 2))) / ((CASE WHEN alike THEN pa ELSE a END) + 2) > 0.75 AS rejected FROM chosen
+  SELECT l.host, l.segments, p.rejected FROM leaves l JOIN purity p ON l.host = p.host AND l.template = p.template
 )
-SELECT t.page_id, t.host, t.path, t.rule, coalesce(t.ruling, CASE WHEN j.rejected THEN 'block' ELSE 'allow' END) AS verdict
-FROM templated t LEFT JOIN judged j ON t.host = j.host AND t.template = j.template
-"""
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN r.rule IS NOT NULL THEN 'allow' WHEN j.rejected THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r JOIN judged j ON r.host = j.host AND r.segments = j.segments
+""")
+    return ", ".join(parts)
+
+
+ORACLE = oracle()
