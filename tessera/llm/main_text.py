@@ -1,25 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks, runs of text between block-level tags, each with its root-to-leaf path of
-block tags. Regions that are no article by their nature (scripts, forms, navigation, page headers and
-footers, asides, hidden parts, and elements whose class, id or role says so) are left out. For every
-path the text per block and the punctuation per block are aggregated over the page; each block gets the
-product of both (links do not count), smoothed over its neighbours in page order. Paths whose blocks
-lie above the page's threshold on average are content. The element that holds the content (an article
-or main element, or else the deepest one with nearly all of it) is the main text: its blocks in page
-order, but for blocks of other paths that are mostly links.
+block tags. For every path the text per block and the punctuation per block are aggregated over the whole
+page and fused (their product); the blocks' values are smoothed over their neighbours in page order, and a
+path's score is the mean over its blocks. Scores are weighted by what markup says of a path beforehand:
+the share of its text that is no link, little for paths within navigation, page headers and footers,
+asides, forms, hidden parts and elements whose class, id or role says so, and little for paths outside the
+page's articles if those hold most of its text. Paths whose score reaches a threshold, a share of
+the page's mean score per character, are content; all blocks of those paths, in page order, are the main
+text. A path's blocks are taken or left together: short paragraphs, linked sentences and further articles
+come with their like.
 
 Every page is read by itself: no shuffle; memory of one slice of pages, or one page if larger.
 
 Defined results: null and empty pages, and pages without content, give an empty text; broken markup is
 read as browsers do in the common cases (unclosed paragraphs, items, cells; stray end tags); white space
-within a block becomes one space, a line break element is white space; extra columns are ignored.
+within a block becomes one space, a line break element is white space; repeated rows are read each, extra
+columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +56,27 @@ NEGATIONS = frozenset("no has with without hide not".split())
 ENDED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
          "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 KEEPS_P = frozenset("button label option body html".split())
+#: What is known of a path beforehand: within a region apart, or outside the articles that hold most text.
+APART_WEIGHT, OUTSIDE_WEIGHT = 0.02, 0.05
+#: Of the page's mean score per character, the share that a content path reaches.
+THRESHOLD = 0.1
 
 
 class Element:
-    __slots__ = ("apart", "header", "node", "parent", "path", "tag")
+    __slots__ = ("apart", "article", "header", "path", "tag")
 
-    def __init__(self, tag, path, node, parent, apart, header):
-        self.tag, self.path, self.node, self.parent, self.apart, self.header = tag, path, node, parent, apart, header
+    def __init__(self, tag, path, apart, header, article):
+        self.tag, self.path, self.apart, self.header, self.article = tag, path, apart, header, article
+
+
+class Block(NamedTuple):
+    path: str
+    text: str
+    #: Characters within links, and punctuation marks.
+    links: int
+    marks: int
+    apart: bool
+    article: bool
 
 
 def names_region(value: str) -> bool:
@@ -88,10 +106,10 @@ def set_apart(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, str, int, int]], list[Element]]:
-    """(path, node, text, characters within links, punctuation) of every block, and all elements by node."""
-    root = Element("", "", 0, None, False, False)
-    elements, stack, out = [root], [root], []
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in its order. Paths tell regions apart (!) and articles (*) from others."""
+    root = Element("", "", False, False, False)
+    stack, out = [root], []
     text: list[str] = []
     links, in_link, where = 0, 0, root
 
@@ -100,7 +118,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int, str, int, int]], list[Elemen
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((where.path, where.node, whole, min(links, len(whole)), len(PUNCTUATION.findall(whole))))
+                # Of a header only the headings are content.
+                apart = where.apart or (where.header and not any(e.tag in HEADINGS for e in stack))
+                out.append(Block(where.path + "!" * apart, whole, min(links, len(whole)), len(PUNCTUATION.findall(whole)), apart, where.article))
             text.clear()
         links = 0
 
@@ -118,7 +138,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, str, int, int]], list[Elemen
     while at < size:
         m = TOKEN.search(page, at)
         end = m.start() if m else size
-        if end > at and not stack[-1].apart and not (stack[-1].header and not any(e.tag in HEADINGS for e in stack)):
+        if end > at and (where.apart or not stack[-1].apart):  # inline parts set apart are no text of their block
             piece = page[at:end]
             text.append(piece)
             if in_link:
@@ -176,18 +196,17 @@ def blocks(page: str) -> tuple[list[tuple[str, int, str, int, int]], list[Elemen
         if tag in VOID:
             continue
         top = stack[-1]
-        in_article = any(e.tag in ("article", "main") for e in stack)
-        apart = top.apart or set_apart(tag, m[3], in_article)
+        article = top.article or tag in ("article", "main")
+        apart = top.apart or set_apart(tag, m[3], top.article)
         if tag in BLOCK:
-            e = Element(tag, f"{where.path}/{tag}", len(elements), where, apart, top.header or tag == "header")
-            elements.append(e)
-            where = e
+            path = f"{where.path}/{tag}{'!' * (apart and not where.apart)}{'*' * (article and not where.article)}"
+            where = Element(tag, path, apart, top.header or tag == "header", article)
+            stack.append(where)
         else:
-            e = Element(tag, top.path, where.node, where, apart, top.header)
             in_link += tag == "a"
-        stack.append(e)
+            stack.append(Element(tag, top.path, apart, top.header, article))
     flush()
-    return out, elements
+    return out
 
 
 def smoothed(scores: np.ndarray) -> np.ndarray:
@@ -198,54 +217,35 @@ def smoothed(scores: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel, "valid") / weight
 
 
-def content_paths(found: list[tuple[str, int, str, int, int]]) -> set[str]:
-    """Paths whose blocks have, on smoothed average, more text and punctuation than the page's threshold."""
+def scores(found: list[Block]) -> tuple[dict[str, float], float]:
+    """The weighted score of every path, and the page's threshold."""
     totals: dict[str, list[float]] = {}
-    for path, _, text, links, marks in found:
-        t = totals.setdefault(path, [0.0, 0.0, 0.0])
-        t[0] += len(text) - links
-        t[1] += marks
-        t[2] += 1
-    ratio = {p: (t[0] / t[2]) * (1 + t[1] / t[2]) for p, t in totals.items()}
-    scores = smoothed(np.array([ratio[b[0]] for b in found]))
-    mean: dict[str, list[float]] = {}
-    for b, s in zip(found, scores.tolist(), strict=True):
-        m = mean.setdefault(b[0], [0.0, 0.0])
-        m[0] += s
-        m[1] += 1
-    threshold = min(scores.std(), scores.mean())
-    return {p for p, (s, n) in mean.items() if s / n >= threshold and ratio[p] > 0}
+    for b in found:
+        t = totals.setdefault(b.path, [0.0, 0.0, 0.0, 0.0, 0.0])
+        for k, value in enumerate((len(b.text) - b.links, b.marks, 1, len(b.text))):
+            t[k] += value
+    ratio = {p: t[0] / t[2] * (1 + t[1] / t[2]) for p, t in totals.items()}
+    smooth = smoothed(np.array([ratio[b.path] for b in found]))
+    sizes = np.array([len(b.text) for b in found])
+    for b, value in zip(found, smooth.tolist(), strict=True):
+        totals[b.path][4] += value
+    own = sum(len(b.text) for b in found if not b.apart)
+    articles = 2 * sum(len(b.text) for b in found if b.article and not b.apart) >= own
+    out = {}
+    for b in found:
+        t = totals[b.path]
+        prior = APART_WEIGHT if b.apart else OUTSIDE_WEIGHT if articles and not b.article else 1.0
+        out[b.path] = t[4] / t[2] * prior * t[0] / t[3]
+    return out, THRESHOLD * float(smooth @ sizes) / float(sizes.sum())
 
 
 def main_text(page: str | None) -> str:
     """The page's main text."""
-    if not page:
-        return ""
-    found, elements = blocks(page)
+    found = blocks(page) if page else []
     if not found:
         return ""
-    paths = content_paths(found)
-    weight = [0] * len(elements)
-    for path, node, text, links, _ in found:
-        if path in paths:
-            e = elements[node]
-            while e is not None:
-                weight[e.node] += len(text) - links
-                e = e.parent
-    whole, best = weight[0], elements[0]
-    if not whole:
-        return ""
-    articles = [e for e in elements if e.tag in ("article", "main") and 2 * weight[e.node] >= whole]
-    if articles:
-        best = articles[0] if articles[0].tag == "article" else next((e for e in articles if e.tag == "article"), articles[0])
-    else:
-        for e in elements:  # children come after their parents
-            if e.tag in ("html", "body", "div", "section", "td", "table", "tbody", "tr", "center") and e.parent is best and 10 * weight[e.node] >= 9 * whole:
-                best = e
-    inside = [False] * len(elements)
-    for e in elements:
-        inside[e.node] = e is best or (e.parent is not None and inside[e.parent.node])
-    return " ".join(text for path, node, text, links, _ in found if inside[node] and (2 * links <= len(text) or path in paths))
+    score, threshold = scores(found)
+    return " ".join(b.text for b in found if score[b.path] >= threshold and score[b.path] > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
