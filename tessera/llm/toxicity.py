@@ -6,20 +6,28 @@ documents than in others. Uses with the same neighbouring words count once, so t
 copies and of repeated passages do not pass for toxic. A two-state chain is fitted to these words by maximum likelihood
 (forward-backward gives the gradient), and a document's word marginals are summed up (expected number
 of toxic words, largest marginal, share) in a logistic score. Words that are likelier toxic than not
-are reported with their byte offsets in the lower-cased text.
+are reported with their byte offsets in the text.
 
-Fitting takes at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled documents of at most
-``FIT_CHARS`` characters (in the order of a hash of the id), on the driver; scoring is a map over all
-whole texts: no shuffle, memory of one slice. Labels, language, source and id are never inputs of a
-score. A chain covers ``CHAIN`` consecutive words of a document.
+A chain covers all words of a document. Its messages are computed block by block for both states that can
+enter and leave a block, then carried from block to block, which is exact and takes steps of all
+documents at once.
+
+Fitting takes at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled documents (in the order of a
+hash of the id, as long as their texts have at most ``FIT_BYTES`` together; a text that no longer fits is
+passed over), on the driver; scoring is a map over all whole texts: no shuffle, memory of one slice. Labels,
+language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no words and get the score of a document without toxic
 words; without labelled documents of both kinds every score is the share of toxic labels (0 if none);
-a null id is in no fold and not held out; repeated labels of one id: the largest counts.
+a null id is in no fold and not held out; of repeated labels of one id, and of labels of equal texts, the
+largest counts; columns of the documents pass through ``keep_clean``, and empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +35,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOXIC_ROWS, CLEAN_ROWS, FIT_CHARS = 800, 1400, 8192
-CHAIN = 64
+TOXIC_ROWS, CLEAN_ROWS, FIT_BYTES = 800, 1400, 8 << 20
+#: Words of a chain that are computed in one piece, and pieces that are held at once.
+BLOCK, HELD = 64, 4096
 #: Bytes of a word's beginnings that are features, besides the word and its last four bytes.
 HEADS = (4, 5, 6, 7, 8)
 #: A feature marks words as toxic if toxic documents use it this many times as often as others.
@@ -54,8 +63,24 @@ def features(words: C.Words) -> np.ndarray:
     return np.stack([C.mix(r + np.uint64(k + 1)) if k else r for k, r in enumerate(rows)])
 
 
+@functools.cache
+def _resized() -> re.Pattern:
+    """Characters that have another number of bytes in lower case (none beyond this range is cased)."""
+    cased = (c for c in map(chr, [*range(0xD800), *range(0xE000, 0x1F000)]) if c.lower() != c)
+    return re.compile("([" + "".join(re.escape(c) for c in cased if len(c.lower().encode()) != len(c.encode())) + "])")
+
+
 def lowered(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    """Lower-cased texts in which every word stands where it does in the text: characters whose size would change stay."""
+    out = []
+    for t in texts:
+        t = t or ""
+        if t.isascii() or not _resized().search(t):
+            low = t.lower()
+        else:
+            low = "".join([p if k % 2 else p.lower() for k, p in enumerate(_resized().split(t))])
+        out.append(low.encode("utf-8", "replace"))
+    return out
 
 
 class Chain:
@@ -73,57 +98,85 @@ class Chain:
         return np.where(self.known[at] == hashes, at, len(self.known)).astype(np.int32)
 
     def leads(self, columns: np.ndarray) -> np.ndarray:
-        return self.weights[columns].sum(axis=0) + self.bias
-
-    def marginals(self, lead: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over padded chains (chain, place): P(toxic), sums of pair marginals, log Z."""
-        n, length = lead.shape
-        move = np.exp(self.moves)
-        factor = np.exp(np.clip(lead, -30, 30))
-        ahead, scale = np.zeros((length, n, 2)), np.ones((length, n))
-        at = np.stack([np.ones(n), factor[:, 0]], axis=1)
+        return sum((self.weights[c] for c in columns), np.full(columns.shape[1], self.bias))
+
+    def marginals(self, lead: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over the chains of texts whose words begin at ``first``: P(toxic) of every word, sums of pair marginals."""
+        out, pairs = np.zeros(len(lead)), np.zeros((2, 2))
+        ends = np.cumsum(-(-np.diff(first) // BLOCK))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HELD, "right")))
+            a, b = first[start], first[stop]
+            if b > a:
+                out[a:b], joint = self._marginals(lead[a:b], first[start:stop + 1] - a)
+                pairs += joint
+            start = stop
+        return out, pairs
+
+    def _marginals(self, lead: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        move, counts = np.exp(self.moves), np.diff(first)
+        number = -(-counts // BLOCK)
+        begin = np.repeat(first[:-1], number) + C.ranges(np.zeros(len(number), np.int64), number) * BLOCK
+        size = np.minimum(BLOCK, np.repeat(first[1:], number) - begin)
+        head = (np.cumsum(number) - number)[number > 0]  # the first block of each text
+        number = number[number > 0]
+        n, length = len(begin), int(size.max())
+        inside = np.arange(length)[:, None] < size[None, :]
+        factor = np.where(inside, np.exp(np.clip(lead, -30, 30))[np.minimum(begin[None, :] + np.arange(length)[:, None], len(lead) - 1)], 1.0)
+        rows = np.arange(n)
+        # ahead[t, block, entering state, state], back[t, block, state, leaving state], up to a factor each.
+        ahead, back = np.empty((length, n, 2, 2)), np.empty((length, n, 2, 2))
+        at = np.zeros((n, 2, 2))
+        at[:, 0, 0], at[:, 1, 1] = 1.0, factor[0]
         for t in range(length):
             if t:
-                at = ahead[t - 1] @ move
-                at[:, 1] *= factor[:, t]
-            scale[t] = at.sum(axis=1)
-            ahead[t] = at / scale[t][:, None]
-        back, pairs = np.ones((n, 2)), np.zeros((2, 2))
-        toxic = np.zeros((n, length))
-        inside = np.arange(length)[None, :] < sizes[:, None]
+                at = at @ move
+                at[:, :, 1] *= factor[t][:, None]
+                at /= at.sum(axis=(1, 2))[:, None, None]
+            ahead[t] = at
+        same = np.eye(2)
+        at = np.broadcast_to(same, (n, 2, 2))
         for t in range(length - 1, -1, -1):
-            both = ahead[t] * back
-            toxic[:, t] = both[:, 1] / both.sum(axis=1)
-            if t:
-                right = back.copy()
-                right[:, 1] *= factor[:, t]
-                joint = ahead[t - 1][:, :, None] * move[None] * right[:, None, :]
-                joint /= joint.sum(axis=(1, 2))[:, None, None]
-                pairs += joint[inside[:, t]].sum(axis=0)
-                before = right @ move.T
-                back = np.where(inside[:, t][:, None], before / before.sum(axis=1)[:, None], 1.0)
-        logs = np.where(inside, np.log(scale.T), 0).sum(axis=1)
-        return toxic, pairs, logs
+            if t < length - 1:
+                at = at.copy()
+                at[:, 1] *= factor[t + 1][:, None]
+                at = move @ at
+                at /= at.sum(axis=(1, 2))[:, None, None]
+                at[t >= size - 1] = same
+            back[t] = at
+        # What enters and leaves each block, carried through the texts.
+        enter, leave, ended = np.ones((n, 2)), np.ones((n, 2)), np.zeros((n, 2))
+        for k in range(int(number.max())):
+            own = head[number > k] + k
+            if k:
+                enter[own] = ended[own - 1] @ move
+            out = (enter[own][:, None, :] @ ahead[size[own] - 1, own])[:, 0]
+            ended[own] = out / out.sum(axis=1)[:, None]
+        for k in range(int(number.max()) - 2, -1, -1):
+            own = head[number > k + 1] + k
+            begun = (back[0, own + 1] @ leave[own + 1][:, :, None])[:, :, 0]
+            begun[:, 1] *= factor[0, own + 1]
+            begun = begun @ move.T
+            leave[own] = begun / begun.sum(axis=1)[:, None]
+        ahead = (enter[None, :, None, :] @ ahead)[:, :, 0]
+        back = (back @ leave[None, :, :, None])[:, :, :, 0]
+        both = ahead * back
+        toxic = np.where(inside, both[:, :, 1] / both.sum(axis=2), 0.0)
+        right = back.copy()
+        right[:, :, 1] *= factor
+        before = np.concatenate((np.zeros((1, n, 2)), ahead[:-1]))
+        later = np.setdiff1d(rows, head)
+        before[0, later] = ended[later - 1]
+        joint = before[:, :, :, None] * move * right[:, :, None, :]
+        total = joint.sum(axis=(2, 3))
+        real = inside & (total > 0)
+        pairs = (joint[real] / total[real][:, None, None]).sum(axis=0)
+        return toxic.T[inside.T], pairs
 
     def words(self, columns: np.ndarray, first: np.ndarray) -> np.ndarray:
         """P(toxic) of every word of a slice; texts begin at ``first``."""
-        out = np.zeros(columns.shape[1])
-        starts, sizes = chains(first)
-        lead = self.leads(columns)
-        for part in range(0, len(starts), 4096):
-            s, k = starts[part:part + 4096], sizes[part:part + 4096]
-            place, inside = s[:, None] + np.arange(CHAIN), np.arange(CHAIN) < k[:, None]
-            toxic, _, _ = self.marginals(np.where(inside, lead[np.minimum(place, len(lead) - 1)], 0), k)
-            out[place[inside]] = toxic[inside]
-        return out
-
-
-def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the chains of texts whose words begin at ``first``."""
-    counts = np.diff(first)
-    number = -(-counts // CHAIN)
-    offset = C.ranges(np.zeros(len(number), np.int64), number) * CHAIN
-    return np.repeat(first[:-1], number) + offset, np.minimum(CHAIN, np.repeat(counts, number) - offset)
+        return self.marginals(self.leads(columns), first)[0]
 
 
 def summaries(toxic: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -157,7 +210,7 @@ class Model:
             self._fit(texts, toxic)
 
     def _fit(self, texts: list[str], toxic: np.ndarray) -> None:
-        # Hashes of all words, and of each feature how many documents of either kind have it; in slices.
+        # Hashes of all words, in slices.
         coded = lowered(texts)
         ends = np.cumsum([len(t) for t in coded])
         hashes, counts, uses = [], [], []
@@ -169,58 +222,57 @@ class Model:
             # A use of a feature: with its neighbouring words. Repeated passages have no more uses than one.
             near = np.concatenate((found[0][-1:], found[0], found[0][:1])) if len(words.starts) else np.empty(2, np.uint64)
             place = C.mix(near[:-2] + C.mix(near[1:-1] + C.mix(near[2:])))
-            flat, owner = found.ravel(), np.tile(np.repeat(np.arange(start, stop), words.counts()), len(found))
-            use = np.tile(place, len(found)) >> np.uint64(1) | (toxic[owner] > 0).astype(np.uint64) << np.uint64(63)
-            uses.append(unique_pairs(flat, use))
+            owner = np.repeat(np.arange(start, stop), words.counts())
+            uses.append(place >> np.uint64(1) | (toxic[owner] > 0).astype(np.uint64) << np.uint64(63))
             hashes.append(found)
             counts.append(words.counts())
             start = stop
-        hashes, counts = np.concatenate(hashes, axis=1), np.concatenate(counts)
+        hashes, counts, uses = np.concatenate(hashes, axis=1), np.concatenate(counts), np.concatenate(uses)
         first = np.concatenate(([0], np.cumsum(counts)))
         doc = np.repeat(np.arange(len(texts)), counts)
-        flat, use = unique_pairs(*(np.concatenate(x) for x in zip(*uses, strict=True)))
-        known, at = np.unique(flat, return_inverse=True)
-        bad = np.bincount(at, weights=use >> np.uint64(63), minlength=len(known))
-        good = np.bincount(at, minlength=len(known)) - bad
+        # Of each feature, how many different uses documents of either kind have; kind by kind.
+        known, bad, good = [], [], []
+        for row in hashes:
+            flat, use = unique_pairs(row, uses)
+            names, at = np.unique(flat, return_inverse=True)
+            ill = np.bincount(at, weights=use >> np.uint64(63), minlength=len(names))
+            known.append(names)
+            bad.append(ill)
+            good.append(np.bincount(at, minlength=len(names)) - ill)
+        known, at = np.unique(np.concatenate(known), return_inverse=True)
+        bad, good = (np.bincount(at, weights=np.concatenate(x), minlength=len(known)) for x in (bad, good))
         n_bad, n_good = bad.sum(), good.sum()
         odds = ((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n_good + 1))
         marks = known[(odds >= ODDS) & (bad >= max(5, 0.01 * toxic.sum())) & (known != 0)]
         kept = known[(bad + good >= 4) & ((odds >= 2) | (odds <= 0.5)) & (known != 0)]
         self.chain = chain = Chain(kept)
-        label = np.isin(hashes, marks).any(axis=0) & (toxic[doc] > 0)
-        columns = chain.columns(hashes)
-        del hashes
-        starts, sizes = chains(first)
-        place, inside = starts[:, None] + np.arange(CHAIN), np.arange(CHAIN) < sizes[:, None]
-        place = np.minimum(place, max(len(doc) - 1, 0))
-        truth = np.where(inside, label[place], False)
-        self._maximise(chain, columns, place, inside, sizes, truth)
+        truth = np.zeros(len(doc), bool)
+        for row in hashes:
+            truth |= np.isin(row, marks)
+        truth &= toxic[doc] > 0
+        columns = np.stack([chain.columns(row) for row in hashes])
+        del hashes, uses
+        self._maximise(chain, columns, first, truth)
         marginal = chain.words(columns, first)
         sampled = toxic.mean()
         weight = np.where(toxic > 0, self.share / sampled, (1 - self.share) / (1 - sampled))
         self.logistic = logistic(summaries(marginal, first), toxic, weight)
 
     @staticmethod
-    def _maximise(chain: Chain, columns, place, inside, sizes, truth) -> None:
+    def _maximise(chain: Chain, columns: np.ndarray, first: np.ndarray, truth: np.ndarray) -> None:
         """Regularised maximum likelihood by adaptive gradient steps over all chains."""
-        seen_pairs = np.zeros((2, 2))
-        inner = inside[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                seen_pairs[a, b] = ((truth[:, :-1] == a) & (truth[:, 1:] == b) & inner).sum()
+        inner = np.ones(len(truth), bool)
+        inner[first[:-1][first[:-1] < len(truth)]] = False  # words that follow another one of their text
+        follow = np.flatnonzero(inner)
+        seen_pairs = np.bincount(truth[follow - 1] * 2 + truth[follow], minlength=4).reshape(2, 2)
         spread = [np.full(len(chain.weights), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
         for _ in range(ROUNDS):
-            lead = chain.leads(columns)
-            toxic, pairs = np.zeros(len(lead)), np.zeros((2, 2))
-            for part in range(0, len(place), 4096):
-                s = slice(part, part + 4096)
-                found, joint, _ = chain.marginals(np.where(inside[s], lead[place[s]], 0), sizes[s])
-                toxic[place[s][inside[s]]] = (truth[s] - found)[inside[s]]
-                pairs += joint
-            step = np.bincount(columns.ravel(), weights=np.tile(toxic, len(columns)), minlength=len(chain.weights)) - 0.05 * chain.weights
+            found, pairs = chain.marginals(chain.leads(columns), first)
+            miss = truth - found
+            step = sum((np.bincount(c, weights=miss, minlength=len(chain.weights)) for c in columns), -0.05 * chain.weights)
             step[-1] = 0.0
             moves = seen_pairs - pairs - 0.05 * chain.moves
-            bias = toxic.sum()
+            bias = miss.sum()
             spread[0] += step ** 2
             spread[1] += bias ** 2
             spread[2] += moves ** 2
@@ -255,13 +307,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for value, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
         part = known.where((F.col("toxic") > 0) == bool(value)).orderBy(*order).limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic").dropDuplicates(["text"]).collect()
-    rows.sort(key=lambda r: r.id)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(chosen), "id")
+    # Sizes first: the texts that are taken have FIT_BYTES at most.
+    sizes = sorted((r.place, r.id, r.size) for r in texts.groupBy("id").agg(F.max(F.octet_length("text")).alias("size"), F.count("*").alias("n")).select("id", F.xxhash64("id").alias("place"), (F.col("size") * F.col("n")).alias("size")).collect())
+    total, taken = 0, []
+    for _, i, size in sizes:
+        if total + size <= FIT_BYTES:
+            total += size
+            taken.append((i,))
+    if not taken:
+        return Model([], np.empty(0), float(share))
+    own = F.broadcast(docs.sparkSession.createDataFrame(taken, "id long"))
+    rows = texts.join(own, "id").groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: (r.id, r.text))
     return Model([r.text for r in rows], np.array([float(r.toxic > 0) for r in rows]), float(share))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: words, words likelier toxic than not and their byte offsets, expected number, score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
