@@ -1,38 +1,48 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Fixed ranks below 2^20 are supported. A pre-token is a doubly linked list of parts. Every adjacent pair that some token spells waits in the
-bucket of that token's rank; a bitmap of three levels marks the buckets that hold something, so the
-least rank is found by three find-first-set steps whatever the length of the pre-token. Entries are
-never removed when a merge makes them invalid: they are stale and skipped when their bucket is read.
+Fixed ranks below 2^20 are supported. Pre-tokens are doubly linked lists of parts. Every adjacent pair that
+some token spells waits in the bucket of that token's rank; a bitmap of three levels marks the buckets that
+hold something, so the least rank is found by three find-first-set steps, however much waits. Entries are
+never removed when a merge makes them invalid: they are stale and skipped when their bucket is read. The
+unseen pre-tokens of a slice share one queue, each with a list of its own: merges of different pre-tokens
+do not touch each other, and one find-first-set serves all that wait at a rank. A very long pre-token is
+held in 32-bit cells.
 
 Encoding is a map over documents: no shuffle. The rank file (at most ``RANK_FILE_BYTES``, checked) is
-broadcast. Encodings of short pre-tokens are kept per worker in a table of at most twice ``KEPT`` entries.
+broadcast. Encodings of short pre-tokens are kept per worker, in two tables of at most ``KEPT_BYTES``.
 
-Defined results: null texts are empty; an empty text has no ids and decodes to no bytes; ids that are
-null or unknown to the vocabulary make ``decode`` fail with their value.
+Defined results: null texts are empty; an empty text has no ids and decodes to no bytes; a vocabulary that
+lacks a byte, and ids that are null, negative or unknown to it, fail; null ids lists stay null; empty tables
+give no rows; columns named as the result (in any case) are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import base64
-from itertools import chain
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from . import common as C
 
 RANK_FILE_BYTES = 64 << 20
-KEPT = 400_000
+#: Of one generation of kept pre-tokens, and of kept ranks of pairs (entries).
+KEPT_BYTES, KEPT_PAIRS = 128 << 20, 1 << 20
 KEPT_LENGTH = 48
+#: Bytes of pre-tokens that share a queue, and from which on parts are held in 32-bit cells.
+SHARED, LONG = 1 << 17, 1 << 20
 #: The characters of the Unicode property White_Space.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 
-def load_ranks(spark, path: str) -> list[bytes]:
+def load_ranks(spark, path: str) -> list[bytes | None]:
     """Tokens by rank from a file of lines "base64 rank", read through Spark; its size is checked."""
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     if size > RANK_FILE_BYTES:
@@ -46,95 +56,159 @@ def load_ranks(spark, path: str) -> list[bytes]:
 
 #: Fixed value: the pattern whose pieces ``CONTRACTIONS`` stand first in.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PLANE = [*range(0xD800), *range(0xE000, 0x10000)]
 
 
 def splitter(pattern: str):
-    """The pattern with \\s and \\S meaning the Unicode property White_Space, as the rank files' library has it.
+    """``findall`` of the pattern with \\s and \\S meaning the Unicode property White_Space, as the rank files' library has it.
 
     Runs of letters and of numbers are tried before contractions: they begin with other characters, so
-    the pieces are the same.
+    the pieces are the same. Texts within the basic plane are split by a pattern that lists its characters
+    of a property as ranges, which the standard library matches faster.
     """
     runs = r" ?\p{L}+| ?\p{N}+"
     pattern = pattern.replace(f"{CONTRACTIONS}|{runs}", f"{runs}|{CONTRACTIONS}").replace(r"\p{L}+|", r"\p{L}++|").replace(r"\p{N}+|", r"\p{N}++|")
-    return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
-
-
-_BIT = [1 << k for k in range(64)]
-
-
-class Encoder(dict):
-    """Pre-token -> tuple of ids; short ones are kept.
-
-    The queue: ``buckets`` holds positions per rank, ``low`` has a bit per rank, ``mid`` a bit per word
-    of ``low``, and one number (``top``, within a merge) a bit per word of ``mid``. The queue is empty
-    between merges, so one serves all. Its few operations are written out where they are used: calls
-    would cost more than they do.
-    """
-
-    def __init__(self, tokens: list[bytes]):
-        super().__init__()
+    pattern = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
+    whole, plain = regex.compile(pattern).findall, _within_plane(pattern)
+    if plain is None:
+        return whole
+    return lambda text: (plain if text.isascii() or len(text.encode("utf-16-le", "replace")) == 2 * len(text) else whole)(text)
+
+
+def _within_plane(pattern: str):
+    """The pattern for the standard library: properties become ranges; None where it has more than that library knows."""
+    plane, known, inside, out = "".join(map(chr, _PLANE)), {}, False, []
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if part.startswith(r"\p{"):
+            if part not in known:
+                spans = regex.findall(part + "+", plane)
+                known[part] = "".join(re.escape(x[0]) + (f"-{re.escape(x[-1])}" if len(x) > 1 else "") for x in spans)
+            part = known[part] if inside else f"[{known[part]}]"
+        elif part[0] == "\\" and part[1:].isalpha() and part[1:] not in ("t", "r", "n", "x"):
+            return None
+        elif part == "[":
+            if inside:
+                return None
+            inside = True
+        elif part == "]":
+            inside = False
+        out.append(part)
+    return re.compile("".join(out)).findall
+
+
+class Vocabulary:
+    """Tokens by rank, with their bytes one after the other."""
+
+    def __init__(self, tokens: list[bytes | None]):
         self.tokens = tokens
         self.rank = {t: r for r, t in enumerate(tokens) if t is not None}
-        self.single = [self.rank.get(bytes([b]), -1) for b in range(256)]
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((len(tokens) >> 6) + 1)
-        self.mid = [0] * ((len(tokens) >> 12) + 1)
+        missing = [b for b in range(256) if bytes([b]) not in self.rank]
+        if missing:
+            raise ValueError(f"no token spells the bytes {missing}")
+        self.known = np.array([t is not None for t in tokens])
+        self.sizes = np.array([len(t or b"") for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of lists of ids that stand one after the other."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens) or not self.known[ids].all()):
+            wrong = [i for i in ids.tolist() if not 0 <= i < len(self.tokens) or not self.known[i]]
+            raise ValueError(f"no token has the id {wrong[0]}")
+        sizes = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        lists = np.concatenate(([0], np.cumsum(counts)))
+        return C.binaries(self.data[C.ranges(self.starts[ids], sizes)], np.diff(ends[lists]))
+
+
+class Encoder:
+    """Ids of texts. ``low`` has a bit per rank, ``mid`` a bit per word of ``low``, and one number (``top``,
+    within a merge) a bit per word of ``mid``. The queue is empty between merges, so one serves all. Its few
+    operations are written out where they are used: calls would cost more than they do.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.split = splitter(pattern)
+        self.tokens, self.rank = vocabulary.tokens, vocabulary.rank
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = np.array([self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32).reshape(256, 256)
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
+        self.low = [0] * ((len(self.tokens) >> 6) + 1)
+        self.mid = [0] * ((len(self.tokens) >> 12) + 1)
         self.pairs: dict[int, int] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.pop(piece, None) or self.merge(piece.encode("utf-8", "replace"))
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.older = {}
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and their number per text."""
+        found = [self.split(t) if t else [] for t in texts]
+        kept, older = self.kept.get, self.older.get
+        held: dict[str, bytes] = {}  # of these texts, small enough to be read fast
+        fresh: dict[str, bytes] = {}
+        unseen = []
+        for piece in set().union(*found):
+            ids = kept(piece)
+            if ids is None:
+                ids = older(piece)
+                if ids is None:
+                    unseen.append(piece)
+                    continue
+                fresh[piece] = ids
+            held[piece] = ids
+        start = 0
+        coded = [p.encode("utf-8", "replace") for p in unseen]
+        while start < len(coded):
+            stop, size = start, 0
+            while stop < len(coded) and (stop == start or size + len(coded[stop]) <= SHARED):
+                size += len(coded[stop])
+                stop += 1
+            fresh.update(zip(unseen[start:stop], self.merged(coded[start:stop]), strict=True))
+            start = stop
+        held.update(fresh)
+        parts = [b"".join(map(held.__getitem__, pieces)) for pieces in found]
+        for piece, ids in fresh.items():
+            if len(piece) <= KEPT_LENGTH:
+                self.kept[piece] = ids
+                self.kept_bytes += 200 + len(piece) + len(ids)
+        if self.kept_bytes > KEPT_BYTES:
+            self.older, self.kept, self.kept_bytes = self.kept, {}, 0
+        return np.frombuffer(b"".join(parts), np.int32), np.array([len(p) >> 2 for p in parts], np.int64)
 
     def pair(self, left: int, right: int) -> int:
         """Rank of the token that two tokens spell, or -1."""
         found = self.rank.get(self.tokens[left] + self.tokens[right], -1)
-        if len(self.pairs) >= 2 * KEPT:
+        if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
         self.pairs[left << 20 | right] = found
         return found
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.rank.get(piece)
-        if whole is not None:
-            return (whole,)
-        known, pair, buckets, low, mid, bit, top = self.pairs.get, self.pair, self.buckets, self.low, self.mid, _BIT, 0
-        part, n = [self.single[b] for b in piece], len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank at which the pair that starts here waits
-        pushes = []
-        for i in range(n - 1):
-            r = known(part[i] << 20 | part[i + 1])
-            if r is None:
-                r = pair(part[i], part[i + 1])
-            if r >= 0:
-                waiting[i] = r
-                pushes.append((r, i))
-        while True:
-            lower = False
-            for r, i in pushes:
-                bucket = buckets.get(r)
-                if bucket is None:
-                    buckets[r] = [i]
-                    j = r >> 6
-                    word = low[j]
-                    low[j] = word | bit[r & 63]
-                    if not word:
-                        k = r >> 12
-                        word = mid[k]
-                        mid[k] = word | bit[j & 63]
-                        if not word:
-                            top |= bit[k] if k < 64 else 1 << k
-                else:
-                    bucket.append(i)
-            if not top:
-                break
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as bytes of 32-bit numbers."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        ends = np.cumsum([len(p) for p in pieces])
+        boxed = np.ndarray.tolist if n < LONG else lambda cells: array("i", cells.astype(np.int32).tobytes())
+        ranks = np.append(self.byte_pairs[data[:-1], data[1:]], np.int32(-1))
+        ranks[ends - 1] = -1
+        whole = [self.rank.get(p, -1) for p in pieces]
+        for k in [k for k, r in enumerate(whole) if r >= 0]:  # a token itself: nothing to merge
+            ranks[ends[k] - len(pieces[k]):ends[k]] = -1
+        follow, precede = np.arange(1, n + 1), np.arange(-1, n - 1)
+        follow[ends - 1], precede[ends[:-1]] = n, -1
+        part, after, before, waiting = boxed(self.single[data]), boxed(follow), boxed(precede), boxed(ranks)
+        known, pair, low, mid = self.pairs.get, self.pair, self.low, self.mid
+        # The queue: positions that wait at each rank; of byte pairs, as slices of one sorted array.
+        order = np.argsort(ranks, kind="stable")
+        order = order[int(np.searchsorted(ranks[order], 0)):]
+        opens = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        first = dict(zip(ranks[order[opens]].tolist(), zip(opens.tolist(), [*opens[1:].tolist(), len(order)], strict=True), strict=True))
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        for r in first:
+            low[r >> 6] |= 1 << (r & 63)
+            mid[r >> 12] |= 1 << (r >> 6 & 63)
+            top |= 1 << (r >> 12)
+        while top:
             # Find first set, level by level; take that bucket.
             k = (top & -top).bit_length() - 1
             word = mid[k]
@@ -146,20 +220,24 @@ class Encoder(dict):
                 mid[k] = word = mid[k] & (mid[k] - 1)
                 if not word:
                     top &= top - 1
-            positions = buckets.pop(rank)
+            positions = buckets.pop(rank, [])
+            if rank in first:
+                a, b = first.pop(rank)
+                positions = order[a:b].tolist() + positions
             if len(positions) > 1:
                 positions.sort()
-            pushes = []
+            pushes, lower = [], False
             for k, i in enumerate(positions):
                 if waiting[i] != rank:
                     continue  # stale
                 j = after[i]
                 after[i] = end = after[j]
                 part[i] = rank
-                waiting[j] = waiting[i] = -1
+                part[j] = waiting[j] = waiting[i] = -1
                 if end < n:
                     before[end] = i
-                    r = known(rank << 20 | part[end])
+                    key = rank << 20 | part[end]
+                    r = known(key)
                     if r is None:
                         r = pair(rank, part[end])
                     if r >= 0:
@@ -178,61 +256,75 @@ class Encoder(dict):
                 if lower:  # a lower rank goes first; the rest of this bucket waits
                     pushes += [(rank, p) for p in positions[k + 1:] if waiting[p] == rank]
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(part[i])
-            i = after[i]
-        return tuple(out)
-
+            for r, i in pushes:
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    if r in first:
+                        continue
+                    j = r >> 6
+                    word = low[j]
+                    low[j] = word | 1 << (r & 63)
+                    if not word:
+                        k = r >> 12
+                        word = mid[k]
+                        mid[k] = word | 1 << (j & 63)
+                        if not word:
+                            top |= 1 << k
+                else:
+                    bucket.append(i)
+        cells = np.array(part, np.int32)
+        for k in [k for k, r in enumerate(whole) if r >= 0]:
+            a = ends[k] - len(pieces[k])
+            cells[a:ends[k]], cells[a] = -1, whole[k]
+        alive = cells >= 0
+        cuts = (np.concatenate(([0], np.cumsum(alive)[ends - 1])) * 4).tolist()
+        raw = cells[alive].tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-_encoders: dict[tuple, tuple] = C.worker_tables.setdefault("bpe", {})
 
+_encoders: dict[tuple, Encoder] = C.worker_tables.setdefault("bpe", {})
 
-def _encoder(key: tuple, tokens: list[bytes], pattern: str):
-    """One encoder per worker and vocabulary."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(tokens), splitter(pattern)
-    return _encoders[key]
 
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with the ids of ``text`` in a new column ``out`` (an array of int).
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns of ``docs`` with the ids of ``text`` in a new column ``out`` (an array of int)."""
+    With ``decoded``, the ids are decoded again in the same pass, into that column.
+    """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(load_ranks(spark, ranks_path))
+    held = spark.sparkContext.broadcast(Vocabulary(load_ranks(spark, ranks_path)))
+    key = (ranks_path, pattern)
 
     def run(batches):
-        encoder, split = _encoder((ranks_path, pattern), held.value, pattern)
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = Encoder(held.value, pattern)
         for part in C.slices(batches, text, keep="bpe"):
-            sizes, flat = [0], []
-            for t in part.column(text).to_pylist():
-                flat.extend(chain.from_iterable(map(encoder.__getitem__, split.findall(t or ""))))
-                sizes.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+            ids, counts = _encoders[key].encode(part.column(text).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
+            added = [lists] if decoded is None else [lists, held.value.decode(ids, counts)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=names)
 
-    kept = docs.drop(out)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, `{out}` array<int>")
+    kept = docs.select(*C.others(docs.columns, out, *([decoded] if decoded else [])))
+    added = [StructField(out, ArrayType(IntegerType())), *([StructField(decoded, BinaryType())] if decoded else [])]
+    names = [*kept.columns, *(f.name for f in added)]
+    return kept.mapInArrow(run, StructType([*kept.schema, *added]))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` with the bytes of ``ids`` in a new column ``out``."""
     spark = encoded.sparkSession
-    held = spark.sparkContext.broadcast(load_ranks(spark, ranks_path))
+    held = spark.sparkContext.broadcast(Vocabulary(load_ranks(spark, ranks_path)))
 
     def run(batches):
-        tokens = held.value
         for batch in batches:
-            values = pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in _lists(batch.column(ids))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
-
-    kept = encoded.drop(out)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, `{out}` binary")
-
-
-def _lists(column: pa.ListArray):
-    ends, values, valid = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
-    for k in range(len(column)):
-        yield values[ends[k]:ends[k + 1]].tolist() if valid[k] else None
+            lists = batch.column(ids)
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("an id is null")
+            values = held.value.decode(flat.to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(lists.is_valid(), values, pa.scalar(None, pa.binary()))], names=names)
+
+    kept = encoded.select(*C.others(encoded.columns, out))
+    names = [*kept.columns, out]
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField(out, BinaryType())]))

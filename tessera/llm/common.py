@@ -77,6 +77,14 @@ def others(columns: Iterable[str], *taken: str) -> list[str]:
     return [c for c in columns if c.lower() not in names]
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many signs added as it takes to clash with none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
