@@ -39,8 +39,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from . import common as C
 from .aligned import Passages, earliest
 
-#: Passages of one task of the search, in units.
-SHARD_UNITS = 8 << 20
+#: Passages of one task of the search, in bytes (a word is taken for six).
+SHARD_BYTES = 16 << 20
 #: Passages that one index holds, in bytes; whole anchors go on until it is reached.
 INDEX_BYTES = 2 << 20
 ANCHOR_UNITS = 1 << 20
@@ -276,7 +276,7 @@ def _answers(passages: DataFrame, units: Units, transform: Callable, total: int)
             for done in _indexes(pa.Table.from_batches(held).combine_chunks()):
                 yield answer(done, units, transform)
 
-    shards = max(1, -(-total // SHARD_UNITS))
+    shards = max(1, -(-total * (6 if units.words else 1) // SHARD_BYTES))
     return passages.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(run, ANSWERS)
 
 

@@ -11,8 +11,12 @@ Skew: a bucket with more than ``BUCKET`` classes is dealt anew by its other bits
 deep as needed), so no bucket is unbounded and none is capped. Buckets yield a spanning star of their
 links, not all pairs; where links are verified (``keep_one``), all pairs that are not yet in one group.
 
+Buckets are dealt over tasks whose number follows the rows, and streamed: a task holds some buckets, or one
+bucket's classes and some of those that probe it.
+
 Defined results: null or empty texts have no words and fingerprint zero, linked like any other; null
-ids take part, and a component of null ids only has a null id; repeated rows share a class.
+ids take part, and a component of null ids only has a null id; repeated rows share a class; empty tables
+give no rows; other columns, whatever their names, pass through ``keep_one`` and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ SEED = 42
 BUCKET = 4096
 #: What a row that probes costs, in comparisons.
 ROW_COST = 200.0
+#: Probing rows of one task, and of those that are compared at once.
+TASK_ROWS, HELD_ROWS = 1 << 20, 1 << 17
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -252,6 +258,34 @@ def _distinct_pairs(names: np.ndarray, keys: list[np.ndarray]) -> pa.Table:
     return pa.table({"u": names[found // n], "v": names[found % n]})
 
 
+def _streamed(batches, bits: int, compare):
+    """``compare`` over rows that come by bucket, those at home first: some buckets at once, or a part of one."""
+    def table_of(parts):
+        return pa.Table.from_batches(parts).combine_chunks()
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, HELD_ROWS):
+            held.append(batch.slice(start, HELD_ROWS))
+            rows += len(held[-1])
+            if rows < HELD_ROWS:
+                continue
+            whole = table_of(held)
+            key = whole.column("bucket").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from compare(whole.slice(0, cut), bits).to_batches()
+                rest = whole.slice(cut)
+            else:  # a bucket goes on: its own classes stay, to meet those that probe it yet
+                yield from compare(whole, bits).to_batches()
+                rest = whole.filter(whole.column("home"))
+            held = rest.combine_chunks().to_batches()
+            rows = 0 if not cut else len(rest)
+    if held:
+        yield from compare(table_of(held), bits).to_batches()
+
+
 def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool = False, compare=_compare) -> DataFrame:
     """(u, v): links between nodes that join the same nodes as all pairs within ``bits`` bits do.
 
@@ -260,7 +294,7 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     size class). ``compare`` may instead give ``_nearest`` links or, of nodes with a ``label``, all
     ``_crossing`` ones; these can occur more than once.
     """
-    spark, rows = classes.sparkSession, []
+    rows = []
     extra = [c for c in classes.columns if c == "label"]
     band = F.col("band") if banded else F.lit(0)
     for k, (mask, t, group) in enumerate(plan(classes, bits, band)):
@@ -273,14 +307,14 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     whole = rows[0]
     for r in rows[1:]:
         whole = whole.unionByName(r)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = None
     while True:
         # A bucket with no more free bits than ``bits`` holds few classes and stays.
         hot = C.written(whole.groupBy("bucket").agg(F.count_if("home").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
         any_hot = bool(hot.take(1))
         cold = whole.join(hot, "bucket", "left_anti") if any_hot else whole
-        stars = cold.withColumn("shard", F.pmod("bucket", F.lit(4 * parts))).groupBy("shard").applyInArrow(lambda t: compare(t, bits), "u long, v long")
+        tasks = max(1, -(-whole.count() // TASK_ROWS))
+        stars = cold.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.desc("home")).mapInArrow(lambda batches: _streamed(batches, bits, compare), "u long, v long")
         found = stars if found is None else found.unionByName(stars)
         if not any_hot:
             return found
@@ -317,21 +351,27 @@ def near_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- keep one of each group
 
+#: The fingerprints that look for candidates: each alone misses some of the pairs at the similarity.
+PRINTS = ("fp", "fp2")
+
+
 def _sizes_and_prints(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Fingerprints, and bands of the number of different shingles: sets in bands further apart than one are less similar."""
     step = np.log(max(1.25, 1 / similarity))
 
     def run(batches):
         for part in C.slices(batches, "text"):
-            found = []
+            prints: list[list[int]] = [[] for _ in PRINTS]
+            sizes = []
             for text in C.raw_texts(part.column("text")):
                 hashes = shingle_hashes(text, size)
-                found.append((majority(hashes), max(len(np.unique(hashes)), 1)))
-            fps = np.array([f for f, _ in found], np.uint64)
-            band = np.floor(np.log([n for _, n in found]) / step).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fps.view(np.int64)), pa.array(band)], ["doc_id", "node", "fp", "band"])
+                for k, own in enumerate(prints):
+                    own.append(majority(C.mix(hashes + np.uint64(k)) if k else hashes))
+                sizes.append(max(len(np.unique(hashes)), 1))
+            band = np.floor(np.log(sizes) / step).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints), pa.array(band)], ["doc_id", "node", *PRINTS, "band"])
 
-    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, fp long, band long")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, f"doc_id long, node long, {', '.join(f'{p} long' for p in PRINTS)}, band long")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -340,24 +380,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1) if len(a) or len(b) else 1.0
 
 
-def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
-    """The documents of which no near copy has a smaller id, with all their columns.
-
-    Texts within ``bits`` bits are candidates, if their size classes differ by at most one; groups are
-    the components of the candidate pairs whose shingle sets have the Jaccard ``similarity``. Each text
-    is first verified with its first and nearest candidates; then all candidate pairs that this has not
-    brought into one group are. Rows with the same id and text are one document; a null id is larger
-    than any other. No column of ``docs`` may be named ``_near_id`` or ``_near_node``.
-    """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", C.row_key())
-    prints = C.written(_sizes_and_prints(read, size, similarity), "prints")
-    # Equal texts are one node; nodes with equal fingerprints in a band are one class, named by the least of them.
-    nodes = C.written(prints.groupBy("node", "fp", "band").agg(F.min("doc_id").alias("first_id")), "nodes")
-    classes = C.written(nodes.groupBy("fp", "band").agg(F.min("node").alias("head")), "heads")
-    members = nodes.join(classes, ["fp", "band"]).select("node", "head")
-    near = C.written(links(classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest).distinct(), "near")
-    stars = near.unionByName(members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
-
+def similar_pairs(read: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of (u, v) pairs of nodes, those whose texts (``read``: node, text) have similar shingle sets."""
     def verify(batches):
         last, known = None, None
         for batch in batches:
@@ -369,28 +393,69 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
                     keep.append(jaccard(np.unique(shingle_hashes(a, size)), known) >= similarity)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(stars):
-        stars = C.written(stars, "candidates")
-        ends = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
-        texts = C.written(read.join(ends, "node").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
-        pairs = stars.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-        return C.written(pairs.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
-
-    first = verified(stars)
-    rooted = C.written(members.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    # A class whose members have several roots is apart from every other, and its members from each other.
-    roots = rooted.groupBy("head").agg(F.min("root").alias("root"), F.max("root").alias("last"))
-    label = F.when(F.col("root") == F.col("last"), F.col("root")).otherwise(F.xxhash64(F.lit("several"), "head"))
-    linked = near.select(F.col("u").alias("head")).union(near.select(F.col("v").alias("head"))).distinct()
-    labelled = C.written(classes.join(linked, "head").join(roots, "head").select("fp", F.col("head").alias("node"), "band", label.alias("label")), "labelled")
-    a, b = (rooted.select(F.col("node").alias(n), F.col("head").alias(f"{n}_head"), F.col("root").alias(f"{n}_root")) for n in "uv")
-    several = roots.where("root <> last").select(F.col("head").alias("u_head"), F.col("head").alias("v_head"))
-    crossing = links(labelled, bits, banded=True, compare=_crossing).distinct().select(F.col("u").alias("u_head"), F.col("v").alias("v_head"))
-    left = crossing.unionByName(several).join(a, "u_head").join(b, "v_head").where("u_root <> v_root AND (u_head <> v_head OR u < v)").select("u", "v")
-    held = components(first.unionByName(verified(left)))
+    pairs = C.written(pairs.distinct(), "candidates")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = C.written(read.join(ends, "node").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    found = C.written(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
+    C.forget(pairs, texts)
+    return found
+
+
+class _Candidates:
+    """The candidate pairs of one fingerprint. Nodes with equal fingerprints in a band are one class, named by its least node."""
+
+    def __init__(self, nodes: DataFrame, fp: str, bits: int):
+        self.bits = bits
+        nodes = nodes.select("node", F.col(fp).alias("fp"), "band")
+        self.classes = C.written(nodes.groupBy("fp", "band").agg(F.min("node").alias("head")), "heads")
+        self.members = nodes.join(self.classes, ["fp", "band"]).select("node", "head")
+        self.near = C.written(links(self.classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest).distinct(), "near")
+
+    def first(self) -> DataFrame:
+        """Pairs that touch every node that has candidates: with its class's head, its first and its nearest candidate."""
+        return self.near.unionByName(self.members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+
+    def rest(self, roots: DataFrame) -> DataFrame:
+        """All candidate pairs whose nodes have different ``roots`` (node, root)."""
+        rooted = C.written(self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        # A class whose members have several roots is apart from every other, and its members from each other.
+        of_class = rooted.groupBy("head").agg(F.min("root").alias("root"), F.max("root").alias("last"))
+        label = F.when(F.col("root") == F.col("last"), F.col("root")).otherwise(F.xxhash64(F.lit("several"), "head"))
+        linked = self.near.select(F.col("u").alias("head")).union(self.near.select(F.col("v").alias("head"))).distinct()
+        labelled = C.written(self.classes.join(linked, "head").join(of_class, "head").select("fp", F.col("head").alias("node"), "band", label.alias("label")), "labelled")
+        a, b = (rooted.select(F.col("node").alias(n), F.col("head").alias(f"{n}_head"), F.col("root").alias(f"{n}_root")) for n in "uv")
+        several = of_class.where("root <> last").select(F.col("head").alias("u_head"), F.col("head").alias("v_head"))
+        crossing = links(labelled, self.bits, banded=True, compare=_crossing).distinct().select(F.col("u").alias("u_head"), F.col("v").alias("v_head"))
+        pairs = crossing.unionByName(several).join(a, "u_head").join(b, "v_head").where("u_root <> v_root AND (u_head <> v_head OR u < v)")
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The documents of which no near copy has a smaller id, with all their columns.
+
+    Texts within ``bits`` bits by one of two independent fingerprints are candidates, if their size classes
+    differ by at most one; groups are the components of the candidate pairs whose shingle sets have the
+    Jaccard ``similarity``. Each text is first verified with its first and nearest candidates; then all
+    candidate pairs that this has not brought into one group are. Rows with the same id and text are one
+    document, of which all rows stay or go; a null id is larger than any other; null and empty texts are
+    copies of each other; an empty table gives no rows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("node", C.row_key())
+    prints = C.written(_sizes_and_prints(read, size, similarity), "prints")
+    # Equal texts are one node.
+    nodes = C.written(prints.groupBy("node", *PRINTS, "band").agg(F.min("doc_id").alias("first_id")), "nodes")
+    searches = [_Candidates(nodes, fp, bits) for fp in PRINTS]
+    ordered = [s.first().select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")) for s in searches]
+    first = similar_pairs(read, ordered[0].unionByName(ordered[1]), size, similarity)
+    roots = C.written(components(first), "roots")
+    left = [s.rest(roots) for s in searches]
+    held = components(first.unionByName(similar_pairs(read, left[0].unionByName(left[1]), size, similarity)))
     rooted = nodes.join(held, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     of_node = rooted.join(least, "root").select("node", "least_id")
     later = prints.join(of_node, "node").where((F.col("doc_id") > F.col("least_id")) | (F.col("doc_id").isNull() & F.col("least_id").isNotNull()))
-    gone = C.written(later.select(F.col("doc_id").alias("_near_id"), F.col("node").alias("_near_node")).distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_near_node")), "left_anti")
+    near_id, near_node = C.unused(docs.columns, "near_id"), C.unused(docs.columns, "near_node")
+    gone = C.written(later.select(F.col("doc_id").alias(near_id), F.col("node").alias(near_node)).distinct(), "near-copies")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(near_id)) & (F.xxhash64(text) == F.col(near_node)), "left_anti")

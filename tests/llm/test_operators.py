@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ def repeated(docs, words, size):
 def test_repeats(spark, monkeypatch, words, tight):
     """tight: many shards and indexes, and anchors with more passages than one may hold."""
     if tight:
-        for name, value in (("SHARD_UNITS", 3000), ("INDEX_BYTES", 500), ("ANCHOR_UNITS", 40), ("CHUNK", 64)):
+        for name, value in (("SHARD_BYTES", 3000), ("INDEX_BYTES", 500), ("ANCHOR_UNITS", 40), ("CHUNK", 64)):
             monkeypatch.setattr(passages, name, value)
     docs = sentences(1 + words)
     module, size, gram = (fm_index, 6, 3) if words else (run_index, 12, 5)
@@ -184,6 +185,18 @@ def test_merge_order_may_go_down():
     assert np.frombuffer(got, np.int32).tolist() == [table[p] for p in parts]
 
 
+def test_both_splitters_agree(ranks):
+    """Texts with characters beyond the basic plane are split by the other library."""
+    pick = random.Random(5)
+    plane = [chr(c) for c in bpe._PLANE]
+    pick.shuffle(plane)
+    split = bpe.splitter(ranks[2])
+    texts = ["".join(plane), " ".join(plane), "".join(x + pick.choice(["a", " ", "1", "\n ", "'s"]) for x in plane)]
+    for text in texts:
+        assert split(text + " z") == split(text + " z \U0001F600")[:-1]
+    assert bpe._within_plane(r"\w+") is None and bpe._within_plane(ranks[2]) is not None
+
+
 def test_long_pre_tokens_and_unknown_ids(ranks, monkeypatch):
     tiktoken = pytest.importorskip("tiktoken")
     path, table, pattern = ranks
@@ -263,17 +276,18 @@ def test_keep_one(spark):
     near = [*base]
     near[100] = "other"
     texts = [(5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (1, " ".join(pick.choice(words) for _ in range(200))), (11, None), (12, ""), (13, "few words"), (None, " ".join(base)), (None, "only here")]
-    kept = simhash.keep_one(documents(spark, texts))
+    kept = simhash.keep_one(documents(spark, texts).withColumn("NEAR_ID", F.lit(1)).withColumn("near_node", F.lit(2))).drop("near_id", "near_node")
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 3, 11, 13]
     assert kept.columns == documents(spark, []).columns and simhash.keep_one(documents(spark, [])).count() == 0
 
 
 def kept_by_brute_force(texts, size=5, bits=12, similarity=0.8):
-    prints = [simhash.fingerprint(t.encode(), size) for _, t in texts]
-    sets = [set(simhash.shingle_hashes(t.encode(), size).tolist()) for _, t in texts]
+    hashes = [simhash.shingle_hashes(t.encode(), size) for _, t in texts]
+    prints = [[simhash.majority(C.mix(h + np.uint64(k)) if k else h) for k in range(2)] for h in hashes]
+    sets = [set(h.tolist()) for h in hashes]
     group = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if (prints[a] ^ prints[b]).bit_count() <= bits and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+        if any((x ^ y).bit_count() <= bits for x, y in zip(prints[a], prints[b], strict=True)) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
             group = [group[a] if g == group[b] else g for g in group]
     least = {}
     for (i, _), g in zip(texts, group, strict=True):
@@ -317,6 +331,45 @@ def test_keep_one_tests_all_candidate_pairs(spark):
     assert sorted(kept) == kept_by_brute_force(texts)
 
 
+def test_keep_one_finds_nearly_all_pairs(spark):
+    """Against all pairs by Jaccard similarity alone, of the given table and of edited copies near the threshold."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    pick = random.Random(11)
+    for k in range(60):
+        base = [f"w{pick.getrandbits(40)}" for _ in range(400)]
+        rows += [(100000 + 2 * k, " ".join(base)), (100001 + 2 * k, " ".join(edited(base, pick, 3 + k % 6)))]
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)).tolist() for _, t in rows]
+    holders = {}
+    for k, own in enumerate(sets):
+        for h in own:
+            holders.setdefault(h, []).append(k)
+    both = Counter(p for ks in holders.values() if len(ks) < 200 for p in itertools.combinations(ks, 2))
+    pairs = {p for p, n in both.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) and rows[p[0]][1] != rows[p[1]][1]}
+    read = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.xxhash64("text"))
+    nodes = simhash._sizes_and_prints(read, 5, 0.8).select("node", *simhash.PRINTS, "band").distinct()
+    node = {r.doc_id: r.node for r in read.select("doc_id", "node").collect()}
+    found = set()
+    for fp in simhash.PRINTS:
+        search = simhash._Candidates(nodes, fp, 12)
+        none = spark.createDataFrame([], "node long, root long")
+        found |= {tuple(sorted((r.u, r.v))) for r in search.first().unionByName(search.rest(none)).collect()}
+    want = {tuple(sorted((node[rows[a][0]], node[rows[b][0]]))) for a, b in pairs}
+    assert len(want) >= 60 and len(want & found) >= 0.95 * len(want)
+
+
+def test_streamed_buckets_give_all_pairs(monkeypatch):
+    """Any cut into batches and pieces finds what one piece finds."""
+    pick = random.Random(3)
+    rows = sorted(((pick.randrange(3), pick.random() < 0.6, pick.getrandbits(3), k) for k in range(80)), key=lambda r: (r[0], not r[1]))
+    whole = pa.table({"bucket": [r[0] for r in rows], "fp": [r[2] for r in rows], "node": [r[3] for r in rows], "home": [r[1] for r in rows], "label": [r[3] for r in rows]})
+    pairs = lambda t: set(zip(t["u"].to_pylist(), t["v"].to_pylist(), strict=True))
+    want = pairs(simhash._crossing(whole, 1))
+    for held, size in ((1000, 7), (10, 4), (3, 80)):
+        monkeypatch.setattr(simhash, "HELD_ROWS", held)
+        got = set().union(*(pairs(pa.Table.from_batches([b])) for b in simhash._streamed(whole.to_batches(max_chunksize=size), 1, simhash._crossing)))
+        assert got == want
+
+
 def test_keep_one_of_texts_that_repeat(spark):
     pick = random.Random(7)
     base = [f"w{pick.getrandbits(40)}" for _ in range(300)]
@@ -368,6 +421,21 @@ def test_url_rules_and_templates(spark):
     assert got[203][2:] == (None, "block")  # the host's other templates are all blocked
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    none = url_templates.judge(spark.createDataFrame([], "page_id long, url string, HOST int"))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "host", "path", "template", "rule", "verdict"]
+
+
+def test_url_tree(spark):
+    """Branches are told apart by their parents, merged where alike, with all that is below them."""
+    urls = [f"http://h.com/{a}/{b}/{k}" for a in ("one", "two") for b in ("x", "y") for k in range(10)] + [f"http://h.com/p{k}/x" for k in range(5)] + ["http://h.com/one/x/0/" + "d/" * 20, "http://h.com/"]
+    rules = (("block", "h.com", "/one/x/"), ("allow", "h.com", "/one/y/"))
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    got = {r.url: (r.template, r.verdict) for r in url_templates.judge(pages, rules).collect()}
+    # one and two: two has no labels, so it is merged with one; x and y differ in their labels.
+    assert got["http://h.com/one/x/3"] == ("/#/x/?", "block") == got["http://h.com/two/x/4"]
+    assert got["http://h.com/one/y/3"] == ("/#/y/?", "allow") == got["http://h.com/two/y/4"]
+    assert got["http://h.com/p3/x"][0] == "/?/x" and got["http://h.com/"] == ("/", "allow")
+    assert got[urls[-2]][0].startswith("/#/x/") and got[urls[-2]][0].endswith("/**")
 
 
 # ---------------------------------------------------------------- pages
@@ -381,6 +449,63 @@ def test_main_text(page, text):
     assert main_text.main_text(page) == text
 
 
+LONG = "A sentence of some length, with marks; and another part of it. "
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # Sibling articles, linked sentences, short paragraphs and unmarked headings stay.
+    (f"<body><nav><a href=x>One</a> <a>Two</a></nav><article><p>{LONG * 4}</p><p><a href=y>{LONG}</a></p><p>Yes.</p></article><article><p>{LONG * 2}</p></article></body>", (LONG * 4 + LONG + "Yes. " + LONG * 2).strip()),
+    (f"<div class=top-menu><ul><li><a>Home</a><li><a>News</a></ul></div><div class=c><h2>Title here</h2><p>{LONG * 3}<p>Short.</div><div class='sidebar'><p>{LONG}</p></div><footer><p>{LONG}</p></footer>", ("Title here " + LONG * 3 + "Short.").strip()),
+    # Readers' comments, notices and links are no article, however long.
+    (f"<main><h1>T</h1><p>{LONG * 2}</p></main><section id=comments><p>{LONG * 9}</p></section><div class=cookie-notice><p>{LONG * 5}</p></div><div><p>{LONG}</p></div>", ("T " + LONG * 2).strip()),
+    (f"<body><ul><li><a>{LONG}</a></li><li><a>{LONG}</a></li></ul></body>", "")])
+def test_main_text_by_path_scores(page, text):
+    assert main_text.main_text(page) == text
+
+
+def test_main_text_takes_and_leaves_whole_paths(monkeypatch):
+    page = f"<nav><p>One two.</p></nav><article><h1>T</h1><p>{LONG}</p><p>No</p></article><footer>F, f.</footer>"
+    found = main_text.blocks(page)
+    score, threshold = main_text.scores(found)
+    assert {p for p, s in score.items() if s >= threshold} == {"/article*/h1", "/article*/p"}
+    monkeypatch.setattr(main_text, "THRESHOLD", 0.0)
+    assert main_text.main_text(page) == f"One two. T {LONG}No F, f."
+
+
+def test_main_text_of_planted_articles(spark):
+    """Pages of the given table mark their articles: a plain parser reads them."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.parts += " " * (tag != "b")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in main_text.extract(pages).collect()}
+    exact = 0
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        want, have = "".join(parser.parts).split(), got[r.page_id].split()
+        both = sum((Counter(want) & Counter(have)).values())
+        assert 2 * both >= 0.99 * (len(want) + len(have))
+        exact += want == have
+    assert exact >= 0.99 * len(got)
+
+
 def test_main_text_of_a_table(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>Some, text.</p></article>", "x"), (None, None, None, None), (1, "u", "<p>" + "word, " * 50000, "x")], "page_id long, url string, html string, text string")
     got = main_text.extract(rows).collect()
@@ -480,7 +605,7 @@ def test_toxicity_held_out(spark):
     assert len(held) > 50 and sum(p == y for p, y in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 for r in rows) and all(r.score < 0.5 for r in rows if r.doc_id in (2000, 2001, 2002))
     r = next(r for r in rows if r.doc_id == 0)
-    found = {texts[0][1].lower().encode()[s.start:s.stop].decode() for s in r.spans}
+    found = {texts[0][1].encode()[s.start:s.stop].decode().lower() for s in r.spans}
     assert found <= set(bad) and found
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.5 for r in rows)
@@ -492,17 +617,50 @@ def test_toxicity_without_labels(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.0}
 
 
-def test_marginals_equal_enumeration():
+def test_marginals_equal_enumeration(monkeypatch):
+    """Blocks and groups of any size give the whole chain's marginals."""
     pick = np.random.default_rng(1)
     chain = toxicity.Chain(np.empty(0, np.uint64))
-    chain.moves = pick.normal(size=(2, 2))
-    lead = pick.normal(size=(3, 5))
-    sizes = np.array([5, 3, 1])
-    got, _, logs = chain.marginals(np.where(np.arange(5) < sizes[:, None], lead, 0), sizes)
-    for c, n in enumerate(sizes):
-        total, on = 0.0, np.zeros(n)
-        for y in itertools.product((0, 1), repeat=int(n)):
-            w = np.exp(sum(lead[c, t] * y[t] for t in range(n)) + sum(chain.moves[y[t - 1], y[t]] for t in range(1, n)))
+    chain.moves = pick.normal(size=(2, 2)) * 2
+    counts = [0, 7, 3, 0, 1, 10, 2]
+    first = np.concatenate(([0], np.cumsum(counts)))
+    lead = pick.normal(size=first[-1]) * 2
+    want, pairs = np.zeros(len(lead)), np.zeros((2, 2))
+    for a, b in itertools.pairwise(first):
+        total, on, joint = 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=int(b - a)):
+            w = np.exp(sum(lead[a + t] * y[t] for t in range(b - a)) + sum(chain.moves[y[t - 1], y[t]] for t in range(1, b - a)))
             total += w
             on += w * np.array(y)
-        assert np.allclose(got[c, :n], on / total) and np.isclose(logs[c], np.log(total))
+            for t in range(1, b - a):
+                joint[y[t - 1], y[t]] += w
+        want[a:b] = on / total
+        pairs += joint / total
+    for block, held in ((64, 4096), (2, 4096), (3, 1), (1, 2)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "HELD", held)
+        got, joint = chain.marginals(lead, first)
+        assert np.allclose(got, want) and np.allclose(joint, pairs)
+
+
+def test_a_chain_carries_beyond_its_blocks():
+    chain = toxicity.Chain(np.empty(0, np.uint64))
+    chain.moves = np.array([[3.0, -3.0], [-3.0, 3.0]])
+    lead = np.zeros(200)
+    lead[0] = 4.0
+    got, _ = chain.marginals(lead, np.array([0, 200]))
+    # Of a chain whose words say nothing but the first, P(toxic) nears one half by the power of the moves.
+    ahead, move = np.array([1.0, np.exp(4.0)]), np.exp(chain.moves)
+    for t in range(1, 120):
+        ahead = ahead @ move
+        ahead /= ahead.sum()
+    assert abs(got[119] - ahead[1]) < 1e-9 and got[119] > 0.55
+
+
+def test_toxic_offsets_are_those_of_the_text():
+    texts = ["\u0130stanbul \u1e9e VILE Rotten", "\u212ael vile", "plain VILE", None]
+    for t, low in zip(texts, toxicity.lowered(texts), strict=True):
+        raw = (t or "").encode()
+        assert len(low) == len(raw)
+        at = low.find(b"vile")
+        assert at < 0 or raw[at:at + 4].lower() == b"vile"
