@@ -3,46 +3,50 @@
 Every Arrow slice of documents is a shard with its own (sparse) suffix array: the suffixes that begin
 with a few words that also begin some test suffix, sorted by their words to the depth of a window.
 Each test window is then searched by binary search, one word of depth at a time and all windows at
-once, which gives its longest match (no longer than the window, and reported from ``REPORTED`` words
-on) and, at window depth, all its places in the shard. The text never
-moves; only the test side is broadcast, in blocks of ``BLOCK_BYTES`` whose size is checked first.
+once, which gives all its places in the shard. The suffixes of the array are searched in turn, by binary
+search among the sorted test suffixes, for the longest stretch of words that they share with any (from
+``LEAD`` words on), and where. The text never moves; only the test side is broadcast, in blocks of
+``BLOCK_BYTES`` whose size is checked first, each with one pass over the documents.
 
 Defined results: null or empty texts have no words and are clean; items that are null, empty or have
 a null id take no part; items with equal ids count once; repeated documents are judged each by itself;
-columns of the documents other than ``doc_id`` and ``text`` are neither read nor needed by ``find``.
-Memory: one slice, or one text if longer, plus one block of test windows.
+columns of the documents other than ``doc_id`` and ``text`` are not read by ``find`` and pass through
+``clean``, whatever their names; an empty table of either kind gives no rows, or no hits; of equally long
+matches the first in the document is given, and any one of the places in the items.
+Memory: one slice, or one text if longer, plus one block of test items (about ten times its bytes).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Words by which a suffix is chosen for the sparse array.
 LEAD = 3
-#: Words from which a match that is no whole window is reported as a longest match.
-REPORTED = 8
 
-MATCHES = "doc_id long, text_key long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, longest int"
+MATCHES = "doc_id long, text_key long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, longest int, longest_at int, longest_item string, longest_item_at int"
 
 
 class Tests:
-    """The windows of a block of items: distinct rows of word hashes, each with the items that hold it."""
+    """A block of items: their windows, distinct rows of word hashes each with the items that hold it, and their sorted suffixes."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         words = C.Words([t.encode() for _, t in items], C.PLAIN, lower=True)
-        hashes, first = words.hashes(), words.first
+        self.hashes, self.first = words.hashes(), words.first
+        self.names = [i for i, _ in items]
         found: dict[bytes, tuple[int, set[str]]] = {}
         for d, (item, _) in enumerate(items):
-            row = hashes[first[d]:first[d + 1]]
+            row = self.hashes[self.first[d]:self.first[d + 1]]
             size = min(window, len(row))
             for i in range(len(row) - size + 1 if size else 0):
                 found.setdefault(row[i:i + size].tobytes(), (size, set()))[1].add(item)
@@ -53,7 +57,31 @@ class Tests:
         for r, k in enumerate(keys):
             self.words[r, :self.sizes[r]] = np.frombuffer(k, np.uint64)
         self.lead = int(min(LEAD, self.sizes.min(initial=LEAD)))
-        self.leads = np.unique(lead_hashes(self.words, self.lead)) if keys else np.empty(0, np.uint64)
+        # Suffixes of all items, each up to its item's end.
+        self.ends = np.repeat(self.first[1:], np.diff(self.first))
+        self.suffixes = suffix_order(self.hashes, self.ends)
+        self.total = C.running(self.hashes, C.WORD_BASE)
+        begins = np.flatnonzero(np.arange(len(self.hashes)) + self.lead <= self.ends)
+        rows = self.hashes[begins[:, None] + np.arange(self.lead)]
+        self.leads = np.unique(lead_hashes(rows, self.lead)) if len(rows) else np.empty(0, np.uint64)
+
+
+def suffix_order(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffixes in the order of their words' hashes, by doubling; one that ends goes before those that go on."""
+    n, span = len(hashes), 1
+    if not n:
+        return np.empty(0, np.int64)
+    place = np.arange(n)
+    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
+    while True:
+        ahead = np.minimum(place + span, n - 1)
+        key = rank * (n + 2) + np.where(place + span < ends, rank[ahead], 0)
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+        span *= 2
+        if span >= (ends - place).max():
+            return order
 
 
 def lead_hashes(columns: np.ndarray, lead: int) -> np.ndarray:
@@ -64,7 +92,7 @@ def lead_hashes(columns: np.ndarray, lead: int) -> np.ndarray:
 
 
 class SuffixArray:
-    """Suffixes of the words of one shard, sorted to the depth of a window.
+    """Suffixes of the words of one shard that begin as some test suffix does, sorted to the depth of a window.
 
     Words are ranked by their hash; a place past the end of its document ranks below all words.
     """
@@ -83,23 +111,47 @@ class SuffixArray:
         columns = np.where(steps < left[:, None], columns, np.uint64(0))
         order = np.lexsort(columns.T[::-1])
         self.places, self.columns = self.places[order], np.ascontiguousarray(columns[order].T)
-
-    def search(self, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each test window its longest match, and the interval of suffixes that begin with that."""
+        self.hashes, self.text_ends = hashes, text_ends
+
+    def longest(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of the array, the length of its longest match with a test suffix, and that suffix's place."""
+        total, places = C.running(self.hashes, C.WORD_BASE), self.places
+        left = self.text_ends[places] - places
+        best, where = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(tests.suffixes))
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            own, other = places[open_], tests.suffixes[mid]
+            most = np.minimum(left[open_], tests.ends[other] - other)
+            # Words in common, by bisection on hashes of stretches.
+            a, b = np.zeros(len(own), np.int64), most.copy()
+            while (a < b).any():
+                half = (a + b + 1) >> 1
+                same = C.span_of(total, own, own + half, C.WORD_BASE) == C.span_of(tests.total, other, other + half, C.WORD_BASE)
+                a, b = np.where(same, half, a), np.where(same, b, half - 1)
+            longer = a > best[open_]
+            best[open_[longer]], where[open_[longer]] = a[longer], other[longer]
+            # The test suffix is the smaller one if it ends here or goes on with a smaller word.
+            goes_on = a < most
+            mine = self.hashes[np.minimum(own + a, len(self.hashes) - 1)]
+            theirs = tests.hashes[np.minimum(other + a, len(tests.hashes) - 1)]
+            smaller = np.where(goes_on, theirs < mine, other + a == tests.ends[other])
+            lo[open_[smaller]], hi[open_[~smaller]] = mid[smaller] + 1, mid[~smaller]
+        return best, where
+
+    def search(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+        """For each test window the interval of suffixes that begin with it; empty if none does."""
         k = len(tests.sizes)
-        lo, hi, longest = np.zeros(k, np.int64), np.full(k, len(self.places)), np.zeros(k, np.int64)
+        lo, hi = np.zeros(k, np.int64), np.full(k, len(self.places))
         live = np.arange(k)
         for t in range(len(self.columns)):
-            live = live[tests.sizes[live] > t]
+            live = live[(tests.sizes[live] > t) & (lo[live] < hi[live])]
             if not len(live):
                 break
             column, wanted, a, b = self.columns[t], tests.words[live, t], lo[live], hi[live]
-            new_lo = bisect(column, wanted, a, b, right=False)
-            new_hi = bisect(column, wanted, new_lo, b, right=True)
-            there = new_lo < new_hi
-            live = live[there]
-            lo[live], hi[live], longest[live] = new_lo[there], new_hi[there], t + 1
-        return lo, hi, longest
+            lo[live] = bisect(column, wanted, a, b, right=False)
+            hi[live] = bisect(column, wanted, lo[live], b, right=True)
+        return lo, hi
 
 
 def bisect(column: np.ndarray, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
@@ -113,35 +165,47 @@ def bisect(column: np.ndarray, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarra
     return lo
 
 
-def scan(texts: list[bytes], tests: Tests) -> Iterator[tuple[int, list[tuple[int, int]], list[str], int]]:
-    """Per text: number of words, merged word spans that are hit, items found, words of the longest match."""
+class Scan(NamedTuple):
+    """Of one text: its words, merged word spans that are hit, items found, its longest match: words, place, item, place there."""
+
+    n_words: int
+    spans: list[tuple[int, int]]
+    items: list[str]
+    longest: int
+    at: int | None
+    item: str | None
+    item_at: int | None
+
+
+def scan(texts: list[bytes], tests: Tests, matches: bool = True) -> Iterator[Scan]:
+    """The findings of every text; without ``matches``, longest ones are not looked for."""
     words = C.Words(texts, C.PLAIN, lower=True)
     n, counts = len(words.starts), words.counts()
     hits: dict[int, tuple[list[tuple[int, int]], list[str]]] = {}
-    best = np.zeros(len(texts), np.int64)
+    longest: dict[int, tuple[int, int, str, int]] = {}
     if n and len(tests.sizes):
         array = SuffixArray(words.hashes(), np.repeat(words.first[1:], counts), tests)
-        lo, hi, longest = array.search(tests)
-        part = np.flatnonzero((longest > 0) & ((longest == tests.sizes) | (longest >= REPORTED)))
-        owner = np.repeat(part, hi[part] - lo[part])
-        places = array.places[C.ranges(lo[part], hi[part] - lo[part])]
+        best, where = array.longest(tests) if matches else (np.empty(0, np.int64),) * 2
+        of = np.searchsorted(words.first, array.places[:len(best)], "right") - 1
+        order = np.lexsort((array.places[:len(best)], -best, of))
+        for k in order[np.diff(of[order], prepend=-1) != 0].tolist():
+            d, item = int(of[k]), int(np.searchsorted(tests.first, where[k], "right") - 1)
+            longest[d] = int(best[k]), int(array.places[k] - words.first[d]), tests.names[item], int(where[k] - tests.first[item])
+        lo, hi = array.search(tests)
+        owner = np.repeat(np.arange(len(lo)), hi - lo)
+        places = array.places[C.ranges(lo, hi - lo)]
         doc = np.searchsorted(words.first, places, "right") - 1
-        np.maximum.at(best, doc, longest[owner])
-        whole = longest[owner] == tests.sizes[owner]
-        owner, places, doc = owner[whole], places[whole], doc[whole]
         covered = C.marked(places, places + tests.sizes[owner], n)
         edges = np.flatnonzero(np.diff(covered.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         pairs = np.unique(np.stack([doc, owner]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
         for d, first, last in zip(*[x.tolist() for x in _runs(pairs[0])], strict=True):
             names = sorted({i for r in pairs[1][first:last].tolist() for i in tests.items[r]})
             a, b = words.first[d], words.first[d + 1]
-            cuts = np.concatenate(([a], edges[(edges > a) & (edges < b)], [b])) if len(edges) < 64 else np.concatenate(
-                ([a], edges[np.searchsorted(edges, a, "right"):np.searchsorted(edges, b)], [b]))
+            cuts = np.concatenate(([a], edges[np.searchsorted(edges, a, "right"):np.searchsorted(edges, b)], [b]))
             spans = [(int(s - a), int(e - a)) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if covered[s]]
             hits[d] = spans, names
     for d, count in enumerate(counts.tolist()):
-        spans, names = hits.get(d, ([], []))
-        yield count, spans, names, int(best[d])
+        yield Scan(count, *hits.get(d, ([], [])), *longest.get(d, (0, None, None, None)))
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,24 +220,26 @@ def tainted(n_words: int, spans: list[tuple[int, int]], share: int = 20) -> bool
     return n_hit > 0 and share * n_hit >= n_words
 
 
-def blocks(items: DataFrame, window: int) -> list:
-    """Test sides of checked size, each ready to be broadcast."""
+def blocks(items: DataFrame, window: int) -> Iterator[Tests]:
+    """Test sides of checked size, each ready to be broadcast; one at a time."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(
         "item_id IS NOT NULL AND text IS NOT NULL AND text <> ''").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // BLOCK_BYTES))
-    out = []
     for b in range(count):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).collect()
-        out.append(Tests([(r.item_id, r.text) for r in rows], window))
-    return out
+        yield Tests(sorted((r.item_id, r.text) for r in rows), window)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+_MATCHES = pa.schema([
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_at", pa.int32()), ("longest_item", pa.string()),
+    ("longest_item_at", pa.int32())])
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: its words, the spans that are hit, the items found there, the longest match."""
+    """One row per document: its words, the spans that are hit, the items found there, and its longest match with its places."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.row_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(
-        pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string())), ("longest", pa.int32())])
 
     def over(tests):
         held = docs.sparkSession.sparkContext.broadcast(tests)
@@ -181,9 +247,9 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         def run(batches):
             for part in C.slices(batches, "text"):
                 rows = list(scan(C.raw_texts(part.column("text")), held.value))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([r[0] for r in rows], pa.int64()), pa.array(
-                    [[{"start": s, "stop": e} for s, e in r[1]] for r in rows], schema.field("spans").type), pa.array([r[2] for r in rows], schema.field(
-                    "items").type), pa.array([r[3] for r in rows], pa.int32())], schema=schema)
+                spans = [[{"start": s, "stop": e} for s, e in r.spans] for r in rows]
+                own = [[r[k] for r in rows] if k != 1 else spans for k in range(7)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *(pa.array(v, f.type) for v, f in zip(own, list(_MATCHES)[2:], strict=True))], schema=_MATCHES)
 
         return docs.mapInArrow(run, MATCHES)
 
@@ -194,20 +260,29 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    whole = whole.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(
-        F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), F.floor(F.count("*") / len(parts)).alias("copies"))
-    merge = F.udf(_merged, "array<struct<start:int,stop:int>>")
-    return whole.withColumn("spans", merge("spans")).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-
-
-def _merged(spans):
-    out: list[list[int]] = []
-    for s, e in spans:
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    best = F.struct("longest", (-F.col("longest_at")).alias("before"), "longest_item", "longest_item_at")
+    whole = whole.groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max(best).alias("best"), F.floor(F.count("*") / len(parts)).alias("copies"))
+    rows = whole.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("doc_id", "text_key", "n_words", "spans", "items", "best.longest", (-F.col("best.before")).alias("longest_at"), "best.longest_item", "best.longest_item_at").mapInArrow(_merged, MATCHES)
+
+
+def _merged(batches):
+    """Overlapping and touching spans as one."""
+    for batch in batches:
+        first = np.concatenate(([0], np.cumsum(batch.column("n_words").to_numpy() + 1)))  # texts do not touch
+        found = batch.column("spans")
+        own = np.repeat(first[:-1], pc.list_value_length(found).to_numpy())
+        cuts = found.flatten()
+        covered = C.marked(cuts.field("start").to_numpy() + own, cuts.field("stop").to_numpy() + own, int(first[-1]))
+        edges = np.flatnonzero(np.diff(covered.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        opens, closes = edges[0::2], edges[1::2]
+        row = np.searchsorted(first, opens, "right") - 1
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(batch))))).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array((x - first[row]).astype(np.int32)) for x in (opens, closes)], ["start", "stop"])
+        columns = [pa.ListArray.from_arrays(pa.array(ends), spans) if c == "spans" else batch.column(c) for c in _MATCHES.names]
+        yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, _MATCHES, strict=True)], schema=_MATCHES)
 
 
 def with_verdict(found: DataFrame, share: int = 20) -> DataFrame:
@@ -218,15 +293,16 @@ def with_verdict(found: DataFrame, share: int = 20) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    tests = blocks(items, window)
-    if len(tests) > 1:
-        bad = with_verdict(find(docs, items, window), share).where("contaminated").select(F.col("doc_id").alias("_taint_id"), F.col("text_key").alias("_taint_key")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_taint_id")) & (C.row_key() == F.col("_taint_key")), "left_anti")
-    held = docs.sparkSession.sparkContext.broadcast(tests[0])
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > BLOCK_BYTES:  # several passes: their findings are brought together first
+        taint_id, taint_key = C.unused(docs.columns, "taint_id"), C.unused(docs.columns, "taint_key")
+        bad = with_verdict(find(docs, items, window), share).where("contaminated").select(F.col("doc_id").alias(taint_id), F.col("text_key").alias(taint_key)).distinct()
+        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(taint_id)) & (C.row_key() == F.col(taint_key)), "left_anti")
+    held = docs.sparkSession.sparkContext.broadcast(next(blocks(items, window)))
 
     def run(batches):
         for part in C.slices(batches, "text"):
-            rows = scan(C.raw_texts(part.column("text")), held.value)
-            yield part.filter(pa.array([not tainted(r[0], r[1], share) for r in rows], pa.bool_()))
+            rows = scan(C.raw_texts(part.column("text")), held.value, matches=False)
+            yield part.filter(pa.array([not tainted(r.n_words, r.spans, share) for r in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

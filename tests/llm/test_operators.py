@@ -572,15 +572,37 @@ def test_decontamination(spark, monkeypatch, block):
     table = spark.createDataFrame(items, "item_id long, text string")
     found = decontam.with_verdict(decontam.find(documents(spark, docs), table)).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in found} == contaminated(docs, items)
-    clean = decontam.clean(documents(spark, docs), table)
+    clean = decontam.clean(documents(spark, docs).withColumn("TAINT_ID", F.lit(1)), table)
     assert {r.doc_id for r in clean.collect()} == {d for d, v in contaminated(docs, items).items() if not v[3]} and "h" in clean.columns
     assert decontam.find(documents(spark, docs), table.where("false")).where("size(items) > 0").count() == 0
 
 
-def test_longest_match(spark):
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_longest_match(spark, monkeypatch, block):
+    """Against direct comparison of all places; several blocks agree with one."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     words = [f"w{i}" for i in range(40)]
-    found = decontam.find(documents(spark, [(1, " ".join(words[5:15])), (2, " ".join(words))]), spark.createDataFrame([("q", " ".join(words[:30]))], "item_id string, text string")).collect()
-    assert {r.doc_id: r.longest for r in found} == {1: 10, 2: 13}
+    pick = random.Random(4)
+    letters = [[pick.choice("abc") for _ in range(pick.randint(0, 60))] for _ in range(12)]
+    docs = [(1, words[5:15]), (2, words), (3, words[:4] + ["x"] + words[2:20]), (4, ["none"]), *((10 + k, t) for k, t in enumerate(letters[:6]))]
+    items = [("q", words[:30]), *((f"r{k}", t) for k, t in enumerate(letters[6:]))]
+    found = decontam.find(documents(spark, [(i, " ".join(t)) for i, t in docs]), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id string, text string")).collect()
+    got = {r.doc_id: r for r in found}
+    assert got[2].longest == 30 and (got[2].longest_at, got[2].longest_item, got[2].longest_item_at) == (0, "q", 0) and got[4].longest == 0
+    for i, own in docs:
+        most = 0
+        for _, other in items:
+            for a in range(len(own)):
+                for b in range(len(other)):
+                    k = 0
+                    while a + k < len(own) and b + k < len(other) and own[a + k] == other[b + k]:
+                        k += 1
+                    most = max(most, k)
+        r = got[i]
+        assert r.longest == (most if most >= decontam.LEAD else 0) or (most < decontam.LEAD and r.longest == most)
+        if r.longest:
+            other = dict(items)[r.longest_item]
+            assert own[r.longest_at:r.longest_at + r.longest] == other[r.longest_item_at:r.longest_item_at + r.longest]
 
 
 # ---------------------------------------------------------------- toxicity
