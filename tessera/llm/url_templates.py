@@ -10,8 +10,8 @@ from the root; it is rejected if its smoothed purity, the share of blocked among
 decides, drawn towards its host's, exceeds ``REJECT``.
 
 Urls are first counted by host and path. Counts and sums are partial aggregates, and of a node's segments
-at most ``SHARE`` leave a task, so a host with a third of all urls costs a few rows per task. The table of
-templates goes back to the urls by host and path. The tree is ``DEPTH`` levels deep; urls that go deeper
+at most ``SHARE`` leave a task, so a host with a third of all urls costs a few rows per task; its urls meet
+their branches in many dealings, and the templates by host and path. The tree is ``DEPTH`` levels deep; urls that go deeper
 share the node there, and have a template of their own (``/**``).
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and is judged by the
@@ -32,8 +32,8 @@ SHARE = 20
 #: Labels that a branch needs before it can differ from its siblings.
 LEAST = 5
 REJECT = 0.75
-#: Levels of the tree.
-DEPTH = 8
+#: Levels of the tree, and parts that the urls of a node are dealt in.
+DEPTH, DEALINGS = 8, 32
 
 #: (verdict, host, path): the rule fits the host and its subdomains, and paths that start with the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -72,6 +72,14 @@ def alike(a: str, b: str, pool_a: str, pool_b: str, least: int) -> Column:
     return (a < least) | (gap * gap <= 4 * a * pb * (pa - pb))
 
 
+def dealing_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DEALINGS))
+
+
+def every_dealing() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALINGS - 1).cast("long"))).alias("dealing")
+
+
 def level(paths: DataFrame, depth: int, share: int = SHARE, least: int = LEAST) -> DataFrame:
     """Paths with their template grown by one level."""
     node = ["host", "template"]
@@ -83,10 +91,11 @@ def level(paths: DataFrame, depth: int, share: int = SHARE, least: int = LEAST)
     kept = most.join(total, node).where(F.col("n") * share >= F.col("total"))
     pool = kept.groupBy(*node).agg(F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked"), F.count("*").alias("branches"))
     named = kept.join(pool, node).withColumn("branch", F.when((F.col("branches") > 1) & alike("labelled", "blocked", "pool_labelled", "pool_blocked", least), "#").otherwise(F.col("segment")))
-    branches = named.groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("segment", "branch"))).alias("branches"))
-    down = F.coalesce(F.try_element_at("branches", "segment"), F.lit("?"))
+    # A node's few branches go to each of its dealings, so that no task gets all urls of a host.
+    branches = named.select(*node, "segment", "branch", every_dealing())
+    down = F.coalesce("branch", F.lit("?"))
     grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), down))
-    return paths.join(branches, node, "left").withColumn("template", grown).drop("branches", "segment")
+    return paths.withColumn("dealing", dealing_of("key")).join(branches, [*node, "segment", "dealing"], "left").withColumn("template", grown).drop("branch", "segment", "dealing")
 
 
 def verdicts(paths: DataFrame, reject: float = REJECT) -> DataFrame:
@@ -97,8 +106,8 @@ def verdicts(paths: DataFrame, reject: float = REJECT) -> DataFrame:
     templates = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     prior = (F.col("host_blocked") + 1).cast("double") / (F.col("host_labelled") + 2)
     purity = (F.col("blocked") + 2 * prior) / (F.col("labelled") + 2)
-    judged = templates.join(hosts, "host").select("host", "template", (purity > reject).alias("rejected"))
-    return paths.select("host", "key", "template").join(judged, ["host", "template"])
+    judged = templates.join(hosts, "host").select("host", "template", (purity > reject).alias("rejected"), every_dealing())
+    return paths.select("host", "key", "template", dealing_of("key").alias("dealing")).join(judged, ["host", "template", "dealing"]).drop("dealing")
 
 
 def judge(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
