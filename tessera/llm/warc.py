@@ -10,6 +10,8 @@ Records with equal payloads (digest and size) of at least ``min_bytes``: the lea
 response, the others are revisits that name it. Only (page, size, digest) rows are grouped, with a
 partial minimum first, so a payload shared by a third of all pages costs one row per task.
 
+Memory: a page as it is read, then one chunk at a time; a record's chunks are sorted, and spilled, as rows.
+
 Defined results: a null payload is empty; a null url is left out; control characters in a url are
 percent-encoded; a null page_id takes part as larger than any other; rows that repeat a page and its
 payload are records of one type; extra columns are ignored.
@@ -83,11 +85,18 @@ def _safe(url) -> F.Column:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk: int = CHUNK, date: str = DATE) -> None:
-    """Write one record per page to gzipped archives in the folder ``path``."""
+    """Write one record per page to gzipped archives in the folder ``path``.
+
+    Payloads are cut into chunk rows before anything is shuffled or sorted; a record's rows meet in one task,
+    in order, and become its lines one by one.
+    """
     types = C.written(record_types(digests(pages, chunk), min_bytes), "warc-types")
-    own = pages.select(F.col("page_id").cast("long").alias("id"), C.row_key("html").alias("key"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     once = types.dropDuplicates(["page_id", "text_key"])
-    rows = own.join(once, own.id.eqNullSafe(once.page_id) & (own.key == once.text_key)).drop("id", "key")
+    own = pages.select(
+        F.col("page_id").cast("long").alias("id"), C.row_key("html").alias("key"), F.monotonically_increasing_id().alias("row"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows = chunked(own, "payload", chunk)
+    rows = rows.join(once, rows.id.eqNullSafe(once.page_id) & (rows.key == once.text_key)).where("NOT revisit OR chunk_no = 0")
     size = F.col("payload_bytes")
     full = F.floor(size / chunk)
     rest = size - full * chunk
@@ -101,14 +110,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk: int =
         field("WARC-Target-URI", _safe(F.col("url"))), field("X-Page-ID", F.col("page_id").cast("string")),
         F.when(F.col("revisit"), F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("refers_to")), F.lit("\r\nX-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit("Content-Type: application/http; msgtype=response"), field("Content-Length", length.cast("string")), F.lit(""), F.col("http"))
-    # Line runs of a record: its heads, its chunks, its end. Each run is one row and ends with CRLF.
-    whole = rows.withColumn("http", http)
-    lines = F.when(F.col("revisit"), 2).otherwise(F.ceil(size / chunk).cast("int") + 2)
-    runs = whole.withColumn("head", head).withColumn("lines", lines).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)))
-    piece = F.substring(F.col("payload"), (F.col("k") - 1) * chunk + 1, F.lit(chunk))
-    end = F.when(F.col("revisit"), "\r\n").otherwise("0\r\n\r\n\r\n")
-    value = F.when(F.col("k") == 0, F.col("head")).when(F.col("k") == F.col("lines") - 1, end).otherwise(F.concat(F.lower(F.hex(F.octet_length(piece))), F.lit("\r\n"), piece.cast("string")))
-    runs.select(value.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    # Each row gives runs of lines that end with CRLF: the record's heads, its chunk, its end.
+    piece = F.concat(F.lower(F.hex(F.octet_length("data"))), F.lit("\r\n"), F.col("data").cast("string"))
+    end = F.when(F.col("revisit"), "\r\n").when(F.col("last"), "0\r\n\r\n\r\n")
+    lines = F.array(F.when(F.col("chunk_no") == 0, head), F.when(~F.col("revisit") & (size > 0), piece), end)
+    ordered = rows.withColumn("http", http).sortWithinPartitions("id", "key", "row", "chunk_no")
+    ordered.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 class Reader:
