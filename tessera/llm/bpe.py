@@ -201,7 +201,7 @@ class Encoder:
         order = np.argsort(ranks, kind="stable")
         order = order[int(np.searchsorted(ranks[order], 0)):]
         opens = np.flatnonzero(np.diff(ranks[order], prepend=-1))
-        first = dict(zip(ranks[order[opens]].tolist(), zip(opens.tolist(), [*opens[1:].tolist(), len(order)], strict=True), strict=True))
+        first = dict(zip(ranks[order[opens]].tolist(), zip(opens.tolist(), np.append(opens, len(order))[1:].tolist(), strict=True), strict=True))
         buckets: dict[int, list[int]] = {}
         top = 0
         for r in first:

@@ -38,8 +38,9 @@ def components(links: DataFrame) -> DataFrame:
         found = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state or not found[0]:
             break
-        state = tuple(found)
-        links = C.written(_small_star(_large_star(links)), "links")
+        state, before = tuple(found), links
+        links = C.written(_small_star(_large_star(before)), "links")
+        C.forget(before)
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

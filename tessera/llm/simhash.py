@@ -307,20 +307,24 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     whole = rows[0]
     for r in rows[1:]:
         whole = whole.unionByName(r)
-    found = None
+    found, used = None, []
     while True:
         # A bucket with no more free bits than ``bits`` holds few classes and stays.
         hot = C.written(whole.groupBy("bucket").agg(F.count_if("home").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
+        used.append(hot)
         any_hot = bool(hot.take(1))
         cold = whole.join(hot, "bucket", "left_anti") if any_hot else whole
         tasks = max(1, -(-whole.count() // TASK_ROWS))
         stars = cold.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.desc("home")).mapInArrow(lambda batches: _streamed(batches, bits, compare), "u long, v long")
         found = stars if found is None else found.unionByName(stars)
         if not any_hot:
-            return found
+            out = C.written(found, "links")
+            C.forget(*used)
+            return out
         # Within a hot bucket, the other bits of a linked pair differ in at most ``bits`` places: split them again.
         again = whole.join(hot, "bucket", "left_semi").mapInArrow(lambda batches: _dealt_anew(batches, bits), whole.schema)
         whole = C.written(again.distinct(), "buckets")
+        used.append(whole)
 
 
 def _dealt_anew(batches, bits: int):
@@ -342,10 +346,12 @@ def near_groups(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach) for every document."""
     prints = C.written(fingerprints(docs, size), "fingerprints")
     classes = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = components(links(classes.select("fp", F.col("fp").alias("node")), bits))
+    pairs = links(classes.select("fp", F.col("fp").alias("node")), bits)
+    joined = components(pairs)
     rooted = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = C.written(rooted.join(least, "root").select("fp", "component_id"), "components")
+    C.forget(classes, pairs)
     return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -410,7 +416,10 @@ class _Candidates:
         nodes = nodes.select("node", F.col(fp).alias("fp"), "band")
         self.classes = C.written(nodes.groupBy("fp", "band").agg(F.min("node").alias("head")), "heads")
         self.members = nodes.join(self.classes, ["fp", "band"]).select("node", "head")
-        self.near = C.written(links(self.classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest).distinct(), "near")
+        pairs = links(self.classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest)
+        self.near = C.written(pairs.distinct(), "near")
+        C.forget(pairs)
+        self.used = [self.classes, self.near]
 
     def first(self) -> DataFrame:
         """Pairs that touch every node that has candidates: with its class's head, its first and its nearest candidate."""
@@ -426,7 +435,9 @@ class _Candidates:
         labelled = C.written(self.classes.join(linked, "head").join(of_class, "head").select("fp", F.col("head").alias("node"), "band", label.alias("label")), "labelled")
         a, b = (rooted.select(F.col("node").alias(n), F.col("head").alias(f"{n}_head"), F.col("root").alias(f"{n}_root")) for n in "uv")
         several = of_class.where("root <> last").select(F.col("head").alias("u_head"), F.col("head").alias("v_head"))
-        crossing = links(labelled, self.bits, banded=True, compare=_crossing).distinct().select(F.col("u").alias("u_head"), F.col("v").alias("v_head"))
+        pairs = links(labelled, self.bits, banded=True, compare=_crossing)
+        self.used += [rooted, labelled, pairs]
+        crossing = pairs.distinct().select(F.col("u").alias("u_head"), F.col("v").alias("v_head"))
         pairs = crossing.unionByName(several).join(a, "u_head").join(b, "v_head").where("u_root <> v_root AND (u_head <> v_head OR u < v)")
         return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
@@ -451,11 +462,13 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
     first = similar_pairs(read, ordered[0].unionByName(ordered[1]), size, similarity)
     roots = C.written(components(first), "roots")
     left = [s.rest(roots) for s in searches]
-    held = components(first.unionByName(similar_pairs(read, left[0].unionByName(left[1]), size, similarity)))
+    second = similar_pairs(read, left[0].unionByName(left[1]), size, similarity)
+    held = components(first.unionByName(second))
     rooted = nodes.join(held, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     of_node = rooted.join(least, "root").select("node", "least_id")
     later = prints.join(of_node, "node").where((F.col("doc_id") > F.col("least_id")) | (F.col("doc_id").isNull() & F.col("least_id").isNotNull()))
     near_id, near_node = C.unused(docs.columns, "near_id"), C.unused(docs.columns, "near_node")
     gone = C.written(later.select(F.col("doc_id").alias(near_id), F.col("node").alias(near_node)).distinct(), "near-copies")
+    C.forget(prints, nodes, first, second, roots, *(t for s in searches for t in s.used))
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(near_id)) & (F.xxhash64(text) == F.col(near_node)), "left_anti")

@@ -215,6 +215,8 @@ def test_long_pre_tokens_and_unknown_ids(ranks, monkeypatch):
         assert np.split(ids, np.cumsum(counts)[:-1])[3].tolist() == own.encode_ordinary(texts[a + 3])
         assert ids.tolist() == [i for t in texts[a:a + 20] for i in own.encode_ordinary(t)]
         assert [x.decode() for x in vocabulary.decode(ids, counts).to_pylist()] == texts[a:a + 20]
+    for odd in ("\x01", "a", "\x01\x02", "x\x01"):  # pieces without any pair
+        assert bpe.Encoder(vocabulary, pattern).encode([odd, "", None])[0].tolist() == own.encode_ordinary(odd)
     for wrong in (-1, len(tokens)):
         with pytest.raises(ValueError, match="no token has the id"):
             vocabulary.decode(np.array([5, wrong]), np.array([2]))
