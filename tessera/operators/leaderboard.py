@@ -37,9 +37,31 @@ def typed(rows: DataFrame) -> DataFrame:
     return out
 
 
-def ranked(rows: DataFrame, score: str = "success_score", tie: str = "profile_url") -> DataFrame:
-    """1-based rank by score, ties by the key. The whole order needs one task: rank is a total order."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+#: Rows from which the bounds of ``ranked`` are read, and the number of parts they make.
+BOUND_ROWS, PARTS = 4096, 128
+
+
+def ranked(rows: DataFrame, score: str = "success_score", tie: str = "profile_url", parts: int = PARTS) -> DataFrame:
+    """1-based rank by score, ties by the key; no task sees the whole order.
+
+    A bounded sample of rows (those with the least hashes) gives bounds that cut the order into parts of
+    about equal size; a row's rank is its place in its part, after all rows of the parts before.
+    """
+    asked = rows.where(F.col(score).isNotNull() & F.col(tie).isNotNull()).select(score, tie).orderBy(F.xxhash64(tie, score)).limit(BOUND_ROWS)
+    sample = [tuple(r) for r in asked.select(F.col(score).alias("a"), F.col(tie).alias("b")).orderBy(F.desc("a"), "b").collect()]
+    bounds = sample[::max(1, -(-len(sample) // parts))][1:] if len(sample) == BOUND_ROWS else []
+    spark = rows.sparkSession
+    if bounds:
+        kind = f"struct<a:{rows.schema[score].dataType.simpleString()},b:{rows.schema[tie].dataType.simpleString()}>"
+        cuts = F.broadcast(spark.createDataFrame([(bounds,)], f"_cuts array<{kind}>"))  # one row of at most ``parts`` bounds
+        before = F.size(F.filter("_cuts", lambda c: (c.a > F.col(score)) | ((c.a == F.col(score)) & (c.b <= F.col(tie)))))
+        placed = rows.crossJoin(cuts).withColumn("_part", F.when(F.col(score).isNull(), len(bounds)).when(F.col(tie).isNull(), F.size(F.filter("_cuts", lambda c: c.a > F.col(score)))).otherwise(before)).drop("_cuts")
+    else:
+        placed = rows.withColumn("_part", F.lit(0))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    ahead = sizes.select(F.col("_part").alias("_own"), F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(score), tie))
+    return placed.withColumn("_place", place).join(F.broadcast(ahead), F.col("_part") == F.col("_own")).withColumn("rank", F.col("_ahead") + F.col("_place")).drop("_part", "_own", "_ahead", "_place")
 
 
 def top(rows: DataFrame, n: int, score: str, tie: str) -> DataFrame:
@@ -85,10 +107,9 @@ def frequent(skills: DataFrame, n: int, name: str = "skill") -> DataFrame:
 
 
 def skill_rates(skills: DataFrame, n: int = 20) -> DataFrame:
-    """Means and counts of the n most frequent skills, worst completion first."""
-    best = frequent(skills, n).select("skill")
-    kept = skills.join(F.broadcast(best), "skill", "left_semi")
-    return kept.groupBy("skill").agg(F.avg("completion_rate").alias("mean_completion"), F.avg("success_score").alias("mean_score"), F.count("*").alias("n")).orderBy("mean_completion", "skill")
+    """Means and counts of the n most frequent skills (ties to the one met first), worst completion first."""
+    found = skills.groupBy("skill").agg((F.sum("completion_rate") / F.count("completion_rate")).cast("double").alias("mean_completion"), (F.sum("success_score").cast("double") / F.count("success_score")).alias("mean_score"), F.count("*").alias("n"), F.min("place").alias("met"))
+    return found.orderBy(F.desc("n"), "met").limit(n).drop("met").orderBy("mean_completion", "skill")
 
 
 def histogram(rows: DataFrame, column: str, bins: int, positive: bool = True) -> DataFrame:
@@ -102,9 +123,10 @@ def histogram(rows: DataFrame, column: str, bins: int, positive: bool = True) ->
     return joined.groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def distribution(rows: DataFrame, column: str) -> DataFrame:
-    x = F.col(column)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def distribution(rows: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
+    """Five numbers, mean and deviation. Exact quartiles hold all different values in one task; with an ``accuracy`` they are sketched."""
+    x, at = F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile(x, at) if accuracy is None else F.percentile_approx(x, at, F.lit(accuracy))
     return rows.agg(F.min(x).alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev(x).alias("deviation"))
 
 

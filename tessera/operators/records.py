@@ -41,7 +41,7 @@ def keywords(rows: DataFrame, name: str = "name") -> DataFrame:
 
 def remaining(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Resume: rows whose key is not done."""
-    return wanted.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return wanted.join(done.select(key).where(F.col(key).isNotNull()), key, "left_anti")
 
 
 def remaining_fetches(urls: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -51,8 +51,9 @@ def remaining_fetches(urls: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def suppressed(new: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """New rows whose key is not known, and the count of the others."""
-    marked = new.join(known.select(F.col(key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left")
-    return marked.where("_known IS NULL").drop("_known"), marked.agg(F.count("_known").alias("suppressed"))
+    known = known.select(F.col(key).alias("_known"))
+    same = F.col(key) == F.col("_known")
+    return new.join(known, same, "left_anti"), new.join(known, same, "left_semi").agg(F.count("*").alias("suppressed"))
 
 
 def cached_jobs(cache: DataFrame, combos: DataFrame) -> DataFrame:
@@ -75,9 +76,13 @@ def needs_fixup(rows: DataFrame) -> DataFrame:
     return rows.where("coalesce(title, '') = '' OR rank IS NULL")
 
 
-def fix_up(rows: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Repaired titles (new or old) and ranks (the rating, where one was read); all rows are kept."""
-    new = first_per_key(parsed.withColumn("_n", F.monotonically_increasing_id()), "profile_url", "_n").select(
+def fix_up(rows: DataFrame, parsed: DataFrame, seq: str | None = None) -> DataFrame:
+    """Repaired titles (new or old) and ranks (the rating, where one was read); all rows are kept.
+
+    Of several repairs of a row the first by ``seq`` counts; without one, the least of their values.
+    """
+    order = F.col(seq) if seq else F.struct("title", "rating")
+    new = first_per_key(parsed.select("profile_url", "title", "rating", order.alias("_n")), "profile_url", "_n").select(
         F.col("profile_url").alias("_url"), F.col("title").alias("_title"), F.col("rating").alias("_rating"))
     joined = rows.join(new, F.col("profile_url") == F.col("_url"), "left")
     title = F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.col("title"))
@@ -99,8 +104,9 @@ def limited(rows: DataFrame, limit: int | None, seeded: bool, order: str) -> Dat
 
 def until_empty(pages: DataFrame, group: str, page: str, empty: Column, most: int) -> DataFrame:
     """Pages of a group before its first empty one, at most ``most`` of them."""
-    first_gap = F.min(F.when(empty, F.col(page))).over(Window.partitionBy(group))
-    return pages.withColumn("_gap", first_gap).where((F.col(page) < F.coalesce("_gap", F.lit(most + 1))) & (F.col(page) <= most)).drop("_gap")
+    gaps = pages.where(F.col(page) <= most).groupBy(F.col(group).alias("_group")).agg(F.min(F.when(empty, F.col(page))).alias("_gap"))
+    near = pages.where(F.col(page) <= most)
+    return near.join(gaps, F.col(group).eqNullSafe(F.col("_group"))).where((F.col("_gap").isNull()) | (F.col(page) < F.col("_gap"))).drop("_group", "_gap")
 
 
 def last_pages(pages: DataFrame, group: str, page: str, empty: Column) -> DataFrame:
@@ -130,20 +136,29 @@ def page_stats(cache: DataFrame) -> DataFrame:
 
 
 def recent(rows: DataFrame, n: int, order: str, group: str | None = None, tie: str | None = None) -> DataFrame:
-    """The n latest rows (of each group)."""
+    """The n latest rows (of each group); a task sends at most n rows of a group on."""
     columns = [F.desc(order), *([F.desc(tie)] if tie else [])]
     if group is None:
         return rows.orderBy(*columns).limit(n)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*columns))).where(F.col("_n") <= n).drop("_n")
 
 
-def by_priority(sources: list[DataFrame], key: str) -> DataFrame:
-    """Union of sources; a key is taken from the first that has it."""
+def by_priority(sources: list[DataFrame], key: str, current: Column | None = None, modified: str | None = None) -> DataFrame:
+    """Union of sources; a key is taken from the first that has it.
+
+    With ``modified``, the result files are listed as the commands show them: the current one first, then
+    the latest ones.
+    """
     whole = None
     for i, s in enumerate(sources):
         part = s.withColumn("priority", F.lit(i))
         whole = part if whole is None else whole.unionByName(part)
-    return whole.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("priority"))).where("_n = 1").drop("_n")
+    # Rows of one source that share a key are told apart by their values.
+    kept = first_per_key(whole.withColumn("_order", F.struct("priority", *[c for c in whole.columns if c not in (key, "priority")])), key, "_order").drop("_order")
+    if modified is None:
+        return kept
+    kept = kept.withColumn("is_current", F.coalesce(current if current is not None else F.lit(False), F.lit(False)))
+    return kept.orderBy(F.desc("is_current"), F.desc(modified), key)
 
 
 def paged(rows: DataFrame, page: int, size: int, *order) -> DataFrame:

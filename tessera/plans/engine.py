@@ -54,8 +54,13 @@ class Engine:
         return rows.select("seq", combo_functions.label(F.col("dim"), F.col("value")).alias("label"), combo.alias("combo"))
 
     def _url(self, page) -> F.Column:
+        return combo_functions.listing_url(self.config.base_url, F.col("dim"), F.col("value"), F.col("word"), page)
+
+    @staticmethod
+    def _flat(jobs: DataFrame, *columns: str) -> DataFrame:
+        """The parts of combinations as columns, before anything is generated from their rows."""
         c = F.col("combo")
-        return combo_functions.listing_url(self.config.base_url, c.dim, c.value, c.keyword, page)
+        return jobs.select(*columns, c.dim.alias("dim"), c.value.alias("value"), c.keyword.alias("word"))
 
     def observed(self, name: str, rows: DataFrame, *counts) -> DataFrame:
         """Counts of a phase, read from ``reports`` after its rows have been used."""
@@ -80,12 +85,12 @@ class Engine:
         """Unique listing rows of page counts or of keywords (those end at their first empty page)."""
         if "keyword" in jobs.columns:
             most = self.config.followup_pages
-            numbered = jobs.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(most))))
+            numbered = self._flat(jobs, "keyword").withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(most))))
             fetched = self.fetch(numbered.select("keyword", "page", self._url(F.col("page")).alias("url")))
             empty = F.coalesce(~F.contains("html", F.lit("freelancer-row")), F.lit(True))
             fetched = records.until_empty(fetched, "keyword", "page", empty, most)
         else:
-            numbered = records.pages_of(jobs.where("last_page > 0"), "last_page")
+            numbered = records.pages_of(self._flat(jobs.where("last_page > 0"), "label", "last_page"), "last_page")
             fetched = self.fetch(numbered.select("label", "page", self._url(F.col("page")).alias("url")))
         rows = page_sources.listings(fetched.where("html IS NOT NULL"), "url", "html").withColumn("_order", F.struct("url", "seq")).drop("url", "seq")
         if suppress is not None:
@@ -113,8 +118,10 @@ class Engine:
         rows = other.select("profile_url", F.col("own").alias("html"), "portfolio_html")
         return self.observed("fetch", rows, F.count("html").alias("fetched"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
 
-    def parse(self, raw: DataFrame, confidence: int | None = None) -> DataFrame:
-        last = records.last_per_key(raw.withColumn("_n", F.monotonically_increasing_id()), "profile_url", "_n").drop("_n", "position")
+    def parse(self, raw: DataFrame, confidence: int | None = None, seq: str | None = None) -> DataFrame:
+        """Profiles of raw pages. Of several pages of a profile the last by ``seq`` counts; without one, the longest (the greatest of those)."""
+        order = F.col(seq) if seq else F.struct(F.length("html"), "html", F.length("portfolio_html"), "portfolio_html")
+        last = records.last_per_key(raw.select("profile_url", "html", "portfolio_html", order.alias("_n")), "profile_url", "_n").drop("_n", "position")
         rows = page_sources.profiles(last, self.config.min_html, self.config.min_confidence if confidence is None else confidence)
         rows = quality.missing_fields(rows)
         return self.observed("parse", rows, F.count_if(F.col("name") != "Unknown").alias("succeeded"), F.sum("missing").alias("missing"))
@@ -155,6 +162,10 @@ class Engine:
         row = profiles.agg(F.sort_array(F.collect_set("category")).alias("categories"), F.count("*").alias("n")).first()
         return {"categories": row.categories, "total": row.n}
 
+    def save(self, rows: DataFrame, path: str, overwrite: bool = False) -> None:
+        """Write the rows of a phase; a path that is there is only replaced if that is asked for."""
+        files.write_json(rows, path, "overwrite" if files.may_write(self.spark, path, overwrite) else "errorifexists")
+
     def cleanup(self, paths: list[str] | None = None) -> list[str]:
         """Delete the engine's own outputs."""
         c = self.config

@@ -17,6 +17,7 @@ from ..functions import combos, text, values
 from ..operators import leaderboard, metrics, quality, records, search
 from ..sources import files, pages
 from ..streaming import streams
+from .engine import Config, Engine, pages_by_url
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,9 +116,9 @@ def resume_anti(spark, sf_dir):
     return records.remaining(_t(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def suppression_anti(spark, sf_dir):
-    known = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return records.suppressed(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), known, "c_custkey")[0]
 
 
@@ -188,11 +189,14 @@ def compare_records(spark, sf_dir):
     return records.compared(stored, parsed, "doc_id", ["quality", "toxic"])
 
 
-@query("SELECT l.page_id, l.url, p.html IS NOT NULL AS has_portfolio FROM pages l LEFT JOIN pages p ON p.url = l.url || '/portfolio'")
+@query("""WITH stored AS (SELECT DISTINCT ON (url) url || '/portfolio' AS url, html FROM pages WHERE contains(url, '://www.') ORDER BY url, page_id)
+SELECT l.page_id, l.url, coalesce(length(p.html), 0)::BIGINT AS portfolio_chars FROM pages l LEFT JOIN stored p ON p.url = l.url || '/portfolio'""")
 def portfolio_pairing(spark, sf_dir):
+    """Pages of www hosts stand for portfolio pages of the same address."""
     stored = _t(spark, sf_dir, "pages")
-    rows = records.with_portfolio(stored.select("page_id", F.col("url").alias("profile_url")), stored.select("url", "html"))
-    return rows.select("page_id", F.col("profile_url").alias("url"), F.col("portfolio_html").isNotNull().alias("has_portfolio"))
+    other = records.first_per_key(stored.where("contains(url, '://www.')").select("page_id", F.concat("url", F.lit("/portfolio")).alias("url"), "html"), "url", "page_id")
+    rows = records.with_portfolio(stored.select("page_id", F.col("url").alias("profile_url")), other.select("url", "html"))
+    return rows.select("page_id", F.col("profile_url").alias("url"), F.coalesce(F.char_length("portfolio_html"), F.lit(0)).cast("long").alias("portfolio_chars"))
 
 
 # ---------------------------------------------------------------- leaderboard
@@ -252,10 +256,8 @@ def kpi_top_skill(spark, sf_dir):
 @query(f"""WITH {_SKILLS}, {_COUNTED}, t AS (SELECT skill FROM f ORDER BY n DESC, met LIMIT 20)
 SELECT skill, round(sum(p_size)::DOUBLE / count(*), 4) AS mean_completion, round(sum(p_retailprice::DECIMAL(18,2))::DOUBLE / count(*), 3) AS mean_score, count(*) AS n FROM s WHERE skill IN (SELECT skill FROM t) GROUP BY skill""")
 def skill_completion(spark, sf_dir):
-    rows = _skills(spark, sf_dir).withColumn("success_score", _money("success_score"))
-    rates = leaderboard.skill_rates(rows.withColumn("completion_rate", F.col("completion_rate").cast("double")))
-    sums = rows.groupBy("skill").agg((F.sum("success_score").cast("double") / F.count("*")).alias("exact"))
-    return rates.join(sums, "skill").select("skill", F.round("mean_completion", 4).alias("mean_completion"), F.round("exact", 3).alias("mean_score"), "n")
+    rates = leaderboard.skill_rates(_skills(spark, sf_dir).withColumn("success_score", _money("success_score")))
+    return rates.select("skill", F.round("mean_completion", 4).alias("mean_completion"), F.round("mean_score", 3).alias("mean_score"), "n")
 
 
 @query("""WITH v AS (SELECT value::DOUBLE AS x FROM events WHERE value > 0), e AS (SELECT min(x) AS low, max(x) AS high FROM v)
@@ -367,13 +369,8 @@ def outcome_counts(spark, sf_dir):
     return metrics.outcome_counts(rows, "phase")
 
 
-@query("SELECT url, (SELECT greatest(count(*) - 20, 0) FROM pages WHERE page_id % 3 = 0) AS more FROM pages WHERE page_id % 3 = 0 ORDER BY url LIMIT 20")
-def failed_urls(spark, sf_dir):
-    return metrics.failed_urls(_t(spark, sf_dir, "pages").where("page_id % 3 = 0"), "url")
-
-
 @query("SELECT url, (SELECT greatest(count(*) - 20, 0) FROM pages WHERE html IS NULL OR NOT contains(lower(html), '</html>')) AS more FROM pages WHERE html IS NULL OR NOT contains(lower(html), '</html>') ORDER BY url LIMIT 20")
-def failed_urls_cut_off(spark, sf_dir):
+def failed_urls(spark, sf_dir):
     """Of all pages, those that are missing or end before their end tag."""
     return metrics.failed_urls(_t(spark, sf_dir, "pages").where("html IS NULL OR NOT contains(lower(html), '</html>')"), "url")
 
@@ -383,18 +380,9 @@ def recent_n(spark, sf_dir):
     return records.recent(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 2, "turn", "conv_id")
 
 
-@query("""WITH u AS (SELECT c_nationkey AS path, c_custkey AS id, 0 AS priority FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT s_nationkey, s_suppkey, 1 FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT n_nationkey, n_nationkey, 2 FROM nation)
-SELECT path, min(priority) AS priority FROM u GROUP BY path""")
-def priority_union(spark, sf_dir):
-    first = _t(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("path"))
-    second = _t(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_nationkey").alias("path"))
-    third = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"))
-    return records.by_priority([first, second, third], "path")
-
-
 @query("""WITH u AS (SELECT c_nationkey AS path, 0 AS priority FROM customer UNION ALL SELECT s_nationkey, 1 FROM supplier UNION ALL SELECT n_nationkey, 2 FROM nation)
 SELECT path, min(priority) AS priority FROM u GROUP BY path""")
-def priority_union_whole(spark, sf_dir):
+def priority_union(spark, sf_dir):
     columns = (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))
     return records.by_priority([_t(spark, sf_dir, name).select(F.col(key).alias("path")) for name, key in columns], "path")
 
@@ -450,14 +438,8 @@ def combo_url(spark, sf_dir):
     return rows.select(combos.label(F.col("dim"), F.col("value")).alias("label"), combos.listing_url("https://d/l", F.col("dim"), F.col("value"), F.col("keyword"), F.col("page")).alias("url"))
 
 
-@query("SELECT dim, n FROM (VALUES ('base', 1::BIGINT), ('rating', 5), ('titles', 20), ('country', 25)) t(dim, n)")
-def combos_all(spark, sf_dir):
-    countries = [r.n_name for r in _t(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").limit(300).collect()]
-    return combos.combinations(spark, {"country": countries, "skills": ()}).groupBy("dim").agg(F.count("*").alias("n"))
-
-
 @query("SELECT dim, n FROM (VALUES ('base', 1::BIGINT), ('rating', 5), ('titles', 20), ('skills', 56), ('country', 254)) t(dim, n)")
-def combos_whole(spark, sf_dir):
+def combos_all(spark, sf_dir):
     return combos.combinations(spark).groupBy("dim").agg(F.count("*").alias("n"))
 
 
@@ -517,9 +499,9 @@ def profile_records(spark, sf_dir):
     return rows.select("profile_url", "name", "title", "location", "rating", "score", "parse_confidence", "portfolio_count", "completion_rate", "rehire_rate", "response_time", "member_since", F.array_join("skills", ",").alias("skills"))
 
 
-@query("SELECT * FROM (VALUES ('u/ada', 100.0::DOUBLE, 41.33::DOUBLE, 44::BIGINT, 113::BIGINT, 2, '2023-06-01')) t(profile_url, completion_rate, rehire_rate, minutes, projects, skills_count, joined)")
+@query("SELECT * FROM (VALUES ('u/ada', 100.0::DOUBLE, 41.33::DOUBLE, 44::BIGINT, 113::BIGINT, 2, '2023-06-01'), ('u/ada2', 100.0, 41.33, 44, 113, 2, '2023-06-01')) t(profile_url, completion_rate, rehire_rate, minutes, projects, skills_count, joined)")
 def profile_gold(spark, sf_dir):
-    rows = leaderboard.gold(pages.profiles(_raw(spark).limit(1)))
+    rows = leaderboard.gold(pages.profiles(_raw(spark)))
     return rows.select("profile_url", "completion_rate", "rehire_rate", F.col("avg_response_time_minutes").alias("minutes"), F.col("total_completed_projects").alias("projects"), "skills_count", values.date_of(F.col("member_since")).cast("string").alias("joined"))
 
 
@@ -557,24 +539,20 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return streams.channel(spark, source, spark.read.parquet(source).schema)
 
 
-def _name(base: str) -> str:
-    return f"{base}_{uuid.uuid4().hex[:8]}"
-
-
 @query("SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark, sf_dir):
-    return streams.drained(streams.unique(_event_stream(spark, sf_dir).select("user_id"), "user_id"), _name("dedup"))
+    return streams.drained(streams.unique(_event_stream(spark, sf_dir).select("user_id"), "user_id"), _folder(spark))
 
 
 @query("SELECT user_id AS key, min(event_id) AS first, count(*) - 1 AS again FROM events GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
-    rows = streams.drained(streams.first_seen(_event_stream(spark, sf_dir), "user_id", "event_id"), _name("first_seen"))
+    rows = streams.drained(streams.first_seen(_event_stream(spark, sf_dir), "user_id", "event_id"), _folder(spark))
     return rows.groupBy("key").agg(F.min("first").alias("first"), F.sum("again").alias("again"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_counts(spark, sf_dir):
-    rows = streams.drained(streams.windowed_counts(_event_stream(spark, sf_dir), "ts", "1 hour", group="event_type"), _name("tumbling"), "complete")
+    rows = streams.drained(streams.windowed_counts(_event_stream(spark, sf_dir), "ts", "1 hour", group="event_type"), _folder(spark), "complete")
     return rows.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
@@ -588,40 +566,29 @@ def session_counts(spark, sf_dir):
 # ---------------------------------------------------------------- sources and sinks
 
 def _folder(spark) -> str:
+    """A new folder that driver and executors share; a local one only in one process (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/')}/tessera/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="tessera-")
 
 
-@query("SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id % 10 = 0")
-def csv_roundtrip(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    path = _folder(spark)
-    files.write_csv(rows, path)
-    return files.read_csv(spark, path, rows.schema)
-
-
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
-def csv_roundtrip_whole(spark, sf_dir):
+def csv_roundtrip(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents")
     path = _folder(spark)
     files.write_csv(rows, path)
     return files.read_csv(spark, path, rows.schema)
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
-def jsonl_roundtrip(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    path = _folder(spark)
-    files.write_jsonl(rows.where("doc_id % 2 = 0"), path)
-    files.write_jsonl(rows.where("doc_id % 2 = 1"), path, append=True)
-    return files.read_jsonl(spark, path, rows.schema)
-
-
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
-def jsonl_roundtrip_whole(spark, sf_dir):
+def jsonl_roundtrip(spark, sf_dir):
+    """All documents, in two writes of which the second appends."""
     rows = _t(spark, sf_dir, "documents")
     path = _folder(spark)
-    files.write_jsonl(rows, path)
+    short = F.coalesce(F.col("n_chars") < 1000, F.lit(True))
+    files.write_jsonl(rows.where(short), path)
+    files.write_jsonl(rows.where(~short), path, append=True)
     return files.read_jsonl(spark, path, rows.schema)
 
 
@@ -642,3 +609,78 @@ def page_cache_read(spark, sf_dir):
 def one_dim_at_a_time(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupingSets([["r_name"], ["n_name"], []], "r_name", "n_name").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- phases over stored pages
+
+_LISTED = """listed AS (SELECT page_id, url, 'development+rating=' || (page_id % 5 + 1) AS label, page_id // 5 + 1 AS page, nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)', 1)), '') AS title FROM pages)"""
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    """Every stored page as one row of a listing page of its own, five ratings in turn."""
+    rows = _t(spark, sf_dir, "pages").select("page_id", "url", F.nullif(F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1)), F.lit("")).alias("title"))
+    entry = F.concat(
+        F.lit('<table><tr class="freelancer-row"><td class="details-td"><a href="'), F.col("url"), F.lit('"><bdi>'), F.coalesce("title", F.lit("")), F.lit('</bdi></a></td><td class="info-td"><p class="freelancer-title">'),
+        F.coalesce("title", F.lit("")), F.lit("</p></td></tr></table>"))
+    return rows.withColumn("rating", (F.col("page_id") % 5 + 1).cast("string")).withColumn("label", combos.label(F.lit("rating"), F.col("rating"))).withColumn("page", F.floor(F.col("page_id") / 5).cast("int") + 1).withColumn("html", entry)
+
+
+@query(f"WITH {_LISTED} SELECT label, max(page)::BIGINT AS last_page FROM listed GROUP BY label UNION ALL SELECT 'development (base)', 0")
+def phase_discovery(spark, sf_dir):
+    """Page counts of the base and the ratings from stored listing pages."""
+    engine = Engine(spark, pages_by_url(spark.createDataFrame([], "url string, html string")), dims={"titles": (), "skills": (), "country": ()})
+    return engine.discovery(_listed(spark, sf_dir).select("label", "page", "html")).select("label", _long("last_page").alias("last_page"))
+
+
+@query(f"WITH {_LISTED} SELECT DISTINCT url AS profile_url FROM listed")
+def phase_extract(spark, sf_dir):
+    """Unique listing rows of all stored listing pages, by their page counts."""
+    listed = _listed(spark, sf_dir)
+    address = combos.listing_url(Config().base_url, F.lit("rating"), F.col("rating"), F.lit(None).cast("string"), F.col("page"))
+    engine = Engine(spark, pages_by_url(listed.select(address.alias("url"), "html")), dims={"titles": (), "skills": (), "country": ()})
+    counts = engine.discovery(listed.select("label", "page", "html"))
+    return engine.extract(counts).select("profile_url")
+
+
+@query("""WITH first AS (SELECT DISTINCT ON (url) url, html FROM pages ORDER BY url, page_id)
+SELECT url AS profile_url, octet_length(encode(html))::BIGINT AS bytes FROM first""")
+def phase_fetch(spark, sf_dir):
+    stored = records.first_per_key(_t(spark, sf_dir, "pages").select("page_id", "url", "html"), "url", "page_id").select("url", "html")
+    engine = Engine(spark, pages_by_url(stored))
+    rows = engine.fetch_pages(_t(spark, sf_dir, "pages").select(F.col("url").alias("profile_url")))
+    return rows.select("profile_url", F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("""WITH first AS (SELECT DISTINCT ON (url) url, html FROM pages ORDER BY url, length(html) DESC, html DESC), f AS (SELECT url, html, contains(html, '<h1') AS h1, length(html) >= 2000 AS big, contains(lower(html), 'cloudflare') AS shut FROM first)
+SELECT url AS profile_url, 'Unknown' AS name, 'development' AS category FROM f WHERE h1 AND big AND NOT shut""")
+def phase_parse(spark, sf_dir):
+    """Stored pages as raw pages; none has a profile's name, those that are trusted become records."""
+    engine = Engine(spark, pages_by_url(spark.createDataFrame([], "url string, html string")), Config(min_html=2000))
+    raw = _t(spark, sf_dir, "pages").select(F.col("url").alias("profile_url"), "html", F.lit(None).cast("string").alias("portfolio_html"))
+    return engine.parse(raw, confidence=2).select("profile_url", "name", "category")
+
+
+@query("""SELECT DISTINCT nullif(split_part(trim(c_name), '#', 1), '') AS keyword FROM customer""")
+def phase_followup(spark, sf_dir):
+    """First words of all customers' names."""
+    rows = _t(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("#"), F.lit(" ")).alias("name"))
+    engine = Engine(spark, pages_by_url(spark.createDataFrame([], "url string, html string")))
+    return engine.followup(rows).select("keyword")
+
+
+@query("SELECT page_id::VARCHAR AS profile_url, regexp_extract(url, '://([^/?#]+)', 1) AS title FROM pages")
+def phase_fixup(spark, sf_dir):
+    """Listing rows without a title, repaired from profile pages that carry it (the page's host)."""
+    rows = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("profile_url"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("found"))
+    profile = F.concat(F.lit('<html><h1 class="profile-name"><bdi>x</bdi></h1><ul><li class="profile-title">'), F.col("found"), F.lit('</li></ul><ul class="skills"><li class="skills__item"><bdi>s</bdi></li></ul></html>'))
+    engine = Engine(spark, pages_by_url(rows.select(F.col("profile_url").alias("url"), profile.alias("html"))), Config(min_html=0, min_confidence=1))
+    listing = rows.select(F.lit("n").alias("name"), "profile_url", F.lit(None).cast("string").alias("avatar_url"), F.lit("").alias("title"), F.lit(None).cast("string").alias("rank"))
+    return engine.fixup(listing).select("profile_url", "title")
+
+
+@query("SELECT sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS sha256, (sum(octet_length(encode(line))) + count(*))::BIGINT AS length FROM (SELECT n_name AS line FROM nation)")
+def uploads_by_content(spark, sf_dir):
+    """A file by its content, whatever its name."""
+    path = _folder(spark)
+    _t(spark, sf_dir, "nation").select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(path)
+    return files.read_uploads(spark, path).select("sha256", "length")

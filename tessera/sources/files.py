@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import json
 import logging
 import re
 
@@ -31,17 +30,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_any_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """An array of records, or an object whose first list-valued key holds them."""
-    text = spark.read.option("wholetext", True).text(path).first().value
-    found = json.loads(text)
-    if isinstance(found, dict):
-        key = next((k for k, v in found.items() if isinstance(v, list)), None)
-        if key is None:
-            return spark.createDataFrame([], schema)
-        whole = spark.read.option("wholetext", True).text(path)
-        rows = whole.select(F.from_json("value", T.StructType([T.StructField(key, T.ArrayType(schema))])).alias("o"))
-        return rows.select(F.explode(F.col("o").getField(key)).alias("r")).select("r.*")
-    return read_json(spark, path, schema)
+    """An array of records, or an object whose first list-valued key holds them. The file is read on an executor."""
+    whole = spark.read.option("wholetext", True).text(path)
+    kind = whole.select(F.substring(F.ltrim("value"), 1, 1).alias("k")).first()
+    if kind is None or kind.k != "{":
+        return read_json(spark, path, schema)
+    # Values as they stand in the text; the first that is a list gives the records.
+    values = F.map_values(F.from_json("value", "map<string,string>"))
+    lists = F.filter(values, lambda v: F.ltrim(v).startswith("["))
+    records = F.from_json(F.try_element_at(lists, F.lit(1)), T.ArrayType(schema))
+    return whole.select(F.explode(records).alias("r")).select("r.*")
 
 
 def read_page_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +61,13 @@ def nested_as_json(rows: DataFrame) -> DataFrame:
     return rows.select([F.to_json(f.name, {"ignoreNullFields": "false"}).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in rows.schema])
 
 
+def may_write(spark: SparkSession, path: str, overwrite: bool = False) -> bool:
+    """Before a run: whether its output may be written. A path that is there needs ``overwrite``."""
+    if exists(spark, path) and not overwrite:
+        raise FileExistsError(f"{path} is there; ask for overwrite to replace it")
+    return True
+
+
 def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("ignoreNullFields", False).json(path)
 

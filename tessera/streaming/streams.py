@@ -76,12 +76,41 @@ def sessions(events: DataFrame, key: str, event_time: str, gap: str, late: str =
     return timed.groupBy(key, F.session_window(event_time, gap)).agg(F.count("*").alias("n"))
 
 
-def drained(rows: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is now and return what it gave (in memory: for tests and small results)."""
-    writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drained(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now into a folder, and return what it gave; nothing passes the driver.
+
+    In append mode that is every row; in complete mode the result after the last batch.
+    """
+    spark, out = rows.sparkSession, f"{folder}/rows"
+    if mode == "append":
+        appended(rows, out, f"{folder}/checkpoint")
+        return spark.read.schema(rows.schema).parquet(out)
+    batches: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")  # a batch that is run again gives the same folder
+        batches.append(number)
+
+    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{out}/{max(batches)}") if batches else spark.createDataFrame([], rows.schema)
+
+
+def chained(steps: dict, folder: str, depth: int = 100) -> dict:
+    """Stages as streaming queries that run side by side: each appends to a table that the next one reads.
+
+    ``steps``: name -> (transform, schema of its result); the first transform takes no rows and gives a
+    stream. A consumer begins as soon as its producer has committed files, and all stop with ``guarded``.
+    """
+    spark, before, running = None, None, {}
+    for name, (transform, schema) in steps.items():
+        rows = transform() if before is None else transform(channel(spark, before[0], before[1], depth))
+        spark, path = rows.sparkSession, f"{folder}/{name}"
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(made)
+        running[name] = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoints/{name}").outputMode("append").queryName(f"{name}-{folder.rsplit('/', 1)[-1]}").start(path)
+        before = (path, schema)
+    return running
 
 
 def appended(rows: DataFrame, path: str, checkpoint: str, kind: str = "parquet"):

@@ -93,3 +93,10 @@ def test_default_combinations(spark):
     assert len(rows) == 336 and len({(r.dim, r.value) for r in rows}) == 336
     assert list(dict.fromkeys(r.dim for r in rows)) == ["base", "rating", "titles", "skills", "country"]
     assert [rows[26].value, rows[81].value, rows[82].value, rows[-1].value] == ["IOS", "تعديل-الصوت", "jo", "hk"]
+
+
+def test_kilobytes_credit_and_penalty(spark):
+    row = spark.range(1).select(
+        text.kilobytes(F.lit(1536)).alias("a"), text.kilobytes(F.lit(0)).alias("b"), text.progress_credit(F.lit(5), F.lit(10)).alias("c"), text.progress_credit(F.lit(20), F.lit(0)).alias("d"),
+        text.penalty_seconds(F.lit(1), F.lit(1.0)).alias("e"), text.penalty_seconds(F.lit(9), F.lit(0.5)).alias("f")).first()
+    assert tuple(row) == ("1.5 KB", "0.0 KB", 0.5, 0.5, 30.0, 120.0)

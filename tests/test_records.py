@@ -1,6 +1,7 @@
 """Record operators: dedup, resume, upsert, paging; nulls, ties, empty tables."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tessera.plans.engine import Engine, pages_by_url
 from tessera.plans.queries import LISTING_PAGE, PROFILE_PAGE
 from tessera.schemas import LISTING
 from tessera.sources import dom, files, pages
+from tessera.streaming import streams
 
 
 def test_first_and_last(spark):
@@ -75,6 +77,95 @@ def test_histogram_of_equal_values(spark):
     assert [tuple(r) for r in leaderboard.histogram(spark.createDataFrame([(2.0,), (2.0,), (None,), (-1.0,)], "x double"), "x", 10).collect()] == [(0, 2)]
 
 
+@pytest.mark.parametrize("least", [4096, 50])
+def test_rank_in_parts(spark, monkeypatch, least):
+    """Ties, nulls and NaN; with many parts as with one."""
+    monkeypatch.setattr(leaderboard, "BOUND_ROWS", least)
+    values = [(float(k % 17) if k % 11 else None, f"u{k:03}") for k in range(300)] + [(float("nan"), "n"), (3.0, None), (3.0, None), (float("inf"), "i")]
+    rows = spark.createDataFrame(values, "success_score double, profile_url string").repartition(5)
+    got = leaderboard.ranked(rows, parts=7)
+    want = rows.orderBy(F.desc("success_score"), "profile_url").collect()
+    found = got.orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, len(values) + 1))
+    assert [(str(r.success_score), r.profile_url) for r in found] == [(str(r.success_score), r.profile_url) for r in want]
+    assert leaderboard.ranked(rows.where("false")).count() == 0
+
+
+def test_table_rows_and_bands(spark):
+    rows = spark.createDataFrame([(1, 85.0, 96.0, 45.0, ["a", "b"]), (2, 30.0, 60.0, 85.0, None), (3, 50.0, 80.0, 60.0, [])], "rank int, success_score double, completion_rate double, ontime_delivery_rate double, skills array<string>")
+    got = [(r.skills_str, r.score_band, r.completion_band, r.ontime_band, r.odd) for r in leaderboard.table_rows(rows).orderBy("rank").collect()]
+    assert got == [("a, b", "high", "high", "low", True), (None, "low", "low", "high", False), ("", None, None, None, True)]
+    close = leaderboard.distribution(spark.range(1, 1001), "id", 10000).first()
+    assert (close.low, close.q1, close.median, close.q3, close.high) == (1, 250, 500, 750, 1000)
+
+
+def test_until_empty_and_priority(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("a", 3, 0), ("b", 1, 0), ("b", 2, 0), ("b", 9, 0), (None, 1, 1), ("c", 1, 1)], "k string, page int, none int")
+    assert sorted((r.k, r.page) for r in records.until_empty(rows, "k", "page", F.col("none") == 1, 3).collect()) == [("a", 1), ("b", 1), ("b", 2)]
+    first = spark.createDataFrame([("x", 5), ("y", 1)], "path string, modified int")
+    second = spark.createDataFrame([("x", 9), ("z", 7), ("z", 8)], "path string, modified int")
+    got = records.by_priority([first, second], "path", F.col("path") == "y", "modified").collect()
+    assert [(r.path, r.modified, r.priority) for r in got] == [("y", 1, 0), ("z", 7, 1), ("x", 5, 0)]
+
+
+def test_bars_and_order(spark):
+    bars = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("c", 2, 3)], "name string, last_update int, created_at int")
+    assert metrics.latest_bar(bars).first().name == "c"
+    rows = spark.createDataFrame([("parse",), ("else",), ("followup",)], "phase string")
+    assert [r.phase for r in metrics.in_order(rows).collect()] == ["followup", "parse", "else"]
+
+
+# ---------------------------------------------------------------- streams
+
+def _stream_of(spark, path, schema):
+    return streams.channel(spark, path, schema)
+
+
+def test_streams_drain_and_append(spark, tmp_path):
+    source, schema = f"file://{tmp_path}/in", "k string, seq long"
+    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], schema).coalesce(1).write.parquet(source)
+    known = spark.createDataFrame([("b",)], "k string")
+    rows = streams.first_seen(_stream_of(spark, source, schema), "k", "seq", known)
+    got = {(r.key, r.first, r.again, r.is_new, r.suppressed) for r in streams.drained(rows, f"file://{tmp_path}/seen").collect()}
+    assert got == {("a", 1, 1, True, False), ("b", 2, 0, False, True)}
+    counts = _stream_of(spark, source, schema).groupBy("k").count()
+    assert {(r.k, r["count"]) for r in streams.drained(counts, f"file://{tmp_path}/counts", "complete").collect()} == {("a", 2), ("b", 1)}
+    for _ in range(2):  # the second run finds nothing new
+        streams.appended(_stream_of(spark, source, schema), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 3
+
+
+def test_chained_streams_overlap_and_stop_together(spark, tmp_path):
+    source, schema = f"file://{tmp_path}/in", "k string, seq long"
+    spark.createDataFrame([("a", 1), ("b", 2)], schema).write.parquet(source)
+    running = streams.chained({
+        "extract": (lambda: _stream_of(spark, source, schema), schema), "parse": (lambda rows: rows.withColumn("seq", F.col("seq") * 10), schema)}, f"file://{tmp_path}/chain")
+    try:
+        for n, more in ((2, None), (3, ("c", 3))):
+            if more:
+                spark.createDataFrame([more], schema).write.mode("append").parquet(source)
+            for _ in range(120):
+                for q in running.values():
+                    q.processAllAvailable()
+                if files.exists(spark, f"file://{tmp_path}/chain/parse/_spark_metadata") and spark.read.schema(schema).parquet(f"file://{tmp_path}/chain/parse").count() == n:
+                    break
+            assert all(q.isActive for q in running.values())
+        assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/chain/parse").collect()} == {("a", 10), ("b", 20), ("c", 30)}
+    finally:
+        for q in running.values():
+            q.stop()
+
+
+def test_first_failure_stops_the_others(spark, tmp_path):
+    source, schema = f"file://{tmp_path}/in", "k string, seq long"
+    spark.createDataFrame([("a", 1)], schema).write.parquet(source)
+    good = _stream_of(spark, source, schema).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c1").start()
+    bad = _stream_of(spark, source, schema).withColumn("x", F.raise_error(F.lit("no"))).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c2").start()
+    with pytest.raises(RuntimeError, match="stage bad failed"):
+        streams.guarded({"good": good, "bad": bad})
+    assert not good.isActive and not bad.isActive
+
+
 # ---------------------------------------------------------------- pages
 
 def test_tree_tolerates_bad_markup():
@@ -111,6 +202,17 @@ def test_files(spark, tmp_path):
     assert files.write_csv(rows.limit(0), f"{path}-none") is False and not files.exists(spark, f"{path}-none")
     (tmp_path / "o.json").write_text('{"meta": 1, "users": [{"name": "a"}, {"name": "b"}]}')
     assert [r.name for r in files.read_any_json(spark, f"file://{tmp_path}/o.json", LISTING).collect()] == ["a", "b"]
+    (tmp_path / "a.json").write_text('[{"name": "x"},\n {"name": "y"}]')
+    for read in (files.read_any_json, files.read_json):
+        assert [r.name for r in read(spark, f"file://{tmp_path}/a.json", LISTING).collect()] == ["x", "y"]
+    (tmp_path / "n.json").write_text('{"meta": {"a": [1]}, "n": 2}')
+    assert files.read_any_json(spark, f"file://{tmp_path}/n.json", LISTING).count() == 0 == files.read_json(spark, f"file://{tmp_path}/none.json", LISTING).count()
+    assert files.read_uploads(spark, f"file://{tmp_path}/n.json").first().sha256 == hashlib.sha256((tmp_path / "n.json").read_bytes()).hexdigest()
+    files.export(rows, f"{path}-json", f"{path}-csv")
+    assert files.read_jsonl(spark, f"{path}-json", LISTING).count() == files.read_csv(spark, f"{path}-csv", LISTING).count() == 2
+    assert files.may_write(spark, f"{path}-json", True) and files.may_write(spark, f"{path}-new")
+    with pytest.raises(FileExistsError):
+        files.may_write(spark, f"{path}-json")
     assert files.discard(rows) == 2 and files.clean_up(spark, [path]) == [path] and files.clean_up(spark, [path]) == []
 
 
@@ -139,6 +241,7 @@ def test_engine_end_to_end(spark):
     assert [(r.name, r.missing) for r in rows.collect()] == [("Ada L", 1)]
     report = {(r.phase, r.metric): r.value for r in engine.report().collect()}
     assert report["extract", "rows"] == 2 and report["parse", "succeeded"] == 1
+    assert [r.name for r in engine.run("sample", jobs=jobs, limit=1).collect()] == ["Ada L"]
     with pytest.raises(ValueError, match="no command"):
         engine.run("dance")
     fixed = engine.run("fixup", listing=spark.createDataFrame([("Ada", "https://directory.example/u/ada", None, None, None)], LISTING))
