@@ -79,6 +79,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """,
     "op1_substring_dedup": twins.OP1,
+    "op4_suffix_dedup": twins.OP4,
     "op6_url_templates": url_templates.ORACLE,
     "op9_warc": twins.OP9,
     "op10_decontaminate": twins.OP10,

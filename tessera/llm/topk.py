@@ -6,8 +6,12 @@ of depth at a time; unseen rows are scored in full; reading stops when the bound
 have whose components all equal the values at the present depth, is below the k-th score so far (equal
 scores must still be read: ties go to the smaller id). The k-th score is carried from block to block.
 
+How soon reading stops depends on the data: with few dimensions, or a few that decide, most rows are never
+scored (``Best.scored`` counts them); of vectors that point anywhere in many dimensions, as good as all
+are read before the bound falls below the k-th score.
+
 Queries are broadcast in blocks of ``QUERIES`` rows, each with one pass over the rows; every task gives
-its k best per query, and the best of those are kept.
+its k best per query, and the best of those are kept (a task sends no more than k rows per query on).
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do
 rows with a null id; a shorter vector counts as ending in zeros; equal rows are all candidates; a query
@@ -55,6 +59,7 @@ class Best:
 
     def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
         self.queries, self.own, self.k = queries, ids, k
+        self.scored = 0
         self.kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -92,6 +97,7 @@ class Best:
                     fresh = np.flatnonzero(read & ~seen)
                 if len(fresh):
                     seen[fresh] = True
+                    self.scored += len(fresh)
                     self.add(q, (rows[fresh] @ weight).astype(np.int64), ids[fresh])
                 if seen.all():
                     break

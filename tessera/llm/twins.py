@@ -15,6 +15,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, coalesc
 FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
 """
 
+OP4 = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+windows AS (SELECT doc_id, p, md5(substr(x, 2 * p - 1, 200)) AS g FROM (SELECT doc_id, x, unnest(generate_series(1, n - 99)) AS p FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
+gaps AS (SELECT doc_id, p, p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 100 AS new FROM later),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS b FROM (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM gaps) GROUP BY doc_id, r),
+cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+lists AS (SELECT doc_id, count(*) AS k, sum(b - a + 1)::BIGINT AS gone, list(struct_pack(s := before, e := a) ORDER BY a) AS kept, max(b) AS last FROM cut GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(k, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k IS NULL THEN x ELSE array_to_string(list_transform(kept, lambda c: substr(x, (2 * c.s + 1)::BIGINT, (2 * (c.e - 1 - c.s))::BIGINT)), '') || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 coded AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],

@@ -410,6 +410,23 @@ def test_top_k(spark):
     assert topk.search(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_top_k_stops_early():
+    """With few dimensions, or a few that decide, most rows are never scored; results are those of all rows."""
+    pick = np.random.default_rng(7)
+    for width, spread, most in ((3, np.ones(3), 0.2), (40, np.r_[np.full(3, 1.0), np.full(37, 0.002)], 0.4)):
+        rows = np.floor(1024 * pick.normal(size=(20000, width)) * spread).astype(np.int64)
+        ids, asked = np.arange(20000), rows[::1000] * 1
+        best = topk.Best(asked, ids[::1000], 10)
+        for start in range(0, 20000, topk.BLOCK):
+            best.block(ids[start:start + topk.BLOCK], rows[start:start + topk.BLOCK])
+        assert best.scored < most * len(asked) * len(rows)
+        for q, (scores, found) in enumerate(best.kept):
+            every = rows @ asked[q]
+            every[q * 1000] = -(1 << 62)
+            order = np.lexsort((ids, -every))[:10]
+            assert found.tolist() == order.tolist() and scores.tolist() == every[order].tolist()
+
+
 def test_url_rules_and_templates(spark):
     urls = [None, "", "nothing", "http://", "HTTP://A.Example.COM?x", "https://x.net/a", "https://net/", "https://net", "https://www.example.net/en/1?q#f", "https://example.net/de/1", "x://example.com/de/", "x://a.org/fr/#", "x://notexample.com/de/", "a://b://c/d"]
     rows = [(i, u, 1, "s") for i, u in enumerate(urls)] + [(100 + i, f"http://shop.example.com/de/{i}", 1, "s") for i in range(30)] + [(200 + i, f"http://shop.example.com/x/{i}", 1, "s") for i in range(5)] + [(200, "http://shop.example.com/x/0", 1, "s")]
