@@ -15,7 +15,7 @@ from . import dom
 BASE = "https://directory.example"
 MIN_HTML = 20_000
 MIN_CONFIDENCE = 2
-#: Labels of the statistics table and their fields; names of confidence signals.
+#: Labels of the statistics table and their fields; names of confidence signals; selectors of names, titles, skills and landmarks.
 LABELS = {
     "معدل التوظيف": "employment_rate", "المشاريع المستلمة": "received_projects", "تعاملاتي معه": "financial_deals", "إكمال المشاريع": "completion_rate", "التسليم بالموعد": "ontime_delivery_rate",
     "إعادة التوظيف": "rehire_rate", "نجاح التواصلات": "communication_success_rate", "نجاح التواصل": "communication_success_rate", "المشاريع المكتملة": "total_completed_projects",
