@@ -6,6 +6,8 @@ single text if that one is longer); nothing gathers the corpus.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -94,6 +96,16 @@ def row_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.col(text))
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps the memory for the next use
+
+
 # ---------------------------------------------------------------- Arrow
 
 #: What operators keep in a Python worker from task to task, by operator.
@@ -243,12 +255,23 @@ class Words:
         self.text_starts = np.concatenate(([0], np.cumsum(sizes)))
         #: first[d] .. first[d + 1] are the words of text d.
         self.first = np.searchsorted(self.starts, self.text_starts)
+        self._total: np.ndarray | None = None
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes."""
+        if self._total is None:
+            self._total = running(self.bytes.astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        return span_of(self._total, starts, ends, BYTE_BASE)
+
+    def forget(self) -> None:
+        """Let go of what only saves time."""
+        self._total = None
+
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.bytes.astype(np.uint64) + np.uint64(1), self.starts, self.ends, BYTE_BASE)
+        return self.spans(self.starts, self.ends)
 
     def of(self, d: int) -> list[bytes]:
         data, a, b = self.data, self.first[d], self.first[d + 1]

@@ -9,7 +9,8 @@ fingerprints. Equal fingerprints are one class from the start, so that groups of
 
 Skew: a bucket with more than ``BUCKET`` classes is dealt anew by its other bits (pigeonhole again, as
 deep as needed), so no bucket is unbounded and none is capped. Buckets yield a spanning star of their
-links, not all pairs; where links are verified (``keep_one``), all pairs that are not yet in one group.
+links, not all pairs. Where links are verified (``keep_one``), buckets yield spanning forests of the pairs
+that may hold, then, of nodes that these have not brought together, all pairs that may.
 
 Buckets are dealt over tasks whose number follows the rows, and streamed: a task holds some buckets, or one
 bucket's classes and some of those that probe it.
@@ -21,11 +22,13 @@ give no rows; other columns, whatever their names, pass through ``keep_one`` and
 
 from __future__ import annotations
 
+import functools
 import itertools
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +38,11 @@ from .graph import components, local_roots
 
 SEED = 42
 #: Classes that one bucket compares pair by pair; larger ones are dealt anew.
-BUCKET = 4096
+BUCKET = 16384
 #: What a row that probes costs, in comparisons.
-ROW_COST = 200.0
+ROW_COST = 1000.0
 #: Probing rows of one task, and of those that are compared at once.
-TASK_ROWS, HELD_ROWS = 1 << 20, 1 << 17
+TASK_ROWS, HELD_ROWS = 1 << 18, 1 << 17
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -182,6 +185,7 @@ def _in_step(batch: pa.Table, bits: int):
     order = np.lexsort((fp, ~home.astype(bool), key))
     key, fp, home, node = key[order], fp[order].view(np.uint64), home[order].astype(bool), node[order]
     label = batch.column("label").to_numpy()[order] if "label" in batch.column_names else node
+    outlines = Outlines(batch, order) if "outline" in batch.column_names else None
     names, node = np.unique(node, return_inverse=True)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     sizes = np.diff(np.append(first, len(key)))
@@ -199,12 +203,49 @@ def _in_step(batch: pa.Table, bits: int):
             d += 1
             live = live[many[live] > d]
 
-    return names, node, label, steps()
+    return names, node, label, outlines, steps()
+
+
+class Outlines:
+    """Of rows' shingle sets: sizes, and how many shingles fall into each of 256 bins (4 bits each; none for large sets)."""
+
+    def __init__(self, batch: pa.Table, order: np.ndarray):
+        column = batch.column("outline").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        there = pc.binary_length(column).to_numpy() == BINS // 2
+        self.place = np.where(there, np.cumsum(there) - 1, -1)[order]
+        self.bins = np.frombuffer(b"".join(x for x in column.to_pylist() if len(x) == BINS // 2), np.uint8).reshape(-1, BINS // 2)
+        self.size = batch.column("size").to_numpy()[order]
+
+    def most(self, row: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The largest Jaccard similarity that the pairs can have: sets share no more in a bin than the lesser has there."""
+        least = np.minimum(self.size[row], self.size[other])
+        shared = least.copy()
+        known = np.flatnonzero((self.place[row] >= 0) & (self.place[other] >= 0))
+        for part in range(0, len(known), 1 << 15):
+            k = known[part:part + (1 << 15)]
+            a, b = self.bins[self.place[row[k]]], self.bins[self.place[other[k]]]
+            shared[k] = np.minimum(a & 15, b & 15).sum(axis=1, dtype=np.int64) + np.minimum(a >> 4, b >> 4).sum(axis=1, dtype=np.int64)
+        shared = np.minimum(shared, least)
+        whole = self.size[row] + self.size[other] - shared
+        return np.where(whole > 0, shared / np.maximum(whole, 1), 1.0)
+
+
+#: Bins of an outline, and the largest set that has one (so that no bin overflows).
+BINS, OUTLINED = 256, 1000
+
+
+def outline(shingles: np.ndarray) -> bytes:
+    """The bins of a set of hashes; empty if it is too large for them."""
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (BINS - 1), minlength=BINS)
+    if len(shingles) > OUTLINED or counts.max() > 15:
+        return b""
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
 
 
 def _compare(batch: pa.Table, bits: int) -> pa.Table:
     """Spanning stars of the links within the buckets of one shard (not all of them links themselves)."""
-    names, node, _, steps = _in_step(batch, bits)
+    names, node, _, _, steps = _in_step(batch, bits)
     roots = np.arange(len(names))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -224,7 +265,7 @@ def _nearest(batch: pa.Table, bits: int) -> pa.Table:
 
     Every node that has links is an end of one of these.
     """
-    names, node, _, steps = _in_step(batch, bits)
+    names, node, _, _, steps = _in_step(batch, bits)
     first, best, least = np.full(len(node), -1), np.full(len(node), -1), np.full(len(node), 65)
     for row, other, apart in steps:
         fresh, closer = first[row] < 0, apart < least[row]
@@ -234,20 +275,66 @@ def _nearest(batch: pa.Table, bits: int) -> pa.Table:
     return _distinct_pairs(names, [_pair_keys(node[own], node[to[own]], len(names)) for to in (first, best)])
 
 
-def _crossing(batch: pa.Table, bits: int) -> pa.Table:
-    """All links within the buckets of one shard between nodes whose labels differ."""
-    names, node, label, steps = _in_step(batch, bits)
+def _crossing(batch: pa.Table, bits: int, similarity: float = 0.0) -> pa.Table:
+    """All links within the buckets of one shard between nodes whose labels differ, and that may have the similarity."""
+    names, node, label, outlines, steps = _in_step(batch, bits)
     held: list[np.ndarray] = []
     size = 0
     for row, other, _ in steps:
         apart = label[row] != label[other]
-        held.append(_pair_keys(node[row[apart]], node[other[apart]], len(names)))
+        row, other = row[apart], other[apart]
+        if outlines is not None and len(row):
+            may = outlines.most(row, other) >= similarity
+            row, other = row[may], other[may]
+        held.append(_pair_keys(node[row], node[other], len(names)))
         size += len(held[-1])
         if size > 2_000_000:
             held, size = [np.unique(np.concatenate(held))], 0
     return _distinct_pairs(names, held)
 
 
+def _forest(batch: pa.Table, bits: int, similarity: float = 0.0) -> pa.Table:
+    """Of the links that ``_crossing`` gives, a spanning forest over the labels, likeliest links first."""
+    names, node, label, outlines, steps = _in_step(batch, bits)
+    labels = np.unique(label, return_inverse=True)[1]
+    none = np.empty(0, np.int64)
+    kept = (none, none, np.empty(0))
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def grown():
+        return _spanning(len(labels), labels, *map(np.concatenate, zip(kept, *held, strict=True)))
+
+    for row, other, near in steps:
+        apart = label[row] != label[other]
+        row, other = row[apart], other[apart]
+        weight = outlines.most(row, other) if outlines is not None else 1.0 - near[apart] / 64
+        may = weight >= similarity
+        held.append((row[may], other[may], weight[may]))
+        size += int(may.sum())
+        if size > 1_000_000:
+            kept, held, size = grown(), [], 0
+    kept = grown()
+    return _distinct_pairs(names, [_pair_keys(node[kept[0]], node[kept[1]], len(names))])
+
+
+def _spanning(n: int, labels: np.ndarray, row: np.ndarray, other: np.ndarray, weight: np.ndarray):
+    """The edges of a heaviest spanning forest: every tree takes its best edge, until none is left."""
+    roots, chosen = np.arange(n), []
+    live = np.arange(len(row))
+    while True:
+        x, y = roots[labels[row[live]]], roots[labels[other[live]]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        if not len(live):
+            take = np.concatenate(chosen) if chosen else live
+            return row[take], other[take], weight[take]
+        ends, edge = np.concatenate((x, y)), np.tile(np.arange(len(live)), 2)
+        order = np.lexsort((edge, -weight[live[edge]], ends))
+        best = np.unique(edge[order[np.flatnonzero(np.diff(ends[order], prepend=-1))]])
+        chosen.append(live[best])
+        roots = local_roots(n, x[best], y[best], roots)
+
+
 def _pair_keys(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(a, b) * n + np.maximum(a, b)
 
@@ -292,29 +379,26 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     ``classes``: fp and node, no fingerprint twice (in a band). If banded, only pairs whose ``band``
     differs by at most one are looked for (a column that bounds the similarity from above, such as a
     size class). ``compare`` may instead give ``_nearest`` links or, of nodes with a ``label``, all
-    ``_crossing`` ones; these can occur more than once.
+    ``_crossing`` ones or a ``_forest`` of them; these can occur more than once.
     """
-    rows = []
-    extra = [c for c in classes.columns if c == "label"]
+    extra = [c for c in classes.columns if c in ("label", "outline", "size")]
     band = F.col("band") if banded else F.lit(0)
-    for k, (mask, t, group) in enumerate(plan(classes, bits, band)):
-        value = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        flips = F.array(*[F.lit(signed(m)) for m in ball(group, t)])
-        bands = F.array(*[band + i for i in ((0, 1) if banded else (0,))])
-        probe = classes.select("fp", "node", *extra, value.alias("value"), band.alias("own"), F.explode(flips).alias("flip"), bands.alias("bands")).select("*", F.explode("bands").alias("at"))
-        rows.append(probe.select(
-            F.xxhash64(F.lit(k), F.col("value").bitwiseXOR(F.col("flip")), "at").alias("bucket"), "fp", "node", ((F.col("flip") == 0) & (F.col("at") == F.col("own"))).alias("home"), F.lit(signed(((1 << 64) - 1) ^ mask)).alias("rest"), *extra))
-    whole = rows[0]
-    for r in rows[1:]:
-        whole = whole.unionByName(r)
+    # Each class probes, per partition, the values that its own can have been changed into, in its band and the next.
+    probes = [
+        (k, signed(mask), signed(flip), ahead, signed(((1 << 64) - 1) ^ mask)) for k, (mask, t, group) in enumerate(plan(classes, bits, band)) for flip in ball(group, t) for ahead in ((0, 1) if banded else (0,))]
+    every = F.expr(f"array({', '.join(f'named_struct("k", {k}, "mask", {m}L, "flip", {f}L, "ahead", {a}L, "rest", {r}L)' for k, m, f, a, r in probes)})")
+    value = F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip"))
+    whole = classes.select("fp", "node", *extra, band.cast("long").alias("own"), F.explode(every).alias("x")).select(
+        F.xxhash64("x.k", value, F.col("own") + F.col("x.ahead")).alias("bucket"), "fp", "node", ((F.col("x.flip") == 0) & (F.col("x.ahead") == 0)).alias("home"), F.col("x.rest").alias("rest"), *extra)
+    count = classes.count() * len(probes)
     found, used = None, []
     while True:
         # A bucket with no more free bits than ``bits`` holds few classes and stays.
-        hot = C.written(whole.groupBy("bucket").agg(F.count_if("home").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
+        hot = C.written(whole.where("home").groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
         used.append(hot)
         any_hot = bool(hot.take(1))
-        cold = whole.join(hot, "bucket", "left_anti") if any_hot else whole
-        tasks = max(1, -(-whole.count() // TASK_ROWS))
+        cold = (whole.join(hot, "bucket", "left_anti") if any_hot else whole).drop("rest")
+        tasks = max(1, -(-count // TASK_ROWS))
         stars = cold.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.desc("home")).mapInArrow(lambda batches: _streamed(batches, bits, compare), "u long, v long")
         found = stars if found is None else found.unionByName(stars)
         if not any_hot:
@@ -325,6 +409,7 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
         again = whole.join(hot, "bucket", "left_semi").mapInArrow(lambda batches: _dealt_anew(batches, bits), whole.schema)
         whole = C.written(again.distinct(), "buckets")
         used.append(whole)
+        count = whole.count()
 
 
 def _dealt_anew(batches, bits: int):
@@ -368,16 +453,18 @@ def _sizes_and_prints(docs: DataFrame, size: int, similarity: float) -> DataFram
     def run(batches):
         for part in C.slices(batches, "text"):
             prints: list[list[int]] = [[] for _ in PRINTS]
-            sizes = []
+            sizes, outlines = [], []
             for text in C.raw_texts(part.column("text")):
                 hashes = shingle_hashes(text, size)
                 for k, own in enumerate(prints):
                     own.append(majority(C.mix(hashes + np.uint64(k)) if k else hashes))
-                sizes.append(max(len(np.unique(hashes)), 1))
-            band = np.floor(np.log(sizes) / step).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints), pa.array(band)], ["doc_id", "node", *PRINTS, "band"])
+                different = np.unique(hashes)
+                sizes.append(len(different))
+                outlines.append(outline(different))
+            band = np.floor(np.log(np.maximum(sizes, 1)) / step).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints), pa.array(band), pa.array(sizes, pa.int64()), pa.array(outlines, pa.binary())], ["doc_id", "node", *PRINTS, "band", "size", "outline"])
 
-    return docs.select("doc_id", "node", "text").mapInArrow(run, f"doc_id long, node long, {', '.join(f'{p} long' for p in PRINTS)}, band long")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, f"doc_id long, node long, {', '.join(f'{p} long' for p in PRINTS)}, band long, size long, outline binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -411,34 +498,29 @@ def similar_pairs(read: DataFrame, pairs: DataFrame, size: int, similarity: floa
 class _Candidates:
     """The candidate pairs of one fingerprint. Nodes with equal fingerprints in a band are one class, named by its least node."""
 
-    def __init__(self, nodes: DataFrame, fp: str, bits: int):
-        self.bits = bits
-        nodes = nodes.select("node", F.col(fp).alias("fp"), "band")
-        self.classes = C.written(nodes.groupBy("fp", "band").agg(F.min("node").alias("head")), "heads")
-        self.members = nodes.join(self.classes, ["fp", "band"]).select("node", "head")
-        pairs = links(self.classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest)
+    def __init__(self, nodes: DataFrame, fp: str, bits: int, similarity: float):
+        self.bits, self.similarity = bits, similarity
+        self.nodes = nodes.select("node", F.col(fp).alias("fp"), "band", "size", "outline")
+        classes = C.written(self.nodes.groupBy("fp", "band").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
+        pairs = links(classes.select("fp", F.col("head").alias("node"), "band"), bits, banded=True, compare=_nearest)
         self.near = C.written(pairs.distinct(), "near")
-        C.forget(pairs)
-        self.used = [self.classes, self.near]
+        # Nodes that have any candidate: their class has, or is not theirs alone.
+        linked = self.near.select(F.col("u").alias("head")).union(self.near.select(F.col("v").alias("head"))).union(classes.where("n > 1").select("head")).distinct()
+        members = self.nodes.join(classes.select("fp", "band", "head"), ["fp", "band"])
+        self.linked = C.written(members.join(linked, "head", "left_semi"), "linked")
+        C.forget(pairs, classes)
+        self.used = [self.near, self.linked]
 
     def first(self) -> DataFrame:
         """Pairs that touch every node that has candidates: with its class's head, its first and its nearest candidate."""
-        return self.near.unionByName(self.members.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
-
-    def rest(self, roots: DataFrame) -> DataFrame:
-        """All candidate pairs whose nodes have different ``roots`` (node, root)."""
-        rooted = C.written(self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        # A class whose members have several roots is apart from every other, and its members from each other.
-        of_class = rooted.groupBy("head").agg(F.min("root").alias("root"), F.max("root").alias("last"))
-        label = F.when(F.col("root") == F.col("last"), F.col("root")).otherwise(F.xxhash64(F.lit("several"), "head"))
-        linked = self.near.select(F.col("u").alias("head")).union(self.near.select(F.col("v").alias("head"))).distinct()
-        labelled = C.written(self.classes.join(linked, "head").join(of_class, "head").select("fp", F.col("head").alias("node"), "band", label.alias("label")), "labelled")
-        a, b = (rooted.select(F.col("node").alias(n), F.col("head").alias(f"{n}_head"), F.col("root").alias(f"{n}_root")) for n in "uv")
-        several = of_class.where("root <> last").select(F.col("head").alias("u_head"), F.col("head").alias("v_head"))
-        pairs = links(labelled, self.bits, banded=True, compare=_crossing)
-        self.used += [rooted, labelled, pairs]
-        crossing = pairs.distinct().select(F.col("u").alias("u_head"), F.col("v").alias("v_head"))
-        pairs = crossing.unionByName(several).join(a, "u_head").join(b, "v_head").where("u_root <> v_root AND (u_head <> v_head OR u < v)")
+        return self.near.unionByName(self.linked.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+
+    def apart(self, roots: DataFrame, compare) -> DataFrame:
+        """Candidate pairs of nodes with different ``roots`` (node, root) that may be similar: all, or a forest of them."""
+        similarity = self.similarity
+        labelled = C.written(self.linked.join(roots, "node", "left").select("fp", "node", "band", F.coalesce("root", "node").alias("label"), "size", "outline"), "labelled")
+        pairs = links(labelled, self.bits, banded=True, compare=lambda batch, bits: compare(batch, bits, similarity))
+        self.used += [labelled, pairs]
         return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
@@ -447,28 +529,32 @@ def keep_one(docs: DataFrame, size: int = 5, bits: int = 12, similarity: float =
 
     Texts within ``bits`` bits by one of two independent fingerprints are candidates, if their size classes
     differ by at most one; groups are the components of the candidate pairs whose shingle sets have the
-    Jaccard ``similarity``. Each text is first verified with its first and nearest candidates; then all
-    candidate pairs that this has not brought into one group are. Rows with the same id and text are one
-    document, of which all rows stay or go; a null id is larger than any other; null and empty texts are
-    copies of each other; an empty table gives no rows.
+    Jaccard ``similarity``. Each text is first verified with its first and nearest candidates, then groups
+    with each other along the likeliest pairs, then all candidate pairs that are not in one group by now and
+    whose sets can be similar by their outlines (which bound the similarity from above). Rows with the same
+    id and text are one document, of which all rows stay or go; a null id is larger than any other; null and
+    empty texts are copies of each other; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("node", C.row_key())
     prints = C.written(_sizes_and_prints(read, size, similarity), "prints")
     # Equal texts are one node.
-    nodes = C.written(prints.groupBy("node", *PRINTS, "band").agg(F.min("doc_id").alias("first_id")), "nodes")
-    searches = [_Candidates(nodes, fp, bits) for fp in PRINTS]
+    nodes = C.written(prints.groupBy("node", *PRINTS, "band", "size", "outline").agg(F.min("doc_id").alias("first_id")), "nodes")
+    searches = [_Candidates(nodes, fp, bits, similarity) for fp in PRINTS]
     ordered = [s.first().select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")) for s in searches]
-    first = similar_pairs(read, ordered[0].unionByName(ordered[1]), size, similarity)
-    roots = C.written(components(first), "roots")
-    left = [s.rest(roots) for s in searches]
-    second = similar_pairs(read, left[0].unionByName(left[1]), size, similarity)
-    held = components(first.unionByName(second))
+    verified = [similar_pairs(read, ordered[0].unionByName(ordered[1]), size, similarity)]
+    used = []
+    for compare in (_forest, _crossing):
+        roots = C.written(components(functools.reduce(DataFrame.unionByName, verified)), "roots")
+        left = [s.apart(roots, compare) for s in searches]
+        verified.append(similar_pairs(read, left[0].unionByName(left[1]), size, similarity))
+        used.append(roots)
+    held = components(functools.reduce(DataFrame.unionByName, verified))
     rooted = nodes.join(held, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     of_node = rooted.join(least, "root").select("node", "least_id")
     later = prints.join(of_node, "node").where((F.col("doc_id") > F.col("least_id")) | (F.col("doc_id").isNull() & F.col("least_id").isNotNull()))
     near_id, near_node = C.unused(docs.columns, "near_id"), C.unused(docs.columns, "near_node")
     gone = C.written(later.select(F.col("doc_id").alias(near_id), F.col("node").alias(near_node)).distinct(), "near-copies")
-    C.forget(prints, nodes, first, second, roots, *(t for s in searches for t in s.used))
+    C.forget(prints, nodes, *verified, *used, *(t for s in searches for t in s.used))
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(near_id)) & (F.xxhash64(text) == F.col(near_node)), "left_anti")

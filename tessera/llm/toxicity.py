@@ -37,7 +37,7 @@ from . import common as C
 
 TOXIC_ROWS, CLEAN_ROWS, FIT_BYTES = 800, 1400, 8 << 20
 #: Words of a chain that are computed in one piece, and pieces that are held at once.
-BLOCK, HELD = 64, 4096
+BLOCK, HELD = 64, 1024
 #: Bytes of a word's beginnings that are features, besides the word and its last four bytes.
 HEADS = (4, 5, 6, 7, 8)
 #: A feature marks words as toxic if toxic documents use it this many times as often as others.
@@ -54,13 +54,22 @@ def folded(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def features(words: C.Words) -> np.ndarray:
-    """(feature kind, word) hashes; each kind hashes apart."""
-    values = words.bytes.astype(np.uint64) + np.uint64(1)
+def feature(words: C.Words, kind: int) -> np.ndarray:
+    """Hashes of one feature of every word: the word, its last four bytes, or one of its beginnings (0 if it is no longer); kinds hash apart."""
     starts, ends = words.starts, words.ends
-    rows = [C.span_hashes(values, starts, ends, C.BYTE_BASE), C.span_hashes(values, np.maximum(starts, ends - 4), ends, C.BYTE_BASE)]
-    rows += [np.where(ends - starts > k, C.span_hashes(values, starts, np.minimum(starts + k, ends), C.BYTE_BASE), np.uint64(0)) for k in HEADS]
-    return np.stack([C.mix(r + np.uint64(k + 1)) if k else r for k, r in enumerate(rows)])
+    if kind > 1:
+        size = HEADS[kind - 2]
+        out = np.where(ends - starts > size, words.spans(starts, np.minimum(starts + size, ends)), np.uint64(0))
+    else:
+        out = words.spans(np.maximum(starts, ends - 4) if kind else starts, ends)
+    return C.mix(out + np.uint64(kind + 1)) if kind else out
+
+
+KINDS = range(2 + len(HEADS))
+
+
+def features(words: C.Words) -> np.ndarray:
+    return np.stack([feature(words, k) for k in KINDS])
 
 
 @functools.cache
@@ -210,35 +219,45 @@ class Model:
             self._fit(texts, toxic)
 
     def _fit(self, texts: list[str], toxic: np.ndarray) -> None:
-        # Hashes of all words, in slices.
+        # Words in slices; their features are made kind by kind, whenever they are needed.
         coded = lowered(texts)
         ends = np.cumsum([len(t) for t in coded])
-        hashes, counts, uses = [], [], []
+        parts, uses = [], []
         start = 0
         while start < len(coded):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20), "right")))
             words = C.Words(coded[start:stop], C.PLAIN)
-            found = features(words)
+            own = feature(words, 0)
             # A use of a feature: with its neighbouring words. Repeated passages have no more uses than one.
-            near = np.concatenate((found[0][-1:], found[0], found[0][:1])) if len(words.starts) else np.empty(2, np.uint64)
+            near = np.concatenate((own[-1:], own, own[:1])) if len(own) else np.empty(2, np.uint64)
             place = C.mix(near[:-2] + C.mix(near[1:-1] + C.mix(near[2:])))
             owner = np.repeat(np.arange(start, stop), words.counts())
             uses.append(place >> np.uint64(1) | (toxic[owner] > 0).astype(np.uint64) << np.uint64(63))
-            hashes.append(found)
-            counts.append(words.counts())
+            words.forget()
+            parts.append(words)
             start = stop
-        hashes, counts, uses = np.concatenate(hashes, axis=1), np.concatenate(counts), np.concatenate(uses)
+        del coded
+        counts, uses = np.concatenate([w.counts() for w in parts]), np.concatenate(uses)
+        def of_kind(kind):
+            out = []
+            for w in parts:
+                out.append(feature(w, kind))
+                w.forget()
+            return np.concatenate(out)
+
         first = np.concatenate(([0], np.cumsum(counts)))
         doc = np.repeat(np.arange(len(texts)), counts)
-        # Of each feature, how many different uses documents of either kind have; kind by kind.
+        # Of each feature, how many different uses documents of either kind have.
         known, bad, good = [], [], []
-        for row in hashes:
-            flat, use = unique_pairs(row, uses)
+        for k in KINDS:
+            flat, use = unique_pairs(of_kind(k), uses)
             names, at = np.unique(flat, return_inverse=True)
             ill = np.bincount(at, weights=use >> np.uint64(63), minlength=len(names))
             known.append(names)
             bad.append(ill)
             good.append(np.bincount(at, minlength=len(names)) - ill)
+            del flat, use, at
+        del uses
         known, at = np.unique(np.concatenate(known), return_inverse=True)
         bad, good = (np.bincount(at, weights=np.concatenate(x), minlength=len(known)) for x in (bad, good))
         n_bad, n_good = bad.sum(), good.sum()
@@ -247,11 +266,13 @@ class Model:
         kept = known[(bad + good >= 4) & ((odds >= 2) | (odds <= 0.5)) & (known != 0)]
         self.chain = chain = Chain(kept)
         truth = np.zeros(len(doc), bool)
-        for row in hashes:
+        columns = np.empty((len(KINDS), len(doc)), np.int32)
+        for k in KINDS:
+            row = of_kind(k)
             truth |= np.isin(row, marks)
+            columns[k] = chain.columns(row)
         truth &= toxic[doc] > 0
-        columns = np.stack([chain.columns(row) for row in hashes])
-        del hashes, uses
+        del parts, row, doc
         self._maximise(chain, columns, first, truth)
         marginal = chain.words(columns, first)
         sampled = toxic.mean()
@@ -320,7 +341,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = F.broadcast(docs.sparkSession.createDataFrame(taken, "id long"))
     rows = texts.join(own, "id").groupBy("text").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r.id, r.text))
-    return Model([r.text for r in rows], np.array([float(r.toxic > 0) for r in rows]), float(share))
+    model = Model([r.text for r in rows], np.array([float(r.toxic > 0) for r in rows]), float(share))
+    del rows
+    C.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

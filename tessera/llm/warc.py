@@ -116,6 +116,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk: int =
     lines = F.array(F.when(F.col("chunk_no") == 0, head), F.when(~F.col("revisit") & (size > 0), piece), end)
     ordered = rows.withColumn("http", http).sortWithinPartitions("id", "key", "row", "chunk_no")
     ordered.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    C.forget(types)
 
 
 class Reader:

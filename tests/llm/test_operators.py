@@ -348,17 +348,46 @@ def test_keep_one_finds_nearly_all_pairs(spark):
     both = Counter(p for ks in holders.values() if len(ks) < 200 for p in itertools.combinations(ks, 2))
     pairs = {p for p, n in both.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) and rows[p[0]][1] != rows[p[1]][1]}
     read = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.xxhash64("text"))
-    nodes = simhash._sizes_and_prints(read, 5, 0.8).select("node", *simhash.PRINTS, "band").distinct()
+    nodes = simhash._sizes_and_prints(read, 5, 0.8).drop("doc_id").distinct()
     node = {r.doc_id: r.node for r in read.select("doc_id", "node").collect()}
     found = set()
     for fp in simhash.PRINTS:
-        search = simhash._Candidates(nodes, fp, 12)
+        search = simhash._Candidates(nodes, fp, 12, 0.8)
         none = spark.createDataFrame([], "node long, root long")
-        found |= {tuple(sorted((r.u, r.v))) for r in search.first().unionByName(search.rest(none)).collect()}
+        found |= {tuple(sorted((r.u, r.v))) for r in search.first().unionByName(search.apart(none, simhash._crossing)).collect()}
     want = {tuple(sorted((node[rows[a][0]], node[rows[b][0]]))) for a, b in pairs}
     assert len(want) >= 60 and len(want & found) >= 0.95 * len(want)
 
 
+def test_outlines_bound_the_similarity():
+    pick = np.random.default_rng(3)
+    sets = [np.unique(pick.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 5, 150, 150, 900, 3000)]
+    sets += [np.unique(np.concatenate((s[:len(s) * 9 // 10], pick.integers(0, 1 << 63, len(s) // 10 + 1, dtype=np.uint64)))) for s in sets]
+    table = pa.table({"outline": pa.array([simhash.outline(s) for s in sets], pa.binary()), "size": [len(s) for s in sets]})
+    order = pick.permutation(len(sets))
+    outlines = simhash.Outlines(table, order)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    most = outlines.most(a, b)
+    for x, y, m in zip(a.tolist(), b.tolist(), most.tolist(), strict=True):
+        s, t = set(sets[order[x]].tolist()), set(sets[order[y]].tolist())
+        assert m >= (len(s & t) / len(s | t) if s | t else 1.0) - 1e-12
+    assert most[(a != b)].min() < 0.3  # and says something
+
+
+def test_forest_spans_what_all_pairs_join():
+    pick = random.Random(6)
+    base = [pick.getrandbits(64) for _ in range(4)]
+    rows = [(pick.randrange(2), pick.random() < 0.7, base[k % 4] ^ sum(1 << b for b in pick.sample(range(64), 3)), k, k // 3) for k in range(60)]
+    whole = pa.table({"bucket": [r[0] for r in rows], "home": [r[1] for r in rows], "fp": pa.array([r[2] for r in rows], pa.uint64()).view(pa.int64()), "node": [r[3] for r in rows], "label": [r[4] for r in rows]})
+    every, tree = simhash._crossing(whole, 6), simhash._forest(whole, 6)
+    assert 0 < len(tree) < len(every)
+
+    def roots(t):
+        return graph.local_roots(20, t["u"].to_numpy() // 3, t["v"].to_numpy() // 3).tolist()
+
+    assert roots(every) == roots(tree)
+
+
 def test_streamed_buckets_give_all_pairs(monkeypatch):
     """Any cut into batches and pieces finds what one piece finds."""
     pick = random.Random(3)
