@@ -5,8 +5,8 @@ some token spells waits in the bucket of that token's rank; a bitmap of three le
 hold something, so the least rank is found by three find-first-set steps, however much waits. Entries are
 never removed when a merge makes them invalid: they are stale and skipped when their bucket is read. The
 unseen pre-tokens of a slice share one queue, each with a list of its own: merges of different pre-tokens
-do not touch each other, and one find-first-set serves all that wait at a rank. A very long pre-token is
-held in 32-bit cells.
+do not touch each other, one find-first-set serves all that wait at a rank, and a large bucket is merged at
+once. Lists are held in 32-bit cells (16 bytes per byte), however long a pre-token is.
 
 Encoding is a map over documents: no shuffle. The rank file (at most ``RANK_FILE_BYTES``, checked) is
 broadcast. Encodings of short pre-tokens are kept per worker, in two tables of at most ``KEPT_BYTES``.
@@ -36,8 +36,9 @@ RANK_FILE_BYTES = 64 << 20
 #: Of one generation of kept pre-tokens, and of kept ranks of pairs (entries).
 KEPT_BYTES, KEPT_PAIRS = 128 << 20, 1 << 20
 KEPT_LENGTH = 48
-#: Bytes of pre-tokens that share a queue, and from which on parts are held in 32-bit cells.
-SHARED, LONG = 1 << 17, 1 << 20
+#: Bytes of text that are encoded at once, of their unseen pre-tokens that share a queue, and the positions of a
+#: bucket from which on they are merged together.
+SLICE, SHARED, TOGETHER = 1 << 22, 1 << 20, 64
 #: The characters of the Unicode property White_Space.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -182,12 +183,20 @@ class Encoder:
         self.pairs[left << 20 | right] = found
         return found
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``pair`` of many pairs; parts below 0 have none."""
+        keys, at = np.unique(left.astype(np.int64) << 20 | right, return_inverse=True)
+        known, out = self.pairs.get, np.empty(len(keys), np.int32)
+        for k, key in enumerate(keys.tolist()):
+            r = -1 if key < 0 else known(key)
+            out[k] = self.pair(key >> 20, key & 0xFFFFF) if r is None else r
+        return out[at]
+
     def merged(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each pre-token, as bytes of 32-bit numbers."""
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
         ends = np.cumsum([len(p) for p in pieces])
-        boxed = np.ndarray.tolist if n < LONG else lambda cells: array("i", cells.astype(np.int32).tobytes())
         ranks = np.append(self.byte_pairs[data[:-1], data[1:]], np.int32(-1))
         ranks[ends - 1] = -1
         whole = [self.rank.get(p, -1) for p in pieces]
@@ -195,19 +204,13 @@ class Encoder:
             ranks[ends[k] - len(pieces[k]):ends[k]] = -1
         follow, precede = np.arange(1, n + 1), np.arange(-1, n - 1)
         follow[ends - 1], precede[ends[:-1]] = n, -1
-        part, after, before, waiting = boxed(self.single[data]), boxed(follow), boxed(precede), boxed(ranks)
-        known, pair, low, mid = self.pairs.get, self.pair, self.low, self.mid
-        # The queue: positions that wait at each rank; of byte pairs, as slices of one sorted array.
+        # Each list as cells that are read one by one, and as an array over the same memory.
+        lists = Lists(self.single[data], follow, precede, ranks)
+        queue: dict[int, list] = {}
         order = np.argsort(ranks, kind="stable")
         order = order[int(np.searchsorted(ranks[order], 0)):]
-        opens = np.flatnonzero(np.diff(ranks[order], prepend=-1))
-        first = dict(zip(ranks[order[opens]].tolist(), zip(opens.tolist(), np.append(opens, len(order))[1:].tolist(), strict=True), strict=True))
-        buckets: dict[int, list[int]] = {}
-        top = 0
-        for r in first:
-            low[r >> 6] |= 1 << (r & 63)
-            mid[r >> 12] |= 1 << (r >> 6 & 63)
-            top |= 1 << (r >> 12)
+        top = self.push(queue, ranks[order], order, 0)
+        low, mid = self.low, self.mid
         while top:
             # Find first set, level by level; take that bucket.
             k = (top & -top).bit_length() - 1
@@ -220,60 +223,21 @@ class Encoder:
                 mid[k] = word = mid[k] & (mid[k] - 1)
                 if not word:
                     top &= top - 1
-            positions = buckets.pop(rank, [])
-            if rank in first:
-                a, b = first.pop(rank)
-                positions = order[a:b].tolist() + positions
-            if len(positions) > 1:
-                positions.sort()
-            pushes, lower = [], False
-            for k, i in enumerate(positions):
-                if waiting[i] != rank:
-                    continue  # stale
-                j = after[i]
-                after[i] = end = after[j]
-                part[i] = rank
-                part[j] = waiting[j] = waiting[i] = -1
-                if end < n:
-                    before[end] = i
-                    key = rank << 20 | part[end]
-                    r = known(key)
-                    if r is None:
-                        r = pair(rank, part[end])
-                    if r >= 0:
-                        waiting[i] = r
-                        pushes.append((r, i))
-                        lower = r < rank
-                h = before[i]
-                if h >= 0:
-                    r = known(part[h] << 20 | rank)
-                    if r is None:
-                        r = pair(part[h], rank)
-                    waiting[h] = r
-                    if r >= 0:
-                        pushes.append((r, h))
-                        lower = lower or r < rank
-                if lower:  # a lower rank goes first; the rest of this bucket waits
-                    pushes += [(rank, p) for p in positions[k + 1:] if waiting[p] == rank]
-                    break
-            for r, i in pushes:
-                bucket = buckets.get(r)
-                if bucket is None:
-                    buckets[r] = [i]
-                    if r in first:
-                        continue
-                    j = r >> 6
-                    word = low[j]
-                    low[j] = word | 1 << (r & 63)
-                    if not word:
-                        k = r >> 12
-                        word = mid[k]
-                        mid[k] = word | 1 << (j & 63)
-                        if not word:
-                            top |= 1 << k
-                else:
-                    bucket.append(i)
-        cells = np.array(part, np.int32)
+            bucket = queue.pop(rank)
+            single = [x for x in bucket if type(x) is int]
+            many = [x for x in bucket if type(x) is not int]
+            if len(single) + sum(map(len, many)) >= TOGETHER:
+                positions = np.concatenate([*many, np.array(single, np.int64)])
+                positions = np.unique(positions[lists.waiting[positions] == rank])  # others are stale
+                found = self.together(lists, rank, positions)
+                if found is not None:
+                    top = self.push(queue, *found, top)
+                    continue
+                single, many = positions.tolist(), []
+            for x in many:
+                single += x.tolist()
+            top = self.one_by_one(lists, rank, sorted(single), queue, top)
+        cells = lists.part[:n]
         for k in [k for k, r in enumerate(whole) if r >= 0]:
             a = ends[k] - len(pieces[k])
             cells[a:ends[k]], cells[a] = -1, whole[k]
@@ -282,6 +246,115 @@ class Encoder:
         raw = cells[alive].tobytes()
         return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def mark(self, rank: int, top: int) -> int:
+        """Set the bits of a rank whose bucket has become filled."""
+        j, k = rank >> 6, rank >> 12
+        self.low[j] |= 1 << (rank & 63)
+        self.mid[k] |= 1 << (j & 63)
+        return top | 1 << k
+
+    def push(self, queue: dict, ranks: np.ndarray, positions: np.ndarray, top: int) -> int:
+        """Put positions into the buckets of their ranks (ascending)."""
+        opens = np.flatnonzero(np.diff(ranks, prepend=-1))
+        starts = opens.tolist()
+        for r, a, b in zip(ranks[opens].tolist(), starts, [*starts[1:], len(ranks)], strict=False):
+            bucket = queue.get(r)
+            if bucket is None:
+                queue[r] = [positions[a:b]]
+                top = self.mark(r, top)
+            else:
+                bucket.append(positions[a:b])
+        return top
+
+    def together(self, lists: Lists, rank: int, positions: np.ndarray):
+        """Merge at all positions of a bucket at once; the (rank, position) pairs that wait then, by rank.
+
+        None, with nothing done, if a pair of a lower rank comes up: then the order of merges matters.
+        """
+        part, after, before, waiting, n = lists.part, lists.after, lists.before, lists.waiting, lists.n
+        # Of overlapping pairs (a run of equal parts) every other one merges, from the left.
+        index = np.arange(len(positions))
+        goes_on = np.concatenate(([False], after[positions[:-1]] == positions[1:]))
+        i = positions[(index - np.maximum.accumulate(np.where(goes_on, 0, index))) & 1 == 0]
+        j = after[i]
+        end = after[j]
+        inner = end < n
+        old_part, old_next, old_waiting = part[i], part[j], waiting[j]
+        passing = part[np.minimum(end, n)]
+        part[i], part[j] = rank, -1
+        after[i] = end
+        before[end[inner]] = i[inner]
+        h = before[i]
+        left = h >= 0
+        # To the right now, to the left, and to the right while what follows has not merged yet.
+        same = np.full(len(i), rank, np.int32)
+        a, b, c = np.split(self.ranks_of(
+            np.concatenate((same, np.where(left, part[np.maximum(h, 0)], -1), same)),
+            np.concatenate((np.where(inner, part[np.minimum(end, n)], 0), same, np.where(inner, passing, 0)))), 3)
+        a, c = np.where(inner, a, -1), np.where(inner, c, -1)
+        if any(((x >= 0) & (x < rank)).any() for x in (a, b, c)):
+            part[i], part[j], after[i], waiting[j] = old_part, old_next, j, old_waiting
+            before[end[inner]] = j[inner]
+            return None
+        waiting[j] = -1
+        waiting[i] = a
+        waiting[h[left]] = b[left]
+        ranks, places = np.concatenate((a, b)), np.concatenate((i, h))
+        order = np.argsort(ranks, kind="stable")
+        order = order[int(np.searchsorted(ranks[order], 0)):]
+        return ranks[order], places[order]
+
+    def one_by_one(self, lists: Lists, rank: int, positions: list[int], queue: dict, top: int) -> int:
+        """Merge at the positions of a bucket from the left; a lower rank that comes up goes first."""
+        part, after, before, waiting = lists.cells
+        n, known, pair = lists.n, self.pairs.get, self.pair
+        pushes, lower = [], False
+        for k, i in enumerate(positions):
+            if waiting[i] != rank:
+                continue  # stale
+            j = after[i]
+            after[i] = end = after[j]
+            part[i] = rank
+            part[j] = waiting[j] = waiting[i] = -1
+            if end < n:
+                before[end] = i
+                r = known(rank << 20 | part[end])
+                if r is None:
+                    r = pair(rank, part[end])
+                if r >= 0:
+                    waiting[i] = r
+                    pushes.append((r, i))
+                    lower = r < rank
+            h = before[i]
+            if h >= 0:
+                r = known(part[h] << 20 | rank)
+                if r is None:
+                    r = pair(part[h], rank)
+                waiting[h] = r
+                if r >= 0:
+                    pushes.append((r, h))
+                    lower = lower or r < rank
+            if lower:
+                pushes += [(rank, p) for p in positions[k + 1:] if waiting[p] == rank]
+                break
+        for r, i in pushes:
+            bucket = queue.get(r)
+            if bucket is None:
+                queue[r] = [i]
+                top = self.mark(r, top)
+            else:
+                bucket.append(i)
+        return top
+
+
+class Lists:
+    """The parts of pre-tokens as linked lists in 32-bit cells: part, after, before, and the rank at which the pair that starts here waits."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.n = len(columns[0])
+        self.cells = [array("i", np.append(c, -1).astype(np.int32).tobytes()) for c in columns]
+        self.part, self.after, self.before, self.waiting = (np.frombuffer(c, np.int32) for c in self.cells)
+
 
 _encoders: dict[tuple, Encoder] = C.worker_tables.setdefault("bpe", {})
 
@@ -299,7 +372,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(held.value, pattern)
-        for part in C.slices(batches, text, keep="bpe"):
+        for part in C.slices(batches, text, SLICE, keep="bpe"):
             ids, counts = _encoders[key].encode(part.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids))
             added = [lists] if decoded is None else [lists, held.value.decode(ids, counts)]

@@ -171,8 +171,10 @@ def test_tokens_round_trip(spark, ranks):
     assert bpe.encode(docs.where("false"), path, pattern).count() == 0
 
 
-def test_merge_order_may_go_down():
-    """A merge can make a pair of a lower rank than its own."""
+@pytest.mark.parametrize("together", [1, 64])
+def test_merge_order_may_go_down(monkeypatch, together):
+    """A merge can make a pair of a lower rank than its own; then a bucket is not merged at once."""
+    monkeypatch.setattr(bpe, "TOGETHER", together)
     tokens = [bytes([b]) for b in range(256)] + [b"abc", b"bc", b"ab", b"abcab"]
     whole, got = bpe.Encoder(bpe.Vocabulary(tokens), ".+").merged([b"abc", b"abcabcab"])
     assert np.frombuffer(whole, np.int32).tolist() == [256]
@@ -197,7 +199,28 @@ def test_both_splitters_agree(ranks):
     assert bpe._within_plane(r"\w+") is None and bpe._within_plane(r"\p{L}+|[^\t\p{N}]") is not None
 
 
-def test_long_pre_tokens_and_unknown_ids(ranks, monkeypatch):
+@pytest.mark.parametrize("together", [1, 8, 64, 1 << 30])
+def test_any_vocabulary_merges_in_order(monkeypatch, together):
+    """Random tokens, also such as merge into lower ranks, against merging the least and leftmost pair."""
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    pick = random.Random(together)
+    for _ in range(30):
+        more = {bytes(pick.choice(b"abc") for _ in range(pick.randint(2, 5))) for _ in range(25)}
+        tokens = [bytes([b]) for b in range(256)] + sorted(more, key=lambda t: pick.random())
+        table = {t: r for r, t in enumerate(tokens)}
+        pieces = [bytes(pick.choice(b"abc") for _ in range(pick.randint(1, 30))) for _ in range(40)]
+        for piece, got in zip(pieces, bpe.Encoder(bpe.Vocabulary(tokens), ".+").merged(pieces), strict=True):
+            parts = [bytes([c]) for c in piece]
+            while piece not in table:
+                best = min(((table[x + y], i) for i, (x, y) in enumerate(itertools.pairwise(parts)) if x + y in table), default=None)
+                if best is None:
+                    break
+                parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            assert np.frombuffer(got, np.int32).tolist() == ([table[piece]] if piece in table else [table[p] for p in parts])
+
+
+@pytest.mark.parametrize("together", [1, 64])
+def test_long_pre_tokens_and_unknown_ids(ranks, monkeypatch, together):
     tiktoken = pytest.importorskip("tiktoken")
     path, table, pattern = ranks
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -205,8 +228,8 @@ def test_long_pre_tokens_and_unknown_ids(ranks, monkeypatch):
     for t, r in table.items():
         tokens[r] = t
     vocabulary = bpe.Vocabulary(tokens)
-    monkeypatch.setattr(bpe, "LONG", 1000)
     monkeypatch.setattr(bpe, "KEPT_BYTES", 500)
+    monkeypatch.setattr(bpe, "TOGETHER", together)
     pick = random.Random(4)
     texts = ["".join(pick.choice("aethin") for _ in range(pick.choice([3, 9, 4000]))) for _ in range(60)] * 2
     encoder = bpe.Encoder(vocabulary, pattern)
