@@ -37,7 +37,7 @@ from . import common as C
 
 TOXIC_ROWS, CLEAN_ROWS, FIT_BYTES = 800, 1400, 8 << 20
 #: Words of a chain that are computed in one piece, and pieces that are held at once.
-BLOCK, HELD = 64, 1024
+BLOCK, HELD = 64, 2048
 #: Bytes of a word's beginnings that are features, besides the word and its last four bytes.
 HEADS = (4, 5, 6, 7, 8)
 #: A feature marks words as toxic if toxic documents use it this many times as often as others.
@@ -109,8 +109,8 @@ class Chain:
     def leads(self, columns: np.ndarray) -> np.ndarray:
         return sum((self.weights[c] for c in columns), np.full(columns.shape[1], self.bias))
 
-    def marginals(self, lead: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward over the chains of texts whose words begin at ``first``: P(toxic) of every word, sums of pair marginals."""
+    def marginals(self, lead: np.ndarray, first: np.ndarray, joint: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over the chains of texts whose words begin at ``first``: P(toxic) of every word, sums of pair marginals (``joint``)."""
         out, pairs = np.zeros(len(lead)), np.zeros((2, 2))
         ends = np.cumsum(-(-np.diff(first) // BLOCK))
         start = 0
@@ -118,12 +118,12 @@ class Chain:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HELD, "right")))
             a, b = first[start], first[stop]
             if b > a:
-                out[a:b], joint = self._marginals(lead[a:b], first[start:stop + 1] - a)
-                pairs += joint
+                out[a:b], more = self._marginals(lead[a:b], first[start:stop + 1] - a, joint)
+                pairs += more
             start = stop
         return out, pairs
 
-    def _marginals(self, lead: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _marginals(self, lead: np.ndarray, first: np.ndarray, joint: bool) -> tuple[np.ndarray, np.ndarray]:
         move, counts = np.exp(self.moves), np.diff(first)
         number = -(-counts // BLOCK)
         begin = np.repeat(first[:-1], number) + C.ranges(np.zeros(len(number), np.int64), number) * BLOCK
@@ -133,59 +133,65 @@ class Chain:
         n, length = len(begin), int(size.max())
         inside = np.arange(length)[:, None] < size[None, :]
         factor = np.where(inside, np.exp(np.clip(lead, -30, 30))[np.minimum(begin[None, :] + np.arange(length)[:, None], len(lead) - 1)], 1.0)
-        rows = np.arange(n)
-        # ahead[t, block, entering state, state], back[t, block, state, leaving state], up to a factor each.
-        ahead, back = np.empty((length, n, 2, 2)), np.empty((length, n, 2, 2))
-        at = np.zeros((n, 2, 2))
-        at[:, 0, 0], at[:, 1, 1] = 1.0, factor[0]
+        m00, m01, m10, m11 = move.ravel().tolist()
+        # ahead[2 * entering state + state, t, block], back[2 * state + leaving state, t, block], up to a factor each.
+        ahead, back = np.empty((4, length, n)), np.empty((4, length, n))
+        x = np.ones(n), np.zeros(n), np.zeros(n), factor[0]
         for t in range(length):
             if t:
-                at = at @ move
-                at[:, :, 1] *= factor[t][:, None]
-                at /= at.sum(axis=(1, 2))[:, None, None]
-            ahead[t] = at
-        same = np.eye(2)
-        at = np.broadcast_to(same, (n, 2, 2))
+                f = factor[t]
+                x = x[0] * m00 + x[1] * m10, (x[0] * m01 + x[1] * m11) * f, x[2] * m00 + x[3] * m10, (x[2] * m01 + x[3] * m11) * f
+                scale = 1 / (x[0] + x[1] + x[2] + x[3])
+                x = x[0] * scale, x[1] * scale, x[2] * scale, x[3] * scale
+            ahead[0, t], ahead[1, t], ahead[2, t], ahead[3, t] = x
+        short = np.flatnonzero(size < length)
+        x = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
         for t in range(length - 1, -1, -1):
             if t < length - 1:
-                at = at.copy()
-                at[:, 1] *= factor[t + 1][:, None]
-                at = move @ at
-                at /= at.sum(axis=(1, 2))[:, None, None]
-                at[t >= size - 1] = same
-            back[t] = at
+                f = factor[t + 1]
+                u, v = x[2] * f, x[3] * f
+                x = m00 * x[0] + m01 * u, m00 * x[1] + m01 * v, m10 * x[0] + m11 * u, m10 * x[1] + m11 * v
+                scale = 1 / (x[0] + x[1] + x[2] + x[3])
+                x = x[0] * scale, x[1] * scale, x[2] * scale, x[3] * scale
+                over = short[size[short] <= t + 1]
+                if len(over):
+                    x[0][over] = x[3][over] = 1.0
+                    x[1][over] = x[2][over] = 0.0
+            back[0, t], back[1, t], back[2, t], back[3, t] = x
         # What enters and leaves each block, carried through the texts.
-        enter, leave, ended = np.ones((n, 2)), np.ones((n, 2)), np.zeros((n, 2))
+        enter, leave, ended = np.ones((2, n)), np.ones((2, n)), np.zeros((2, n))
         for k in range(int(number.max())):
             own = head[number > k] + k
             if k:
-                enter[own] = ended[own - 1] @ move
-            out = (enter[own][:, None, :] @ ahead[size[own] - 1, own])[:, 0]
-            ended[own] = out / out.sum(axis=1)[:, None]
+                enter[:, own] = move.T @ ended[:, own - 1]
+            last = ahead[:, size[own] - 1, own]
+            out = np.stack((enter[0, own] * last[0] + enter[1, own] * last[2], enter[0, own] * last[1] + enter[1, own] * last[3]))
+            ended[:, own] = out / out.sum(axis=0)
         for k in range(int(number.max()) - 2, -1, -1):
             own = head[number > k + 1] + k
-            begun = (back[0, own + 1] @ leave[own + 1][:, :, None])[:, :, 0]
-            begun[:, 1] *= factor[0, own + 1]
-            begun = begun @ move.T
-            leave[own] = begun / begun.sum(axis=1)[:, None]
-        ahead = (enter[None, :, None, :] @ ahead)[:, :, 0]
-        back = (back @ leave[None, :, :, None])[:, :, :, 0]
-        both = ahead * back
-        toxic = np.where(inside, both[:, :, 1] / both.sum(axis=2), 0.0)
-        right = back.copy()
-        right[:, :, 1] *= factor
-        before = np.concatenate((np.zeros((1, n, 2)), ahead[:-1]))
-        later = np.setdiff1d(rows, head)
-        before[0, later] = ended[later - 1]
-        joint = before[:, :, :, None] * move * right[:, :, None, :]
-        total = joint.sum(axis=(2, 3))
-        real = inside & (total > 0)
-        pairs = (joint[real] / total[real][:, None, None]).sum(axis=0)
-        return toxic.T[inside.T], pairs
+            b, after = back[:, 0, own + 1], leave[:, own + 1]
+            begun = move @ np.stack((b[0] * after[0] + b[1] * after[1], (b[2] * after[0] + b[3] * after[1]) * factor[0, own + 1]))
+            leave[:, own] = begun / begun.sum(axis=0)
+        clean, toxic = enter[0] * ahead[0] + enter[1] * ahead[2], enter[0] * ahead[1] + enter[1] * ahead[3]
+        right, wrong = leave[0] * back[0] + leave[1] * back[1], leave[0] * back[2] + leave[1] * back[3]
+        del ahead, back
+        marginal = toxic * wrong / (clean * right + toxic * wrong)
+        if not joint:
+            return marginal.T[inside.T], np.zeros((2, 2))
+        # Pairs of neighbours: within a block, and across into the next one.
+        later = np.setdiff1d(np.arange(n), head)
+        first_of = np.zeros((2, 1, n))
+        first_of[:, 0, later] = ended[:, later - 1]
+        before = [np.concatenate((first_of[k], x[:-1])) for k, x in enumerate((clean, toxic))]
+        wrong *= factor
+        cells = [[before[0] * m00 * right, before[0] * m01 * wrong], [before[1] * m10 * right, before[1] * m11 * wrong]]
+        total = cells[0][0] + cells[0][1] + cells[1][0] + cells[1][1]
+        share = np.where(inside & (total > 0), 1 / np.maximum(total, 1e-300), 0.0)
+        return marginal.T[inside.T], np.array([[float((c * share).sum()) for c in row] for row in cells])
 
     def words(self, columns: np.ndarray, first: np.ndarray) -> np.ndarray:
         """P(toxic) of every word of a slice; texts begin at ``first``."""
-        return self.marginals(self.leads(columns), first)[0]
+        return self.marginals(self.leads(columns), first, joint=False)[0]
 
 
 def summaries(toxic: np.ndarray, first: np.ndarray) -> np.ndarray:
