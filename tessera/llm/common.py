@@ -7,7 +7,6 @@ single text if that one is longer); nothing gathers the corpus.
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -98,7 +97,6 @@ def row_key(text: str = "text") -> F.Column:
 
 def give_back() -> None:
     """Return memory that this process has freed to the machine."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -129,6 +127,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()  # workers are kept for the next task, which may be another operator's
 
 
 def raw_texts(col: pa.Array) -> list[bytes]:

@@ -312,7 +312,8 @@ def kept_by_brute_force(texts, size=5, bits=12, similarity=0.8):
     sets = [set(h.tolist()) for h in hashes]
     group = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if any((x ^ y).bit_count() <= bits for x, y in zip(prints[a], prints[b], strict=True)) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+        apart = [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
+        if min(apart) <= bits and sum(apart) <= simhash.JOINT and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
             group = [group[a] if g == group[b] else g for g in group]
     least = {}
     for (i, _), g in zip(texts, group, strict=True):
