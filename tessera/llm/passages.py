@@ -277,7 +277,7 @@ def _answers(passages: DataFrame, units: Units, transform: Callable, total: int)
                 yield answer(done, units, transform)
         C.give_back()
 
-    shards = max(1, -(-total * (6 if units.words else 1) // SHARD_BYTES))
+    shards = C.tasks(total * (6 if units.words else 1), SHARD_BYTES)
     return passages.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(run, ANSWERS)
 
 

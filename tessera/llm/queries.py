@@ -81,6 +81,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
     "op1_substring_dedup": twins.OP1,
     "op4_suffix_dedup": twins.OP4,
     "op6_url_templates": url_templates.ORACLE,
+    "op7_main_text": twins.OP7,
     "op9_warc": twins.OP9,
     "op10_decontaminate": twins.OP10,
 }

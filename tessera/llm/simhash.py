@@ -405,7 +405,7 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
         used.append(hot)
         any_hot = bool(hot.take(1))
         cold = (whole.join(hot, "bucket", "left_anti") if any_hot else whole).drop("rest")
-        tasks = max(1, -(-count // TASK_ROWS))
+        tasks = C.tasks(count, TASK_ROWS)
         stars = cold.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.desc("home")).mapInArrow(lambda batches: _streamed(batches, bits, compare), "u long, v long")
         found = stars if found is None else found.unionByName(stars)
         if not any_hot:

@@ -38,6 +38,10 @@ def sentences(seed, n=60):
     return [*enumerate(texts), (n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, texts[3]), (n + 4, " ".join(lines) * 30)]
 
 
+def test_task_counts():
+    assert [C.tasks(n, 10) for n in (0, 1, 10, 11, 200_000, 2_000_000, 10 ** 9)] == [1, 1, 1, 2, 20_000, 20_000, 3_125_000]
+
+
 # ---------------------------------------------------------------- repeated passages
 
 def repeated(docs, words, size):
