@@ -34,11 +34,11 @@ from . import common as C
 
 RANK_FILE_BYTES = 64 << 20
 #: Of one generation of kept pre-tokens, and of kept ranks of pairs (entries).
-KEPT_BYTES, KEPT_PAIRS = 128 << 20, 1 << 20
+KEPT_BYTES, KEPT_PAIRS = 96 << 20, 1 << 20
 KEPT_LENGTH = 48
 #: Bytes of text that are encoded at once, of their unseen pre-tokens that share a queue, and the positions of a
 #: bucket from which on they are merged together.
-SLICE, SHARED, TOGETHER = 1 << 22, 1 << 20, 64
+SLICE, SHARED, TOGETHER = 1 << 21, 1 << 19, 64
 #: The characters of the Unicode property White_Space.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
