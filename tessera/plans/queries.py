@@ -511,10 +511,11 @@ def label_inventory(spark, sf_dir):
     return quality.unmapped_labels(pages.page_labels(_raw(spark).where("profile_url LIKE 'u/ada%'"), "profile_url"), known)
 
 
-@query("SELECT 'h1' AS selector, page_id, count AS hits FROM (SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::INT AS count FROM pages)")
+@query(f"""WITH s AS (SELECT unnest([{', '.join(f"'{x}'" for x in pages.LANDMARKS)}]) AS selector)
+SELECT selector, page_id, CASE WHEN selector = 'h1' THEN len(regexp_extract_all(html, '<h1[ >]'))::INT ELSE 0 END AS hits FROM pages, s""")
 def landmark_hits(spark, sf_dir):
-    rows = pages.landmarks(_t(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return rows.where("selector = 'h1'").select("selector", "page_id", "hits")
+    """All selectors on all pages; the given ones have headings, and nothing of a directory."""
+    return pages.landmarks(_t(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("selector", "page_id", "hits")
 
 
 # ---------------------------------------------------------------- paging and streams
