@@ -228,11 +228,6 @@ def span_of(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return mix((total[ends] - total[starts]) * powers(_INVERSE[base], len(total))[starts])
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each span; equal spans hash alike wherever they stand."""
-    return span_of(running(values, base), starts, ends, base)
-
-
 def word_table(stops: Iterable[int]) -> np.ndarray:
     """True for bytes that belong to words."""
     out = np.ones(256, bool)
