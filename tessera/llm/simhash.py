@@ -487,15 +487,15 @@ def similar_pairs(read: DataFrame, pairs: DataFrame, size: int, similarity: floa
         for batch in batches:
             for part in C.slices([batch], "a"):
                 keep = []
-                for v, a, b in zip(part.column("v").to_pylist(), C.raw_texts(part.column("a")), C.raw_texts(part.column("b")), strict=True):
+                for v, a, b in zip(*(part.column(c).to_pylist() for c in ("v", "a", "b")), strict=True):
                     if v != last:
-                        last, known = v, np.unique(shingle_hashes(b, size))
-                    keep.append(jaccard(np.unique(shingle_hashes(a, size)), known) >= similarity)
+                        last, known = v, np.unique(shingle_hashes(C.grown(b), size))
+                    keep.append(jaccard(np.unique(shingle_hashes(C.grown(a), size)), known) >= similarity)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = C.written(pairs.distinct(), "candidates")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = C.written(read.join(ends, "node").dropDuplicates(["node"]).select("node", "text"), "candidate-texts")
+    texts = C.written(C.shrunk(read.select("node", "text")).join(ends, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     found = C.written(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "verified")
     C.forget(pairs, texts)
