@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import decimal_of, integer_of, list_of, minutes_of, number_or_zero
 from ..schemas import NUMERIC
+from .ordered import numbered, quantiles
 
 TABLE_COLUMNS = (
     "rank", "name", "title", "success_score", "completion_rate", "ontime_delivery_rate", "rehire_rate", "communication_success_rate", "total_completed_projects", "avg_response_time_minutes", "skills_str", "profile_url")
@@ -37,31 +38,9 @@ def typed(rows: DataFrame) -> DataFrame:
     return out
 
 
-#: Rows from which the bounds of ``ranked`` are read, and the number of parts they make.
-BOUND_ROWS, PARTS = 4096, 128
-
-
-def ranked(rows: DataFrame, score: str = "success_score", tie: str = "profile_url", parts: int = PARTS) -> DataFrame:
-    """1-based rank by score, ties by the key; no task sees the whole order.
-
-    A bounded sample of rows (those with the least hashes) gives bounds that cut the order into parts of
-    about equal size; a row's rank is its place in its part, after all rows of the parts before.
-    """
-    asked = rows.where(F.col(score).isNotNull() & F.col(tie).isNotNull()).select(score, tie).orderBy(F.xxhash64(tie, score)).limit(BOUND_ROWS)
-    sample = [tuple(r) for r in asked.select(F.col(score).alias("a"), F.col(tie).alias("b")).orderBy(F.desc("a"), "b").collect()]
-    bounds = sample[::max(1, -(-len(sample) // parts))][1:] if len(sample) == BOUND_ROWS else []
-    spark = rows.sparkSession
-    if bounds:
-        kind = f"struct<a:{rows.schema[score].dataType.simpleString()},b:{rows.schema[tie].dataType.simpleString()}>"
-        cuts = F.broadcast(spark.createDataFrame([(bounds,)], f"_cuts array<{kind}>"))  # one row of at most ``parts`` bounds
-        before = F.size(F.filter("_cuts", lambda c: (c.a > F.col(score)) | ((c.a == F.col(score)) & (c.b <= F.col(tie)))))
-        placed = rows.crossJoin(cuts).withColumn("_part", F.when(F.col(score).isNull(), len(bounds)).when(F.col(tie).isNull(), F.size(F.filter("_cuts", lambda c: c.a > F.col(score)))).otherwise(before)).drop("_cuts")
-    else:
-        placed = rows.withColumn("_part", F.lit(0))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    ahead = sizes.select(F.col("_part").alias("_own"), F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(score), tie))
-    return placed.withColumn("_place", place).join(F.broadcast(ahead), F.col("_part") == F.col("_own")).withColumn("rank", F.col("_ahead") + F.col("_place")).drop("_part", "_own", "_ahead", "_place")
+def ranked(rows: DataFrame, score: str = "success_score", tie: str = "profile_url", parts: int | None = None) -> DataFrame:
+    """1-based rank by score, ties by the key; null scores come last, in the order of the key. No task sees the whole order."""
+    return numbered(rows, [F.desc_nulls_last(score), F.asc_nulls_first(tie)], name="rank", parts=parts)
 
 
 def top(rows: DataFrame, n: int, score: str, tie: str) -> DataFrame:
@@ -124,10 +103,15 @@ def histogram(rows: DataFrame, column: str, bins: int, positive: bool = True) ->
 
 
 def distribution(rows: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
-    """Five numbers, mean and deviation. Exact quartiles hold all different values in one task; with an ``accuracy`` they are sketched."""
-    x, at = F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(x, at) if accuracy is None else F.percentile_approx(x, at, F.lit(accuracy))
-    return rows.agg(F.min(x).alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev(x).alias("deviation"))
+    """Five numbers, mean and deviation. Quartiles are exact, from the numbered order; with an ``accuracy`` they are sketched."""
+    x = F.col(column)
+    rest = [F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev(x).alias("deviation")]
+    if accuracy is not None:
+        q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(accuracy))
+        return rows.agg(*rest, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
+    at = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = quantiles(rows, column, list(at.values())).agg(*[F.max(F.when(F.col("fraction") == f, F.col("value"))).alias(n) for n, f in at.items()])
+    return rows.agg(*rest).crossJoin(found)  # one row each
 
 
 def bubbles(rows: DataFrame, size: str) -> DataFrame:
@@ -135,4 +119,5 @@ def bubbles(rows: DataFrame, size: str) -> DataFrame:
 
 
 def categories(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.sort_array(F.collect_set("category")).alias("categories"), F.count("*").alias("n"))
+    """Rows of each category; none for the category of rows without one."""
+    return rows.where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))

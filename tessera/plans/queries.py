@@ -18,24 +18,8 @@ from ..operators import leaderboard, metrics, quality, records, search
 from ..sources import files, pages
 from ..streaming import streams
 from .engine import Config, Engine, pages_by_url
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .registry import table as _t
 
 def _long(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
@@ -292,7 +276,7 @@ def skills_repair(spark, sf_dir):
     return out.select("id", F.size("skills").alias("n"), F.get("skills", F.lit(0)).alias("head"))
 
 
-@query("SELECT list_sort(list(DISTINCT c_mktsegment)) AS categories, count(*) AS n FROM customer")
+@query("SELECT c_mktsegment AS category, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
 def category_stats(spark, sf_dir):
     return leaderboard.categories(_t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category")))
 

@@ -8,10 +8,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tessera.plans.queries import ORACLES, QUERIES
+import tessera.plans.queries
+import tessera.plans.timed  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="module")
