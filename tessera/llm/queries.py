@@ -1,10 +1,10 @@
-"""The corpus queries op1 to op10: thin digests of the operators beside this module."""
+"""The corpus queries op1 to op13: thin digests of the operators beside this module."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, twins, url_templates, warc
+from . import bit_slices, bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, twins, url_templates, warc
 from .common import fresh_path, table
 
 
@@ -66,7 +66,21 @@ def op3_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op7_main_text, op8_toxicity, op9_warc, op10_decontaminate)}
+def op13_bit_slices(spark, sf_dir):
+    lines = table(spark, sf_dir, "sale_lines")
+    whole = lambda c: F.floor(c + 0.5).cast("long")
+    sale = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    part = F.coalesce((F.col("item_id") % 2).cast("long"), F.lit(-1))
+    month = F.coalesce((100 * F.year("shipped_at") + F.month("shipped_at")).cast("long"), F.lit(-1))
+    own = lambda c: F.when(sale, F.lit(-1)).otherwise(c)
+    rows = lines.select(
+        own(F.col("vendor_id")).cast("long").alias("vendor_id"), own(part).cast("long").alias("part"), own(month).cast("long").alias("month"), F.floor(F.col("quantity") / 10).cast("long").alias("tens"), whole(100 * F.col("discount")).alias("percent"),
+        "sale_id", F.col("line_no").cast("long").alias("line_no"), F.col("quantity").cast("long").alias("quantity"), whole(100 * F.col("amount")).alias("amount_cents"))
+    found = bit_slices.first_places(rows, ["vendor_id", "part", "month"], [("tens", True), ("percent", False)], ["sale_id", "line_no", "quantity", "amount_cents"])
+    return found.select("vendor_id", "part", "month", "pos", "place", "sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op7_main_text, op8_toxicity, op9_warc, op10_decontaminate, op13_bit_slices)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
 WITH v AS (
@@ -84,4 +98,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
     "op7_main_text": twins.OP7,
     "op9_warc": twins.OP9,
     "op10_decontaminate": twins.OP10,
+    "op13_bit_slices": twins.OP13,
 }

@@ -57,3 +57,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
 """
+
+#: The checksum CRC-32 of a text's bytes, from its polynomial.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i))) AS crc_table"
+
+
+def _crc(text: str) -> str:
+    pairs = f"list_transform(range(length(hex(encode({text}))) // 2), lambda j: ('0x' || substr(hex(encode({text})), (2 * j + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(list_reduce({pairs}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP13 = f"""
+WITH sales_ AS (SELECT sale_id, {_crc('sale_id::VARCHAR')} % 5 = 0 AS own FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL), (SELECT {_CRC_TABLE})),
+l AS (SELECT CASE WHEN own THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN own THEN -1 ELSE coalesce(item_id % 2, -1) END AS part, CASE WHEN own THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,
+  sale_id, line_no::BIGINT AS line_no, quantity::BIGINT AS quantity, floor(quantity / 10)::BIGINT AS tens, floor(100 * discount + 0.5)::BIGINT AS percent, floor(100 * amount + 0.5)::BIGINT AS amount_cents
+  FROM sale_lines LEFT JOIN sales_ USING (sale_id)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos,
+  dense_rank() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST) AS place, count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM l)
+SELECT vendor_id, part::BIGINT AS part, month::BIGINT AS month, pos, place, sale_id, line_no, quantity, percent, amount_cents, tied FROM ranks WHERE place <= 5
+"""

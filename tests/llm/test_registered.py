@@ -38,7 +38,7 @@ def test_query_matches_its_twin(spark, name):
 
 
 def test_every_query_is_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 14)]
 
 
 def test_repeats_by_words_and_bytes(spark, texts):
