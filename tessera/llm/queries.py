@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bit_slices, bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, twins, url_templates, warc
+from . import bit_slices, bpe, decontam, fm_index, main_text, run_index, simhash, topk, toxicity, trie_bpe, twins, url_templates, warc, word_variants
 from .common import fresh_path, table
 
 
@@ -66,6 +66,22 @@ def op3_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op11_trie_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = "file://" + public_tokenizers.path(TOKENIZER)
+    coded = trie_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, packed=True, decoded="decoded")
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_word_variants(spark, sf_dir):
+    found = word_variants.variants(table(spark, sf_dir, "documents"), slip=97)
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def op13_bit_slices(spark, sf_dir):
     lines = table(spark, sf_dir, "sale_lines")
     whole = lambda c: F.floor(c + 0.5).cast("long")
@@ -80,7 +96,7 @@ def op13_bit_slices(spark, sf_dir):
     return found.select("vendor_id", "part", "month", "pos", "place", "sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op7_main_text, op8_toxicity, op9_warc, op10_decontaminate, op13_bit_slices)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_simhash, op4_suffix_dedup, op5_topk, op6_url_templates, op7_main_text, op8_toxicity, op9_warc, op10_decontaminate, op11_trie_bpe, op12_word_variants, op13_bit_slices)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
 WITH v AS (
@@ -98,5 +114,6 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
     "op7_main_text": twins.OP7,
     "op9_warc": twins.OP9,
     "op10_decontaminate": twins.OP10,
+    "op12_word_variants": twins.OP12,
     "op13_bit_slices": twins.OP13,
 }

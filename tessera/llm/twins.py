@@ -76,3 +76,20 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER
   dense_rank() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST) AS place, count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM l)
 SELECT vendor_id, part::BIGINT AS part, month::BIGINT AS month, pos, place, sale_id, line_no, quantity, percent, amount_cents, tied FROM ranks WHERE place <= 5
 """
+
+OP12 = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+summed AS (SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL), (SELECT {_CRC_TABLE})),
+slipped AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(generate_series(1, length(word))) AS p FROM v),
+blanked AS (SELECT word, n, substr(word, 1, p - 1) || '*' || substr(word, p + 1) AS k FROM places),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, p - 1) || substr(word, p + 1) AS k FROM places),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM blanked a JOIN blanked b USING (k) WHERE a.word <> b.word
+  UNION ALL SELECT s.word, s.n, v.word, v.n FROM shorter s JOIN v ON s.k = v.word UNION ALL SELECT v.word, v.n, s.word, s.n FROM shorter s JOIN v ON s.k = v.word),
+best AS (SELECT word, n, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS nth FROM pairs),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN other END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best b ON v.word = b.word AND nth = 1),
+chain AS (SELECT word, word AS tip FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON tip = forms.word WHERE form IS NOT NULL),
+ends AS (SELECT chain.word, tip AS root FROM chain JOIN forms ON tip = forms.word WHERE form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)
+"""
