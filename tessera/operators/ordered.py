@@ -1,7 +1,7 @@
 """Frames over one whole order: numbers, running sums, neighbours, tiles and quantiles.
 
 A window over all rows, or over a group with a third of them, would sort them in one task. Here rows are dealt
-by ranges of the order into as many parts as the session shuffles into (``dealt``), and what the parts before
+by ranges of the order into at most as many parts as the session shuffles into (``dealt``), and what the parts before
 sum up to is carried into each part. Between parts go only their totals: one row per part, as at most one
 group goes on from a part to the next.
 
@@ -25,10 +25,9 @@ CHUNK = 1 << 16
 
 def dealt(rows: DataFrame, order: Sequence[Column], within: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """Rows sorted by group and order over a written table, with their part (``_part``) and place in it (``_place``, from 0)."""
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*(F.col(c) for c in within), *order]
     at = F.monotonically_increasing_id()  # number of the part << 33 | place
-    ranged = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", at)
+    ranged = (rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).sortWithinPartitions(*by).withColumn("_at", at)
     return kept(ranged.withColumns({"_part": F.shiftright("_at", 33).cast("int"), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"), "ordered")
 
 
