@@ -1,18 +1,19 @@
 """Places within groups, ties included, from a bit-sliced bitmap index.
 
 A row's pair key is the bits of its order columns one after the other (smaller first; a null comes last, by a flag
-bit). Each task turns the rows it reads into blocks, in which a group's rows lie side by side: the group's bitmap is
-that run, and the index keeps per run (an entry, of at most ``RUN`` rows) one bitmap per bit of the key, beside the
-rows' other columns. No row is shuffled for that.
+bit). Rows are dealt out by ranges of (group, a running number), so that a group's rows lie side by side in one
+partition, or in as many as it takes if it is large. There the group's bitmap is a run of rows, and the index keeps per
+run (an entry, of at most ``RUN`` rows) one bitmap per bit of the key, beside the rows' other columns.
 
 The first ``places`` different keys of every group are found bit by bit, the highest first. A group's frontier is
 its first prefixes that hold rows; each entry ANDs its slices along them and counts the set bits of both
 continuations, the counts are summed over all entries of the group, and the first ``places`` prefixes with rows go on.
 ``step`` bits are descended from one exchange to the next; within it an entry keeps its own first ``places`` prefixes,
 which loses nothing, as a prefix that is among the first of the group is among the first of each entry that has it.
+For the same reason an entry descends its own slices once when it is made, and only stores the rows that are left.
 After the last bit the frontier holds the exact keys and how many rows tie at each. Then the entries fetch the
-rows whose bits spell such a key, and only these are shuffled and numbered (``operators.ordered``: ranges of the order
-with carried counts).
+rows whose bits spell such a key, and these are numbered (``operators.ordered``: ranges of the order with carried
+counts).
 
 Bounds: an entry sends at most ``places`` * 2^step counts; a frontier has ``places`` prefixes; what is broadcast is at
 most one carried count per shuffle partition; the driver sees the least and largest value of each order column.
@@ -36,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from ..operators.ordered import numbered
 from . import common as C
 
-#: Rows of a block, and of an entry at most; bytes of bitmaps that are ANDed at once.
+#: Rows of a block (more only where a batch is larger), and of an entry at most; bytes of bitmaps that are ANDed at once.
 BLOCK, RUN, ANDED = 1 << 18, 1 << 11, 1 << 20
 
 
@@ -69,8 +70,11 @@ def keys_of(rows: DataFrame, order: Sequence[tuple[str, bool]]) -> Keys:
 
 # ---------------------------------------------------------------- index
 
-def index(rows: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, bool]], keys: Keys) -> DataFrame:
-    """Entries: group columns, ``entry`` (an id), ``n``, a bitmap per slice (s0, s1, ...), and the rows' columns as lists."""
+def index(rows: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, bool]], keys: Keys, places: int) -> DataFrame:
+    """Entries: group columns, ``entry`` (an id), ``n``, a bitmap per slice (s0, s1, ...), and the rows' columns as lists.
+
+    Rows that are not among the first ``places`` keys of their entry are left out.
+    """
     others = [c for c in rows.columns if c not in groups]
     fields = [StructField(c, LongType()) for c in (*groups, "entry", "n")] + [StructField(f"s{t}", BinaryType()) for t in range(keys.bits)] + [StructField(c, ArrayType(LongType())) for c in others]
 
@@ -79,33 +83,48 @@ def index(rows: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, boo
         for block in _blocks(batches):
             flat = {c: block.column(c).combine_chunks() for c in block.column_names}
             values = {c: (np.asarray(a.fill_null(0)), np.asarray(a.is_null())) for c, a in flat.items()}
-            sort = np.lexsort([x for c in reversed(groups) for x in values[c]])
-            new = np.zeros(len(sort), bool)
+            new = np.zeros(block.num_rows, bool)
             new[:1] = True
             for c in groups:
                 for x in values[c]:
-                    new[1:] |= x[sort][1:] != x[sort][:-1]
-            heads = np.flatnonzero(new)
-            sizes = np.diff(np.append(heads, len(sort)))
-            cuts = -(-sizes // RUN)
-            starts = np.repeat(heads, cuts) + RUN * C.ranges(np.zeros(len(cuts), np.int64), cuts)
-            sizes = np.diff(np.append(starts, len(sort)))
-            wide = -(-sizes // 8)
-            # Rows of an entry begin at a byte of their own.
-            at = np.repeat(8 * (np.cumsum(wide) - wide) - starts, sizes) + np.arange(len(sort))
-            arrays = [flat[c].take(pa.array(sort[starts])) for c in groups]
+                    new[1:] |= x[1:] != x[:-1]
+            bits = keys.slices([values[c][0] for c, _ in order], [values[c][1] for c, _ in order])
+            starts, sizes = _runs_of(np.flatnonzero(new), block.num_rows)
+            maps = Bitmaps(sizes, [_packed(x, starts, sizes) for x in bits])
+            maps.look(np.arange(len(sizes)), np.zeros((len(sizes), keys.bytes), np.uint8), 0)
+            for t in range(keys.bits):
+                maps.down(t, places)
+            which, nth = maps.hits()
+            left = np.sort(starts[maps.entry[which]] + nth)
+            heads = np.searchsorted(left, starts)  # every entry has rows left
+            sizes = np.diff(np.append(heads, len(left)))
+            arrays = [flat[c].take(pa.array(starts)) for c in groups]
             arrays += [pa.array((task << 40) + made + np.arange(len(starts))), pa.array(sizes)]
             made += len(starts)
-            for bits in keys.slices([values[c][0][sort] for c, _ in order], [values[c][1][sort] for c, _ in order]):
-                padded = np.zeros(8 * int(wide.sum()), bool)
-                padded[at] = bits
-                arrays.append(C.binaries(np.packbits(padded), wide))
-            ends = pa.array(np.append(starts, len(sort)).astype(np.int32))
-            arrays += [pa.ListArray.from_arrays(ends, flat[c].take(pa.array(sort))) for c in others]
-            yield from pa.Table.from_arrays(arrays, names=[f.name for f in fields]).to_batches(max_chunksize=1 << 14)
+            arrays += [C.binaries(_packed(x[left], heads, sizes), -(-sizes // 8)) for x in bits]
+            ends = pa.array(np.append(heads, len(left)).astype(np.int32))
+            arrays += [pa.ListArray.from_arrays(ends, flat[c].take(pa.array(left))) for c in others]
+            yield from pa.Table.from_arrays(arrays, names=[f.name for f in fields]).to_batches(max_chunksize=1 << 12)
         C.give_back()
 
-    return C.written(rows.mapInArrow(build, StructType(fields)), "slices")
+    number = C.unused(rows.columns, "_number")
+    dealt = rows.withColumn(number, F.monotonically_increasing_id()).repartitionByRange(*groups, number).sortWithinPartitions(*groups).drop(number)
+    return C.written(dealt.mapInArrow(build, StructType(fields)), "slices")
+
+
+def _runs_of(heads: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs that begin at heads, cut to ``RUN`` rows."""
+    cuts = -(-np.diff(np.append(heads, n)) // RUN)
+    starts = np.repeat(heads, cuts) + RUN * C.ranges(np.zeros(len(cuts), np.int64), cuts)
+    return starts, np.diff(np.append(starts, n))
+
+
+def _packed(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of runs, each from a byte of its own on."""
+    wide = -(-sizes // 8)
+    padded = np.zeros(8 * int(wide.sum()), bool)
+    padded[np.repeat(8 * (np.cumsum(wide) - wide) - starts, sizes) + np.arange(len(bits))] = bits
+    return np.packbits(padded)
 
 
 def _task() -> int:
@@ -130,13 +149,16 @@ def _blocks(batches):
 # ---------------------------------------------------------------- descent
 
 class Bitmaps:
-    """Entries of one batch, with a bitmap for each (entry, prefix) that is looked at."""
+    """Entries, with a bitmap for each (entry, prefix) that is looked at."""
 
-    def __init__(self, batch: pa.RecordBatch, slices: int):
-        self.n = np.asarray(batch.column("n"))
-        self.wide = -(-self.n // 8)
+    def __init__(self, n: np.ndarray, slices: list[np.ndarray]):
+        self.n, self.slices = n, slices
+        self.wide = -(-n // 8)
         self.starts = np.cumsum(self.wide) - self.wide
-        self.slices = [np.frombuffer(b"".join(batch.column(f"s{t}").to_pylist()), np.uint8) for t in range(slices)]
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, slices: int) -> Bitmaps:
+        return cls(np.asarray(batch.column("n")), [np.frombuffer(b"".join(batch.column(f"s{t}").to_pylist()), np.uint8) for t in range(slices)])
 
     def look(self, entries: np.ndarray, prefixes: np.ndarray, known: int) -> None:
         """Begin with the rows whose first ``known`` bits are the prefixes' (as rows of bytes)."""
@@ -224,7 +246,7 @@ def descend(entries: DataFrame, groups: Sequence[str], keys: Keys, places: int,
 
         def count(batches, known=known, ends=ends):
             for part in _runs(batches, 2 * places):
-                maps = Bitmaps(part, ends)
+                maps = Bitmaps.of(part, ends)
                 maps.look(*(_frontier(part, size) if known else (np.arange(part.num_rows), np.zeros((part.num_rows, size), np.uint8))), known)
                 for t in range(known, ends):
                     maps.down(t, places)
@@ -249,7 +271,7 @@ def fetch(entries: DataFrame, frontier: DataFrame, groups: Sequence[str], column
 
     def run(batches):
         for part in _runs(batches, 8 * len(columns) + 1):
-            maps = Bitmaps(part, keys.bits)
+            maps = Bitmaps.of(part, keys.bits)
             sizes = np.asarray(pa.compute.list_value_length(part.column("frontier")))
             owner, prefixes = _frontier(part, keys.bytes)
             place = C.ranges(np.zeros(len(sizes), np.int64), sizes)
@@ -280,7 +302,7 @@ def first_places(rows: DataFrame, groups: Sequence[str], order: Sequence[tuple[s
     columns = list(dict.fromkeys([*(c for c, _ in order), *ties]))
     named = rows.select(*groups, *columns)
     keys = keys_of(named, order)
-    entries = index(named, groups, order, keys)
+    entries = index(named, groups, order, keys, places)
     frontier = descend(entries, groups, keys, places, step)
     found = fetch(entries, frontier, groups, columns, keys)
     # An entry's id and a row's place in it tell equal rows apart, so ranges of this order are even.

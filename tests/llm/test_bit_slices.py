@@ -50,7 +50,7 @@ def test_counts_come_from_the_bitmaps(spark):
     rows = spark.createDataFrame([(1, None, k % 8, 0, k, 0, "") for k in range(100)], SHAPE)
     keys = bit_slices.keys_of(rows, [("a", False)])
     assert (keys.bits, keys.columns) == (3, [(False, 0, 7, False)])
-    entries = bit_slices.index(rows.select("g", "a", "x"), ["g"], [("a", False)], keys)
+    entries = bit_slices.index(rows.select("g", "a", "x"), ["g"], [("a", False)], keys, 8)
     from pyspark.sql import functions as F
 
     found = lambda e: [(tuple(map(bytes, r.frontier)), tuple(r.sums)) for r in bit_slices.descend(e, ["g"], keys, 2).collect()]
