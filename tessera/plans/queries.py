@@ -269,11 +269,13 @@ def coerce_numeric(spark, sf_dir):
     return rows.select("event_id", *[values.number_or_zero(F.col(c)).alias(c) for c in ("k", "kind", "value")])
 
 
-@query("""SELECT * FROM (VALUES (1, 2, 'a'), (2, 0, NULL), (3, 0, NULL), (4, 0, NULL)) t(id, n, head)""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN len(string_split(p_type, ' ')) ELSE 0 END::INT AS n, CASE p_partkey % 4 WHEN 0 THEN string_split(p_type, ' ')[1] END AS head FROM part""")
 def skills_repair(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '["a", "b"]'), (2, "a, b"), (3, None), (4, "[]")], "id int, skills string")
-    out = leaderboard.typed(rows)
-    return out.select("id", F.size("skills").alias("n"), F.get("skills", F.lit(0)).alias("head"))
+    """Parts' types as JSON lists, plain texts, nulls and empty lists."""
+    words = F.to_json(F.split("p_type", " "))
+    skills = F.when(F.col("p_partkey") % 4 == 0, words).when(F.col("p_partkey") % 4 == 1, F.col("p_type")).when(F.col("p_partkey") % 4 == 2, F.lit("[]"))
+    out = leaderboard.typed(_t(spark, sf_dir, "part").select("p_partkey", skills.alias("skills")))
+    return out.select("p_partkey", F.size("skills").alias("n"), F.get("skills", F.lit(0)).alias("head"))
 
 
 @query("SELECT c_mktsegment AS category, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1")
@@ -373,33 +375,47 @@ def priority_union(spark, sf_dir):
 
 # ---------------------------------------------------------------- functions on given texts
 
-def _given(spark, rows, kind="string") -> DataFrame:
-    return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"id int, s {kind}")
-
-
-@query("SELECT * FROM (VALUES (0, 'اكمال المشاريع'), (1, 'ا ب'), (2, ''), (3, NULL)) t(id, out)")
+@query("SELECT c_custkey, 'اكمال ' || c_name || ' المشاريع' AS label FROM customer")
 def arabic_normalize(spark, sf_dir):
-    return _given(spark, ["إكمال  المشـاريع ", " أ ب", " ", None]).select("id", text.normalize_label(F.col("s")).alias("out"))
+    rows = _t(spark, sf_dir, "customer")
+    return rows.select("c_custkey", text.normalize_label(F.concat(F.lit(" إكمال  "), "c_name", F.lit("\u00a0المشـاريع\t"))).alias("label"))
 
 
-@query("SELECT * FROM (VALUES (0, 'محمد على عاد'), (1, 'فاطمه'), (2, 'abc é')) t(id, out)".replace("على", "علي"))
+@query("SELECT c_custkey, 'محمد علي ' || lower(c_name) || ' فاطمه' AS name FROM customer")
 def search_normalize(spark, sf_dir):
-    return _given(spark, ["مُحَمَّد على عاد", "فاطمة", "ABC é"]).select("id", text.normalize_search(text.nfc(F.col("s"))).alias("out"))
+    name = F.concat(F.lit("مُحَمَّد على "), "c_name", F.lit(" فاطمة"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.normalize_search(name).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (0, 100.0::DOUBLE, 10000::BIGINT), (1, 0.0, 0), (2, 1250.5, 12505), (3, 113.0, 113), (4, 41.33, 4133), (5, 0.0, 123)) t(id, number, digits)")
+@query("""SELECT l_orderkey, l_linenumber, l_discount::DECIMAL(18,4)::DOUBLE AS percent, l_extendedprice::DECIMAL(18,2)::DOUBLE AS money, l_quantity::BIGINT AS projects FROM lineitem""")
 def percent_parse(spark, sf_dir):
-    return _given(spark, ["100.00%", "", "$1,250.5", "113 مشروع", "٤١.٣٣%", "1.2.3"]).select("id", values.decimal_of(F.col("s")).alias("number"), values.integer_of(F.col("s")).alias("digits"))
+    """Discounts, prices and quantities of line items, written as the pages write them and read again."""
+    percent = F.concat(F.translate(F.col("l_discount").cast("decimal(18,4)").cast("string"), values.WESTERN_DIGITS, values.EASTERN_DIGITS), F.lit("%"))
+    money = F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2))
+    projects = F.concat(_long("l_quantity").cast("string"), F.lit(" مشروع"))
+    rows = _t(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", values.decimal_of(percent).alias("percent"), values.decimal_of(money).alias("money"), values.integer_of(projects).alias("projects"))
 
 
-@query("SELECT * FROM (VALUES (0, 1::BIGINT), (1, 120), (2, 195), (3, 44), (4, 0), (5, 0), (6, 5), (7, 1440)) t(id, minutes)")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 120 WHEN 2 THEN 60 * (p_size % 7 + 1) + p_size WHEN 3 THEN p_size ELSE 0 END::BIGINT AS minutes FROM part")
 def duration_minutes(spark, sf_dir):
-    return _given(spark, ["أقل من دقيقة", "ساعتين", "3 ساعات و 15 دقيقة", "٤٤ دقيقة", "", None, "خمسة دقائق", "يوم"]).select("id", values.minutes_of(F.col("s")).alias("minutes"))
+    """Sizes of parts as durations, in the forms that the pages have."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    eastern = F.translate(size, values.WESTERN_DIGITS, values.EASTERN_DIGITS)
+    long = F.concat((F.col("p_size") % 7 + 1).cast("string"), F.lit(" ساعات و "), size, F.lit(" دقيقة"))
+    told = F.when(kind == 0, "أقل من دقيقة").when(kind == 1, "ساعتين").when(kind == 2, long).when(kind == 3, F.concat(eastern, F.lit(" دقائق")))
+    return _t(spark, sf_dir, "part").select("p_partkey", values.minutes_of(told).alias("minutes"))
 
 
-@query("SELECT * FROM (VALUES (0, '2023-06-01'), (1, '2021-01-01'), (2, '2023-06-05'), (3, NULL), (4, '2020-01-01'), (5, NULL)) t(id, day)")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN make_date(2000 + o_orderkey % 100, 1, 1) ELSE o_orderdate::DATE END::VARCHAR AS day FROM orders")
 def date_parse(spark, sf_dir):
-    return _given(spark, ["01 يونيو 2023", "منذ 2021", "5/6/2023", "", "31 فبراير 2020", None]).select("id", values.date_of(F.col("s")).cast("string").alias("day"))
+    """Dates of orders in Arabic, in figures, and as a year alone."""
+    months = F.create_map(*[x for k, name in {k: name for name, k in values.MONTHS.items()}.items() for x in (F.lit(k), F.lit(name))])
+    arabic = F.concat_ws(" ", F.dayofmonth("o_orderdate"), F.try_element_at(months, F.month("o_orderdate")), F.year("o_orderdate"))
+    kind = F.col("o_orderkey") % 3
+    year = F.concat(F.lit("منذ "), (F.col("o_orderkey") % 100 + 2000).cast("string"))
+    told = F.when(kind == 0, arabic).when(kind == 1, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(year)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", values.date_of(told).cast("string").alias("day"))
 
 
 @query("""SELECT c_custkey, upper(CASE WHEN len(w) = 1 THEN w[1][1] ELSE w[1][1] || w[-1][1] END) AS initials, nullif(w[1], '') AS first_word FROM (
@@ -409,22 +425,27 @@ def name_parts(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", text.initials(name).alias("initials"), text.first_word(name).alias("first_word"))
 
 
-@query("SELECT * FROM (VALUES (0, 'https://a/b.png', '01:05', '0.2'), (1, NULL, '00:00', '1.4'), (2, 'http://x', '61:01', '2.0')) t(id, avatar, clock, rounded)")
+@query("SELECT page_id, 'https:' || regexp_replace(url, '^https?:', '') AS avatar, printf('%02d:%02d', page_id // 60, page_id % 60) AS clock, printf('%.1f', page_id / 5.0::DOUBLE) AS rounded FROM pages")
 def formats(spark, sf_dir):
-    rows = spark.createDataFrame([(0, " //a/b.png", 65.9, 0.25), (1, "  ", 0.0, 1.38), (2, "http://x", 3661.0, 2.0)], "id int, url string, seconds double, x double")
-    return rows.select("id", text.avatar_url(F.col("url")).alias("avatar"), text.minutes_seconds(F.col("seconds")).alias("clock"), text.one_decimal(F.col("x")).alias("rounded"))
+    """Addresses without a scheme, and numbers of pages as seconds and fifths."""
+    avatar = F.concat(F.lit(" "), F.regexp_replace("url", "^https?:", ""))
+    return _t(spark, sf_dir, "pages").select("page_id", text.avatar_url(avatar).alias("avatar"), text.minutes_seconds(F.col("page_id") + 0.9).alias("clock"), text.one_decimal(F.col("page_id") / 5).alias("rounded"))
 
 
-@query("""SELECT * FROM (VALUES ('development (base)', 'https://d/l?verified=false&specialities=development'), ('development+rating=5', 'https://d/l?verified=false&specialities=development&rating=5&page=2'),
-  ('development+titles=a b~*', 'https://d/l?verified=false&specialities=development&titles=a+b~%2A&page=2'), ('development+country=jo', 'https://d/l?verified=false&specialities=development&country=jo&keyword=x%26y')) t(label, url)""")
+@query("""SELECT n_nationkey, 'development+country=' || n_name AS label, 'https://d/l?verified=false&specialities=development&country=' || replace(n_name, ' ', '+') || '&keyword=' || lower(replace(r_name, ' ', '+')) || '%26~%2A' || CASE WHEN n_nationkey > 0 THEN '&page=' || (n_nationkey + 1) ELSE '' END AS url
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def combo_url(spark, sf_dir):
-    rows = spark.createDataFrame([("base", None, None, 1), ("rating", "5", None, 2), ("titles", "a b~*", None, 2), ("country", "jo", "x&y", 1)], "dim string, value string, keyword string, page int")
-    return rows.select(combos.label(F.col("dim"), F.col("value")).alias("label"), combos.listing_url("https://d/l", F.col("dim"), F.col("value"), F.col("keyword"), F.col("page")).alias("url"))
+    """Labels and addresses of nations as countries, with the region as keyword."""
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    word = F.concat(F.lower("r_name"), F.lit("&~*"))
+    return rows.select("n_nationkey", combos.label(F.lit("country"), F.col("n_name")).alias("label"), combos.listing_url("https://d/l", F.lit("country"), F.col("n_name"), word, F.col("n_nationkey") + 1).alias("url"))
 
 
-@query("SELECT dim, n FROM (VALUES ('base', 1::BIGINT), ('rating', 5), ('titles', 20), ('skills', 56), ('country', 254)) t(dim, n)")
+@query("""SELECT dim, n_nationkey, k::BIGINT AS pages FROM nation, (VALUES ('base', 1), ('rating', 5), ('titles', 20), ('skills', 56), ('country', 254)) t(dim, k)""")
 def combos_all(spark, sf_dir):
-    return combos.combinations(spark).groupBy("dim").agg(F.count("*").alias("n"))
+    """All combinations of the search, for every nation's directory, counted by dimension."""
+    jobs = _t(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(combos.combinations(spark)))  # 336 rows
+    return jobs.groupBy("dim", "n_nationkey").agg(F.count("*").alias("pages"))
 
 
 # ---------------------------------------------------------------- search
@@ -443,10 +464,10 @@ def search_fuzzy(spark, sf_dir):
     return search.search(rows, "uo07", order="c_custkey").select("c_custkey", _long("score").alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('<mark class=\"ctx\">ال</mark><mark>شرك</mark><mark class=\"ctx\">ة</mark> a'), ('a &lt;<mark>b</mark>')) t(marked)")
+@query("""SELECT c_custkey, regexp_replace(c_name, '(?i)^(.*?)(mer)', '\\1<mark>\\2</mark>') AS marked FROM (SELECT c_custkey, 'a ' || c_name AS c_name FROM customer)""")
 def search_highlight(spark, sf_dir):
-    names = spark.createDataFrame([("الشركة a", "شرك"), ("a <b", "b")], "name string, q string")
-    return search.highlights(names.where("q = 'b'"), "name", "b").select("marked").unionByName(search.highlights(names.where("q <> 'b'"), "name", "شرك").select("marked"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("a "), "c_name").alias("c_name"))
+    return search.highlights(rows, "c_name", "MER", exact=True).select("c_custkey", "marked")
 
 
 # ---------------------------------------------------------------- directory pages
@@ -461,38 +482,49 @@ PROFILE_PAGE = """<html><h1 class="profile-name"><bdi>Ada L</bdi></h1><ul><li cl
 <tr><td>المشاريع المكتملة</td><td>113</td></tr><tr><td>تاريخ التسجيل</td><td>01 يونيو 2023</td></tr><tr><td>other</td><td>x</td></tr></table></div><div class="postcard cell-container"></div></html>"""
 
 
-def _stored(spark) -> DataFrame:
-    return spark.createDataFrame([("p1", LISTING_PAGE), ("p2", "<p>nothing"), ("p3", None)], "url string, html string")
+def _listings(spark, sf_dir) -> DataFrame:
+    """Listing pages with a row per supplier, twenty keys a page."""
+    row = F.format_string('<tr class="freelancer-row"><td class="details-td"><a href="/u/%d"><bdi>%s</bdi></a></td><td class="info-td"><img src="//img/%d.png"><p class="freelancer-title"> - %s</p></td></tr>', "s_suppkey", "s_name", "s_suppkey", "n_name")
+    rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda x: x.row)
+    return rows.groupBy(F.floor(F.col("s_suppkey") / 20).cast("string").alias("url")).agg(F.concat(F.lit("<table>"), F.array_join(listed, ""), F.lit("</table>")).alias("html"))
 
 
-@query("SELECT * FROM (VALUES ('p1', 0, 'Ada L', 'https://d/u/ada', '//img/ada.png', 'Engineer', '3.5'), ('p1', 1, 'Bob', 'https://x.example/u/bob', NULL, 'Writer', NULL)) t(url, seq, name, profile_url, avatar_url, title, rank)")
+@query("""SELECT (s_suppkey // 20)::VARCHAR AS url, (row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) - 1)::INT AS seq, s_name AS name, 'https://d/u/' || s_suppkey AS profile_url, '//img/' || s_suppkey || '.png' AS avatar_url, '- ' || n_name AS title, NULL::VARCHAR AS rank
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def directory_rows(spark, sf_dir):
-    return pages.listings(_stored(spark), base="https://d")
+    return pages.listings(_listings(spark, sf_dir), base="https://d")
 
 
-def _raw(spark) -> DataFrame:
-    cards = '<div class="postcard cell-container"></div>' * 4
-    return spark.createDataFrame([("u/ada", PROFILE_PAGE, None), ("u/ada2", PROFILE_PAGE, cards), ("u/no", None, None), ("u/shut", PROFILE_PAGE + "<!-- cloudflare -->", None), ("u/thin", "<p>x", None)], "profile_url string, html string, portfolio_html string")
+def _raw(spark, sf_dir) -> DataFrame:
+    """A profile page per supplier: its name, its nation, and its key as figures; every third has a portfolio, every seventh is blocked."""
+    rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    page = F.lit(PROFILE_PAGE)
+    key = F.col("s_suppkey").cast("string")
+    for old, new in (("Ada L", F.col("s_name")), ("Jordan", F.col("n_name")), ("113", key), ("41.33%", F.concat((F.col("s_suppkey") % 101).cast("string"), F.lit(".5%"))), ("44 دقيقة", F.concat((F.col("s_suppkey") % 59 + 1).cast("string"), F.lit(" دقيقة"))), ("<td>other", F.concat(F.lit("<td>"), F.col("n_name")))):
+        page = F.replace(page, F.lit(old), new)
+    html = F.when(F.col("s_suppkey") % 7 == 0, F.concat(page, F.lit("<!-- cloudflare -->"))).otherwise(page)
+    cards = F.when(F.col("s_suppkey") % 3 == 0, F.lit('<div class="postcard cell-container"></div>' * 4))
+    return rows.select(F.concat(F.lit("u/"), key).alias("profile_url"), html.alias("html"), cards.alias("portfolio_html"))
 
 
-@query("""SELECT * FROM (VALUES ('u/ada', 'Ada L', 'Engineer', 'Jordan', 2.0::DOUBLE, 4, 'has_h1', 1, '100.00%', '41.33%', '44 دقيقة', '01 يونيو 2023', 'sql,unix'),
-  ('u/ada2', 'Ada L', 'Engineer', 'Jordan', 2.0, 4, 'has_h1', 4, '100.00%', '41.33%', '44 دقيقة', '01 يونيو 2023', 'sql,unix'))
-  t(profile_url, name, title, location, rating, score, parse_confidence, portfolio_count, completion_rate, rehire_rate, response_time, member_since, skills)""")
+@query("""SELECT 'u/' || s_suppkey AS profile_url, s_name AS name, 'Engineer' AS title, n_name AS location, 2.0::DOUBLE AS rating, 4 AS score, 'has_h1' AS parse_confidence, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 1 END AS portfolio_count, '100.00%' AS completion_rate,
+  s_suppkey % 101 || '.5%' AS rehire_rate, s_suppkey % 59 + 1 || ' دقيقة' AS response_time, '01 يونيو 2023' AS member_since, 'sql,unix' AS skills FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0""")
 def profile_records(spark, sf_dir):
-    rows = pages.profiles(_raw(spark))
+    rows = pages.profiles(_raw(spark, sf_dir))
     return rows.select("profile_url", "name", "title", "location", "rating", "score", "parse_confidence", "portfolio_count", "completion_rate", "rehire_rate", "response_time", "member_since", F.array_join("skills", ",").alias("skills"))
 
 
-@query("SELECT * FROM (VALUES ('u/ada', 100.0::DOUBLE, 41.33::DOUBLE, 44::BIGINT, 113::BIGINT, 2, '2023-06-01'), ('u/ada2', 100.0, 41.33, 44, 113, 2, '2023-06-01')) t(profile_url, completion_rate, rehire_rate, minutes, projects, skills_count, joined)")
+@query("""SELECT 'u/' || s_suppkey AS profile_url, 100.0::DOUBLE AS completion_rate, (s_suppkey % 101 + 0.5)::DOUBLE AS rehire_rate, s_suppkey % 59 + 1 AS minutes, s_suppkey AS projects, 2 AS skills_count, '2023-06-01' AS joined FROM supplier WHERE s_suppkey % 7 <> 0""")
 def profile_gold(spark, sf_dir):
-    rows = leaderboard.gold(pages.profiles(_raw(spark)))
+    rows = leaderboard.gold(pages.profiles(_raw(spark, sf_dir)))
     return rows.select("profile_url", "completion_rate", "rehire_rate", F.col("avg_response_time_minutes").alias("minutes"), F.col("total_completed_projects").alias("projects"), "skills_count", values.date_of(F.col("member_since")).cast("string").alias("joined"))
 
 
-@query("SELECT * FROM (VALUES ('other', 2::BIGINT)) t(label, n)")
+@query("SELECT n_name AS label, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def label_inventory(spark, sf_dir):
     known = spark.createDataFrame([(pages.plain_label(k),) for k in pages.LABELS], "label string")
-    return quality.unmapped_labels(pages.page_labels(_raw(spark).where("profile_url LIKE 'u/ada%'"), "profile_url"), known)
+    return quality.unmapped_labels(pages.page_labels(_raw(spark, sf_dir), "profile_url"), known)
 
 
 @query(f"""WITH s AS (SELECT unnest([{', '.join(f"'{x}'" for x in pages.LANDMARKS)}]) AS selector)
@@ -583,10 +615,12 @@ def nested_json(spark, sf_dir):
     return files.nested_as_json(rows)
 
 
-@query("SELECT label, last_page FROM (VALUES ('a', 3), ('b', 0)) t(label, last_page)")
+@query("SELECT n_name AS label, n_nationkey AS last_page FROM nation")
 def page_cache_read(spark, sf_dir):
+    """Page counts of nations, written as the JSON object that the cache is, and read again."""
     path = _folder(spark)
-    spark.createDataFrame([('{"a": 3, "b": 0}',)], "value string").coalesce(1).write.text(path)
+    entries = F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))  # a row per label
+    _t(spark, sf_dir, "nation").agg(F.to_json(entries).alias("value")).write.text(path)
     return files.read_page_cache(spark, path)
 
 
@@ -617,6 +651,23 @@ def phase_discovery(spark, sf_dir):
     return engine.discovery(_listed(spark, sf_dir).select("label", "page", "html")).select("label", _long("last_page").alias("last_page"))
 
 
+_ALL = [combos.BASE_LABEL, *(f"{combos.LABEL}{d}={v}" for d, values_ in (("rating", combos.RATINGS), ("titles", combos.TITLES), ("skills", combos.SKILLS), ("country", combos.COUNTRIES)) for v in values_)]
+
+
+@query(f"""WITH combos AS (SELECT unnest({_ALL!r}) AS label, unnest(range({len(_ALL)})) AS seq), stored AS (SELECT o_orderkey % {len(_ALL)} AS seq, (o_orderkey // {len(_ALL)})::INT + 1 AS page FROM orders WHERE o_orderstatus <> 'P'),
+cache AS (SELECT DISTINCT c_custkey % {len(_ALL)} AS seq FROM customer WHERE c_acctbal > 9000)
+SELECT label, coalesce(max(page), 0)::BIGINT AS last_page FROM combos LEFT JOIN stored USING (seq) WHERE combos.seq NOT IN (SELECT seq FROM cache) GROUP BY label""")
+def phase_discovery_resumed(spark, sf_dir):
+    """Page counts of all combinations that the cache of an earlier run lacks. Orders stand for stored pages, dealt over all combinations; rich customers for cached ones."""
+    engine = Engine(spark, pages_by_url(spark.createDataFrame([], "url string, html string")))
+    labels = combos.combinations(spark).select("seq", combos.label(F.col("dim"), F.col("value")).alias("label"))
+    n, key = len(_ALL), F.col("o_orderkey")
+    html = F.when(F.col("o_orderstatus") == "P", "<p>none").otherwise('<tr class="freelancer-row">')
+    stored = _t(spark, sf_dir, "orders").select((key % n).alias("seq"), (F.floor(key / n) + 1).cast("int").alias("page"), html.alias("html")).join(F.broadcast(labels), "seq")  # 336 labels
+    cache = _t(spark, sf_dir, "customer").where("c_acctbal > 9000").select((F.col("c_custkey") % n).alias("seq")).distinct().join(labels, "seq").select("label", F.lit(1).alias("last_page"))
+    return engine.discovery(stored.select("label", "page", "html"), cache).select("label", _long("last_page").alias("last_page"))
+
+
 @query(f"WITH {_LISTED} SELECT DISTINCT url AS profile_url FROM listed")
 def phase_extract(spark, sf_dir):
     """Unique listing rows of all stored listing pages, by their page counts."""
@@ -636,21 +687,20 @@ def phase_fetch(spark, sf_dir):
     return rows.select("profile_url", F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("""WITH first AS (SELECT DISTINCT ON (url) url, html FROM pages ORDER BY url, length(html) DESC, html DESC), f AS (SELECT url, html, contains(html, '<h1') AS h1, length(html) >= 2000 AS big, contains(lower(html), 'cloudflare') AS shut FROM first)
+@query("""WITH last AS (SELECT DISTINCT ON (url) url, html FROM pages ORDER BY url, page_id DESC), f AS (SELECT url, html, contains(html, '<h1') AS h1, length(html) >= 2000 AS big, contains(lower(html), 'cloudflare') AS shut FROM last)
 SELECT url AS profile_url, 'Unknown' AS name, 'development' AS category FROM f WHERE h1 AND big AND NOT shut""")
 def phase_parse(spark, sf_dir):
-    """Stored pages as raw pages; none has a profile's name, those that are trusted become records."""
+    """Stored pages as raw pages, the last of each address; none has a profile's name, those that are trusted become records."""
     engine = Engine(spark, pages_by_url(spark.createDataFrame([], "url string, html string")), Config(min_html=2000))
-    raw = _t(spark, sf_dir, "pages").select(F.col("url").alias("profile_url"), "html", F.lit(None).cast("string").alias("portfolio_html"))
-    return engine.parse(raw, confidence=2).select("profile_url", "name", "category")
+    raw = _t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("profile_url"), "html", F.lit(None).cast("string").alias("portfolio_html"))
+    return engine.parse(raw, confidence=2, seq="page_id").select("profile_url", "name", "category")
 
 
-@query("""SELECT DISTINCT nullif(split_part(trim(c_name), '#', 1), '') AS keyword FROM customer""")
+@query("""SELECT DISTINCT nullif(split_part(trim(name), ' ', 1), '') AS keyword FROM clients WHERE trim(name) <> ''""")
 def phase_followup(spark, sf_dir):
-    """First words of all customers' names."""
-    rows = _t(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("#"), F.lit(" ")).alias("name"))
+    """First words of all clients' names."""
     engine = Engine(spark, pages_by_url(spark.createDataFrame([], "url string, html string")))
-    return engine.followup(rows).select("keyword")
+    return engine.followup(_t(spark, sf_dir, "clients").select("name")).select("keyword")
 
 
 @query("SELECT page_id::VARCHAR AS profile_url, regexp_extract(url, '://([^/?#]+)', 1) AS title FROM pages")
@@ -663,9 +713,9 @@ def phase_fixup(spark, sf_dir):
     return engine.fixup(listing).select("profile_url", "title")
 
 
-@query("SELECT sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS sha256, (sum(octet_length(encode(line))) + count(*))::BIGINT AS length FROM (SELECT n_name AS line FROM nation)")
+@query("""SELECT sha256(string_agg(s_name, chr(10) ORDER BY s_name) || chr(10)) AS sha256, (sum(octet_length(encode(s_name))) + count(*))::BIGINT AS length FROM supplier GROUP BY s_nationkey""")
 def uploads_by_content(spark, sf_dir):
-    """A file by its content, whatever its name."""
+    """A file per nation with its suppliers' names, by its content, whatever its name."""
     path = _folder(spark)
-    _t(spark, sf_dir, "nation").select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(path)
+    _t(spark, sf_dir, "supplier").select("s_nationkey", "s_name").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_name").write.partitionBy("s_nationkey").text(path)
     return files.read_uploads(spark, path).select("sha256", "length")
