@@ -37,7 +37,7 @@ from . import common as C
 from .graph import components, local_roots
 
 SEED = 42
-#: Classes that one bucket compares pair by pair; larger ones are dealt anew.
+#: Different fingerprints that one bucket compares pair by pair; larger ones are dealt anew.
 BUCKET = 16384
 #: What a row that probes costs, in comparisons.
 ROW_COST = 1000.0
@@ -182,9 +182,12 @@ def _in_step(batch: pa.Table, bits: int):
     those at home, one after the other, all buckets in step: (rows, their partners, differing bits).
     """
     key, fp, home, node = (batch.column(c).to_numpy() for c in ("bucket", "fp", "home", "node"))
-    order = np.lexsort((fp, ~home.astype(bool), key))
-    key, fp, home, node = key[order], fp[order].view(np.uint64), home[order].astype(bool), node[order]
-    label = batch.column("label").to_numpy()[order] if "label" in batch.column_names else node
+    label = batch.column("label").to_numpy() if "label" in batch.column_names else None
+    # Rows of a bucket's most frequent label are of one group already: they meet the other labels' only.
+    common = _most_common(key, label) if label is not None else np.zeros(len(key), bool)
+    order = np.lexsort((fp, common, ~home.astype(bool), key))
+    key, fp, home, node, common = key[order], fp[order].view(np.uint64), home[order].astype(bool), node[order], common[order]
+    label = node if label is None else label[order]
     second = batch.column("second").to_numpy()[order].view(np.uint64) if "second" in batch.column_names else None
     outlines = Outlines(batch, order) if "outline" in batch.column_names else None
     names, node = np.unique(node, return_inverse=True)
@@ -192,6 +195,9 @@ def _in_step(batch: pa.Table, bits: int):
     sizes = np.diff(np.append(first, len(key)))
     homes = np.add.reduceat(home, first, dtype=np.int64) if len(first) else first
     begin, many = np.repeat(first, sizes), np.repeat(homes, sizes)
+    if len(first):
+        others = np.add.reduceat(home & ~common, first, dtype=np.int64)
+        many = np.where(common, np.repeat(others, sizes), many)
 
     def steps():
         live, d = np.flatnonzero(many > 0), 0
@@ -209,6 +215,20 @@ def _in_step(batch: pa.Table, bits: int):
     return names, node, label, outlines, steps()
 
 
+def _most_common(key: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows that have the most frequent label of their bucket."""
+    order = np.lexsort((label, key))
+    k, x = key[order], label[order]
+    heads = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]))) if len(k) else np.empty(0, np.int64)
+    counts = np.diff(np.append(heads, len(k)))
+    best = heads[np.lexsort((-counts, k[heads]))]
+    best = best[np.append(True, k[best][1:] != k[best][:-1])] if len(best) else best
+    out = np.zeros(len(k), bool)
+    which = np.isin(heads, best)
+    out[order] = np.repeat(which, counts)
+    return out
+
+
 class Outlines:
     """Of rows' shingle sets: sizes, and how many shingles fall into each of 256 bins (4 bits each; none for large sets)."""
 
@@ -382,7 +402,9 @@ def _streamed(batches, bits: int, compare):
 def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool = False, compare=_compare) -> DataFrame:
     """(u, v): links between nodes that join the same nodes as all pairs within ``bits`` bits do.
 
-    ``classes``: fp and node, no fingerprint twice (in a band). If banded, only pairs whose ``band``
+    ``classes``: fp and node. Of a fingerprint that occurs many times all rows stay in one bucket, as no bits can part
+    them: a bucket is dealt anew only for its different fingerprints, and its rows of one label are not compared
+    with each other. If banded, only pairs whose ``band``
     differs by at most one are looked for (a column that bounds the similarity from above, such as a
     size class). ``compare`` may instead give ``_nearest`` links or, of nodes with a ``label``, all
     ``_crossing`` ones or a ``_forest`` of them; these can occur more than once. With a ``second``
@@ -401,7 +423,8 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     found, used = None, []
     while True:
         # A bucket with no more free bits than ``bits`` holds few classes and stays.
-        hot = C.written(whole.where("home").groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
+        prints = whole.where("home").groupBy("bucket", "fp").agg(F.min(F.bit_count("rest")).alias("free"))
+        hot = C.written(prints.groupBy("bucket").agg(F.count("*").alias("n"), F.min("free").alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
         used.append(hot)
         any_hot = bool(hot.take(1))
         cold = (whole.join(hot, "bucket", "left_anti") if any_hot else whole).drop("rest")
