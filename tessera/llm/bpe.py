@@ -101,6 +101,8 @@ class Vocabulary:
     """Tokens by rank, with their bytes one after the other."""
 
     def __init__(self, tokens: list[bytes | None]):
+        if len(tokens) > 1 << 20:
+            raise ValueError(f"ranks up to {len(tokens) - 1}; pairs of them are packed in 20 bits each")
         self.tokens = tokens
         self.rank = {t: r for r, t in enumerate(tokens) if t is not None}
         missing = [b for b in range(256) if bytes([b]) not in self.rank]

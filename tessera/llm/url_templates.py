@@ -11,8 +11,8 @@ decides, drawn towards its host's, exceeds ``REJECT``.
 
 Urls are first counted by host and path. Counts and sums are partial aggregates, and of a node's segments
 at most ``SHARE`` leave a task, so a host with a third of all urls costs a few rows per task; its urls meet
-their branches in many dealings, and the templates by host and path. The tree is ``DEPTH`` levels deep; urls that go deeper
-share the node there, and have a template of their own (``/**``).
+their branches in many dealings, and the templates by host and path. The tree is as deep as the deepest path: each
+level looks at the paths that go on there only.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and is judged by the
 template of those; repeated rows are each judged; extra columns pass through (but for those named as the
@@ -32,8 +32,8 @@ SHARE = 20
 #: Labels that a branch needs before it can differ from its siblings.
 LEAST = 5
 REJECT = 0.75
-#: Levels of the tree, and parts that the urls of a node are dealt in.
-DEPTH, DEALINGS = 8, 32
+#: Parts that the urls of a node are dealt in; levels after which finished paths are written; levels that the SQL twin spells out.
+DEALINGS, LEVELS, TWIN_LEVELS = 32, 8, 8
 
 #: (verdict, host, path): the rule fits the host and its subdomains, and paths that start with the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -60,9 +60,8 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def key_of(path: Column) -> Column:
-    """The first ``DEPTH`` segments that are not empty, joined by /; a deeper path ends with //."""
-    found = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.concat(F.array_join(F.slice(found, 1, DEPTH), "/"), F.when(F.size(found) > DEPTH, "//").otherwise(""))
+    """The segments that are not empty, joined by /."""
+    return F.array_join(F.filter(F.split(path, "/"), lambda s: s != ""), "/")
 
 
 def alike(a: str, b: str, pool_a: str, pool_b: str, least: int) -> Column:
@@ -100,8 +99,7 @@ def level(paths: DataFrame, depth: int, share: int = SHARE, least: int = LEAST)
 
 def verdicts(paths: DataFrame, reject: float = REJECT) -> DataFrame:
     """host, key, template, rejected of the paths, by the purity of their templates."""
-    whole = F.when(F.col("key").endswith("//"), F.concat("template", F.lit("/**"))).when(F.col("template") == "", "/").otherwise(F.col("template"))
-    paths = paths.withColumn("template", whole)
+    paths = paths.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
     hosts = paths.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
     templates = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     prior = (F.col("host_blocked") + 1).cast("double") / (F.col("host_labelled") + 2)
@@ -116,11 +114,15 @@ def judge(pages: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
     read = pages.select(F.struct(*own).alias("page"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     read = read.withColumn("found", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("key", key_of(F.col("path")))
     paths = read.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("found").alias("labelled"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
-    paths = C.written(paths.withColumn("template", F.lit("")), "url-paths")
-    deepest = paths.agg(F.max(F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", "/"))))).first()[0] or 0
-    for depth in range(min(deepest, DEPTH)):
-        before, paths = paths, C.written(level(paths, depth), "url-paths")
-        C.forget(before)
+    size = F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", "/")))
+    going = C.written(paths.withColumn("template", F.lit("")), "url-paths")
+    done, deepest = going.where(size == 0), going.agg(F.max(size)).first()[0] or 0
+    for depth in range(deepest):
+        going = C.written(level(going.where(size > depth), depth), "url-paths")
+        done = done.unionByName(going.where(size == depth + 1))
+        if depth % LEVELS == LEVELS - 1:  # a plan of few parts, however deep the tree
+            done = C.written(done, "url-paths")
+    paths = done
     judged = read.join(verdicts(paths, reject), ["host", "key"])
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
     return judged.select("page.*", "host", "path", "template", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
@@ -144,7 +146,7 @@ WITH cut AS (
 ), tree0 AS MATERIALIZED (
   SELECT host, segments, count(*) AS n, count(rule)::BIGINT AS a, count_if(coalesce(rule, '') IN ('net/', 'example.com/de/'))::BIGINT AS b, '' AS template FROM ruled GROUP BY ALL
 )"""]
-    for d in range(1, DEPTH + 1):
+    for d in range(1, TWIN_LEVELS + 1):
         parts.append(f"""counts{d} AS MATERIALIZED (
   SELECT host, template, segments[{d}] AS segment, sum(n) AS n, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM tree{d - 1} WHERE len(segments) >= {d} GROUP BY ALL
 ), kept{d} AS (
@@ -159,7 +161,7 @@ WITH cut AS (
   FROM tree{d - 1} t LEFT JOIN named{d} b ON t.host = b.host AND t.template = b.template AND t.segments[{d}] = b.segment
 )""")
     parts.append(f"""leaves AS MATERIALIZED (
-  SELECT host, segments, a, b, CASE WHEN len(segments) > {DEPTH} THEN template || '/**' WHEN template = '' THEN '/' ELSE template END AS template FROM tree{DEPTH}
+  SELECT host, segments, a, b, CASE WHEN template = '' THEN '/' ELSE template END AS template FROM tree{TWIN_LEVELS}
 ), purity AS (
   SELECT host, template, (sum(b) + 2 * ((h + 1)::DOUBLE / (g + 2))) / (sum(a) + 2) > {REJECT} AS rejected
   FROM (SELECT *, sum(a) OVER (PARTITION BY host) AS g, sum(b) OVER (PARTITION BY host) AS h FROM leaves) GROUP BY host, template, g, h
