@@ -7,8 +7,8 @@ path's score is the mean over its blocks. Scores are weighted by what markup say
 the share of its text that is no link, little for paths within navigation, page headers and footers,
 asides, forms, hidden parts and elements whose class, id or role says so, and little for paths outside the
 page's articles if those hold most of its text. Paths whose score reaches a threshold, a share of
-the page's mean score per character, are content; all blocks of those paths, in page order, are the main
-text. A path's blocks are taken or left together: short paragraphs, linked sentences and further articles
+the page's mean score per character, are content, and so are the other paths of an element that content paths fill (``chosen``);
+all blocks of those paths, in page order, are the main text. A path's blocks are taken or left together: short paragraphs, linked sentences and further articles
 come with their like.
 
 Every page is read by itself: no shuffle; memory of one slice of pages, or one page if larger.
@@ -239,13 +239,38 @@ def scores(found: list[Block]) -> tuple[dict[str, float], float]:
     return out, THRESHOLD * float(smooth @ sizes) / float(sizes.sum())
 
 
+def chosen(found: list[Block], score: dict[str, float], threshold: float) -> set[str]:
+    """Content paths: those whose score reaches the threshold, and the others of the regions that these fill.
+
+    A region is the element in which blocks of a path lie (not the whole body, unless an article). Where content
+    paths have at least half of a region's text, its headings, items and cells belong to it, whatever their score;
+    parts set apart and paths that are mostly links do not.
+    """
+    out = {p for p, v in score.items() if v >= threshold and v > 0}
+    size: dict[str, int] = {}
+    links: dict[str, int] = {}
+    apart = {b.path for b in found if b.apart}
+    for b in found:
+        size[b.path] = size.get(b.path, 0) + len(b.text)
+        links[b.path] = links.get(b.path, 0) + b.links
+    own = [p for p in size if p not in apart]
+    regions = {p.rsplit("/", 1)[0] for p in out if p not in apart}
+    for region in regions:
+        if region.rsplit("/", 1)[-1] in ("", "html", "body"):
+            continue
+        inside = [p for p in own if p.startswith(region + "/")]
+        if 2 * sum(size[p] for p in inside if p in out) >= sum(size[p] for p in inside):
+            out |= {p for p in inside if 2 * links[p] < size[p]}
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The page's main text."""
     found = blocks(page) if page else []
     if not found:
         return ""
-    score, threshold = scores(found)
-    return " ".join(b.text for b in found if score[b.path] >= threshold and score[b.path] > 0)
+    paths = chosen(found, *scores(found))
+    return " ".join(b.text for b in found if b.path in paths)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -542,6 +542,20 @@ def test_url_tree(spark):
 
 # ---------------------------------------------------------------- pages
 
+def test_everything_within_a_filled_region_stays():
+    """Headings, items and cells of an article, whatever their own score; not its parts set apart, its link lists or what is beside it."""
+    para = "<p>A sentence of the text, with marks; and another one. It goes on.</p>"
+    plain = "A sentence of the text, with marks; and another one. It goes on."
+    menu = "<section><ul><li><a href='/a'>first link</a><li><a href='/b'>second link</a></ul></section>"
+    table = "<table><tr><td>left cell<td>12</table>"
+    page = f"<body><nav>n</nav>{menu}<article><h1>Top</h1>{para * 2}<h2>Low</h2>{para * 3}<ul><li>one<li>two</ul>{table}<aside>ad</aside><div><a href='/'>more</a> <a href='/'>links</a></div></article><footer>f</footer></body>"
+    want = " ".join(["Top", plain, plain, "Low", plain, plain, plain, "one two left cell 12"])
+    assert main_text.main_text(page) == want
+    assert main_text.main_text(page.replace("article", "div")) == want
+    short = f"<body>{menu}<main><h1>Top</h1>{para}<h2>Low</h2><ol><li>one<li>two</ol></main></body>"
+    assert main_text.main_text(short) == f"Top {plain} Low one two"
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain &lt; text", "plain < text"), ("<script>var t='<p>x</p>'</script><p>a &amp;\n b<br>c", "a & b c"), ("<!-- <p>no</p> --><p>one, two. Three.</p>", "one, two. Three."),
     ("<nav><a>x</a></nav><div class='side-bar ad'>buy</div><article><h1>T</h1><p><b>first, bold.<br><p>Second. &copy;</p><form>in</form></article><footer>f</footer>", "T first, bold. Second. ©"),
