@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,22 +47,29 @@ def first_seen(rows: DataFrame, key: str, order: str, known: DataFrame | None =
         rows = rows.join(marks, F.col(key) == F.col("_known"), "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
     else:
         rows = rows.withColumn("suppressed", F.lit(False))
-    kinds = dict(rows.dtypes)
+    kind, order_kind = (dict(rows.dtypes)[c] for c in (key, order))
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per key of an Arrow batch, so that a key with a third of the rows sends few."""
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by(["key", "suppressed"]).aggregate([("at", "min"), ([], "count_all")])
+            yield from sums.select(["key", "at_min", "count_all", "suppressed"]).rename_columns(["key", "at", "n", "suppressed"]).to_batches()
 
     def step(ids: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new, (first, seen) = not state.exists, state.get if state.exists else (None, 0)
         count, least, held = 0, None, False
         for part in parts:
-            count += len(part)
             if len(part):
-                low, held = part[order].min(), bool(part["suppressed"].iloc[0])
+                count += int(part["n"].sum())
+                low, held = part["at"].min(), bool(part["suppressed"].iloc[0])
                 least = low if least is None or low < least else least
         first = int(least) if new else first
         state.update((first, seen + count))
         yield pd.DataFrame({"key": [ids[0]], "first": [first], "again": [count - 1 if new else count], "is_new": [new and not held], "suppressed": [held]})
 
-    shape = f"key {kinds[key]}, first long, again long, is_new boolean, suppressed boolean"
-    return rows.select(key, order, "suppressed").groupBy(key).applyInPandasWithState(step, shape, "first long, seen long", "append", GroupStateTimeout.NoTimeout)
+    few = rows.select(F.col(key).alias("key"), F.col(order).alias("at"), "suppressed").mapInArrow(combined, f"key {kind}, at {order_kind}, n long, suppressed boolean")
+    shape = f"key {kind}, first long, again long, is_new boolean, suppressed boolean"
+    return few.groupBy("key").applyInPandasWithState(step, shape, "first long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, event_time: str, width: str, slide: str | None = None, late: str = "10 minutes", group: str | None = None) -> DataFrame:
