@@ -11,6 +11,7 @@ import pytest
 import tessera.plans.queries
 import tessera.plans.resumed
 import tessera.plans.shop
+import tessera.plans.stored
 import tessera.plans.timed  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
