@@ -53,19 +53,28 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
     return joined.select("_left.*", F.when(fits, F.col("_m")).alias("match"))
 
 
-def _bins(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Rows with the bounds of their interval in microseconds and its level: at it, a bin is at least as wide as the interval."""
-    low, high = (F.unix_micros(F.col(c).cast("timestamp")) for c in (start, end))
-    timed = rows.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+def _at(rows: DataFrame, column: str):
+    """A bound as microseconds, or as the number it is."""
+    kind = rows.schema[column].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    number = F.col(column).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def _bins(rows: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Rows with the bounds of their interval and its level: at it, a bin is at least as wide as the interval."""
+    timed = rows.withColumns({"_low": _at(rows, start), "_high": _at(rows, end)}).where("_low <= _high")
     units = F.greatest(F.ceil((F.col("_high") - F.col("_low")) / width), F.lit(1))
     return timed.withColumn("_level", F.ceil(F.log2(units)).cast("int"))
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: str = "1 hour", full: int = FULL) -> DataFrame:
-    """Pairs of intervals [start, end] of equal key (``by``, columns of both; may be empty) that share a moment.
+def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: str | float = "1 hour", full: int = FULL) -> DataFrame:
+    """Pairs of intervals [start, end] of equal key (``by``, columns of both; may be empty) that share a moment or a number.
 
-    Returns structs ``l`` and ``r``. Intervals with a null bound or key, or an end before the start, overlap
-    nothing; repeated rows pair each; moments count (an interval may have no length).
+    Returns structs ``l`` and ``r``. Intervals with a bound or key that is null (or NaN), or an end before the start, overlap
+    nothing; repeated rows pair each; moments count (an interval may have no length, so points in ranges are found as well).
+    ``width``: of the narrowest bins, a length of time, or a number for numeric bounds.
 
     An interval has a level by its length and touches at most two bins of ``width`` * 2^level, so a very long one
     is not copied into every short bin. Pairs meet at the larger of their levels, in the bin of their first common moment,
@@ -73,7 +82,7 @@ def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tu
     dealt over several tasks and its right rows are copied to these.
     """
     spark = left.sparkSession
-    unit = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {width}) AS n").first().n
+    unit = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {width}) AS n").first().n if isinstance(width, str) else float(width)
     sides = []
     for rows, (start, end) in ((left, left_span), (right, right_span)):
         for c in by:
@@ -87,7 +96,7 @@ def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tu
     placed = []
     for side in sides:
         at = side.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(x) for x in present]), lambda x: x >= F.col("_level"))))
-        size = F.lit(unit) * F.pow(F.lit(2.0), F.col("_at")).cast("long")
+        size = F.lit(unit) * F.pow(F.lit(2.0), F.col("_at")).cast("long" if isinstance(unit, int) else "double")
         bins = F.sequence(F.floor(F.col("_low") / size), F.floor(F.col("_high") / size))
         placed.append(at.select("*", F.explode(bins).alias("_bin"), size.alias("_size")))
     spots = ["_key", "_at", "_bin"]

@@ -59,6 +59,15 @@ def session_overlaps(spark, sf_dir):
     return pairs.select("l.client_id", "l.started", "l.n", "r.sale_id", "r.sold_at")
 
 
+@query("SELECT item_id, vendor_id, price FROM items JOIN vendors ON price >= balance AND price <= balance + 25 WHERE NOT isnan(price) AND NOT isnan(balance)")
+def prices_in_reach(spark, sf_dir):
+    """Items whose price a vendor's balance comes to, give or take: points in ranges, without a key."""
+    items = table(spark, sf_dir, "items").select("item_id", "price")
+    vendors = table(spark, sf_dir, "vendors").select("vendor_id", "balance", (F.col("balance") + 25).alias("most"))
+    pairs = temporal.overlaps(items, vendors, [], ("price", "price"), ("balance", "most"), 25.0)
+    return pairs.select("l.item_id", "r.vendor_id", "l.price")
+
+
 def _lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
 

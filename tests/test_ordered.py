@@ -113,6 +113,16 @@ def test_overlaps(spark, by, full):
     assert temporal.overlaps(a.where("false"), b, by, ("s", "e"), ("s", "e")).count() == 0
 
 
+def test_ranges_of_numbers(spark):
+    draw = random.Random(4)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0]
+    points = [(i, draw.choice([*odd[:2], draw.uniform(-50, 50)])) for i in range(120)]
+    ranges = [(i, a, draw.choice([None, a, a + draw.choice([0, 0.5, 3, 40, -1])])) for i, a in enumerate(draw.uniform(-60, 60) for _ in range(80))]
+    a, b = spark.createDataFrame(points, "id int, x double"), spark.createDataFrame(ranges, "id int, low double, high double")
+    got = sorted((r.l.id, r.r.id) for r in temporal.overlaps(a, b, [], ("x", "x"), ("low", "high"), 2.0).collect())
+    assert got == sorted((i, j) for i, x in points for j, low, high in ranges if None not in (x, low, high) and low <= x <= high) and got
+
+
 def test_sessions(spark):
     draw = random.Random(2)
     rows = [(i, draw.choice(["hot", "hot", "x", None]), None if i % 17 == 0 else START + datetime.timedelta(minutes=draw.randrange(900))) for i in range(200)]
