@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 #: Levels of a recursion; doubling to and halving from 2^40 pages takes 82.
 LEVELS = 100
 
@@ -21,7 +23,8 @@ def last_pages(pages: DataFrame, labels: DataFrame, start: int = 8, most: int =
     """
     spark = pages.sparkSession
     names = [f"gallop_{uuid.uuid4().hex}" for _ in range(2)]
-    there = pages.where("page IS NOT NULL AND label IS NOT NULL").select("label", F.col("page").cast("long").alias("page")).distinct()
+    # Written once: every level of the recursion reads it.
+    there = kept(pages.where("page IS NOT NULL AND label IS NOT NULL").select("label", F.col("page").cast("long").alias("page")).distinct(), "pages")
     there.createOrReplaceTempView(names[0])
     labels.select("label").distinct().createOrReplaceTempView(names[1])
     before = {k: spark.conf.get(k) for k in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")}
@@ -37,8 +40,6 @@ WITH RECURSIVE search(label, low, high, probe) AS (
   FROM (SELECT s.label, CASE WHEN p.page IS NULL THEN s.low ELSE s.probe END AS low, CASE WHEN p.page IS NULL THEN s.probe ELSE s.high END AS high
         FROM search s LEFT JOIN {names[0]} p ON p.label = s.label AND p.page = s.probe WHERE s.probe IS NOT NULL))
 SELECT label, max(low) AS last_page FROM search GROUP BY label""")
-        from ..sources.shared import kept
-
         return kept(found, "last-pages")
     finally:
         for k, v in before.items():

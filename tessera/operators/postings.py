@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-#: Characters of a code point in a trigram's number.
+#: Positions that are sent on together (or one text's, if more).
+HELD = 1 << 19
+#: Bits of a code point in a trigram's number.
 _BITS = 21
 
 
@@ -33,15 +35,22 @@ def _bucket(gram, buckets: int):
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(gram, key, positions from 0). Null and short texts have none; rows of one key are one text each."""
+    names = ["gram", "key", "positions"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[pa.RecordBatch] = []
+            size = 0
             for row in range(batch.num_rows):  # one text at a time: its postings are about four times its size
                 grams = _numbers(batch.column(1)[row].as_py() or "")
                 order = np.argsort(grams, kind="stable")
                 heads = np.flatnonzero(np.diff(grams[order], prepend=-1))
-                if len(heads):
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(order.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[order[heads]]), batch.column(0).take(pa.array(np.full(len(heads), row))), lists], names=["gram", "key", "positions"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(order.astype(np.int32)))
+                held.append(pa.RecordBatch.from_arrays([pa.array(grams[order[heads]]), batch.column(0).take(pa.array(np.full(len(heads), row))), lists], names=names))
+                size += len(order)
+                if size > HELD or row + 1 == batch.num_rows:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
 
     return rows.select(key, text).mapInArrow(run, f"gram long, key {rows.schema[key].dataType.simpleString()}, positions array<int>")
 
