@@ -10,11 +10,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import combos, text, values
-from ..operators import leaderboard, metrics, quality, records, search
+from ..operators import leaderboard, metrics, ordered, quality, records, search
 from ..sources import files, pages
 from ..streaming import streams
 from .engine import Config, Engine, pages_by_url
@@ -539,7 +539,7 @@ def landmark_hits(spark, sf_dir):
 @query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, value < 5 AS empty FROM events), g AS (SELECT user_id, min(page) FILTER (empty) AS gap FROM p GROUP BY user_id)
 SELECT user_id, event_id, page FROM p JOIN g USING (user_id) WHERE page < coalesce(gap, 11) AND page <= 10""")
 def take_until_empty(spark, sf_dir):
-    numbered = _t(spark, sf_dir, "events").select("user_id", "event_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("page"))
+    numbered = ordered.numbered(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), [F.col("event_id")], ["user_id"], "page")
     return records.until_empty(numbered, "user_id", "page", F.col("value") < 5, 10).select("user_id", "event_id", _long("page").alias("page"))
 
 
