@@ -39,7 +39,9 @@ from .bpe import splitter
 
 FILE_BYTES = 64 << 20
 #: Nodes that a worker keeps (with their words about 250 bytes each), bytes of a word that is kept, pairs of tokens that are remembered.
-NODES, LONG, PAIRS = 1 << 19, 128, 1 << 20
+NODES, LONG, PAIRS = 1 << 20, 128, 1 << 20
+#: Lengths of tokens that are looked for after any bytes; the last one is always found.
+SHORT = (3, 2, 1)
 SLICE = 1 << 21
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,10 +136,19 @@ class Merges:
 class Trie:
     """Nodes with the last token of their prefix and the node where it begins; the root is 0."""
 
-    def __init__(self, merges: Merges):
-        self.merges, self.longest = merges, max(map(len, merges.own))
+    def __init__(self, merges: Merges, tails: dict[bytes, tuple] | None = None):
+        self.merges = merges
+        #: Lengths that tokens with these last four bytes have, the longest first, then the shorter ones.
+        self.tails = self._lengths() if tails is None else tails
         self.clear()
 
+    def _lengths(self) -> dict[bytes, tuple]:
+        found: dict[bytes, set[int]] = {}
+        for token in self.merges.own:
+            if len(token) > 3:
+                found.setdefault(token[-4:], set()).add(len(token))
+        return {tail: (*sorted(lengths, reverse=True), *SHORT) for tail, lengths in found.items()}
+
     def clear(self) -> None:
         self.next: dict[int, int] = {}
         self.token, self.begin = array("i", [-1]), array("i", [0])
@@ -145,31 +156,28 @@ class Trie:
     def insert(self, words: list[bytes]):
         """Node of each word; words are sorted, so that nodes are made depth first."""
         path, before = [0], b""
+        ahead, token, begin, own, tails, apart = self.next, self.token, self.begin, self.merges.own, self.tails, self.merges.apart
         for word in words:
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
             del path[same + 1:]
-            for depth in range(same, len(word)):
-                step = path[-1] << 8 | word[depth]
-                node = self.next.get(step)
+            node = path[-1]
+            for end in range(same + 1, len(word) + 1):
+                step = node << 8 | word[end - 1]
+                node = ahead.get(step)
                 if node is None:
-                    node = self.next[step] = len(self.token)
-                    begin, token = self._state(word, depth + 1, path)
-                    self.token.append(token)
-                    self.begin.append(path[begin])
+                    # The prefix's last token: it ends here, and stays apart from the last token before it.
+                    for size in tails.get(word[end - 4:end], SHORT) if end > 3 else SHORT:
+                        last = own.get(word[end - size:end]) if size <= end else None
+                        if last is not None and (size == end or apart(token[path[end - size]], last)):
+                            break
+                    node = ahead[step] = len(token)
+                    token.append(last)
+                    begin.append(path[end - size])
                 path.append(node)
             before = word
-            yield path[-1]
-
-    def _state(self, word: bytes, end: int, path: list[int]) -> tuple[int, int]:
-        """Where the last token of word[:end] begins, and the token."""
-        own, last = self.merges.own, self.token
-        for begin in range(max(0, end - self.longest), end):
-            token = own.get(word[begin:end])
-            if token is not None and (begin == 0 or self.merges.apart(last[path[begin]], token)):
-                return begin, token
-        raise AssertionError("a byte is a token")
+            yield node
 
     def ids(self, node: int) -> list[int]:
         out = []
@@ -215,9 +223,7 @@ class Encoder:
             self.words[w] = array("i", self.trie.ids(node)).tobytes()
         for raw, w in new:
             if len(raw) > LONG:
-                alone = Trie.__new__(Trie)
-                alone.merges, alone.longest = self.trie.merges, self.trie.longest
-                alone.clear()
+                alone = Trie(self.trie.merges, self.trie.tails)
                 self.words[w] = array("i", alone.ids(*alone.insert([raw]))).tobytes()
 
     def forget_long(self) -> None:
