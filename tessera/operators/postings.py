@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 BUCKETS = 64
 #: Positions that are sent on together (or one text's, if more).
 HELD = 1 << 19
@@ -57,7 +59,8 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def build(rows: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> None:
     """Write the index of a column; ranges of (partition, trigram, key) cut hot trigrams."""
-    found = postings(rows, key, text).withColumn("bucket", _bucket("gram", buckets))
+    # Written first: the ranges are taken from a sample, which would make all postings twice.
+    found = kept(postings(rows, key, text).withColumn("bucket", _bucket("gram", buckets)), "postings")
     found.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
 
 
