@@ -423,8 +423,11 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     found, used = None, []
     while True:
         # A bucket with no more free bits than ``bits`` holds few classes and stays.
-        prints = whole.where("home").groupBy("bucket", "fp").agg(F.min(F.bit_count("rest")).alias("free"))
-        hot = C.written(prints.groupBy("bucket").agg(F.count("*").alias("n"), F.min("free").alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "hot-buckets")
+        full = C.written(whole.where("home").groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "full-buckets")
+        # Of the buckets with many rows, those with many different fingerprints.
+        prints = whole.where("home").join(full, "bucket", "left_semi").select("bucket", "fp").distinct()
+        hot = C.written(prints.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket"), "hot-buckets") if full.take(1) else full
+        used += [full] * (hot is not full)
         used.append(hot)
         any_hot = bool(hot.take(1))
         cold = (whole.join(hot, "bucket", "left_anti") if any_hot else whole).drop("rest")
