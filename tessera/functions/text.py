@@ -92,8 +92,11 @@ def escape_html(s: Column) -> Column:
 
 
 def minutes_seconds(seconds: Column) -> Column:
+    """``mm:ss``, with as many digits as the minutes take."""
     whole = F.floor(seconds).cast("long")
-    return F.concat(F.lpad((F.floor(whole / 60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    minutes = F.floor(whole / 60).cast("string")
+    # lpad cuts what is longer than its length.
+    return F.concat(F.lpad(minutes, F.greatest(F.length(minutes), F.lit(2)), F.lit("0")), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 
 
 def one_decimal(x: Column) -> Column:

@@ -100,3 +100,8 @@ def test_kilobytes_credit_and_penalty(spark):
         text.kilobytes(F.lit(1536)).alias("a"), text.kilobytes(F.lit(0)).alias("b"), text.progress_credit(F.lit(5), F.lit(10)).alias("c"), text.progress_credit(F.lit(20), F.lit(0)).alias("d"),
         text.penalty_seconds(F.lit(1), F.lit(1.0)).alias("e"), text.penalty_seconds(F.lit(9), F.lit(0.5)).alias("f")).first()
     assert tuple(row) == ("1.5 KB", "0.0 KB", 0.5, 0.5, 30.0, 120.0)
+
+
+def test_minutes_keep_their_digits(spark):
+    rows = spark.createDataFrame([(0,), (59,), (5999,), (6000,), (600061,), (None,)], "s long")
+    assert [r.c for r in rows.select(text.minutes_seconds(F.col("s")).alias("c")).collect()] == ["00:00", "00:59", "99:59", "100:00", "10001:01", None]
