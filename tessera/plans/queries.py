@@ -7,6 +7,7 @@ for skills. Numbers are cast and sums are of decimals, so that both engines give
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -499,10 +500,10 @@ def directory_rows(spark, sf_dir):
 def _raw(spark, sf_dir) -> DataFrame:
     """A profile page per supplier: its name, its nation, and its key as figures; every third has a portfolio, every seventh is blocked."""
     rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    page = F.lit(PROFILE_PAGE)
     key = F.col("s_suppkey").cast("string")
-    for old, new in (("Ada L", F.col("s_name")), ("Jordan", F.col("n_name")), ("113", key), ("41.33%", F.concat((F.col("s_suppkey") % 101).cast("string"), F.lit(".5%"))), ("44 دقيقة", F.concat((F.col("s_suppkey") % 59 + 1).cast("string"), F.lit(" دقيقة"))), ("<td>other", F.concat(F.lit("<td>"), F.col("n_name")))):
-        page = F.replace(page, F.lit(old), new)
+    filled = {"Ada L": F.col("s_name"), "Jordan": F.col("n_name"), "113": key, "41.33%": F.concat((F.col("s_suppkey") % 101).cast("string"), F.lit(".5%")), "44 دقيقة": F.concat((F.col("s_suppkey") % 59 + 1).cast("string"), F.lit(" دقيقة")), "<td>other": F.concat(F.lit("<td>"), F.col("n_name"))}
+    # All at once: a name may hold what another place is known by.
+    page = F.concat(*[filled.get(part, F.lit(part)) for part in re.split(f"({'|'.join(map(re.escape, filled))})", PROFILE_PAGE)])
     html = F.when(F.col("s_suppkey") % 7 == 0, F.concat(page, F.lit("<!-- cloudflare -->"))).otherwise(page)
     cards = F.when(F.col("s_suppkey") % 3 == 0, F.lit('<div class="postcard cell-container"></div>' * 4))
     return rows.select(F.concat(F.lit("u/"), key).alias("profile_url"), html.alias("html"), cards.alias("portfolio_html"))

@@ -83,3 +83,17 @@ def test_cut_off_pages_and_whole_union(spark, tmp_path):
     for table, column, keys in (("customer", "c_nationkey", [7]), ("supplier", "s_nationkey", [7, 8]), ("nation", "n_nationkey", [7, 8, 9])):
         spark.createDataFrame([(k,) for k in keys], f"{column} long").write.parquet(f"{tmp_path}/{table}.parquet")
     assert sorted((r.path, r.priority) for r in QUERIES["priority_union"](spark, str(tmp_path)).collect()) == [(7, 0), (8, 1), (9, 2)]
+
+
+@pytest.mark.parametrize("name", ["profile_records", "profile_gold"])
+def test_profiles_of_names_that_hold_other_fields(spark, tmp_path, name):
+    """Keys of four digits stand in names, where 113 is not the number of projects."""
+    con = duckdb.connect()
+    spark.createDataFrame([(k, f"Supplier#{k:09d}", 0) for k in (113, 1130, 1131, 2113, 11300)], "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "Jordan 113", 0)], "n_nationkey int, n_name string, n_regionkey int").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    for table in ("nation", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = QUERIES[name](spark, str(tmp_path))
+    con.execute(ORACLES[name])
+    want = rows([c[0] for c in con.description], con.fetchall())
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == want and len(want[1]) == 5
