@@ -127,5 +127,7 @@ def sessions(rows: DataFrame, by: str, time: str, gap: str, tie: str, parts: int
     order = [F.col(time), F.col("_order")]
     beside = framed(timed, order, 1, 0, {"_last": lambda w, f: F.lag(time).over(w)}, [by], parts=parts)
     new = F.when(F.col(time) - F.col("_last") < F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
-    marked = running(beside.withColumn("_new", F.when(F.col("_last").isNull(), 1).otherwise(new)), order, {"_run": F.col("_new")}, [by], parts=parts)
+    # Of rows that are equal in the whole order the one that begins a run stands first again.
+    begun = beside.withColumn("_new", F.when(F.col("_last").isNull(), 1).otherwise(new))
+    marked = running(begun, [F.col(time), F.desc("_new")], {"_run": F.col("_new")}, [by], parts=parts)
     return marked.groupBy(by, "_run").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count(F.lit(1)).alias("n")).drop("_run")
