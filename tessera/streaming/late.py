@@ -30,10 +30,17 @@ def matched(left: DataFrame, right: DataFrame, by: str, left_time: str, right_ti
 
     Returns structs ``l`` and ``r``. Two watermarks and the condition on times bound the state: a left row is kept until no
     right row can match it any more, and the other way round. Null keys match nothing.
+
+    Rows meet by key and bin of time, ``after`` long, so a key with many rows is neither one task nor compared with all of
+    its rows: a left row stands in its own bin, a right row in its own and the one before, and a pair meets once.
     """
+    width = left.sparkSession.sql(f"SELECT greatest(unix_micros(timestamp_seconds(0) + INTERVAL {after}), 1) AS n").first().n
     sides = []
     for name, rows, time in (("l", left, left_time), ("r", right, right_time)):
-        at = F.col(time).cast("timestamp").alias(f"_{name}_at")
-        sides.append(rows.select(F.struct(*rows.columns).alias(name), F.col(by).alias(f"_{name}_key"), at).withWatermark(f"_{name}_at", late))
-    near = F.expr(f"_l_key = _r_key AND _r_at >= _l_at AND _r_at <= _l_at + INTERVAL {after}")
+        at = F.col(time).cast("timestamp")
+        own = F.floor(F.unix_micros(at) / F.lit(width))
+        bins = F.array(own) if name == "l" else F.array(own - 1, own)
+        placed = rows.select(F.struct(*rows.columns).alias(name), F.col(by).alias(f"_{name}_key"), at.alias(f"_{name}_at"), F.explode(bins).alias(f"_{name}_bin"))
+        sides.append(placed.withWatermark(f"_{name}_at", late))
+    near = F.expr(f"_l_key = _r_key AND _l_bin = _r_bin AND _r_at >= _l_at AND _r_at <= _l_at + INTERVAL {after}")
     return sides[0].join(sides[1], near).select("l", "r")

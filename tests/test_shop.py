@@ -5,6 +5,7 @@ import json
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,84 @@ def test_index_of_trigrams(spark, tmp_path):
     with pytest.raises(ValueError):
         postings.hits(index, "ab")
     postings.build(rows.where("false"), "id", "text", str(tmp_path / "none"))
+
+
+# ---------------------------------------------------------------- growth
+
+def _plans(monkeypatch, module):
+    """Plans of the tables that a module writes, by their names."""
+    plans, kept = [], module.kept
+    monkeypatch.setattr(module, "kept", lambda rows, name: plans.append((name, rows._jdf.queryExecution().optimizedPlan().toString())) or kept(rows, name))
+    return plans
+
+
+def test_repeated_pages_go_after_they_are_dealt(spark, monkeypatch):
+    """Otherwise the task that makes the pages of a small file of labels holds all of them."""
+    pages = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "label string, page int")
+    seen, kept = [], gallop.kept
+    monkeypatch.setattr(gallop, "kept", lambda rows, name: seen.append(rows._jdf.queryExecution().sparkPlan().toString()) or kept(rows, name))
+    assert gallop.last_pages(pages, pages.select("label")).first().last_page == 2
+    dealt = seen[0].index("RepartitionByExpression") if "RepartitionByExpression" in seen[0] else seen[0].index("Exchange")
+    assert "HashAggregate" in seen[0][:dealt] and "HashAggregate" not in seen[0][dealt:]
+
+
+def test_values_are_parsed_once(spark, monkeypatch):
+    rows = shapes.parsed(spark.createDataFrame([(t,) for t in TEXTS], "props string"), "props")
+    plans = _plans(monkeypatch, shapes)
+    assert shapes.inventory(rows, "shape").count() > 0
+    assert ["parse_json" in p.lower() or "parsejson" in p.lower() for _, p in plans] == [True, *[False] * 4]
+
+
+class _Handle:
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_key_has_one_timer_however_many_runs(spark):
+    handle, runs = _Handle(), expiring._Runs(1000)
+    runs.init(handle)
+    give = lambda *at: list(runs.handleInputRows(("k",), iter([pd.DataFrame({"at": at})]), handle))
+    give(*range(0, 500_000, 5000))
+    assert len(handle.rows) == 100 and handle.timers == [1]
+    give(-9000)  # earlier than all
+    assert handle.timers == [1, -8]
+    closed = []
+    for handle.now in (-8, 1, 250):
+        closed += [r for out in runs.handleExpiredTimer(("k",), handle, None) for r in out["first"]]
+        assert all(h + 1000 > handle.now * 1000 for _, h, _ in handle.rows) and handle.timers[-1] == min(-(-(h + 1000) // 1000) for _, h, _ in handle.rows)
+    handle.now = 10 ** 6
+    closed += [r for out in runs.handleExpiredTimer(("k",), handle, None) for r in out["first"]]
+    assert closed == [-9000, *range(0, 500_000, 5000)] and not handle.rows
+
+
+def test_streams_meet_by_key_and_time(spark):
+    """All pairs at the edges of the two hours and of bins, before 1970 too; a key with many rows is no single group of the join."""
+    at = lambda s: datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=s)
+    hour, shape = 3600, "id long, k string, t timestamp_ntz"
+    times = [-5 * hour, -2 * hour, -1, 0, 1, hour, 2 * hour - 1, 2 * hour, 2 * hour + 1, 4 * hour]
+    left, right = ([(i, "hot", at(t)) for i, t in enumerate(times)] + [(99, None, at(0))] for _ in range(2))
+    pairs = late.matched(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), "k", "t", "t", "2 hours", "1 hour")
+    want = sorted((i, j) for i, a in enumerate(times) for j, b in enumerate(times) if 0 <= b - a <= 2 * hour)
+    assert sorted(map(tuple, pairs.select("l.id", F.col("r.id").alias("other")).collect())) == want
+    assert "_l_bin" in pairs._jdf.queryExecution().optimizedPlan().toString()
