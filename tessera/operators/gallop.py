@@ -23,8 +23,9 @@ def last_pages(pages: DataFrame, labels: DataFrame, start: int = 8, most: int =
     """
     spark = pages.sparkSession
     names = [f"gallop_{uuid.uuid4().hex}" for _ in range(2)]
-    # Written once: every level of the recursion reads it.
-    there = kept(pages.where("page IS NOT NULL AND label IS NOT NULL").select("label", F.col("page").cast("long").alias("page")).distinct(), "pages")
+    # Written once: every level of the recursion reads it. Dealt before repeats go, so no task gathers all pages that it makes.
+    asked = pages.where("page IS NOT NULL AND label IS NOT NULL").select("label", F.col("page").cast("long").alias("page"))
+    there = kept(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "page").distinct(), "pages")
     there.createOrReplaceTempView(names[0])
     labels.select("label").distinct().createOrReplaceTempView(names[1])
     before = {k: spark.conf.get(k) for k in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")}
