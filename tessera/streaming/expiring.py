@@ -29,6 +29,7 @@ class _Runs(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         runs = [tuple(map(int, r)) for r in self.open.get()] if self.open.exists() else []
+        before = min((self._due(r[1]) for r in runs), default=None)
         for part in rows:
             at = np.sort(part.iloc[:, -1].to_numpy())  # the rows' columns may come without their names
             cuts = np.flatnonzero(np.diff(at) >= self.gap)
@@ -36,8 +37,10 @@ class _Runs(StatefulProcessor):
             runs += zip(at[starts].tolist(), at[ends].tolist(), (ends - starts + 1).tolist(), strict=True)
             runs = self._merged(runs)
         self.open.put(runs)
-        for _, high, _ in runs:
-            self.handle.registerTimer(self._due(high))
+        # A key has a timer at or before the time its earliest run is due; one that comes too early finds nothing to close.
+        due = min(self._due(r[1]) for r in runs)
+        if before is None or due < before:
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -45,7 +48,9 @@ class _Runs(StatefulProcessor):
         runs = [tuple(map(int, r)) for r in self.open.get()] if self.open.exists() else []
         done, going = [r for r in runs if self._due(r[1]) <= now], [r for r in runs if self._due(r[1]) > now]
         if going:
-            self.open.put(going)
+            if done:
+                self.open.put(going)
+            self.handle.registerTimer(min(self._due(r[1]) for r in going))
         elif runs:
             self.open.clear()
         if done:
