@@ -465,10 +465,17 @@ def search_fuzzy(spark, sf_dir):
     return search.search(rows, "uo07", order="c_custkey").select("c_custkey", _long("score").alias("score"))
 
 
-@query("""SELECT c_custkey, regexp_replace(c_name, '(?i)^(.*?)(mer)', '\\1<mark>\\2</mark>') AS marked FROM (SELECT c_custkey, 'a ' || c_name AS c_name FROM customer)""")
+@query("""SELECT c_custkey, 'MER' AS q, regexp_replace(c_name, '(?i)^(.*?)(mer)', '\\1<mark>\\2</mark>') AS marked FROM (SELECT c_custkey, 'a ' || c_name AS c_name FROM customer)
+UNION ALL SELECT c_custkey, 'شرك', '<mark class="ctx">ال</mark><mark>شرك</mark><mark class="ctx">ة</mark> ' || c_name FROM customer
+UNION ALL SELECT c_custkey, 'b', 'a &lt;<mark>b</mark> ' || c_name FROM customer""")
 def search_highlight(spark, sf_dir):
-    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("a "), "c_name").alias("c_name"))
-    return search.highlights(rows, "c_name", "MER", exact=True).select("c_custkey", "marked")
+    """Hits in the names of all customers: as they stand, with Arabic affixes around them, and beside a character that HTML escapes."""
+    found = None
+    for q, lead, exact in (("MER", "a ", True), ("شرك", "الشركة ", False), ("b", "a <b ", False)):
+        rows = _t(spark, sf_dir, "customer").select("c_custkey", F.lit(q).alias("q"), F.concat(F.lit(lead), "c_name").alias("c_name"))
+        hits = search.highlights(rows, "c_name", q, exact=exact).select("c_custkey", "q", "marked")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 # ---------------------------------------------------------------- directory pages

@@ -97,3 +97,8 @@ def test_profiles_of_names_that_hold_other_fields(spark, tmp_path, name):
     con.execute(ORACLES[name])
     want = rows([c[0] for c in con.description], con.fetchall())
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == want and len(want[1]) == 5
+
+
+def test_highlights_take_in_affixes_and_escape(spark):
+    marks = [r.marked for r in QUERIES["search_highlight"](spark, DATA).where("c_custkey = 1").collect()]
+    assert len(marks) == 3 and sum('class="ctx"' in m for m in marks) == 1 and sum("&lt;" in m for m in marks) == 1
