@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
-
 BUCKETS = 64
+#: Parts of a partition, by key, that are sorted and written apart.
+CUTS = 64
 #: Positions that are sent on together (or one text's, if more).
 HELD = 1 << 19
 #: Bits of a code point in a trigram's number.
@@ -58,10 +58,12 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def build(rows: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> None:
-    """Write the index of a column; ranges of (partition, trigram, key) cut hot trigrams."""
-    # Written first: the ranges are taken from a sample, which would make all postings twice.
-    found = kept(postings(rows, key, text).withColumn("bucket", _bucket("gram", buckets)), "postings")
-    found.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+    """Write the index of a column. Rows are dealt by partition and a hash of the key, which cuts hot trigrams.
+
+    Ranges would be taken from a sample, for which all postings are made twice or written between.
+    """
+    found = postings(rows, key, text).withColumn("bucket", _bucket("gram", buckets))
+    found.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(CUTS))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
 
 
 def hits(index: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame:
