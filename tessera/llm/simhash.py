@@ -41,7 +41,7 @@ SEED = 42
 BUCKET = 16384
 #: What a row that probes costs, in comparisons.
 ROW_COST = 1000.0
-#: Probing rows of one task, and of those that are compared at once.
+#: Probing rows of one task, and of those that are compared at once (or counted at once, where partitions are planned).
 TASK_ROWS, HELD_ROWS = 1 << 18, 1 << 17
 
 
@@ -146,6 +146,41 @@ def allocate(costs: list[list[float]], budget: int) -> list[int]:
     return best[budget][1]
 
 
+def pairs_by_mask(classes: DataFrame, masks: list[int], band) -> dict[int, float]:
+    """Per mask the ordered pairs of classes (within a band, each with itself too) that agree in all bits of the mask.
+
+    A task sums up the values of its own classes before it hands anything on: at most a row per value of a mask and band,
+    however many classes have it.
+    """
+    def run(batches):
+        fps: list[np.ndarray] = []
+        bands: list[np.ndarray] = []
+        rows = 0
+
+        def counted():
+            fp, own = np.concatenate(fps), np.concatenate(bands)
+            for m in masks:
+                v = fp & np.int64(m)
+                order = np.lexsort((v, own))
+                v, b = v[order], own[order]
+                first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (b[1:] != b[:-1])))
+                n = np.diff(np.append(first, len(v)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), m, np.int64)), pa.array(v[first]), pa.array(b[first]), pa.array(n)], ["m", "v", "band", "n"])
+
+        for batch in batches:
+            fps.append(batch.column("fp").to_numpy(zero_copy_only=False))
+            bands.append(batch.column("band").to_numpy(zero_copy_only=False))
+            rows += batch.num_rows
+            if rows >= HELD_ROWS:
+                yield from counted()
+                fps, bands, rows = [], [], 0
+        if rows:
+            yield from counted()
+
+    sums = classes.select("fp", band.cast("long").alias("band")).mapInArrow(run, "m long, v long, band long, n long").groupBy("m", "v", "band").agg(F.sum("n").alias("n"))
+    return {r.m: r.pairs for r in sums.groupBy("m").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).collect()}
+
+
 def plan(classes: DataFrame, bits: int, band=None) -> list[tuple[int, int, list[int]]]:
     """(partition mask, threshold, bits) of the partitions in use, by the least estimated cost.
 
@@ -156,10 +191,7 @@ def plan(classes: DataFrame, bits: int, band=None) -> list[tuple[int, int, list[
     least = max(2, (bits + 1) // 2)
     options = [group_bits(moments, n, parts) for parts in sorted({least, (least + bits + 1) // 2, bits + 1})]
     masks = sorted({signed(mask_of(g)) for groups in options for g in groups})
-    band = F.lit(0) if band is None else band
-    counts = classes.select(band.alias("band"), F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for m in masks])).alias("x")) \
-        .groupBy("x.m", "x.v", "band").count().groupBy("m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
-    pairs = {r.m: r.pairs for r in counts.collect()}
+    pairs = pairs_by_mask(classes, masks, F.lit(0) if band is None else band)
     chosen = None
     for groups in options:
         costs = []
@@ -415,17 +447,24 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
     # Each class probes, per partition, the values that its own can have been changed into, in its band and the next.
     probes = [
         (k, signed(mask), signed(flip), ahead, signed(((1 << 64) - 1) ^ mask)) for k, (mask, t, group) in enumerate(plan(classes, bits, band)) for flip in ball(group, t) for ahead in ((0, 1) if banded else (0,))]
-    every = F.expr(f"array({', '.join(f'named_struct("k", {k}, "mask", {m}L, "flip", {f}L, "ahead", {a}L, "rest", {r}L)' for k, m, f, a, r in probes)})")
-    value = F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip"))
-    whole = classes.select("fp", "node", *extra, band.cast("long").alias("own"), F.explode(every).alias("x")).select(
-        F.xxhash64("x.k", value, F.col("own") + F.col("x.ahead")).alias("bucket"), "fp", "node", ((F.col("x.flip") == 0) & (F.col("x.ahead") == 0)).alias("home"), F.col("x.rest").alias("rest"), *extra)
+    named = classes.select("fp", "node", *extra, band.cast("long").alias("own"))
+
+    def dealt(chosen):
+        """A row per class and chosen probe. The number of the probe is exploded: the masks stay out of the plan's text."""
+        every = F.expr(f"array({', '.join(f'named_struct("k", {k}, "mask", {m}L, "flip", {f}L, "ahead", {a}L, "rest", {r}L)' for k, m, f, a, r in chosen)})")
+        value = F.col("fp").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip"))
+        return named.select("*", F.explode(F.array(*map(F.lit, range(len(chosen))))).alias("probe")).withColumn("x", every[F.col("probe")]).select(
+            F.xxhash64("x.k", value, F.col("own") + F.col("x.ahead")).alias("bucket"), "fp", "node", ((F.col("x.flip") == 0) & (F.col("x.ahead") == 0)).alias("home"), F.col("x.rest").alias("rest"), *extra)
+
+    # Buckets are counted by the classes at home in them, so only those are made for it.
+    whole, at_home = dealt(probes), dealt([p for p in probes if p[2] == 0 and p[3] == 0])
     count = classes.count() * len(probes)
     found, used = None, []
     while True:
         # A bucket with no more free bits than ``bits`` holds few classes and stays.
-        full = C.written(whole.where("home").groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "full-buckets")
+        full = C.written(at_home.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.bit_count("rest")).alias("free")).where((F.col("n") > bucket) & (F.col("free") > bits)).select("bucket"), "full-buckets")
         # Of the buckets with many rows, those with many different fingerprints.
-        prints = whole.where("home").join(full, "bucket", "left_semi").select("bucket", "fp").distinct()
+        prints = at_home.join(full, "bucket", "left_semi").select("bucket", "fp").distinct()
         hot = C.written(prints.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket"), "hot-buckets") if full.take(1) else full
         used += [full] * (hot is not full)
         used.append(hot)
@@ -441,6 +480,7 @@ def links(classes: DataFrame, bits: int = 3, bucket: int = BUCKET, banded: bool
         # Within a hot bucket, the other bits of a linked pair differ in at most ``bits`` places: split them again.
         again = whole.join(hot, "bucket", "left_semi").mapInArrow(lambda batches: _dealt_anew(batches, bits), whole.schema)
         whole = C.written(again.distinct(), "buckets")
+        at_home = whole.where("home")
         used.append(whole)
         count = whole.count()
 

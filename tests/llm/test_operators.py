@@ -284,6 +284,51 @@ def test_simhash_groups(spark, monkeypatch, bits, bucket):
         assert same == (find(a) == find(b))
 
 
+def rows_made(spark, does):
+    """Rows that Generate and MapInArrow nodes made while ``does`` ran, by node, and the texts of the nodes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsList().last().executionId()  # the list keeps the latest only
+    does()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made, texts = Counter(), set()
+    for k in range(before + 1, store.executionsList().last().executionId() + 1):
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if node.name() in ("Generate", "MapInArrow") and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made[node.name()] += int(values.apply(metric.accumulatorId()).replace(",", ""))
+                    texts.add((node.name(), re.sub(r"#\d+L?", "", node.desc())))
+    return made, texts
+
+
+def test_rows_made_for_plan_and_buckets(spark):
+    def classes(n, seed):
+        pick = random.Random(seed)
+        return C.written(spark.createDataFrame([(simhash.signed(pick.getrandbits(64)), k, k % 3) for k in range(n)], "fp long, node long, band long").repartition(4), "classes")
+
+    few, many = classes(10_000, 1), classes(40_000, 2)
+    # Planned with values summed up in each task: four times the classes do not make four times the rows.
+    made = [sum(rows_made(spark, lambda c=c: simhash.plan(c, 12, F.col("band")))[0].values()) for c in (few, many)]
+    assert made[1] < 2 * made[0] and made[1] < 6 * 40_000
+    # A class makes a row per partition to count buckets, and one per probe to be compared: no more; both read alike for any masks.
+    runs = [rows_made(spark, lambda c=c: simhash.links(c, 12, banded=True)) for c in (few, classes(10_000, 3))]
+    assert [made["Generate"] for made, _ in runs] == [(13 + 26) * 10_000] * 2
+    assert len({tuple(sorted(t for t in texts if t[0] == "Generate")) for _, texts in runs}) == 1
+
+
+def test_pairs_by_mask(spark, monkeypatch):
+    pick = random.Random(29)
+    rows = [(simhash.signed(pick.getrandbits(64) & 0xF00000000000000F), k % 3) for k in range(500)]
+    masks = [simhash.signed(m) for m in (0, 0xF, 0xF << 60, 0xF00000000000000F, 0x7)]
+    for held in (7, 1 << 17):
+        monkeypatch.setattr(simhash, "HELD_ROWS", held)
+        got = simhash.pairs_by_mask(spark.createDataFrame(rows, "fp long, band int").repartition(3), masks, F.col("band"))
+        assert got == {m: sum(n * n for n in Counter((fp & m, band) for fp, band in rows).values()) for m in masks}
+    assert simhash.pairs_by_mask(spark.createDataFrame([], "fp long"), masks, F.lit(0)) == {}
+
+
 def test_fingerprints_and_components(spark):
     texts = [*sentences(4, 25), (100, "One two"), (101, "one  TWO"), (None, "lone words here now"), (102, "")]
     rows = simhash.near_groups(documents(spark, texts)).collect()
