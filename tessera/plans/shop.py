@@ -155,11 +155,11 @@ _ASKED = ("ation", "ther", "é é", "zzzz")
 
 @query(f"SELECT q, doc_id, 1000 - (instr(lower(text), q) - 1)::BIGINT AS score FROM documents, (SELECT unnest([{', '.join(f"'{q}'" for q in _ASKED)}]) AS q) WHERE instr(lower(text), q) > 0")
 def search_indexed(spark, sf_dir):
-    """Literal search in all documents through an index of trigrams; only candidates' rows are read."""
+    """Literal search in all documents through an index of trigrams; no text is read after the index is built."""
     docs, path = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), folder(spark, "postings")
     postings.build(docs, "doc_id", "text", path)
     index, found = spark.read.parquet(path), None
     for q in _ASKED:
-        hits = postings.search(index, docs.select("doc_id"), "doc_id", q).select(F.lit(q).alias("q"), "doc_id", "score")
+        hits = postings.hits(index, q).select(F.lit(q).alias("q"), F.col("key").alias("doc_id"), (1000 - F.col("first")).cast("long").alias("score"))
         found = hits if found is None else found.unionByName(hits)
     return found

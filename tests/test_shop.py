@@ -5,6 +5,7 @@ import json
 import random
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,55 @@ def test_index_of_trigrams(spark, tmp_path):
     postings.build(rows.where("false"), "id", "text", str(tmp_path / "none"))
 
 
+def _shuffled(spark):
+    """Bytes that each stage so far has written for a shuffle."""
+    bus, gateway = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._gateway
+    bus.waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_building_the_index_writes_little_more_than_the_texts(spark, tmp_path):
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghijé") for _ in range(draw.randrange(2, 9))) for _ in range(300)]
+    texts = [(i, " ".join(draw.choice(words) for _ in range(500))) for i in range(300)]
+    rows, path = spark.createDataFrame(texts, "id long, text string"), tmp_path / "index"
+    before = _shuffled(spark)
+    postings.build(rows, "id", "text", str(path), 8)
+    made = sum(n for stage, n in _shuffled(spark).items() if stage not in before)
+    size = sum(p.stat().st_size for p in path.rglob("*.parquet"))
+    assert size and size + made < 2.5 * sum(len(t) for _, t in texts)  # dealt by a shuffle, with positions as they are: 11 bytes a character
+
+
+def test_runs_of_the_index(spark, tmp_path):
+    """Texts on both sides of a run's end, empty ones between, repeated and missing keys, one text longer than a run."""
+    draw = random.Random(6)
+    texts = [(draw.choice([None, 1, 2, i]), draw.choice([None, "", "a", "ab", "aab" * draw.randrange(99), "".join(draw.choice("ab") for _ in range(draw.randrange(40)))])) for i in range(200)]
+    postings.build(spark.createDataFrame(texts, "id long, text string").coalesce(2), "id", "text", str(tmp_path / "index"), 8, 150)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.select("run").distinct().count() > 20
+    for q in ("aba", "aabaab", "bbb"):
+        got = sorted((str(r.key), r.first, r.n) for r in postings.hits(index, q, 8).collect())
+        assert got == sorted((str(i), t.find(q), sum(t.startswith(q, k) for k in range(len(t)))) for i, t in texts if t and q in t) and got
+
+
+def test_places_are_packed_whole():
+    wide = "".join(map(chr, range(0x10000, 0x10000 + 70_000)))  # too many code points for a trigram and its place in one number
+    for texts in (["abcab", "", "c", "bcabcab", "ab"], [wide, wide[:5], "abc"], ["a"], ["", ""]):
+        c, ends = postings._points("".join(texts)), np.cumsum([len(t) for t in texts])
+        grams, heads, places = postings._sorted(c, ends)
+        want: dict = {}
+        for t, end in zip(texts, ends, strict=True):
+            for k in range(len(t) - 2):
+                want.setdefault(int(postings._numbers(postings._points(t[k:k + 3]))[0]), []).append(end - len(t) + k)
+        packed = postings._packed(places, heads)
+        assert {g: postings._unpacked(p.as_py()).tolist() for g, p in zip(grams.tolist(), packed, strict=True)} == want
+        assert grams.tolist() == sorted(want)
+    far = np.cumsum([0, 1, 127, 128, (1 << 14) - 1, 1 << 14, 1 << 21, 1 << 28, (1 << 28) + 5])
+    both = postings._packed(np.append(far, far), np.array([0, len(far)]))
+    assert [postings._unpacked(p.as_py()).tolist() for p in both] == [far.tolist()] * 2
+
+
 # ---------------------------------------------------------------- growth
 
 def _plans(monkeypatch, module):
